@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolock.llm import order_minhash, packing, simhash_anchor, token_counts, warc_zstd
+from chronolock.llm import decontamination, line_dedup, order_minhash, packing, simhash_anchor, token_counts, warc_zstd
 from chronolock.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_zstd, op4_order_minhash, op5_token_counts, op8_simhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_zstd, op3_decontamination, op4_order_minhash, op5_token_counts, op8_simhash_near_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
