@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolock.llm import decontamination, line_dedup, order_minhash, packing, simhash_anchor, token_counts, warc_zstd
+from chronolock.llm import decontamination, line_dedup, order_minhash, packing, pii_bootstrap, quality_mil, simhash_anchor, token_counts, warc_zstd
 from chronolock.llm.common import table
 
 
@@ -29,14 +29,33 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_anchor.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii_bootstrap.KINDS))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii_bootstrap.KINDS[k]}")
+
+    counts = [count(k) for k in range(len(pii_bootstrap.KINDS))]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_zstd, op3_decontamination, op4_order_minhash, op5_token_counts, op8_simhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_zstd, op3_decontamination, op4_order_minhash, op5_token_counts, op7_quality_mil, op8_simhash_near_dedup, op9_pii_bootstrap, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
