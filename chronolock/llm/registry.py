@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolock.llm import decontamination, line_dedup, order_minhash, packing, pii_bootstrap, quality_mil, simhash_anchor, token_counts, warc_zstd
+from chronolock.llm import decontamination, line_dedup, order_minhash, packing, pii_bootstrap, quality_mil, simhash_anchor, token_counts, warc_zstd, wrapper_extract
 from chronolock.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
@@ -57,5 +61,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_zstd, op3_decontamination, op4_order_minhash, op5_token_counts, op7_quality_mil, op8_simhash_near_dedup, op9_pii_bootstrap, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_zstd, op3_decontamination, op4_order_minhash, op5_token_counts, op6_wrapper_extract, op7_quality_mil, op8_simhash_near_dedup, op9_pii_bootstrap, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
