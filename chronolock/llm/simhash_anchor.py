@@ -1,5 +1,9 @@
 """SimHash near-duplicates by anchor-point covering.
 
+:func:`near_duplicates` links fingerprints within 4 bits, all of them.  :func:`distinct_documents`
+links documents whose shingle sets have a similarity of 0.8 or more: too many bits apart for one
+fingerprint of 64, so it covers four, and verifies what meets.
+
 A fingerprint of 64 bits is cut into three segments.  Fingerprints that differ in at most 4 bits
 differ in at most one bit of some segment.  In each segment the anchors are a covering code: the
 first 15 bits hold a word of the perfect Hamming code, the others are free, so every segment value
@@ -20,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolock.llm.codepoints import mixed
 from chronolock.llm.common import doc_texts, parts, settle
 from chronolock.llm.components import components
 
@@ -65,6 +70,26 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def _planes(text: str, words: int, count: int) -> list[int]:
+    """``count`` fingerprints from one hash of each shingle: its own bits, then bits mixed anew.  Each
+    different shingle counts once."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return [0] * count
+    joined = b" ".join(found)
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    end = np.cumsum(size + 1) - 1
+    n = max(1, len(found) - words + 1)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter({digest(joined[a:b], SEED) for a, b in zip((end - size)[:n].tolist(), end[min(words, len(found)) - 1 :].tolist())}, np.uint64)
+    out = []
+    for k in range(count):
+        one = h if not k else mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        by = np.bincount((one.astype(">u8").view(np.uint8).reshape(-1, 8) + _PLACES).ravel(), minlength=2048).reshape(8, 256)
+        out.append(int.from_bytes(np.packbits(2 * (by @ _BYTE_BITS) > len(h)).tobytes(), "big"))
+    return out
+
+
 def _masks(width: int) -> tuple[list[int], list[np.ndarray]]:
     """For each syndrome of the coded bits: what takes a segment to its home, and to its replicas."""
     free = [1 << i for i in range(CODED, width)]
@@ -79,7 +104,7 @@ def _masks(width: int) -> tuple[list[int], list[np.ndarray]]:
 
 
 def anchor_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, role (0 home, 1 replica) and fingerprint of all rows that ``fp`` sends out."""
+    """Anchor, role (0 home, 1 replica) and place in ``fp`` of all rows that fingerprints send out."""
     bits = fp.view(np.uint64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k, (low, width) in enumerate(SEGMENTS):
@@ -93,8 +118,8 @@ def anchor_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = np.flatnonzero(syndrome == s)
             if not len(own):
                 continue
-            out.append((seg[own] ^ home[s] | tag, np.zeros(len(own), np.int8), fp[own]))
-            out.append(((seg[own][:, None] ^ near[s] | tag).ravel(), np.ones(len(own) * len(near[s]), np.int8), np.repeat(fp[own], len(near[s]))))
+            out.append((seg[own] ^ home[s] | tag, np.zeros(len(own), np.int8), own))
+            out.append(((seg[own][:, None] ^ near[s] | tag).ravel(), np.ones(len(own) * len(near[s]), np.int8), np.repeat(own, len(near[s]))))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64))
 
 
@@ -147,27 +172,32 @@ def _compare(bits: int):
     return run
 
 
+def _deal(rows: DataFrame, most_homes: int) -> DataFrame:
+    """``rows`` by anchor and sorted, homes first.  An anchor with more than ``most_homes`` homes is
+    dealt to several tasks by its homes, and its replicas go to each of them."""
+    hot = rows.where("role = 0").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most_homes).select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / most_homes).cast("int").alias("deals"))
+    hot = settle(hot, "hot-anchors")
+    deals = F.coalesce("deals", F.lit(1))
+    salt = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("fp"), deals).cast("int"))).otherwise(F.sequence(F.lit(0), deals - 1))
+    dealt = rows.withColumn("salt", F.lit(0)) if hot.isEmpty() else rows.join(hot, F.col("anchor") == F.col("hot_anchor"), "left").withColumn("salt", F.explode(salt))
+    order = ["anchor", "salt", "role", "fp", *[c for c in rows.columns if c not in ("anchor", "role", "fp")]]
+    return dealt.select(*order).repartition(parts(rows.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "role", "fp")
+
+
 def links(prints: DataFrame, bits: int = BITS, most_homes: int = HOMES) -> DataFrame:
     """Links ``(u, v)`` between different fingerprints (column ``fp``, one row each) whose closure is
-    that of all pairs within ``bits`` (4 or fewer).  An anchor with more than ``most_homes`` homes is
-    dealt to several tasks by its homes, and its replicas go to each of them."""
+    that of all pairs within ``bits`` (5 or fewer)."""
     if bits >= 2 * len(SEGMENTS):
         raise ValueError(f"bits must be under {2 * len(SEGMENTS)}")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, r, f = anchor_rows(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r), pa.array(f)], ["anchor", "role", "fp"])
+            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            a, r, at = anchor_rows(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r), pa.array(fp[at])], ["anchor", "role", "fp"])
 
     rows = prints.select("fp").mapInArrow(spread, "anchor long, role byte, fp long")
-    hot = rows.where("role = 0").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most_homes).select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / most_homes).cast("int").alias("deals"))
-    hot = settle(hot, "hot-anchors")
-    deals = F.coalesce("deals", F.lit(1))
-    salt = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("fp"), deals).cast("int"))).otherwise(F.sequence(F.lit(0), deals - 1))
-    dealt = rows.join(hot, F.col("anchor") == F.col("hot_anchor"), "left").withColumn("salt", F.explode(salt)) if not hot.isEmpty() else rows.withColumn("salt", F.lit(0))
-    n = parts(prints.sparkSession)
-    dealt = dealt.select("anchor", "salt", "role", "fp").repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt", "role", "fp")
-    return dealt.mapInArrow(_compare(bits), "u long, v long").distinct()
+    return _deal(rows, most_homes).mapInArrow(_compare(bits), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
@@ -186,3 +216,109 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFr
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by = named.join(least, "root").select("fp", "component_id")
     return prints.join(by, "fp").select("doc_id", "fp", "component_id")
+
+
+def _meet(bits: int):
+    """Pairs of texts whose first fingerprints are within ``bits``: all of a block if they are few,
+    else the nearest home of each replica and the nearest replica of each home."""
+
+    def pairs(homes: np.ndarray, own: np.ndarray, near: np.ndarray, other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        apart = np.bitwise_count(homes.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :])
+        hit = (apart <= bits) & (own[:, None] != other[None, :])
+        i, j = np.nonzero(hit)
+        if len(i) > 4 * (len(homes) + len(near)):
+            far = np.where(hit, apart, 255)
+            i, j = np.concatenate([far.argmin(0), np.arange(len(homes))]), np.concatenate([np.arange(len(near)), far.argmin(1)])
+            i, j = i[hit[i, j]], j[hit[i, j]]
+        return [(own[i], other[j])] if len(i) else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, homes, own = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            anchor, salt, role, fp, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(anchor)]):
+                if s == e:
+                    continue
+                if key != (anchor[s], salt[s]):
+                    key, homes, own = (anchor[s], salt[s]), fp[:0], node[:0]
+                mid = s + int(np.searchsorted(role[s:e], 1))
+                if mid > s:
+                    homes, own = np.concatenate([homes, fp[s:mid]]), np.concatenate([own, node[s:mid]])
+                for at in range(mid, e, 4096):
+                    if len(homes):
+                        found += pairs(homes, own, fp[at : min(e, at + 4096)], node[at : min(e, at + 4096)])
+            if found:
+                u, v = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return run
+
+
+def shingle_set(text: str, words: int) -> set[int]:
+    """64-bit hashes of the different shingles of a text, as :func:`simhash64` cuts them."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(found) - words + 1)
+    return {xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(n)} if found else set()
+
+
+def similar(a: str, b: str, words: int, least: float) -> bool:
+    x, y = shingle_set(a, words), shingle_set(b, words)
+    return not (x or y) or len(x & y) >= least * len(x | y)
+
+
+def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, bits: int = 18, most_homes: int = HOMES, broadcast_ids: int = 500_000) -> DataFrame:
+    """Links ``(u, v)`` between the ids of different ``texts(h, text)`` with ``similarity`` or more.
+
+    At 0.8 a fingerprint of 64 bits differs in 10 bits, so each text has ``planes`` of them.  Pairs
+    that meet at an anchor of any, with ``bits`` or fewer differing in the first, are verified by
+    their whole shingle sets.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.array([_planes(t, words, planes) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, planes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(planes))], ["h", *(f"p{k}" for k in range(planes))])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            first = b.column(1).to_numpy(zero_copy_only=False)
+            for k in range(planes):
+                a, r, at = anchor_rows(b.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(a | k << 44), pa.array(r), pa.array(first[at]), pa.array(node[at])], ["anchor", "role", "fp", "node"])
+
+    found = settle(texts.select("h", "text").mapInArrow(prints, "h long, " + ", ".join(f"p{k} long" for k in range(planes))), "planes").distinct()
+    rows = found.mapInArrow(spread, "anchor long, role byte, fp long, node long")
+    pairs = settle(_deal(rows, most_homes).mapInArrow(_meet(bits), "u long, v long").distinct(), "text-pairs")
+    ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "text-ids")
+    few = ids.count() <= broadcast_ids
+    held = settle(texts.join(F.broadcast(ids) if few else ids, F.col("h") == F.col("id"), "left_semi").select("h", "text").dropDuplicates(["h"]), "texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([similar(x, y, words, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(ok)
+
+    both = pairs.join(held.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, same columns.
+
+    Equal texts are one node, and texts that :func:`text_links` links are a group, in chains too;
+    the smallest doc_id of a group stays.  Of rows that repeat a doc_id one stays.  Texts without a
+    word are near-duplicates of each other.  Rows without an id stay as they are.
+    """
+    texts = doc_texts(docs).withColumn("h", F.xxhash64("text"))
+    first = settle(texts.groupBy("h").agg(F.min("doc_id").alias("first_id")), "first-ids")
+    joined = components(text_links(texts, words, similarity))
+    named = first.join(joined.select(F.col("node").alias("h"), "root"), "h", "left")
+    kept = settle(named.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first_id").alias("kept_id")).where("kept_id is not null").select("kept_id").distinct(), "kept-ids")
+    left = docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi")
+    ids = docs.select("doc_id").where("doc_id is not null")
+    if ids.count() > ids.distinct().count():
+        left = left.dropDuplicates(["doc_id"])
+    return left.unionByName(docs.where("doc_id is null"))
