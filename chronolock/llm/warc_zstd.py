@@ -28,9 +28,9 @@ FRAME = b"\x28\xb5\x2f\xfd"
 DICTIONARY = b"\x37\xa4\x30\xec"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
-#: Bytes of records after which a task begins another file, and the most that a reader takes up for
-#: a record's frame.
+#: Bytes of records after which a task begins another file, and bytes that a reader decodes at a time.
 FILE_BYTES = 8 << 20
+STEP = 4 << 10
 NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
@@ -83,15 +83,17 @@ def read_archive(raw: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME:
             raise BadArchive(f"no frame begins at byte {at}")
-        one = decode.decompressobj()
-        try:
-            text = one.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise BadArchive(f"the frame at byte {at} can't be decoded: {e}") from e
-        if not one.eof:
-            raise BadArchive(f"the frame at byte {at} is cut off")
-        at = len(raw) - len(one.unused_data)
-        yield text
+        one, parts, end = decode.decompressobj(), [], at
+        while not one.eof:  # in steps: what a step reads beyond the frame is copied
+            if end >= len(raw):
+                raise BadArchive(f"the frame at byte {at} is cut off")
+            try:
+                parts.append(one.decompress(view[end : end + STEP]))
+            except zstandard.ZstdError as e:
+                raise BadArchive(f"the frame at byte {at} can't be decoded: {e}") from e
+            end = min(end + STEP, len(raw))
+        at = end - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse_record(text: bytes) -> tuple[dict[str, str], bytes]:
