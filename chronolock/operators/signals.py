@@ -121,7 +121,7 @@ def rolling_mean_valid(signal: DataFrame, keys: list[str], window: int) -> DataF
 
 def peak_response(windows: DataFrame, keys: list[str], pre: tuple[int, int], post: tuple[int, int], window: int) -> DataFrame:
     """The largest rolling mean within ``post`` less the mean of ``pre``."""
-    inside = windows.where((F.col("k") >= post[0]) & (F.col("k") < post[1])).withColumnRenamed("k", "i")
+    inside = windows.where((F.col("k") >= post[0]) & (F.col("k") < post[1])).select(*keys, F.col("k").alias("i"), "v")
     peak = rolling_mean_valid(inside, keys, window).groupBy(*keys).agg(F.max("mean").alias("peak"))
     base = windows.where((F.col("k") >= pre[0]) & (F.col("k") < pre[1])).groupBy(*keys).agg(F.avg("v").alias("base"))
     return peak.join(base, keys, "left").select(*keys, (F.col("peak") - F.col("base")).alias("response"))
