@@ -40,7 +40,7 @@ def cable(nodes: DataFrame) -> DataFrame:
     return box.join(e, "neuron_id", "left")
 
 
-def to_root(nodes: DataFrame, weight: DataFrame, stop: DataFrame | None = None, most_rounds: int = 40) -> DataFrame:
+def to_root(nodes: DataFrame, weight: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """``top`` (the root, or the first node of ``stop`` above it), ``total`` (weights of the steps,
     from ``weight(neuron_id, node_id, w)``) and ``steps`` of each node.  Raises where pointers form a
     cycle."""
@@ -51,7 +51,8 @@ def to_root(nodes: DataFrame, weight: DataFrame, stop: DataFrame | None = None,
     up = halts.select("neuron_id", F.col("node_id").alias("anc"), F.col("halt").alias("done"))
     now = at.withColumn("anc", F.when(F.col("parent_id") < 0, F.col("node_id")).otherwise(F.col("parent_id"))).withColumn("total", F.when(F.col("parent_id") < 0, 0.0).otherwise(F.coalesce("w", F.lit(0.0)))).withColumn("steps", (F.col("parent_id") >= 0).cast("bigint"))
     now = settled(now.join(up, ["neuron_id", "anc"], "left").select("neuron_id", "node_id", "anc", "total", "steps", (F.coalesce("done", F.lit(False)) | (F.col("anc") == F.col("node_id"))).alias("done")))
-    for _ in range(most_rounds):
+    nodes_most = nodes.groupBy("neuron_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(doubling_rounds(nodes_most) + 2):  # two more than the deepest tree needs
         if now.where("not done").isEmpty():
             return now.select(*KEY, F.col("anc").alias("top"), "total", "steps")
         skip = now.select("neuron_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"))
