@@ -62,4 +62,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc_zstd, op3_decontamination, op4_order_minhash, op5_token_counts, op6_wrapper_extract, op7_quality_mil, op8_simhash_near_dedup, op9_pii_bootstrap, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Base 32 of SHA-1 from the bits of the hash, five at a time; revisits by the largest page of a payload.
+_WARC = """
+with p as (select page_id, url, coalesce(html, '') as payload from pages),
+b as (select *, cast(unhex(sha1(payload)) as bit)::varchar as bits, max(page_id) over (partition by payload) as kept from p)
+select page_id, url, octet_length(encode(payload)) as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + 16 * (substr(bits, 5 * i + 1, 1) = '1')::int + 8 * (substr(bits, 5 * i + 2, 1) = '1')::int + 4 * (substr(bits, 5 * i + 3, 1) = '1')::int + 2 * (substr(bits, 5 * i + 4, 1) = '1')::int + (substr(bits, 5 * i + 5, 1) = '1')::int as bigint), 1)), 'string_agg', '') as payload_digest,
+  case when page_id = kept then 'response' else 'revisit' end as record_type, case when page_id < kept then kept end as refers_to
+from b"""
+ORACLE_SQL = {"op2_warc_zstd": _WARC}
