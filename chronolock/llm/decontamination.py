@@ -211,4 +211,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that :func:`contaminated` finds; a null id is never found."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # no name of docs clashes
+    return rows.join(bad, F.col("doc").getField("doc_id") == F.col("bad_id"), "left_anti").select("doc.*")

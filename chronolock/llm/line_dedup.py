@@ -206,9 +206,10 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MI
     """
     gone = line_classes(docs, edits, min_chars).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
     gone = gone.withColumnRenamed("doc_id", "gone_id")
-    both = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left")
-    left = F.concat_ws("\n", F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("gone_lines", i)))
-    both = both.withColumn("left_text", F.when(F.col("gone_lines").isNull(), docs["text"]).otherwise(left))
+    own = F.col("doc").getField
+    both = docs.select(F.struct(*docs.columns).alias("doc")).join(gone, own("doc_id") == F.col("gone_id"), "left")  # no name of docs clashes
+    left = F.concat_ws("\n", F.filter(F.split(own("text"), "\n"), lambda x, i: ~F.array_contains("gone_lines", i)))
+    both = both.withColumn("left_text", F.when(F.col("gone_lines").isNull(), own("text")).otherwise(left))
     both = both.where(F.col("gone_lines").isNull() | (F.trim(F.translate("left_text", "\n", " ")) != ""))
-    cols = [F.col("left_text").alias("text") if c == "text" else F.char_length("left_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    cols = [F.col("left_text").alias("text") if c == "text" else F.char_length("left_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns]
     return both.select(*cols)
