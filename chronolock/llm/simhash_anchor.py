@@ -15,6 +15,7 @@ replicas on all 64 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -219,17 +220,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFr
 
 
 def _meet(bits: int):
-    """Pairs of texts whose first fingerprints are within ``bits``: all of a block if they are few,
-    else the nearest home of each replica and the nearest replica of each home."""
+    """Pairs of texts whose ``fp`` are within ``bits``: all of a block if they are no more than its rows,
+    else the nearest home of each replica."""
 
     def pairs(homes: np.ndarray, own: np.ndarray, near: np.ndarray, other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         apart = np.bitwise_count(homes.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :])
         hit = (apart <= bits) & (own[:, None] != other[None, :])
         i, j = np.nonzero(hit)
-        if len(i) > 4 * (len(homes) + len(near)):
-            far = np.where(hit, apart, 255)
-            i, j = np.concatenate([far.argmin(0), np.arange(len(homes))]), np.concatenate([np.arange(len(near)), far.argmin(1)])
-            i, j = i[hit[i, j]], j[hit[i, j]]
+        if len(i) > len(homes) + len(near):
+            j = np.flatnonzero(hit.any(0))
+            i = np.where(hit[:, j], apart[:, j], 255).argmin(0)
         return [(own[i], other[j])] if len(i) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,12 +268,13 @@ def similar(a: str, b: str, words: int, least: float) -> bool:
     return not (x or y) or len(x & y) >= least * len(x | y)
 
 
-def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, bits: int = 18, most_homes: int = HOMES, broadcast_ids: int = 500_000) -> DataFrame:
+def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, bits: int = 16, most_homes: int = HOMES, broadcast_ids: int = 500_000) -> DataFrame:
     """Links ``(u, v)`` between the ids of different ``texts(h, text)`` with ``similarity`` or more.
 
     At 0.8 a fingerprint of 64 bits differs in 10 bits, so each text has ``planes`` of them.  Pairs
-    that meet at an anchor of any, with ``bits`` or fewer differing in the first, are verified by
-    their whole shingle sets.
+    that meet at an anchor of one, with ``bits`` or fewer differing in the next, are held against all
+    planes (a third more than expected at ``similarity``), and what is left against the whole shingle
+    sets.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,15 +284,18 @@ def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            first = b.column(1).to_numpy(zero_copy_only=False)
+            node, *own = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1 + planes))
             for k in range(planes):
-                a, r, at = anchor_rows(b.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(a | k << 44), pa.array(r), pa.array(first[at]), pa.array(node[at])], ["anchor", "role", "fp", "node"])
+                a, r, at = anchor_rows(own[k])
+                yield pa.RecordBatch.from_arrays([pa.array(a | k << 44), pa.array(r), pa.array(own[(k + 1) % planes][at]), pa.array(node[at])], ["anchor", "role", "fp", "node"])
 
     found = settle(texts.select("h", "text").mapInArrow(prints, "h long, " + ", ".join(f"p{k} long" for k in range(planes))), "planes").distinct()
     rows = found.mapInArrow(spread, "anchor long, role byte, fp long, node long")
-    pairs = settle(_deal(rows, most_homes).mapInArrow(_meet(bits), "u long, v long").distinct(), "text-pairs")
+    met = _deal(rows, most_homes).mapInArrow(_meet(bits), "u long, v long").distinct()
+    one, two = (found.select(F.col("h").alias(side), *[F.col(f"p{k}").alias(f"{side}{k}") for k in range(planes)]) for side in "uv")
+    apart = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(planes)), F.lit(0))
+    expected = 64 * planes * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    pairs = settle(met.join(one, "u").join(two, "v").where(apart <= math.ceil(expected * 4 / 3) + 4).select("u", "v"), "text-pairs")
     ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "text-ids")
     few = ids.count() <= broadcast_ids
     held = settle(texts.join(F.broadcast(ids) if few else ids, F.col("h") == F.col("id"), "left_semi").select("h", "text").dropDuplicates(["h"]), "texts")
@@ -317,7 +321,8 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     joined = components(text_links(texts, words, similarity))
     named = first.join(joined.select(F.col("node").alias("h"), "root"), "h", "left")
     kept = settle(named.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first_id").alias("kept_id")).where("kept_id is not null").select("kept_id").distinct(), "kept-ids")
-    left = docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # no name of docs clashes
+    left = rows.join(kept, F.col("doc").getField("doc_id").cast("long") == F.col("kept_id"), "left_semi").select("doc.*")
     ids = docs.select("doc_id").where("doc_id is not null")
     if ids.count() > ids.distinct().count():
         left = left.dropDuplicates(["doc_id"])
