@@ -89,7 +89,7 @@ def edit_fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES) ->
     rows = doc_texts(docs).withColumn("rank", F.coalesce(F.lit(0.0) - F.col("doc_id").cast("double"), F.lit(float("inf"))))
     n = 8 * parts(spark)
     ids = rows.select(F.least(F.col("rank"), F.lit(1e300)).alias("rank"))
-    cuts = sorted(set(ids.approxQuantile("rank", [i / n for i in range(1, n)], 0.2 / n)))
+    cuts = sorted(set(ids.approxQuantile("rank", [i / n for i in range(1, n)], 0.2 / n))) or [0.0]
     ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="rank", outputCol="range", handleInvalid="keep")
     rows = ranged.transform(rows).withColumn("range", F.col("range").cast("int"))
     heads = sorted((r.range, r.rank) for r in rows.groupBy("range").agg(F.min("rank").alias("rank")).collect())  # a row for each range

@@ -115,8 +115,8 @@ def edit_distance(a: str, b: str) -> int:
 
 def changed(rng: random.Random, text: str, n: int) -> str:
     out = list(text)
-    for _ in range(n):
-        i, kind = rng.randrange(len(out)), rng.random()
+    for _ in range(n if out else 0):
+        i, kind = rng.randrange(max(1, len(out))), rng.random()
         out[i : i + (kind < 0.6)] = [rng.choice("abcxyz")] if kind > 0.3 else []
     return "".join(out)
 
