@@ -504,7 +504,7 @@ def t14r(spark, sf):
     return st.sequence_rank(p, K).select(*G, fixed("selectivity", 6).alias("selectivity"), "image_rank")
 
 
-@query("a41_slope_summary", f"with {BINS}, g as (select session_id, roi, stimulus, regr_slope(response, center) as o from m group by all) select session_id, roi, round(max(abs(o)), 7) + 0 as max_abs, round(quantile_cont(abs(o), 0.5), 7) + 0 as median_abs, round(asinh(max(abs(o)) / 0.001e0), 6) + 0 as scaled from g group by 1, 2", "traces", "onsets")
+@query("a41_slope_summary", f"with {BINS}, g as (select session_id, roi, stimulus, case when count(*) > 1 then regr_slope(response, center) end as o from m group by all) select session_id, roi, round(max(abs(o)), 7) + 0 as max_abs, round(quantile_cont(abs(o), 0.5), 7) + 0 as median_abs, round(asinh(max(abs(o)) / 0.001e0), 6) + 0 as scaled from g group by 1, 2", "traces", "onsets")
 def a41(spark, sf):
     s = st.sequence_slopes(st.sequence_bins(sequence(spark, sf), G), G)
     return s.groupBy(*K).agg(fixed(F.max(F.abs("overall")), 7).alias("max_abs"), fixed(F.percentile(F.abs("overall"), F.lit(0.5)), 7).alias("median_abs"), fixed(F.asinh(F.max(F.abs("overall")) / 0.001), 6).alias("scaled"))
