@@ -220,38 +220,80 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFr
 
 
 def _meet(bits: int):
-    """Pairs of texts whose ``fp`` are within ``bits``: all of a block if they are no more than its rows,
-    else the nearest home of each replica."""
-
-    def pairs(homes: np.ndarray, own: np.ndarray, near: np.ndarray, other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        apart = np.bitwise_count(homes.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :])
-        hit = (apart <= bits) & (own[:, None] != other[None, :])
-        i, j = np.nonzero(hit)
-        if len(i) > len(homes) + len(near):
-            j = np.flatnonzero(hit.any(0))
-            i = np.where(hit[:, j], apart[:, j], 255).argmin(0)
-        return [(own[i], other[j])] if len(i) else []
+    """Pairs (role 2, in ``fp`` and ``node``) of texts whose ``fp`` are within ``bits``: all of a block
+    if they are no more than its rows, else the nearest home of each replica.  What a block leaves out
+    is among the rows that it passes on: replicas with several homes, and those homes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, homes, own = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, homes, own, told = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         for b in batches:
             anchor, salt, role, fp, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, ...]] = []
+
+            def put(kind: int, x: np.ndarray, y: np.ndarray) -> None:
+                found.append((np.full(len(x), key[0], np.int64), np.full(len(x), key[1], np.int32), np.full(len(x), kind, np.int8), x, y))
+
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(anchor)]):
                 if s == e:
                     continue
                 if key != (anchor[s], salt[s]):
-                    key, homes, own = (anchor[s], salt[s]), fp[:0], node[:0]
+                    key, homes, own, told = (anchor[s], salt[s]), fp[:0], node[:0], np.zeros(0, bool)
                 mid = s + int(np.searchsorted(role[s:e], 1))
                 if mid > s:
                     homes, own = np.concatenate([homes, fp[s:mid]]), np.concatenate([own, node[s:mid]])
-                for at in range(mid, e, 4096):
-                    if len(homes):
-                        found += pairs(homes, own, fp[at : min(e, at + 4096)], node[at : min(e, at + 4096)])
+                    told = np.zeros(len(homes), bool)
+                for at in range(mid, e if len(homes) else mid, 4096):
+                    near, other = fp[at : min(e, at + 4096)], node[at : min(e, at + 4096)]
+                    apart = np.bitwise_count(homes.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :])
+                    hit = (apart <= bits) & (own[:, None] != other[None, :])
+                    if np.count_nonzero(hit) > len(homes) + len(near):
+                        j = np.flatnonzero(hit.any(0))
+                        i = np.where(hit[:, j], apart[:, j], 255).argmin(0)
+                        several = np.flatnonzero(hit.sum(0) > 1)
+                        fresh = hit[:, several].any(1) & ~told
+                        told |= fresh
+                        put(0, homes[fresh], own[fresh])
+                        put(1, near[several], other[several])
+                    else:
+                        i, j = np.nonzero(hit)
+                    put(2, np.minimum(own[i], other[j]), np.maximum(own[i], other[j]))
             if found:
-                u, v = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["anchor", "salt", "role", "fp", "node"])
+
+    return run
+
+
+def _meet_across(bits: int, far: int, whole: bool):
+    """Pairs of a home and a replica of different ``root`` whose ``fp`` are within ``bits`` and whose
+    planes (the columns from the seventh) are within ``far`` in all: all if ``whole``, else the nearest
+    home of each replica."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, homes = None, np.zeros((0, 0), np.int64)
+        for b in batches:
+            anchor, salt, role = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rest = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3, b.num_columns)])  # fp, node, root, planes
+            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(anchor)]):
+                if s == e:
+                    continue
+                if key != (anchor[s], salt[s]):
+                    key, homes = (anchor[s], salt[s]), rest[:, :0]
+                mid = s + int(np.searchsorted(role[s:e], 1))
+                homes = np.concatenate([homes, rest[:, s:mid]], axis=1) if mid > s else homes
+                step = max(1, (1 << 20) // max(1, homes.shape[1]))  # a million pairs at a time
+                for at in range(mid, e if homes.shape[1] else mid, step):
+                    near = rest[:, at : min(e, at + step)]
+                    i, j = np.nonzero((np.bitwise_count(homes[0].view(np.uint64)[:, None] ^ near[0].view(np.uint64)[None, :]) <= bits) & (homes[2][:, None] != near[2][None, :]))
+                    apart = np.bitwise_count((homes[3:, i] ^ near[3:, j]).view(np.uint64)).sum(0, dtype=np.int64)
+                    ok = np.flatnonzero(apart <= far)
+                    if not whole:
+                        ok = ok[np.lexsort((apart[ok], j[ok]))]
+                        ok = ok[np.append(True, j[ok][1:] != j[ok][:-1])] if len(ok) else ok
+                    u, v = homes[1, i[ok]], near[1, j[ok]]
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return run
 
@@ -274,7 +316,8 @@ def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes
     At 0.8 a fingerprint of 64 bits differs in 10 bits, so each text has ``planes`` of them.  Pairs
     that meet at an anchor of one, with ``bits`` or fewer differing in the next, are held against all
     planes (a third more than expected at ``similarity``), and what is left against the whole shingle
-    sets.
+    sets.  The links have the closure of all such pairs: what a dense block leaves out at first is
+    held again between groups that have not joined, by nearest homes, then all of it.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,22 +334,41 @@ def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes
 
     found = settle(texts.select("h", "text").mapInArrow(prints, "h long, " + ", ".join(f"p{k} long" for k in range(planes))), "planes").distinct()
     rows = found.mapInArrow(spread, "anchor long, role byte, fp long, node long")
-    met = _deal(rows, most_homes).mapInArrow(_meet(bits), "u long, v long").distinct()
+    met = settle(_deal(rows, most_homes).mapInArrow(_meet(bits), "anchor long, salt int, role byte, fp long, node long"), "meetings")
     one, two = (found.select(F.col("h").alias(side), *[F.col(f"p{k}").alias(f"{side}{k}") for k in range(planes)]) for side in "uv")
     apart = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(planes)), F.lit(0))
-    expected = 64 * planes * math.acos(2 * similarity / (1 + similarity)) / math.pi
-    pairs = settle(met.join(one, "u").join(two, "v").where(apart <= math.ceil(expected * 4 / 3) + 4).select("u", "v"), "text-pairs")
-    ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "text-ids")
-    few = ids.count() <= broadcast_ids
-    held = settle(texts.join(F.broadcast(ids) if few else ids, F.col("h") == F.col("id"), "left_semi").select("h", "text").dropDuplicates(["h"]), "texts")
+    far = math.ceil(64 * planes * math.acos(2 * similarity / (1 + similarity)) / math.pi * 4 / 3) + 4
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = pa.array([similar(x, y, words, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(ok)
 
-    both = pairs.join(held.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs, "text-pairs")
+        ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "text-ids")
+        few = ids.count() <= broadcast_ids
+        held = settle(texts.join(F.broadcast(ids) if few else ids, F.col("h") == F.col("id"), "left_semi").select("h", "text").dropDuplicates(["h"]), "texts")
+        both = pairs.join(held.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
+        return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+
+    pairs = met.where("role = 2").select(F.col("fp").alias("u"), F.col("node").alias("v")).distinct()
+    out = settle(verified(pairs.join(one, "u").join(two, "v").where(apart <= far).select("u", "v")), "text-links")
+    left = met.where("role < 2")
+    for whole in (False, True):
+        if left.isEmpty():
+            break
+        roots = components(out).select(F.col("node").alias("id"), "root")
+        left = left.select("anchor", "salt", "role", "fp", "node").join(roots, F.col("node") == F.col("id"), "left").select("anchor", "salt", "role", "fp", "node", F.coalesce("root", "node").alias("root"))
+        left = settle(left, "dense-rows")
+        mixed_blocks = left.groupBy("anchor", "salt").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("anchor", "salt")
+        left = settle(left.join(mixed_blocks, ["anchor", "salt"]).select(left.columns), "mixed-rows")
+        if left.isEmpty():
+            break
+        near = left.join(found, F.col("node") == F.col("h")).select(*left.columns, *[f"p{k}" for k in range(planes)])
+        near = near.repartition(parts(texts.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "role")
+        out = settle(out.unionByName(verified(near.mapInArrow(_meet_across(bits, far, whole), "u long, v long").distinct())), "text-links")
+    return out
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

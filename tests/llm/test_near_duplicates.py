@@ -202,3 +202,34 @@ def test_order_minhash_matches_a_plain_version():
     assert (a == b).all() and len(a) == m
     # dropping one repeat changes occurrence numbers, so some sketch may change, never the length
     assert len(order_minhash.fingerprint(text[3:], k, m)) == m
+
+
+def test_dense_blocks_join_what_all_pairs_join(spark):
+    """A tight family, and texts that are 0.8 like one member each and nearly that like all others."""
+    rng = random.Random(8)
+    base = prose(rng, 300).split()
+
+    def edit(*changes):
+        out = list(base)
+        for at, word in changes:
+            out[at] = word
+        return " ".join(out)
+
+    own = [(10 + i, f"own{i}") for i in range(90)]
+    slots = range(120, 290, 6)  # no shingle holds two
+    texts = [edit(c) for c in own] + [edit(own[i], *((at, f"far{i}x{at}") for at in rng.sample(slots, 6))) for i in range(0, 90, 3)]
+    sets = [simhash_anchor.shingle_set(t, 5) for t in texts]
+    prints = np.array([simhash_anchor._planes(t, 5, 4) for t in texts], np.uint64).view(np.int64)
+    sent = []
+    for x in prints:
+        rows = [simhash_anchor.anchor_rows(x[k : k + 1]) for k in range(4)]
+        sent.append([[{(k, y) for k, (a, r, _) in enumerate(rows) for y in a[r == role].tolist()} for role in (0, 1)], x])
+    pairs = []
+    for i, ((h, _), x) in enumerate(sent):
+        for j, ((_, r), y) in enumerate(sent):
+            planes = {k for k, _ in h & r}
+            if i != j and any(int(np.bitwise_count((x[(k + 1) % 4] ^ y[(k + 1) % 4]).view(np.uint64))) <= 16 for k in planes) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs.append((i, j))
+    got = [(r.u, r.v) for r in simhash_anchor.text_links(spark.createDataFrame(list(enumerate(texts)), "h long, text string")).collect()]
+    assert all(simhash_anchor.similar(texts[u], texts[v], 5, 0.8) for u, v in got)
+    assert union_find(range(len(texts)), got) == union_find(range(len(texts)), pairs)
