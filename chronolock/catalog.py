@@ -21,7 +21,7 @@ VIEWS: dict[str, str] = {
     "onsets": "select cast(user_id % 5 as int) session_id, event_id, concat('im', cast(event_id % 8 as string)) stimulus, cast(5 * row_number() over (partition by user_id % 5 order by ts, event_id) as int) c from {events} where event_type = 'view'",
     "samples": "select user_id session_id, cast(row_number() over (partition by user_id order by event_id) - 1 as int) i, {micros} / 1e6 t, value v, value > 20 b from {events}",
     "sessions": "select o_custkey subject_id, o_orderkey session_id, cast(o_orderdate as date) session_date, o_orderpriority session_type, o_orderstatus quality, o_totalprice score from {orders}",
-    "nodes": "select neuron_id, k node_id, case when k = 0 then -1 else cast(floor((k - 1) / (case when k % 5 = 0 then 2e0 else 1e0 end)) as int) end parent_id, x, k * 1e0 y, (k % 7) * 1e0 z from (select cast(o_custkey % 20 as int) neuron_id, cast(row_number() over (partition by o_custkey % 20 order by o_orderkey) - 1 as int) k, o_totalprice / 1e3 x from {orders}) q where k < 200",
+    "nodes": "select neuron_id, k node_id, case when k = 0 then -1 else cast(floor((k - 1) / (case when k % 5 = 0 then 2e0 else 1e0 end)) as int) end parent_id, x, k * 1e0 y, (k % 7) * 1e0 z from (select cast(o_custkey % 20 as int) neuron_id, cast(row_number() over (partition by o_custkey % 20 order by o_orderkey) - 1 as int) k, o_totalprice / 1e3 x from {orders}) q",
     "pvalues": "select event_type family, event_id, value / 500 p from {events}",
 }
 SPARK_ONLY = {"trials": "select vec_id event_index, label stimulus, pos k, cast(col as double) v from {embeddings} lateral view posexplode(embedding) as pos, col"}

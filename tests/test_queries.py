@@ -51,3 +51,10 @@ def test_entry_point_runs_without_the_corpus_part(spark):
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLE) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
+
+
+def test_every_order_is_a_node(spark):
+    from chronolock.catalog import table, view
+
+    for sf in (SF, "/root/testdata/sf0.01"):  # trees of 75 and of 750 nodes
+        assert view(spark, sf, "nodes").count() == table(spark, sf, "orders").count()
