@@ -178,20 +178,20 @@ def links(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verify(edits), "u long, v long")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """A row for each line of each document: ``doc_id, line_no, n_chars, class_doc_id,
     class_line_no, copies, kept``.
 
     Lines end at a line feed.  Lines of ``min_chars`` or more that edits link, in chains too, are a
     class; its name is its first line, by doc_id, then line number, which alone is ``kept``.
-    ``copies`` counts its lines.  Shorter lines are each their own class and kept.  Null and empty
-    texts have one empty line.  Rows that repeat a doc_id share its line numbers: equal lines at one
+    ``copies`` counts its lines.  Shorter lines are a class if they are equal and ``short`` is set, else
+    each their own class and kept.  Null and empty texts have one empty line.  Rows that repeat a doc_id share its line numbers: equal lines at one
     number are kept or dropped together.  A null doc_id comes before all others.
     """
     texts = doc_texts(docs)
     joined = settle(components(links(texts, edits, min_chars)), "line-roots")
     lines = _lines(texts).select("doc_id", "line_no", F.char_length("line").cast("long").alias("n_chars"), F.xxhash64("line").alias("h"))
-    lines = lines.join(joined.select(F.col("node").alias("h"), "root"), "h", "left").select("doc_id", "line_no", "n_chars", F.when(F.col("n_chars") >= min_chars, F.coalesce("root", "h")).alias("c"))
+    lines = lines.join(joined.select(F.col("node").alias("h"), "root"), "h", "left").select("doc_id", "line_no", "n_chars", F.when(F.lit(short) | (F.col("n_chars") >= min_chars), F.coalesce("root", "h")).alias("c"))
     firsts = lines.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1").withColumnRenamed("c", "k")
     named = lines.join(firsts, F.col("c") == F.col("k"), "left")
     out = named.select("doc_id", "line_no", "n_chars", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"), F.coalesce("first.line_no", "line_no").alias("class_line_no"), F.coalesce("copies", F.lit(1)).alias("copies"))
@@ -201,7 +201,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without lines that repeat an earlier one (see :func:`line_classes`), same columns.
 
-    A document that loses all its text goes; one that had none stays.  ``n_chars``, if there, is set
+    Lines under ``min_chars`` stay.  A document that loses all its text goes; one that had none stays.  ``n_chars``, if there, is set
     anew.
     """
     gone = line_classes(docs, edits, min_chars).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))

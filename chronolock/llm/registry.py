@@ -10,7 +10,7 @@ from chronolock.llm.common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), short=True)
 
 
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,3 +233,12 @@ def test_dense_blocks_join_what_all_pairs_join(spark):
     got = [(r.u, r.v) for r in simhash_anchor.text_links(spark.createDataFrame(list(enumerate(texts)), "h long, text string")).collect()]
     assert all(simhash_anchor.similar(texts[u], texts[v], 5, 0.8) for u, v in got)
     assert union_find(range(len(texts)), got) == union_find(range(len(texts)), pairs)
+
+
+def test_equal_short_lines_are_a_class(spark, make_docs, tmp_path):
+    from chronolock.llm import registry
+
+    make_docs([(1, "Les.\n\nLes.\nLess."), (2, "Les.\nonly here"), (3, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.copies, r.kept) for r in registry.op1_line_dedup(spark, str(tmp_path)).collect()}
+    les, blank = (1, 0, 3), (1, 1, 2)
+    assert got == {(1, 0): (*les, True), (1, 1): (*blank, True), (1, 2): (*les, False), (1, 3): (1, 3, 1, True), (2, 0): (*les, False), (2, 1): (2, 1, 1, True), (3, 0): (*blank, False)}
