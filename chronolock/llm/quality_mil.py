@@ -7,6 +7,7 @@ document labels are learned from.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from chronolock.llm.common import doc_texts, require, runs
 PASSAGE = 384
 #: Labelled rows learned from, at most.
 TRAIN_ROWS = 4000
+#: Passages of each of them that it learns from, at most, evenly spaced; scores take all passages.
+TRAIN_PASSAGES = 64
 HIDDEN, GATE = 16, 8
 PUNCTUATION = "!?.,;:'\"|#$%&*@()[]{}<>/\\=+-_~^`"
 LOWER, UPPER, DIGIT, BLANK, FOREIGN_LOWER, FOREIGN_UPPER, FOREIGN = range(7)
@@ -154,22 +157,50 @@ def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def _saved(model: Model) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, model.mean, model.scale, *model.weights)
+    return out.getvalue()
+
+
+def _loaded(raw: bytes) -> Model:
+    held = np.load(io.BytesIO(raw))
+    mean, scale, *weights = (held[f"arr_{i}"] for i in range(len(held.files)))
+    return Model(mean, scale, weights)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> Model:
     """A model from ``rows`` labelled documents at most, the first by a hash of doc_id, none of them
-    held out (crc32 of the id mod 4 is 2).  Without labels, or with one kind only, it still fits, to
-    the share of ones (1 if there are none)."""
+    held out (crc32 of the id mod 4 is 2), and from ``passages`` passages of each.
+
+    Both bounds hold for rows and bytes: a doc_id that repeats counts once (its least encoding), and a
+    long text gives passages from all over it.  Tasks encode, one task fits, and only the weights come
+    to the driver.  Without labels, or with one kind only, it still fits, to the share of ones (1 if
+    there are none).
+    """
     require(labels, ("doc_id", "quality"), "labels")
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null")
     marks = marks.where(~_held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    found = doc_texts(docs).join(F.broadcast(marks), F.col("doc_id") == F.col("id")).select("y", "text")  # rows at most
+    found = doc_texts(docs).join(F.broadcast(marks), F.col("doc_id") == F.col("id")).select("id", "y", "text")  # rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([encode([text])[0].tobytes()])], ["y", "x"])
+            for i, y, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                x = encode([text])[0]
+                x = x[np.linspace(0, len(x) - 1, min(len(x), passages)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([x.tobytes()])], ["id", "y", "x"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((x, y) for b in batches for y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([_saved(_fitted(got))])], ["model"])
+
+    few = found.mapInArrow(run, "id long, y int, x binary").groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").repartition(1)
+    made = few.mapInArrow(learn, "model binary").first()
+    return _loaded(bytes(made.model)) if made else _fitted([])
+
 
-    got = sorted((r.x, r.y) for r in found.mapInArrow(run, "y int, x binary").collect())
-    bags = [np.frombuffer(bytes(x), np.float32).reshape(-1, FEATURES) for x, _ in got] or [np.zeros((1, FEATURES), np.float32)]
+def _fitted(got: list[tuple[bytes, int]]) -> Model:
+    bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x, _ in got] or [np.zeros((1, FEATURES), np.float32)]
     y = np.array([y for _, y in got] or [1], np.float32)
     first = np.append(0, np.cumsum([len(b) for b in bags])[:-1])
     return fit(np.concatenate(bags), first, y)

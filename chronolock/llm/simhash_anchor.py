@@ -2,7 +2,7 @@
 
 :func:`near_duplicates` links fingerprints within 4 bits, all of them.  :func:`distinct_documents`
 links documents whose shingle sets have a similarity of 0.8 or more: too many bits apart for one
-fingerprint of 64, so it covers four, and verifies what meets.
+fingerprint of 64, so it covers four, and compares whole shingle sets within the families that meet.
 
 A fingerprint of 64 bits is cut into three segments.  Fingerprints that differ in at most 4 bits
 differ in at most one bit of some segment.  In each segment the anchors are a covering code: the
@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolock.llm.codepoints import mixed
@@ -35,6 +35,10 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 CODED = 15
 #: Homes of one anchor that a task compares at a time; a hotter anchor is dealt to several tasks.
 HOMES = 2048
+#: Fingerprints of a text where similarity is that of shingle sets.
+PLANES = 4
+#: Texts, and their shingles, that a task compares at a time; a larger family is dealt to several.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 4_000_000
 _PLACES = np.arange(8, dtype=np.int64) * 256
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).astype(np.int64)
 
@@ -72,18 +76,18 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 def _planes(text: str, words: int, count: int) -> list[int]:
-    """``count`` fingerprints from one hash of each shingle: its own bits, then bits mixed anew.  Each
-    different shingle counts once."""
+    """How many different shingles, and ``count`` fingerprints from one hash of each: its own bits, then
+    bits mixed anew."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return [0] * count
+        return [0] * (1 + count)
     joined = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(size + 1) - 1
     n = max(1, len(found) - words + 1)
     digest = xxhash.xxh64_intdigest
     h = np.fromiter({digest(joined[a:b], SEED) for a, b in zip((end - size)[:n].tolist(), end[min(words, len(found)) - 1 :].tolist())}, np.uint64)
-    out = []
+    out = [len(h)]
     for k in range(count):
         one = h if not k else mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
         by = np.bincount((one.astype(">u8").view(np.uint8).reshape(-1, 8) + _PLACES).ravel(), minlength=2048).reshape(8, 256)
@@ -105,7 +109,8 @@ def _masks(width: int) -> tuple[list[int], list[np.ndarray]]:
 
 
 def anchor_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, role (0 home, 1 replica) and place in ``fp`` of all rows that fingerprints send out."""
+    """Anchor (24 bits), role (0 home, 1 replica) and place in ``fp`` of all rows that fingerprints
+    send out."""
     bits = fp.view(np.uint64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k, (low, width) in enumerate(SEGMENTS):
@@ -114,7 +119,7 @@ def anchor_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for p in range(1, CODED + 1):
             syndrome ^= ((seg >> (p - 1)) & 1) * p
         home, near = _masks(width)
-        tag = np.int64(k) << np.int64(40)
+        tag = np.int64(k) << np.int64(22)
         for s in range(16):
             own = np.flatnonzero(syndrome == s)
             if not len(own):
@@ -125,46 +130,55 @@ def anchor_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _forest(homes: np.ndarray, near: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join whatever ``homes`` and ``near`` join by ``bits`` or fewer; no more than rows."""
-    apart = np.bitwise_count(homes.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :])
-    hit = (apart <= bits) & (apart > 0)
-    cols = np.flatnonzero(hit.any(0))
+    """Links that join whatever ``homes`` and ``near`` join by ``bits`` or fewer; no more than rows.
+
+    The first row of either has nodes, the others prints, whose differing bits add up."""
+    one, two = homes[1:].view(np.uint64), near[1:].view(np.uint64)
+    apart = np.bitwise_count(one[0][:, None] ^ two[0][None, :])
+    for x, y in zip(one[1:], two[1:]):
+        apart += np.bitwise_count(x[:, None] ^ y[None, :])
+    hit = apart <= bits
+    cols = np.flatnonzero((hit & (homes[0][:, None] != near[0][None, :])).any(0))
     if not len(cols):
         return []
-    hit = (apart <= bits)[:, cols]
+    hit = hit[:, cols]
     first = hit.argmax(0)
-    out = [(homes[first], near[cols])]
-    if len(homes) > 1 and (hit.sum(0) > 1).any():
-        label = np.arange(len(homes))
+    out = [(homes[0][first], near[0][cols])]
+    if homes.shape[1] > 1 and (hit.sum(0) > 1).any():
+        label = np.arange(homes.shape[1])
         while True:
-            low = np.where(hit, label[:, None], len(homes)).min(0)
-            new = np.minimum(label, np.where(hit, low[None, :], len(homes)).min(1))
+            low = np.where(hit, label[:, None], len(label)).min(0)
+            new = np.minimum(label, np.where(hit, low[None, :], len(label)).min(1))
             if (new == label).all():
                 break
             label = new
-        more = np.flatnonzero(label != np.arange(len(homes)))
-        out.append((homes[more], homes[label[more]]))
+        more = np.flatnonzero(label != np.arange(len(label)))
+        out.append((homes[0][more], homes[0][label[more]]))
     return out
 
 
-def _compare(bits: int):
+def _compare(bits: int, prints: list[int]):
+    """Links of each block of ``key, salt, node, ...``; ``prints`` are the columns with fingerprints."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, homes = None, np.zeros(0, np.int64)
+        block, homes = None, np.zeros((1 + len(prints), 0), np.int64)
         for b in batches:
-            anchor, salt, role, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            key, salt = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in [2, *prints]])
+            anchor = key >> 1
             cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(anchor)]):
                 if s == e:
                     continue
-                if key != (anchor[s], salt[s]):
-                    key, homes = (anchor[s], salt[s]), fp[:0]
-                mid = s + int(np.searchsorted(role[s:e], 1))
+                if block != (anchor[s], salt[s]):
+                    block, homes = (anchor[s], salt[s]), rows[:, :0]
+                mid = s + int(np.searchsorted(key[s:e] & 1, 1))
                 if mid > s:
-                    homes = np.union1d(homes, fp[s:mid])
-                for at in range(mid, e, 4096):
-                    if len(homes):
-                        found += _forest(homes, fp[at : min(e, at + 4096)], bits)
+                    homes = np.concatenate([homes, rows[:, s:mid]], axis=1)
+                step = max(1, (1 << 21) // max(1, homes.shape[1]))  # two million pairs at a time
+                for at in range(mid, e if homes.shape[1] else mid, step):
+                    found += _forest(homes, rows[:, at : min(e, at + step)], bits)
             if found:
                 u, v = (np.concatenate(x) for x in zip(*found))
                 keep = u != v
@@ -174,15 +188,17 @@ def _compare(bits: int):
 
 
 def _deal(rows: DataFrame, most_homes: int) -> DataFrame:
-    """``rows`` by anchor and sorted, homes first.  An anchor with more than ``most_homes`` homes is
-    dealt to several tasks by its homes, and its replicas go to each of them."""
-    hot = rows.where("role = 0").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most_homes).select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / most_homes).cast("int").alias("deals"))
+    """``rows`` (``key`` is twice the anchor, plus the role) by anchor and sorted, homes first.  An
+    anchor with more than ``most_homes`` homes is dealt to several tasks by its homes, and its replicas
+    go to each of them."""
+    anchor = F.shiftright("key", 1)
+    hot = rows.where(F.col("key").bitwiseAND(1) == 0).groupBy(anchor.alias("hot_anchor")).agg(F.count("*").alias("n")).where(F.col("n") > most_homes).select("hot_anchor", F.ceil(F.col("n") / most_homes).cast("int").alias("deals"))
     hot = settle(hot, "hot-anchors")
     deals = F.coalesce("deals", F.lit(1))
-    salt = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("fp"), deals).cast("int"))).otherwise(F.sequence(F.lit(0), deals - 1))
-    dealt = rows.withColumn("salt", F.lit(0)) if hot.isEmpty() else rows.join(hot, F.col("anchor") == F.col("hot_anchor"), "left").withColumn("salt", F.explode(salt))
-    order = ["anchor", "salt", "role", "fp", *[c for c in rows.columns if c not in ("anchor", "role", "fp")]]
-    return dealt.select(*order).repartition(parts(rows.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "role", "fp")
+    salt = F.when(F.col("key").bitwiseAND(1) == 0, F.array(F.pmod(F.xxhash64("node"), deals).cast("int"))).otherwise(F.sequence(F.lit(0), deals - 1))
+    dealt = rows.withColumn("salt", F.lit(0)) if hot.isEmpty() else rows.join(hot, anchor == F.col("hot_anchor"), "left").withColumn("salt", F.explode(salt))
+    order = ["key", "salt", "node", *[c for c in rows.columns if c not in ("key", "node")]]
+    return dealt.select(*order).repartition(parts(rows.sparkSession), F.shiftright("key", 1), "salt").sortWithinPartitions(F.shiftright("key", 1), "salt", "key")
 
 
 def links(prints: DataFrame, bits: int = BITS, most_homes: int = HOMES) -> DataFrame:
@@ -195,10 +211,10 @@ def links(prints: DataFrame, bits: int = BITS, most_homes: int = HOMES) -> DataF
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             a, r, at = anchor_rows(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r), pa.array(fp[at])], ["anchor", "role", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array((a << 1 | r).astype(np.int32)), pa.array(fp[at])], ["key", "node"])
 
-    rows = prints.select("fp").mapInArrow(spread, "anchor long, role byte, fp long")
-    return _deal(rows, most_homes).mapInArrow(_compare(bits), "u long, v long").distinct()
+    rows = prints.select("fp").mapInArrow(spread, "key int, node long")
+    return _deal(rows, most_homes).mapInArrow(_compare(bits, [2]), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
@@ -219,173 +235,184 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFr
     return prints.join(by, "fp").select("doc_id", "fp", "component_id")
 
 
-def _meet(bits: int):
-    """Pairs (role 2, in ``fp`` and ``node``) of texts whose ``fp`` are within ``bits``: all of a block
-    if they are no more than its rows, else the nearest home of each replica.  What a block leaves out
-    is among the rows that it passes on: replicas with several homes, and those homes."""
+def shingle_set(text: str, words: int) -> set[int]:
+    """64-bit hashes of the different shingles of a text, as :func:`simhash64` cuts them."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(found) - words + 1)
+    return {xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(n)} if found else set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, homes, own, told = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        for b in batches:
-            anchor, salt, role, fp, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
-            found: list[tuple[np.ndarray, ...]] = []
 
-            def put(kind: int, x: np.ndarray, y: np.ndarray) -> None:
-                found.append((np.full(len(x), key[0], np.int64), np.full(len(x), key[1], np.int32), np.full(len(x), kind, np.int8), x, y))
+def set_links(node: np.ndarray, root: np.ndarray, size: np.ndarray, flat: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between ``node`` whose sets have a similarity of ``least`` or more, with the closure of all
+    such pairs; nodes of one ``root`` count as joined.  ``flat`` has the sets one after another.
 
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(anchor)]):
-                if s == e:
-                    continue
-                if key != (anchor[s], salt[s]):
-                    key, homes, own, told = (anchor[s], salt[s]), fp[:0], node[:0], np.zeros(0, bool)
-                mid = s + int(np.searchsorted(role[s:e], 1))
-                if mid > s:
-                    homes, own = np.concatenate([homes, fp[s:mid]]), np.concatenate([own, node[s:mid]])
-                    told = np.zeros(len(homes), bool)
-                for at in range(mid, e if len(homes) else mid, 4096):
-                    near, other = fp[at : min(e, at + 4096)], node[at : min(e, at + 4096)]
-                    apart = np.bitwise_count(homes.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :])
-                    hit = (apart <= bits) & (own[:, None] != other[None, :])
-                    if np.count_nonzero(hit) > len(homes) + len(near):
-                        j = np.flatnonzero(hit.any(0))
-                        i = np.where(hit[:, j], apart[:, j], 255).argmin(0)
-                        several = np.flatnonzero(hit.sum(0) > 1)
-                        fresh = hit[:, several].any(1) & ~told
-                        told |= fresh
-                        put(0, homes[fresh], own[fresh])
-                        put(1, near[several], other[several])
-                    else:
-                        i, j = np.nonzero(hit)
-                    put(2, np.minimum(own[i], other[j]), np.maximum(own[i], other[j]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["anchor", "salt", "role", "fp", "node"])
-
-    return run
+    It spreads from set to set: an inverted index of those not reached yet counts what each shares with
+    all of them at once, and is built anew as they get fewer.
+    """
+    n = len(node)
+    at = np.append(0, np.cumsum(size))
+    owner = np.repeat(np.arange(n), size)
+    code = np.unique(flat, return_inverse=True)[1].ravel()
+    kin: dict[int, list[int]] = {}
+    for i, r in enumerate(root.tolist()):
+        kin.setdefault(r, []).append(i)
+    waiting, left, indexed, out = np.ones(n, bool), n, 2 * n + 1, []
+    first, lists = np.zeros(0, np.int64), owner
+    for seed in range(n):
+        if not waiting[seed]:
+            continue
+        queue = list(kin[int(root[seed])])
+        waiting[queue] = False
+        left -= len(queue)
+        while queue and left:
+            if left < indexed // 2:
+                keep = waiting[owner]
+                held = code[keep]
+                order = np.argsort(held, kind="stable")
+                first, lists, indexed = np.searchsorted(held[order], np.arange(int(code.max(initial=0)) + 2)), owner[keep][order], left
+            i = queue.pop()
+            own = code[at[i] : at[i + 1]]
+            count = first[own + 1] - first[own]
+            place = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            shared = np.bincount(lists[place], minlength=n)
+            for j in np.flatnonzero(waiting & (shared >= least * (size[i] + size - shared))).tolist():
+                if waiting[j]:
+                    out.append((int(node[i]), int(node[j])))
+                    more = kin[int(root[j])]
+                    waiting[more] = False
+                    left -= len(more)
+                    queue += more
+    return out
 
 
-def _meet_across(bits: int, far: int, whole: bool):
-    """Pairs of a home and a replica of different ``root`` whose ``fp`` are within ``bits`` and whose
-    planes (the columns from the seventh) are within ``far`` in all: all if ``whole``, else the nearest
-    home of each replica."""
+def _verify(words: int, least: float):
+    """Links of each block of ``family, a, b, node, root, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, homes = None, np.zeros((0, 0), np.int64)
-        for b in batches:
-            anchor, salt, role = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            rest = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3, b.num_columns)])  # fp, node, root, planes
-            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(anchor)]):
-                if s == e:
-                    continue
-                if key != (anchor[s], salt[s]):
-                    key, homes = (anchor[s], salt[s]), rest[:, :0]
-                mid = s + int(np.searchsorted(role[s:e], 1))
-                homes = np.concatenate([homes, rest[:, s:mid]], axis=1) if mid > s else homes
-                step = max(1, (1 << 20) // max(1, homes.shape[1]))  # a million pairs at a time
-                for at in range(mid, e if homes.shape[1] else mid, step):
-                    near = rest[:, at : min(e, at + step)]
-                    i, j = np.nonzero((np.bitwise_count(homes[0].view(np.uint64)[:, None] ^ near[0].view(np.uint64)[None, :]) <= bits) & (homes[2][:, None] != near[2][None, :]))
-                    apart = np.bitwise_count((homes[3:, i] ^ near[3:, j]).view(np.uint64)).sum(0, dtype=np.int64)
-                    ok = np.flatnonzero(apart <= far)
-                    if not whole:
-                        ok = ok[np.lexsort((apart[ok], j[ok]))]
-                        ok = ok[np.append(True, j[ok][1:] != j[ok][:-1])] if len(ok) else ok
-                    u, v = homes[1, i[ok]], near[1, j[ok]]
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        block: tuple | None = None
+        held: list[tuple[int, int, np.ndarray]] = []
 
-    return run
+        def close() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            node, root = (np.array([x[i] for x in held], np.int64) for i in range(2))
+            size = np.array([len(x[2]) for x in held], np.int64)
+            return set_links(node, root, size, np.concatenate([x[2] for x in held]), least)
 
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for *key, node, root, text in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if tuple(key) != block:
+                    found += close()
+                    block, held = tuple(key), []
+                own = shingle_set(text, words)
+                held.append((node, root, np.fromiter(own, np.uint64, len(own))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["u", "v"])
+        last = close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in last], pa.int64()) for i in range(2)], ["u", "v"])
 
-def shingle_set(text: str, words: int) -> set[int]:
-    """64-bit hashes of the different shingles of a text, as :func:`simhash64` cuts them."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(found) - words + 1)
-    return {xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(n)} if found else set()
+    return run
 
 
-def similar(a: str, b: str, words: int, least: float) -> bool:
-    x, y = shingle_set(a, words), shingle_set(b, words)
-    return not (x or y) or len(x & y) >= least * len(x | y)
+def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = PLANES, most_homes: int = HOMES, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, broadcast_ids: int = 100_000) -> DataFrame:
+    """Links ``(u, v)`` between the nodes of ``texts(node, text)``, one row each, with ``similarity`` or
+    more.
 
+    At 0.8 a fingerprint of 64 bits differs in 10 bits, so each text has ``planes`` of them, all
+    covered by anchors.  Blocks of an anchor emit a forest of what is near in two other planes
+    (2.6 standard deviations beyond the mean at ``similarity``), which makes families.  Within a family
+    whole shingle sets are compared, and a forest of the links comes out: never all pairs.  A family
+    beyond ``block_texts`` texts or ``block_shingles`` shingles is dealt to blocks; then the first texts
+    of what has joined are compared; only a family that is still apart has its blocks held against
+    each other, two at a time.
+    """
+    return _family_links(settle(_printed(texts, words, planes), "planes"), texts, words, similarity, most_homes, block_texts, block_shingles, broadcast_ids)
 
-def text_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, bits: int = 16, most_homes: int = HOMES, broadcast_ids: int = 500_000) -> DataFrame:
-    """Links ``(u, v)`` between the ids of different ``texts(h, text)`` with ``similarity`` or more.
 
-    At 0.8 a fingerprint of 64 bits differs in 10 bits, so each text has ``planes`` of them.  Pairs
-    that meet at an anchor of one, with ``bits`` or fewer differing in the next, are held against all
-    planes (a third more than expected at ``similarity``), and what is left against the whole shingle
-    sets.  The links have the closure of all such pairs: what a dense block leaves out at first is
-    held again between groups that have not joined, by nearest homes, then all of it.
-    """
+def _printed(texts: DataFrame, words: int, planes: int) -> DataFrame:
+    """``node, sha, n`` (different shingles) and the fingerprints ``p0, p1, ...`` of ``texts(node, text)``."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.array([_planes(t, words, planes) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, planes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(planes))], ["h", *(f"p{k}" for k in range(planes))])
+            made = [_planes(t, words, planes) for t in b.column(1).to_pylist()]
+            p = np.array([x[1:] for x in made], np.uint64).reshape(-1, planes).view(np.int64)
+            n = pa.array([x[0] for x in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n, *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(planes))], ["node", "sha", "n", *(f"p{k}" for k in range(planes))])
+
+    texts = texts.select("node", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
+    return texts.mapInArrow(prints, "node long, sha binary, n long, " + ", ".join(f"p{k} long" for k in range(planes)))
+
+
+def _family_links(found: DataFrame, texts: DataFrame, words: int, similarity: float, most_homes: int = HOMES, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES, broadcast_ids: int = 100_000) -> DataFrame:
+    """The links of :func:`text_links` between the nodes of ``found``, which :func:`_printed` made."""
+    names = [c for c in found.columns if c.startswith("p")]
+    planes = len(names)
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = math.ceil(128 * angle + 2.6 * math.sqrt(128 * angle * (1 - angle)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, *own = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1 + planes))
             for k in range(planes):
                 a, r, at = anchor_rows(own[k])
-                yield pa.RecordBatch.from_arrays([pa.array(a | k << 44), pa.array(r), pa.array(own[(k + 1) % planes][at]), pa.array(node[at])], ["anchor", "role", "fp", "node"])
-
-    found = settle(texts.select("h", "text").mapInArrow(prints, "h long, " + ", ".join(f"p{k} long" for k in range(planes))), "planes").distinct()
-    rows = found.mapInArrow(spread, "anchor long, role byte, fp long, node long")
-    met = settle(_deal(rows, most_homes).mapInArrow(_meet(bits), "anchor long, salt int, role byte, fp long, node long"), "meetings")
-    one, two = (found.select(F.col("h").alias(side), *[F.col(f"p{k}").alias(f"{side}{k}") for k in range(planes)]) for side in "uv")
-    apart = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(planes)), F.lit(0))
-    far = math.ceil(64 * planes * math.acos(2 * similarity / (1 + similarity)) / math.pi * 4 / 3) + 4
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array([similar(x, y, words, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(ok)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs, "text-pairs")
-        ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "text-ids")
-        few = ids.count() <= broadcast_ids
-        held = settle(texts.join(F.broadcast(ids) if few else ids, F.col("h") == F.col("id"), "left_semi").select("h", "text").dropDuplicates(["h"]), "texts")
-        both = pairs.join(held.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
-        return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
-
-    pairs = met.where("role = 2").select(F.col("fp").alias("u"), F.col("node").alias("v")).distinct()
-    out = settle(verified(pairs.join(one, "u").join(two, "v").where(apart <= far).select("u", "v")), "text-links")
-    left = met.where("role < 2")
+                yield pa.RecordBatch.from_arrays([pa.array(((a | k << 24) << 1 | r).astype(np.int32)), pa.array(node[at]), *(pa.array(own[(k + x) % planes][at]) for x in (1, 2))], ["key", "node", "one", "two"])
+
+    rows = found.select("node", *names).mapInArrow(spread, "key int, node long, one long, two long")
+    family = components(_deal(rows, most_homes).mapInArrow(_compare(bits, [3, 4]), "u long, v long")).select(F.col("node").alias("member"), F.col("root").alias("family"))
+    sized = family.join(found.select("node", "n"), F.col("member") == F.col("node"))
+    cuts = F.ceil(F.greatest(F.count("*") / F.lit(block_texts), F.sum("n") / F.lit(block_shingles))).cast("int")
+    sized = sized.groupBy("family").agg(cuts.alias("cuts"))
+    family = settle(family.join(sized.withColumnRenamed("family", "of"), F.col("family") == F.col("of")).select("member", "family", "cuts"), "families")
+    count, most = family.agg(F.count("*"), F.max("cuts")).first()
+    held = texts.join(F.broadcast(family) if count <= broadcast_ids else family, F.col("node") == F.col("member")).select("node", "text", "family", "cuts")
+    held = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+
+    def blocks(rows: DataFrame, a: Column, b: Column, root: str) -> DataFrame:
+        rows = rows.select("family", a.alias("a"), b.alias("b"), "node", F.col(root).alias("root"), "text")
+        rows = rows.repartition(parts(texts.sparkSession), "family", "a", "b").sortWithinPartitions("family", "a", "b")
+        return rows.mapInArrow(_verify(words, similarity), "u long, v long")
+
+    if (most or 0) <= 1:
+        return settle(blocks(held, F.col("part"), F.col("part"), "node"), "text-links")
+    held = settle(held, "family-texts")
+    out = settle(blocks(held, F.col("part"), F.col("part"), "node"), "text-links")
     for whole in (False, True):
-        if left.isEmpty():
-            break
-        roots = components(out).select(F.col("node").alias("id"), "root")
-        left = left.select("anchor", "salt", "role", "fp", "node").join(roots, F.col("node") == F.col("id"), "left").select("anchor", "salt", "role", "fp", "node", F.coalesce("root", "node").alias("root"))
-        left = settle(left, "dense-rows")
-        mixed_blocks = left.groupBy("anchor", "salt").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("anchor", "salt")
-        left = settle(left.join(mixed_blocks, ["anchor", "salt"]).select(left.columns), "mixed-rows")
-        if left.isEmpty():
-            break
-        near = left.join(found, F.col("node") == F.col("h")).select(*left.columns, *[f"p{k}" for k in range(planes)])
-        near = near.repartition(parts(texts.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "role")
-        out = settle(out.unionByName(verified(near.mapInArrow(_meet_across(bits, far, whole), "u long, v long").distinct())), "text-links")
+        joined = components(out).select(F.col("node").alias("id"), "root")
+        apart = held.where("cuts > 1").join(joined, F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("root", "node"))
+        apart = settle(apart.select("node", "text", "family", "cuts", "part", "root"), "parted")
+        mixed_families = apart.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.sum((F.col("node") == F.col("root")).cast("int")).alias("roots")).where("x < y").select(F.col("family").alias("of"), "roots")
+        apart = apart.join(mixed_families, F.col("family") == F.col("of"))
+        if whole:
+            two = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).where("other <> part")
+            more = blocks(two, F.least("part", "other"), F.greatest("part", "other"), "root")
+        else:
+            deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("roots") / F.lit(block_texts))).cast("int")
+            more = blocks(apart.where("node = root"), deal, deal, "root")
+        out = settle(out.unionByName(more), "text-links")
     return out
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, same columns.
 
-    Equal texts are one node, and texts that :func:`text_links` links are a group, in chains too;
-    the smallest doc_id of a group stays.  Of rows that repeat a doc_id one stays.  Texts without a
-    word are near-duplicates of each other.  Rows without an id stay as they are.
+    Equal texts (by SHA-256) are one node, and texts that :func:`text_links` links are a group, in
+    chains too; the smallest doc_id of a group stays.  Of rows that repeat a doc_id the one with the
+    least text is taken and the others go.  Texts without a word (null, empty, white space) are
+    near-duplicates of each other.  Texts of any length are compared whole.  Rows without an id stay
+    as they are.  An empty table gives none; columns of ``docs`` may have any names.
     """
-    texts = doc_texts(docs).withColumn("h", F.xxhash64("text"))
-    first = settle(texts.groupBy("h").agg(F.min("doc_id").alias("first_id")), "first-ids")
-    joined = components(text_links(texts, words, similarity))
-    named = first.join(joined.select(F.col("node").alias("h"), "root"), "h", "left")
-    kept = settle(named.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first_id").alias("kept_id")).where("kept_id is not null").select("kept_id").distinct(), "kept-ids")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # no name of docs clashes
-    left = rows.join(kept, F.col("doc").getField("doc_id").cast("long") == F.col("kept_id"), "left_semi").select("doc.*")
-    ids = docs.select("doc_id").where("doc_id is not null")
-    if ids.count() > ids.distinct().count():
-        left = left.dropDuplicates(["doc_id"])
-    return left.unionByName(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null")
+    ids = known.select(F.col("doc_id").cast("long").alias("id"))
+    if not ids.groupBy("id").count().where("count > 1").isEmpty():
+        one = known.select(F.struct(*docs.columns).alias("doc"))
+        one = one.groupBy(F.col("doc").getField("doc_id").alias("id")).agg(F.min_by("doc", F.struct(F.coalesce(F.col("doc").getField("text"), F.lit("")), F.to_json("doc"))).alias("doc"))
+        known = settle(one.select("doc.*"), "one-each")
+    texts = doc_texts(known).withColumnRenamed("doc_id", "node")
+    found = settle(_printed(texts, words, PLANES), "planes")
+    first = found.groupBy("sha").agg(F.min("node").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("sha").alias("of"), "first")
+    later = settle(found.select("node", "sha").join(first, F.col("sha") == F.col("of")).where("node <> first").select(F.col("node").alias("gone_id")), "copies")
+    found = found.join(later, F.col("node") == F.col("gone_id"), "left_anti")
+    joined = components(_family_links(found, texts, words, similarity))
+    gone = later.unionByName(joined.where("node <> root").select(F.col("node").alias("gone_id")))
+    rows = known.select(F.struct(*docs.columns).alias("doc"))  # no name of docs clashes
+    return rows.join(gone, F.col("doc").getField("doc_id").cast("long") == F.col("gone_id"), "left_anti").select("doc.*").unionByName(docs.where("doc_id is null"))

@@ -219,20 +219,52 @@ def test_dense_blocks_join_what_all_pairs_join(spark):
     slots = range(120, 290, 6)  # no shingle holds two
     texts = [edit(c) for c in own] + [edit(own[i], *((at, f"far{i}x{at}") for at in rng.sample(slots, 6))) for i in range(0, 90, 3)]
     sets = [simhash_anchor.shingle_set(t, 5) for t in texts]
-    prints = np.array([simhash_anchor._planes(t, 5, 4) for t in texts], np.uint64).view(np.int64)
-    sent = []
-    for x in prints:
-        rows = [simhash_anchor.anchor_rows(x[k : k + 1]) for k in range(4)]
-        sent.append([[{(k, y) for k, (a, r, _) in enumerate(rows) for y in a[r == role].tolist()} for role in (0, 1)], x])
-    pairs = []
-    for i, ((h, _), x) in enumerate(sent):
-        for j, ((_, r), y) in enumerate(sent):
-            planes = {k for k, _ in h & r}
-            if i != j and any(int(np.bitwise_count((x[(k + 1) % 4] ^ y[(k + 1) % 4]).view(np.uint64))) <= 16 for k in planes) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                pairs.append((i, j))
-    got = [(r.u, r.v) for r in simhash_anchor.text_links(spark.createDataFrame(list(enumerate(texts)), "h long, text string")).collect()]
-    assert all(simhash_anchor.similar(texts[u], texts[v], 5, 0.8) for u, v in got)
-    assert union_find(range(len(texts)), got) == union_find(range(len(texts)), pairs)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for most, block in ((2048, 2048), (8, 2048), (2048, 10)):
+        got = [(r.u, r.v) for r in simhash_anchor.text_links(frame, most_homes=most, block_texts=block).collect()]
+        assert all(len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v]) for u, v in got)
+        assert len(got) < 4 * len(texts)  # a forest for each block, not all pairs
+        assert union_find(range(len(texts)), got) == union_find(range(len(texts)), pairs)
+
+
+def test_two_families_joined_by_one_text(spark):
+    """Two families whose texts are under 0.8 of each other, and one text that is 0.8 of both."""
+    rng = random.Random(9)
+    base = prose(rng, 400).split()
+
+    def edit(places, tag):
+        out = list(base)
+        for at in places:
+            out[at] = f"{tag}{at}"
+        return " ".join(out)
+
+    left, right = range(5, 130, 12), range(205, 330, 12)  # each takes 5 shingles at 11 places
+    texts = [edit([*left, 140 + 6 * i], f"x{i}") for i in range(25)] + [edit([*right, 340 + 2 * i], f"y{i}") for i in range(25)] + [edit([], "z")]
+    sets = [simhash_anchor.shingle_set(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for block in (2048, 7):
+        got = [(r.u, r.v) for r in simhash_anchor.text_links(frame, block_texts=block).collect()]
+        assert union_find(range(len(texts)), got) == union_find(range(len(texts)), pairs)
+
+
+def test_recall_of_near_copies_against_all_pairs(spark):
+    """Pairs planted at similarities from 0.8 to 0.95 among texts that are not alike."""
+    rng = random.Random(10)
+    texts = []
+    for i in range(400):
+        words = prose(rng, 200).split()
+        texts.append(" ".join(words))
+        n = rng.randint(1, 4)
+        for at in rng.sample(range(2, 198, 6), n):
+            words[at] = f"w{i}x{at}"
+        texts.append(" ".join(words))
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in simhash_anchor.text_links(spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()}
+    sets = [simhash_anchor.shingle_set(t, 5) for t in texts]
+    want = {(i, i + 1) for i in range(0, 800, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert got <= want and len(want) > 350
+    assert len(got) >= 0.9 * len(want)
 
 
 def test_equal_short_lines_are_a_class(spark, make_docs, tmp_path):
