@@ -24,12 +24,14 @@ WINDOW = 80
 STRIDE = 40
 Q = 12
 RATE = 1 / 16
-#: Items shorter than this (normalised) are too common to be evidence.
-LEAST = 40
+#: Items shorter than this (normalised) are matched whole and without edits; those under ``Q``
+#: characters only where a document has nothing else.
+EXACT = 40
 BAND = 16
 #: Characters of benchmark items that are indexed and broadcast at a time.
 BLOCK = 4_000_000
-BREAK = 1
+#: Between texts; no code point, so no text has it.
+BREAK = 0x110001
 _made: dict = {}
 
 
@@ -42,7 +44,6 @@ def _normal() -> np.ndarray:
             if x.isalnum():
                 low = x.lower()
                 out[c] = ord(low) if len(low) == 1 else c
-        out[BREAK] = BREAK
         _made["normal"] = out
     return _made["normal"]
 
@@ -50,11 +51,12 @@ def _normal() -> np.ndarray:
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts one after another with a break after each, runs of spaces as one; the place in the
     joined texts of each character; and where each text starts there (a place more at the end)."""
-    joined = chr(BREAK).join(texts) + chr(BREAK)
+    joined = " ".join(texts) + " "
     cp = _normal()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    starts = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+    cp[starts[1:] - 1] = BREAK
     keep = np.ones(len(cp), bool)
     keep[1:] = (cp[1:] != 32) | ((cp[:-1] != 32) & (cp[:-1] != BREAK))
-    starts = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
     return cp[keep], np.flatnonzero(keep), starts
 
 
@@ -72,22 +74,41 @@ class Index:
     window: np.ndarray  # of each place
     offset: np.ndarray
     bits: np.ndarray  # by the low bits of a hash, whether a key has them
+    short: dict[bytes, list[int]]  # items under q characters, by their text
+
 
+def _trimmed(cp: np.ndarray) -> np.ndarray:
+    return cp[int(len(cp) > 0 and cp[0] == 32) : len(cp) - int(len(cp) > 1 and cp[-1] == 32)]
 
-def build(items: list[tuple[int, str]], window: int = WINDOW, stride: int = STRIDE, q: int = Q, rate: float = RATE, least: int = LEAST) -> Index:
-    own, pieces, budget = [], [], []
+
+def _nothing_else(texts: list[str], text: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
+    """As :func:`search`, of texts that are an item under ``q`` characters and nothing else."""
+    out: list[tuple[int, int, int, int, int, int]] = []
+    if not index.short:
+        return out
+    end = np.flatnonzero(text == BREAK)
+    start = np.append(0, end[:-1] + 1)
+    for d in np.flatnonzero(end - start <= index.q + 1).tolist():
+        out += [(d, x, 1, 0, 0, len(texts[d])) for x in index.short.get(_trimmed(text[start[d] : end[d]]).tobytes(), ())]
+    return out
+
+
+def build(items: list[tuple[int, str]], window: int = WINDOW, stride: int = STRIDE, q: int = Q, rate: float = RATE, exact: int = EXACT) -> Index:
+    own, pieces, budget, short = [], [], [], {}
     for item, text in items:
         cp, _, _ = normalised([text])
         cp = cp[:-1]
-        cp = cp[int(len(cp) > 0 and cp[0] == 32) : len(cp) - int(len(cp) > 1 and cp[-1] == 32)]
-        if len(cp) < least:
+        cp = _trimmed(cp)
+        if len(cp) < q:
+            if len(cp):
+                short.setdefault(cp.tobytes(), []).append(item)
             continue
         last = max(0, len(cp) - window)
         for s in sorted({*range(0, last + 1, stride), last}):
             piece = cp[s : s + window]
             own.append(item)
             pieces.append(piece)
-            budget.append(min(int(rate * len(piece)), (len(piece) - q) // q))
+            budget.append(min(int(rate * len(piece)), (len(piece) - q) // q) if len(cp) >= exact else 0)
     begin = np.append(0, np.cumsum([len(p) for p in pieces])).astype(np.int64)
     chars = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
     n = np.diff(begin) - q + 1
@@ -99,7 +120,7 @@ def build(items: list[tuple[int, str]], window: int = WINDOW, stride: int = STRI
     keys, first = np.unique(h[order], return_index=True)
     bits = np.zeros(1 << 20, bool)
     bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(np.array(own, np.int64), chars, begin, np.array(budget, np.int64), q, keys, np.append(first, len(h)), w[order], offset[order], bits)
+    return Index(np.array(own, np.int64), chars, begin, np.array(budget, np.int64), q, keys, np.append(first, len(h)), w[order], offset[order], bits, short)
 
 
 def align(text: np.ndarray, index: Index, window: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +152,10 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int
     """Text, item, windows found, fewest edits, and the stretch of the text (code points) from the
     first to the last window found; a row for each text and item."""
     text, place, starts = normalised(texts)
+    return sorted(_regions(text, place, starts, index) + _nothing_else(texts, text, index))
+
+
+def _regions(text: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
     if len(text) < index.q or not len(index.keys):
         return []
     at = np.arange(len(text) - index.q + 1)
@@ -179,8 +204,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     Texts are compared in lower case, all but letters and numbers as single spaces.  Documents are
     searched whole, in place, without a shuffle.  The benchmark is indexed in blocks of about
     ``block`` characters, each of which is broadcast and passes over the documents.  Rows that
-    repeat a document repeat its results; null or empty texts, and items shorter than ``LEAST``, have
-    none; a null id stays null.
+    repeat a document repeat its results, null or empty texts have none, a null id stays null, and texts
+    of any length are searched whole.  Items under ``EXACT`` characters must occur without edits, and
+    those under ``q`` only count where a document is nothing else.
     """
     require(benchmark, ("item_id", "text"), "benchmark")
     texts = doc_texts(docs)

@@ -87,9 +87,15 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int
             break
         open_.sort(key=lambda x: -x[0])
         gained = False
+        rooms = np.array([capacity - f for f, _ in open_])
+        least = np.array([min(size[x] for x in b) for _, b in open_])
         for j in range(len(open_) - 1, 0, -1):  # give away the emptiest first
             low, giver = open_[j]
-            for i in range(j):
+            if not giver:
+                continue
+            # takers with room for the smallest piece, or with a piece smaller than the largest
+            able = np.flatnonzero((rooms[:j] > 0) & ((rooms[:j] >= min(size[x] for x in giver)) | (least[:j] < max(size[x] for x in giver) + (len(giver) > 1) * capacity)))
+            for i in able.tolist():
                 full, taker = open_[i]
                 room = capacity - full
                 if not room or not giver or full < low:
@@ -116,6 +122,8 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int
                     giver = [x for x in giver if x not in into] + out
                     full, low = full + best, low - best
                     open_[i], open_[j] = (full, taker), (low, giver)
+                    rooms[i], least[i] = capacity - full, min(size[x] for x in taker)
+                    rooms[j], least[j] = capacity - low, min((size[x] for x in giver), default=0)
                     gained = True
         whole += [b for f, b in open_ if f >= capacity]
         need = -(-sum(f for f, _ in open_ if f < capacity) // capacity)
@@ -128,11 +136,14 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long, bin long, offset long, room long"
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, packed: bool):
+    """Bins of a shard, from best fit, or from the bins that its pieces are in if they are ``packed``."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32", "number"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         sizes = pdf["length"].to_numpy()
-        bins = improve(best_fit(sizes, capacity), sizes, capacity)
+        start = [list(x) for x in pdf.groupby("number", sort=True).indices.values()] if packed else best_fit(sizes, capacity)
+        bins = improve(start, sizes, capacity)
         order = np.concatenate([np.array(b) for b in bins])
         count = np.array([len(b) for b in bins])
         out = pdf.iloc[order].copy()
@@ -148,28 +159,31 @@ def pack(cut: DataFrame, capacity: int = 1024, shard: int = SHARD) -> DataFrame:
     """``sequence_id`` and ``offset`` for every row of :func:`pieces`; full pieces stand alone.
 
     Rows are dealt to shards by their place, so that repeated rows and ids spread; a shard holds
-    about ``shard`` pieces whatever the input.  Ties in length fall by id.  An empty table gives an
-    empty one.
+    about ``shard`` pieces whatever the input.  Bins that stay underfull are dealt anew, whole, and
+    exchange pieces with those of other shards; that never adds a bin.  Ties in length fall by id.  An
+    empty table gives an empty one.
     """
     cut = settle(cut, "pieces").withColumn("row", F.monotonically_increasing_id())
-    full = cut.where(F.col("length") >= capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = cut.where(F.col("length") >= capacity).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     small = cut.where(F.col("length") < capacity)
     n = max(1, -(-small.count() // shard))
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n)))
-    first = settle(dealt.select("doc_id", "piece", "start", "length", "ids_crc32", "shard").groupBy("shard").applyInPandas(_pack(capacity), _PACKED), "packed")
+    dealt = small.select(*columns, F.pmod(F.xxhash64("row"), F.lit(n)).alias("shard"), F.col("row").alias("number"))
+    first = settle(dealt.groupBy("shard").applyInPandas(_pack(capacity, False), _PACKED), "packed")
     base = F.lit(1 << 60)
-    number = lambda tag: base * tag + F.col("shard") * F.lit(1 << 24) + F.col("bin")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    if n == 1:
-        return full.unionByName(first.select(*columns, number(1).alias("sequence_id"), "offset"))
+    number = F.col("shard") * F.lit(1 << 24) + F.col("bin")
     done = first.where(F.col("room") <= capacity // 128)
     rest = first.where(F.col("room") > capacity // 128)
     m = max(1, -(-rest.count() // shard))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("shard", "bin", "offset"), F.lit(m)))
-    again = rest.select(*columns, "shard").groupBy("shard").applyInPandas(_pack(capacity), _PACKED)
-    return full.unionByName(done.select(*columns, number(1).alias("sequence_id"), "offset")).unionByName(again.select(*columns, number(2).alias("sequence_id"), "offset"))
+    rest = rest.select(*columns, F.pmod(F.xxhash64("shard", "bin"), F.lit(m)).alias("shard"), number.alias("number"))
+    again = rest.groupBy("shard").applyInPandas(_pack(capacity, True), _PACKED)
+    return full.unionByName(done.select(*columns, (base + number).alias("sequence_id"), "offset")).unionByName(again.select(*columns, (base * 2 + number).alias("sequence_id"), "offset"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = END, shard: int = SHARD) -> DataFrame:
-    """All documents in sequences of at most ``capacity`` tokens: :func:`pieces`, then :func:`pack`."""
+    """All documents in sequences of at most ``capacity`` tokens: :func:`pieces`, then :func:`pack`.
+
+    Null and empty texts are one piece of the end id; repeated rows and null ids are packed like any
+    other row; other columns of ``docs`` are not read.
+    """
     return pack(pieces(docs, path, capacity, end_id), capacity, shard)

@@ -1,7 +1,8 @@
 """Byte-level BPE by pre-token: a shared table of frequent pre-tokens, then a cache in each worker.
 
 Texts are cut into pre-tokens on arrays of code points.  A pre-token's hash is looked up in the
-broadcast table; misses are encoded once for each worker and kept there.  No pre-token is shuffled.
+broadcast table and its code points are compared; misses are encoded once for each worker and kept
+there.  Only those of the sampled rows that the table is made from are counted across tasks.
 """
 
 from __future__ import annotations
@@ -110,6 +111,16 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
+def equal(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each stretch of ``n`` (1 or more) items from ``s`` in ``a`` is that from ``t`` in ``b``."""
+    if not len(n):
+        return np.zeros(0, bool)
+    n = n.astype(np.int64)
+    first = np.cumsum(n) - n
+    step = np.arange(int(n.sum()))
+    return np.logical_and.reduceat(a[np.repeat(s - first, n) + step] == b[np.repeat(t - first, n) + step], first)
+
+
 @dataclass
 class Frequent:
     """A hash table of two slots a key: hash, place and number of the ids of frequent pre-tokens."""
@@ -118,9 +129,21 @@ class Frequent:
     place: np.ndarray
     size: np.ndarray
     ids: np.ndarray
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash, -1 if it isn't there."""
+    chars: np.ndarray  # code points of the pre-tokens one after another
+    begin: np.ndarray  # where that of a slot starts in chars
+    length: np.ndarray
+
+    def find(self, h: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slot of each pre-token ``cp[start:end]`` with hash ``h``, -1 if it isn't there; the code
+        points are compared, so equal hashes decide nothing."""
+        out = self.slot(h)
+        hit = np.flatnonzero((out >= 0) & (self.length[out] == end - start))
+        same = equal(cp, start[hit], self.chars, self.begin[out[hit]], self.length[out[hit]])
+        sure = np.full(len(out), -1)
+        sure[hit[same]] = out[hit[same]]
+        return sure
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
         mask = np.uint64(len(self.keys) - 1)
         slot = (h & mask).astype(np.int64)
         out = np.where(self.keys[slot] == h, slot, -1)
@@ -132,26 +155,29 @@ class Frequent:
 
 def table_of(pieces: list[str], encode: Encoder, slots: int = 1 << 18) -> Frequent:
     keys, place, size, ids, at = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.uint8), [], 0
+    begin, length = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+    cp, starts = points(pieces)
     if pieces:
-        cp, starts = points(pieces)
         hashes = spans(prefix(cp), starts[:-1], starts[1:])
-        for piece, h in zip(pieces, hashes.tolist()):
+        for k, (piece, h) in enumerate(zip(pieces, hashes.tolist())):
             own = encode(piece)
             for slot in (h & (slots - 1), (h + 1) & (slots - 1)):
                 if not keys[slot] and h and len(own) < 256:
                     keys[slot], place[slot], size[slot] = h, at, len(own)
+                    begin[slot], length[slot] = starts[k], len(piece)
                     ids.append(own)
                     at += len(own)
                     break
-    return Frequent(keys, place, size, np.concatenate(ids) if ids else np.zeros(0, np.uint32))
+    return Frequent(keys, place, size, np.concatenate(ids) if ids else np.zeros(0, np.uint32), cp, begin, length)
+
 
+def frequent(texts: DataFrame, path: str, sample_rows: int = 3000, most: int = 65_536, longest: int = 64) -> Frequent:
+    """The table for ``texts``: the ``most`` commonest pre-tokens, of ``longest`` code points at most, of
+    about ``sample_rows`` rows, dealt by a hash of their place, so that repeated and null ids spread.
 
-def frequent(texts: DataFrame, path: str, sample_rows: int = 3000, most: int = 65_536) -> Frequent:
-    """The table for ``texts``: the ``most`` commonest pre-tokens of about ``sample_rows`` rows, dealt
-    by a hash of ``doc_id``.  It only saves time: what it lacks is encoded all the same.  Its size is
-    bounded by ``most``, whatever the input."""
-    rows = max(1, texts.count())
-    share = min(1.0, sample_rows / rows)
+    It only saves time: what it lacks is encoded all the same.  Tasks count, Spark adds up, and its size
+    is bounded by ``most * longest``, whatever the input."""
+    share = min(1.0, sample_rows / max(1, texts.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -161,11 +187,14 @@ def frequent(texts: DataFrame, path: str, sample_rows: int = 3000, most: int = 6
                 s = cut(cp, at)
                 whole = "".join(held)
                 seen.update(map(whole.__getitem__, map(slice, s.tolist(), [*s[1:].tolist(), len(cp)])))
-        top = seen.most_common(most)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string())], ["piece"])
+        top = [(p, n) for p, n in seen.items() if len(p) <= longest]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    few = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))).select("text").repartition(1)
-    return table_of([r.piece for r in few.mapInArrow(run, "piece string").collect()], encoder(path))
+    # the upper 62 bits of a hash lie under the share of all their values, at any size of the input
+    place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 2)
+    few = texts.select("text", place.alias("place")).where(F.col("place") <= F.lit(int(share * (1 << 62)))).select("text")
+    top = few.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+    return table_of([r.piece for r in top.select("piece").collect()], encoder(path))
 
 
 def encode_run(held: list[str], encode: Encoder, known: Frequent, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -175,7 +204,7 @@ def encode_run(held: list[str], encode: Encoder, known: Frequent, want_ids: bool
     start = cut(cp, at)
     end = np.append(start[1:], len(cp))
     h = spans(prefix(cp), start, end)
-    slot = known.find(h)
+    slot = known.find(h, cp, start, end)
     size = known.size[slot].astype(np.int64)
     miss = np.flatnonzero(slot < 0)
     own: list[np.ndarray] = []
@@ -183,7 +212,14 @@ def encode_run(held: list[str], encode: Encoder, known: Frequent, want_ids: bool
     if len(miss):
         _, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
         whole = "".join(held)
-        own = [encode(whole[a:b]) for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist())]
+        alike = miss[first[inverse]]  # of one hash; those that differ all the same are encoded on their own
+        n = end[miss] - start[miss]
+        same = n == end[alike] - start[alike]
+        same[same] = equal(cp, start[miss[same]], cp, start[alike[same]], n[same])
+        other = np.flatnonzero(~same)
+        inverse[other] = len(first) + np.arange(len(other))
+        each = np.concatenate([miss[first], miss[other]])
+        own = [encode(whole[a:b]) for a, b in zip(start[each].tolist(), end[each].tolist())]
         own_size = np.fromiter(map(len, own), np.int64, len(own))
         size[miss] = own_size[inverse]
     by_text = np.searchsorted(start, at)

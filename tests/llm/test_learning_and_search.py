@@ -53,6 +53,13 @@ def test_lemma_keeps_every_window_within_the_budget():
             assert decontamination.search([text], index)
 
 
+def test_short_items_and_control_characters(spark, make_docs):
+    bench = spark.createDataFrame([(1, "Yes, 42."), (2, "What is the capital?"), (3, "a passage of words that is long enough to be cut into windows and be found in a text")], "item_id long, text string")
+    docs = [(1, " yes 42"), (2, "yes 42 and more"), (3, "so WHAT  is the\ncapital of it"), (4, "what is a capital"), (5, bench.where("item_id = 3").first().text.replace(" ", "\x01")), (6, "so\x02" + bench.where("item_id = 3").first().text.replace(" ", "\x02"))]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make_docs(docs), bench).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (6, 3)}
+
+
 def test_quality_learns_and_holds_out(spark, make_docs, odd_texts):
     rng = random.Random(11)
     good = [(i, "\n".join(prose(rng, 30).capitalize() + "." for _ in range(3))) for i in range(0, 300, 2)]

@@ -33,6 +33,37 @@ def test_ids_are_the_library_s():
     assert pretokens.token_counts(texts, encode, known).tolist() == [len(w) for w in library(texts)]
 
 
+def test_equal_hashes_decide_nothing(spark, make_docs):
+    """A word of 1024 letters and its complement collide in any polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    texts += [f"{texts[0]} {texts[1]}", f"{texts[1]} {texts[0]} x {texts[1]}"]
+    encode = pretokens.encoder(PATH)
+    for table in ([], [texts[0]], [texts[1], " " + texts[0]]):
+        known = pretokens.table_of(table, encode)
+        assert [x.tolist() for x in pretokens.token_ids(texts, encode, known)] == library(texts)
+        assert pretokens.token_counts(texts, encode, known).tolist() == [len(x) for x in library(texts)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {i: len(x) for i, x in enumerate(library(texts))}
+
+
+def test_frequent_table_is_small_and_never_empty(spark, make_docs):
+    rows = make_docs([(None, "the same words")] * 400 + [(1, "z" * 5000)])
+    known = pretokens.frequent(token_counts.doc_texts(rows), PATH, 200, most=3)
+    assert 0 < int((known.length > 0).sum()) <= 3 and len(known.chars) <= 3 * 64
+
+
+def test_many_equal_pieces_are_packed_fast():
+    import time
+
+    start = time.time()
+    sizes = np.array([600] * 16_384)
+    assert len(packing.improve(packing.best_fit(sizes, 1024), sizes, 1024)) == 16_384
+    sizes = np.random.default_rng(1).integers(513, 1024, 16_384)
+    assert len(packing.improve(packing.best_fit(sizes, 1024), sizes, 1024)) == 16_384
+    assert time.time() - start < 60
+
+
 def test_counts_by_row(spark, make_docs, odd_texts):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(make_docs(odd_texts, clashes=True)).collect())
     ids = library([t or "" for _, t in odd_texts])
