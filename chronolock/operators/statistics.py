@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,8 +82,31 @@ def chi_square_tail(x: Column | str, df: Column | str) -> Column:
     return F.pandas_udf(_chi_square_tails, "double")(x, df)
 
 
-def wilcoxon(values: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """Signed ranks against 0: sum of ranks above and below, and the two-sided p by the normal
+@lru_cache(maxsize=128)
+def _signed_rank_shares(n: int) -> np.ndarray:
+    """Of all signs of the ranks 1 to ``n``: the share whose sum of positive ranks is each number or less."""
+    ways = np.ones(1)
+    for r in range(1, n + 1):
+        grown = np.zeros(len(ways) + r)
+        grown[: len(ways)] += ways
+        grown[r:] += ways
+        ways = grown / 2
+    return np.cumsum(ways)
+
+
+def signed_rank_tail(statistic: Column | str, n: Column | str) -> Column:
+    """Exact two-sided p of the smaller sum of signed ranks of ``n`` untied values."""
+
+    def run(w: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([min(1.0, 2 * float(_signed_rank_shares(int(m))[int(round(x))])) if x == x and m == m else None for x, m in zip(w, n)], dtype=float)
+
+    return F.pandas_udf(run, "double")(statistic, n)
+
+
+def wilcoxon(values: DataFrame, keys: list[str], value: str = "v", exact: int = 50) -> DataFrame:
+    """Signed ranks against 0: sum of ranks above and below, and the two-sided p.
+
+    p is exact for ``exact`` values at most if none is 0 and no sizes tie, else by the normal
     approximation with its correction for ties.  Zeros are left out; p is 1 where only zeros are."""
     every = values.where(F.col(value).isNotNull())
     marked = every.where(F.col(value) != 0).withColumn("_a", F.abs(value))
@@ -89,9 +114,12 @@ def wilcoxon(values: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     ties = marked.groupBy(*keys, "_a").agg(F.count("*").alias("_c"), F.sum(F.when(F.col(value) > 0, F.col("_r"))).alias("_p"), F.sum(F.when(F.col(value) < 0, F.col("_r"))).alias("_m"))
     w = ties.groupBy(*keys).agg(F.sum("_c").alias("n"), F.coalesce(F.sum("_p"), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("_m"), F.lit(0.0)).alias("w_minus"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
     mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    w = w.withColumn("z", (F.least("w_plus", "w_minus") - mean) / F.sqrt(F.when(var > 0, var)))
-    out = every.select(*keys).distinct().join(w, keys, "left")
-    return out.withColumn("p", F.when(F.col("n").isNull(), F.lit(1.0)).otherwise(normal_tail("z"))).withColumn("statistic", F.least("w_plus", "w_minus"))
+    w = w.withColumn("z", (F.least("w_plus", "w_minus") - mean) / F.sqrt(F.when(var > 0, var))).withColumn("statistic", F.least("w_plus", "w_minus"))
+    whole = every.groupBy(*keys).agg(F.count("*").alias("_every"))
+    out = whole.join(w, keys, "left")
+    small = (F.col("n") <= exact) & (F.col("ties") == 0) & (F.col("n") == F.col("_every"))
+    tail = signed_rank_tail(F.when(small, F.col("statistic")), F.when(small, F.col("n")))
+    return out.withColumn("p", F.when(F.col("n").isNull(), F.lit(1.0)).when(small, tail).otherwise(normal_tail("z"))).drop("_every")
 
 
 def kruskal(values: DataFrame, keys: list[str], group: str = "stimulus", value: str = "v") -> DataFrame:
@@ -111,10 +139,9 @@ def mann_whitney(values: DataFrame, group: str, keys: list[str], value: str = "v
     counts = values.where(F.col(value).isNotNull()).groupBy(*keys, group, F.col(value).alias("x")).agg(F.count("*").alias("c"))
     sizes = values.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), median(value).alias("med"))
     a, b = sizes.select(*keys, F.col(group).alias("a"), F.col("n").alias("na"), F.col("med").alias("med_a")), sizes.select(*keys, F.col(group).alias("b"), F.col("n").alias("nb"), F.col("med").alias("med_b"))
-    pairs = a.join(b, keys) if keys else a.crossJoin(b)
-    pairs = pairs.where(F.col("a") < F.col("b"))
-    both = pairs.join(counts.withColumnRenamed(group, "g"), keys) if keys else pairs.crossJoin(counts.withColumnRenamed(group, "g"))
-    both = both.where((F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
+    one = [F.col(k) for k in keys] or [F.lit(0)]
+    pairs = a.withColumn("_k", F.struct(*one)).join(b.withColumn("_k", F.struct(*one)).drop(*keys), "_k").where(F.col("a") < F.col("b")).drop("_k")
+    both = pairs.withColumn("g", F.explode(F.array("a", "b"))).join(counts.withColumnRenamed(group, "g"), [*keys, "g"])
     at = both.groupBy(*keys, "a", "b", "na", "nb", "med_a", "med_b", "x").agg(F.sum("c").alias("c"), F.coalesce(F.sum(F.when(F.col("g") == F.col("a"), F.col("c"))), F.lit(0)).alias("ca"))
     before = F.coalesce(F.sum("c").over(W.partitionBy(*keys, "a", "b").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     at = at.withColumn("rank", before + (F.col("c") + 1) / 2)
@@ -134,61 +161,91 @@ def benjamini_hochberg(rows: DataFrame, keys: list[str], p: str = "p") -> DataFr
     return raw.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.greatest(low, F.lit(0.0)), F.lit(1.0)))).drop("_m", "_k", "_q")
 
 
-def permutation_fve(values: DataFrame, keys: list[str], shuffles: int, seed: int = 0, group: str = "stimulus", value: str = "v", event: str = "event_id") -> DataFrame:
+def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, seed: int = 0, group: str = "stimulus", value: str = "v", event: str = "event_id") -> DataFrame:
     """T5: the share of variance between groups, and how often shuffled labels reach it:
-    p = (1 + reached) / (shuffles + 1).  Each key's values and labels are in one array, and a shuffle
-    deals the labels anew with a seed from the key; memory of a task is that of a key's events."""
+    p = (1 + reached) / (shuffles + 1).  Rows without a value or a label are left out.  Each key's events
+    (those of one trace) are in one array; many shuffles are dealt at once, about a million values at a
+    time, with a seed from the key."""
     out_schema = values.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n bigint, fve double, p double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values([event, value], kind="stable")
+        pdf = pdf.dropna(subset=[value, group]).sort_values([event, value], kind="stable")
         if pdf.empty:
             return pd.DataFrame(columns=[*keys, "n", "fve", "p"])
-        v = pdf[value].to_numpy() - pdf[value].mean()
+        v = pdf[value].to_numpy(float) - pdf[value].mean()
         codes = pd.factorize(pdf[group], sort=True)[0]
         n, total = np.bincount(codes), float((v * v).sum())
-        rng = np.random.default_rng([seed, *[abs(hash(str(pdf[k].iloc[0]))) % (1 << 31) if not isinstance(pdf[k].iloc[0], (int, np.integer)) else int(pdf[k].iloc[0]) for k in keys]])
-        between = lambda c: float((np.bincount(c, v) ** 2 / n).sum())
-        seen = between(codes)
-        reached = sum(between(rng.permutation(codes)) >= seen - 1e-12 * max(total, 1) for _ in range(shuffles))
+        rng = np.random.default_rng([seed, *[zlib.crc32(str(pdf[k].iloc[0]).encode()) for k in keys]])
+        seen = float((np.bincount(codes, v) ** 2 / n).sum())
+        order = np.argsort(codes, kind="stable")  # labels in order; shuffled values are summed in runs
+        first = np.append(0, np.cumsum(n)[:-1])
+        reached, step = 0, max(1, (1 << 20) // len(v))
+        for at in range(0, shuffles, step):
+            dealt = rng.permuted(np.broadcast_to(v[order], (min(step, shuffles - at), len(v))), axis=1)
+            between = (np.add.reduceat(dealt, first, axis=1) ** 2 / n).sum(1)
+            reached += int((between >= seen - 1e-12 * max(total, 1)).sum())
         row = {k: [pdf[k].iloc[0]] for k in keys} | {"n": [len(v)], "fve": [seen / total if total > 1e-12 else 0.0], "p": [(1 + reached) / (shuffles + 1)]}
         return pd.DataFrame(row)
 
     return values.groupBy(*keys).applyInPandas(run, out_schema)
 
 
-def manova(windows: DataFrame, keys: list[str], samples: list[int], group: str = "stimulus", event: str = "event_index") -> DataFrame:
-    """Wilks' lambda of ``samples`` of the windows over groups, with Rao's F and p.  Sums and cross
-    products are aggregated in Spark; one small matrix a key is solved."""
-    wide = windows.where(F.col("k").isin(*samples)).groupBy(*keys, group, event).pivot("k", samples).agg(F.first("v"))
-    names = [str(s) for s in samples]
-    wide = wide.dropna(subset=names)
-    sums = [F.sum(f"`{a}`").alias(f"s{i}") for i, a in enumerate(names)]
-    cross = [F.sum(F.col(f"`{a}`") * F.col(f"`{b}`")).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    cells = wide.groupBy(*keys, group).agg(F.count("*").alias("n"), *sums, *cross).where("n >= 2")
+def manova(windows: DataFrame, keys: list[str], samples: list[int] | None = None, group: str = "stimulus", event: str = "event_index", most: int = 20, gap_share: float = 0.1) -> DataFrame:
+    """Wilks' lambda of samples of the windows over groups, with Rao's F and p.
+
+    Trials with a larger share of gaps than ``gap_share`` go; smaller gaps are filled along the line
+    (W31).  ``samples`` are ``most`` evenly spaced ones if not given, fewer where trials are few;
+    constant samples don't count, nor do groups of one trial.  Sums and cross products are aggregated
+    in Spark; one small matrix a key is solved."""
+    from chronolock.operators.signals import fill_runs
+
+    trial = [*keys, group, event]
+    gaps = windows.groupBy(*trial).agg(F.avg(F.col("v").isNull().cast("int")).alias("_gap")).where(F.col("_gap") <= gap_share)
+    held = windows.join(gaps, trial)
+    whole, broken = held.where("_gap = 0").select(*trial, "k", "v"), held.where("_gap > 0").select(*trial, F.col("k").alias("i"), "v")
+    windows = whole.unionByName(fill_runs(broken, trial).select(*trial, F.col("i").alias("k"), F.col("filled").alias("v")))
+    if samples is None:
+        last = windows.agg(F.max("k")).first()[0] or 0
+        samples = sorted(set(np.linspace(0, last, min(most, last + 1), dtype=int).tolist()))
     d = len(samples)
-    schema = cells.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n bigint, groups bigint, wilks double, f double, p double"
+    # the samples of a trial in order, then a one: products with it are the sums, and the trials
+    x = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"])
+    rows = windows.where(F.col("k").isin(*samples) & F.col("v").isNotNull()).groupBy(*trial).agg(x.alias("x")).where(F.size("x") == d)
+    rows = rows.withColumn("x", F.concat("x", F.array(F.lit(1.0))))
+    two = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: F.transform(F.sequence(i, F.lit(d)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("x", i) * F.get("x", j)).alias("xy"))))))
+    cells = rows.select(*keys, group, two.alias("e")).groupBy(*keys, group, "e.i", "e.j").agg(F.sum("e.xy").alias("xy"))
+    schema = cells.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n bigint, groups bigint, used int, wilks double, f double, p double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy(float)
-        s = pdf[[f"s{i}" for i in range(d)]].to_numpy(float)
-        total = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                total[i, j] = total[j, i] = pdf[f"c{i}_{j}"].sum()
+        each = np.zeros((pdf[group].nunique(), d + 1, d + 1))
+        code = pd.factorize(pdf[group])[0]
+        i, j, xy = (pdf[c].to_numpy() for c in ("i", "j", "xy"))
+        each[code, i, j] = each[code, j, i] = xy
+        each = each[each[:, d, d] >= 2]
+        n, s = each[:, d, d], each[:, d, :d]
+        if not len(each):
+            return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"n": [0], "groups": [0], "used": [0], "wilks": [None], "f": [None], "p": [None]})
+        total = each[:, :d, :d].sum(0)
         within = total - sum(np.outer(a, a) / m for a, m in zip(s, n))
         all_ = total - np.outer(s.sum(0), s.sum(0)) / n.sum()
-        g, big = len(pdf), n.sum()
-        sign, logdet = np.linalg.slogdet(within)
-        sign2, logdet2 = np.linalg.slogdet(all_)
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"n": [int(big)], "groups": [g]}
-        if g < 2 or sign <= 0 or sign2 <= 0:
-            return pd.DataFrame(row | {"wilks": [None], "f": [None], "p": [None]})
-        wilks, h = math.exp(logdet - logdet2), g - 1
-        t = math.sqrt((d * d * h * h - 4) / (d * d + h * h - 5)) if d * d + h * h > 5 else 1.0
-        df1, df2 = d * h, (big - 1 - (d + g) / 2) * t - (d * h - 2) / 2
+        g, big = len(each), n.sum()
+        use = np.flatnonzero(np.diag(all_) > 1e-12 * np.maximum(np.diag(total), 1e-300))
+        fit = max(2, min(len(use), int(big - g - 1)))
+        use = use[np.unique(np.linspace(0, len(use) - 1, fit, dtype=int))] if len(use) >= 2 else use
+        row = {k: [pdf[k].iloc[0]] for k in keys} | {"n": [int(big)], "groups": [g], "used": [len(use)]}
+        none = pd.DataFrame(row | {"wilks": [None], "f": [None], "p": [None]})
+        if g < 2 or big <= g + 2 or len(use) < 2:
+            return none
+        unit = 1 / np.sqrt(np.diag(all_)[use])
+        values, axes = np.linalg.eigh(all_[np.ix_(use, use)] * np.outer(unit, unit))
+        axes = (axes[:, values > 1e-10 * values.max()].T * unit).T  # samples that follow from others add nothing
+        inner, outer = (np.linalg.eigvalsh(axes.T @ m[np.ix_(use, use)] @ axes) for m in (within, all_))
+        logdet, logdet2 = (float(np.log(np.maximum(e, 1e-15 * outer.max())).sum()) for e in (inner, outer))
+        wide, wilks, h = axes.shape[1], math.exp(logdet - logdet2), g - 1
+        t = math.sqrt((wide * wide * h * h - 4) / (wide * wide + h * h - 5)) if wide * wide + h * h > 5 else 1.0
+        df1, df2 = wide * h, (big - 1 - (wide + g) / 2) * t - (wide * h - 2) / 2
         f = (1 - wilks ** (1 / t)) / wilks ** (1 / t) * df2 / df1
-        return pd.DataFrame(row | {"wilks": [wilks], "f": [f], "p": [f_tail_value(f, df1, df2)]})
+        return pd.DataFrame(row | {"wilks": [wilks], "f": [f], "p": [f_tail_value(f, df1, df2) if df2 > 0 else None]})
 
     return cells.groupBy(*keys).applyInPandas(run, schema)
 
@@ -213,24 +270,42 @@ def best_shift(left: DataFrame, right: DataFrame, key: str = "session_id", reach
     return fit.groupBy(key).agg(F.min_by("shift", F.struct("rmse", "shift")).alias("shift"), F.min("rmse").alias("rmse"))
 
 
-def phase_alignment(frames: DataFrame, edges: DataFrame, period: int, starts: list[int], key: str = "session_id", slopes: tuple[float, float] = (0.98, 1.02)) -> DataFrame:
-    """Lines from every ``period``-th frame (at each phase) to the edges from each start; the one
-    with the best score within bounds."""
-    order = W.partitionBy(key).orderBy("t")
-    f = frames.select(key, "t", F.pmod("frame", F.lit(period)).alias("phase")).withColumn("n", F.row_number().over(W.partitionBy(key, "phase").orderBy("t")))
-    e = edges.select(key, F.col("t").alias("dst"), F.row_number().over(order).alias("r"))
-    e = e.withColumn("start", F.explode(F.array(*map(F.lit, starts)))).withColumn("n", F.col("r") - F.col("start")).where("n >= 1")
-    pairs = f.join(e, [key, "n"]).select(key, "phase", "start", F.col("t").alias("src"), "dst")
-    fit = affine(pairs, [key, "phase", "start"]).where(F.col("slope").between(*slopes))
-    best = W.partitionBy(key).orderBy("rmse", "start", "phase")
-    return fit.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+def alignment_candidates(frames: DataFrame, edges: DataFrame, period: int = 30, key: str = "session_id", slopes: tuple[float, float] = (0.98, 1.02), most_intercept: float = 3.0, least_pairs: int = 20) -> DataFrame:
+    """Lines from every ``period``-th frame (at each phase) to the edges of each segment from each
+    start: ``phase, segment, start, seg_start, n, slope, intercept, rmse``.
+
+    ``edges`` has ``segment`` (W7), or is one.  An edge can only be the first of a line whose
+    intercept is within bounds if it comes before ``most_intercept`` (and a quarter second), or is the
+    segment's first, so starts are few and pairs meet on equal keys."""
+    edges = edges if "segment" in edges.columns else edges.withColumn("segment", F.lit(0))
+    order = W.partitionBy(key, "segment").orderBy("t")
+    e = edges.select(key, "segment", F.col("t").alias("dst"), (F.row_number().over(order) - 1).alias("r"), F.min("t").over(W.partitionBy(key, "segment")).alias("seg_start"))
+    starts = e.where((F.col("r") == 0) | (F.col("dst") < most_intercept + 0.25)).select(key, "segment", "seg_start", F.col("r").alias("start"))
+    f = frames.select(key, "t", F.pmod("frame", F.lit(period)).alias("phase")).withColumn("n", F.row_number().over(W.partitionBy(key, "phase").orderBy("t")) - 1)
+    pairs = f.join(starts, key).withColumn("r", F.col("start") + F.col("n")).join(e.select(key, "segment", "r", "dst"), [key, "segment", "r"])
+    fit = affine(pairs.withColumnRenamed("t", "src"), [key, "phase", "segment", "start", "seg_start"], least_pairs)
+    return fit.where(F.col("slope").between(*slopes) & (F.abs("intercept") <= most_intercept))
+
+
+def phase_alignment(frames: DataFrame, edges: DataFrame, period: int = 30, key: str = "session_id", slopes: tuple[float, float] = (0.98, 1.02), most_intercept: float = 3.0, least_pairs: int = 20, prior: tuple[float, float] = (0.3, 0.25), over_best: float = 1.2, cover: float = 0.95) -> DataFrame:
+    """The best line of :func:`alignment_candidates` for each session.
+
+    Of those with a root mean square error within ``over_best`` times the least and ``cover`` of the most
+    pairs, the one in the earliest segment, then with the least squared error plus squared deviation of
+    its intercept from ``prior`` (mean, width), then the earliest start."""
+    c = alignment_candidates(frames, edges, period, key, slopes, most_intercept, least_pairs)
+    c = c.withColumn("score", F.col("rmse") * F.col("rmse") + F.pow((F.col("intercept") - prior[0]) / prior[1], F.lit(2)))
+    span = W.partitionBy(key)
+    c = c.withColumn("_r", F.min("rmse").over(span)).withColumn("_n", F.max("n").over(span)).where((F.col("rmse") <= over_best * F.col("_r")) & (F.col("n") >= F.floor(cover * F.col("_n"))))
+    best = span.orderBy("seg_start", "score", "start", "rmse", "phase")
+    return c.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "_r", "_n")
 
 
-def activation(responses: DataFrame, keys: list[str], families: str = "family", least: int = 8, alpha: float = 0.05) -> DataFrame:
+def activation(responses: DataFrame, keys: list[str], families: str = "family", least: int = 8, alpha: float = 0.05, exact: int = 50) -> DataFrame:
     """Per trace and family: events, median and mean response, signed-rank p (``least`` events), q
     over the families of a trace, and the class by q and the median's sign."""
     stats = responses.groupBy(*keys, families).agg(F.count("v").alias("n_events"), median("v").alias("median"), F.avg("v").alias("mean"))
-    test = wilcoxon(responses, [*keys, families]).select(*keys, families, "p")
+    test = wilcoxon(responses, [*keys, families], exact=exact).select(*keys, families, "p")
     both = stats.join(test, [*keys, families], "left").withColumn("p", F.when(F.col("n_events") >= least, F.col("p")))
     q = benjamini_hochberg(both, keys)
     kind = F.when((F.col("q") < alpha) & (F.col("median") > 0), "activated").when((F.col("q") < alpha) & (F.col("median") < 0), "suppressed").otherwise("no_change")
@@ -291,19 +366,31 @@ def adaptation(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def principal_components(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Standardised columns on their ``k`` first components (``scores``), the sign of each such that
-    its largest loading is positive.  The cross products are summed in Spark; one small matrix is
-    decomposed."""
-    stats = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{a}_{c}") for c in columns for a, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = {c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] if stats[f"s_{c}"] else 1.0) for c in columns}
-    cross = rows.agg(*[F.avg(z[a] * z[b]).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]).first()
-    d = len(columns)
-    m = np.array([[cross[f"{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-    values, vectors = np.linalg.eigh(m)
-    order = np.argsort(values)[::-1][:k]
-    loads = [v * np.sign(v[np.argmax(np.abs(v))]) for v in vectors[:, order].T]
-    scores = F.array(*[sum((z[c] * F.lit(float(v[i])) for i, c in enumerate(columns)), F.lit(0.0)) for v in loads])
-    share = F.array(*[F.lit(float(values[o] / values.sum())) for o in order])
-    return rows.withColumn("scores", scores).withColumn("explained", share)
+    its largest loading is positive; their shares of variance (``explained``), and those added up
+    (``cumulative``).
+
+    Rows with a null column have null scores and don't count; constant columns count nothing.  Cross
+    products are summed over partitions; one matrix of as many columns is decomposed."""
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+
+    whole = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(rows.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    n = whole.count()
+    if n < 2:
+        empty = F.lit(None).cast("array<double>")
+        return rows.withColumn("scores", empty).withColumn("explained", empty).withColumn("cumulative", empty)
+    scale = StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_z").fit(whole)
+    made = PCA(k=k, inputCol="_z", outputCol="_s").fit(scale.transform(whole))
+    loads = [v * np.sign(v[np.argmax(np.abs(v))]) for v in made.pc.toArray().T]
+    width = math.sqrt(n / (n - 1))  # scores are in units of the population's deviation
+    z = [(F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(s) if s else 1.0) * F.lit(width if s else 0.0) for c, m, s in zip(columns, scale.mean.toArray(), scale.std.toArray())]
+    z = F.when(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, F.array(*z))
+    share = made.explainedVariance.toArray()
+
+    def constant(x: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(y)) for y in x])
+
+    scores = F.when(z.isNotNull(), F.array(*[F.aggregate(F.zip_with(z, constant(v), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for v in loads]))
+    return rows.withColumn("scores", scores).withColumn("explained", constant(share)).withColumn("cumulative", constant(np.cumsum(share)))
 
 
 def regress_out(rows: DataFrame, keys: list[str], y: str, xs: list[str], ridge: float = 1e-6, least: int = 10) -> DataFrame:

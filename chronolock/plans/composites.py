@@ -42,7 +42,7 @@ def extract(log: DataFrame, traces: DataFrame, epochs: DataFrame, rate: float, s
     return out
 
 
-def tuning(values: DataFrame, keys: list[str], shuffles: int = 200, least_trials: int = 5, least_images: int = 4, alpha: float = 0.05) -> dict[str, DataFrame]:
+def tuning(values: DataFrame, keys: list[str], shuffles: int = 2000, least_trials: int = 5, least_images: int = 4, alpha: float = 0.05) -> dict[str, DataFrame]:
     """Per image and per trace: responses, shares of variance, permutation and Kruskal-Wallis p, the
     preferred image, and whether the trace is tuned.  ``values`` has ``stimulus, event_id, v``."""
     images = rs.per_image(values, keys).where(F.col("n_trials") >= least_trials)
@@ -55,7 +55,7 @@ def tuning(values: DataFrame, keys: list[str], shuffles: int = 200, least_trials
     return {"tuning_per_image": images, "tuning_summary": whole.withColumn("is_tuned", F.col("p_shuffle") < alpha)}
 
 
-def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], shuffles: int = 200) -> dict[str, DataFrame]:
+def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], shuffles: int = 2000) -> dict[str, DataFrame]:
     """All result tables from windows with ``session_id, roi, family, event_id, stimulus, k, v``."""
     r = rs.event_responses(windows_, pre, post, [*K, "family", "event_id", "stimulus"])
     values = r.withColumn("v", F.col("delta_mean"))
@@ -78,7 +78,7 @@ def t16(spark, sf):
     from chronolock.plans.core import POST, PRE, windows
 
     w = windows(spark, sf).withColumn("family", F.lit("image"))
-    return analyse(w, (0, PRE), (PRE, PRE + POST), 100)["activation_summary"]
+    return analyse(w, (0, PRE), (PRE, PRE + POST))["activation_summary"]
 
 
 @query("t17_extraction")

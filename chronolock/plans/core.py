@@ -190,13 +190,16 @@ def j9(spark, sf):
     return wn.ordinal_pairs(log.where("value = 'Frame'"), log.where("value = 'Omission'"), 2).select("session_id", F.col("n").cast("bigint").alias("n"), fixed(F.col("dst") - F.col("src"), 3).alias("gap"))
 
 
-@query("j18_resample_linear", """with s as (select session_id, roi, i as j, v from traces where i < 50), m as (select session_id, roi, count(*) as m from s group by 1, 2),
-g as (select session_id, roi, m, cast(i as int) as i, i * (m - 1) / 79e0 as x from m, range(80) r(i))
-select g.session_id, g.roi, g.i, round(a.v + (g.x - floor(g.x)) * (coalesce(b.v, a.v) - a.v), 3) + 0 as v from g join s a on a.session_id = g.session_id and a.roi = g.roi and a.j = floor(g.x) left join s b on b.session_id = g.session_id and b.roi = g.roi and b.j = floor(g.x) + 1""", "traces")
+@query("j18_resample_linear", """with m as (select session_id, roi, count(*) as m from traces group by 1, 2), n as (select *, cast(floor(avg(m) over (partition by session_id)) as bigint) as n from m),
+g as (select session_id, roi, m, cast(unnest(range(n)) as int) as i, n from n), x as (select *, case when n > 1 then i * (m - 1) / (n - 1) else 0 end as x from g)
+select g.session_id, g.roi, g.i, round(a.v + (g.x - floor(g.x)) * (coalesce(b.v, a.v) - a.v), 6) + 0 as v from x g join traces a on a.session_id = g.session_id and a.roi = g.roi and a.i = floor(g.x) left join traces b on b.session_id = g.session_id and b.roi = g.roi and b.i = floor(g.x) + 1""", "traces")
 def j18(spark, sf):
-    s = view(spark, sf, "traces").where("i < 50").select("session_id", "roi", F.col("i").alias("j"), "v")
-    n = s.select("session_id", "roi").distinct().withColumn("n", F.lit(80))
-    return wn.resample_linear(s, n, ("session_id", "roi")).select("session_id", "roi", "i", fixed("v", 3).alias("v"))
+    """Whole traces, each spread over the mean length of its session's traces."""
+    from pyspark.sql import Window
+
+    s = view(spark, sf, "traces").select("session_id", "roi", F.col("i").alias("j"), "v")
+    n = s.groupBy("session_id", "roi").agg(F.count("*").alias("own")).withColumn("n", F.floor(F.avg("own").over(Window.partitionBy("session_id")))).drop("own")
+    return wn.resample_linear(s, n, ("session_id", "roi")).select("session_id", "roi", F.col("i").cast("int").alias("i"), fixed("v", 6).alias("v"))
 
 
 @query("w12_session_timeline", """with t as (select session_id, cast(roi as int) as trial, count(*) as n, roi % 7 <> 0 as valid from traces group by all), u as (select session_id, round_even(quantile_cont(n, 0.5), 0) as usual from t where valid group by 1),

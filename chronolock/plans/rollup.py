@@ -352,12 +352,12 @@ def a23(spark, sf):
     return ql.coverage(log, wn.in_epochs(log, epochs_of(spark, sf))).withColumn("share", fixed("share", 7))
 
 
-@query("a25_counts_with_zeros", f"with i as (select distinct value from log where {IMAGE}), s as (select distinct session_id from log) select session_id, value, (select count(*) from log l where l.session_id = s.session_id and l.value = i.value and l.row_idx % 3 = 0) as n from s, i", "log")
+@query("a25_counts_with_zeros", f"with i as (select distinct value from log where {IMAGE}), s as (select distinct session_id from log) select session_id, value, (select count(*) from log l where l.session_id = s.session_id and l.value = i.value) as n from s, i", "log")
 def a25(spark, sf):
     log = view(spark, sf, "log")
     images = log.where(F.lower("value").endswith(".tiff")).select("value").distinct()
     grid = log.select("session_id").distinct().join(F.broadcast(images))
-    n = log.where("row_idx % 3 = 0").groupBy("session_id", "value").agg(F.count("*").alias("n"))
+    n = log.groupBy("session_id", "value").agg(F.count("*").alias("n"))
     return grid.join(n, ["session_id", "value"], "left").select("session_id", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -384,22 +384,39 @@ def l1(spark, sf):
 RANKS = "e as (select family, p - 0.05e0 as v from pvalues), z as (select family, v, abs(v) as a from e where v <> 0), r as (select family, v, rank() over (partition by family order by a) + (count(*) over (partition by family, a) - 1) / 2e0 as r from z)"
 
 
-@query("t1_wilcoxon", f"with {RANKS} select family, count(*) as n, round(sum(r) filter (v > 0), 2) + 0 as w_plus, round(sum(r) filter (v < 0), 2) + 0 as w_minus from r group by 1", "pvalues")
+def normal_sql(z: str) -> str:
+    """Two-sided p of a normal deviate, by a series of positive terms."""
+    x = f"(abs({z}) / sqrt(2e0))"
+    term = f"{x} * exp(k * ln(2 * {x} * {x}) - (lgamma(2 * k + 2) - k * ln(2e0) - lgamma(k + 1)))"
+    return f"case when {z} = 0 then 1e0 else greatest(1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(300), lambda k: {term})), 0) end"
+
+
+def chi_square_sql(x: str, df: str) -> str:
+    """Upper tail of chi-square, by a series of positive terms."""
+    a, y = f"({df} / 2e0)", f"({x} / 2e0)"
+    return f"case when {x} <= 0 then 1e0 else greatest(1 - list_sum(list_transform(range(300), lambda k: exp(-{y} + ({a} + k) * ln({y}) - lgamma({a} + k + 1)))), 0) end"
+
+
+@query("t1_wilcoxon", f"with {RANKS}, w as (select family, count(*) as n, sum(r) filter (v > 0) as w_plus, sum(r) filter (v < 0) as w_minus from r group by 1), tied as (select family, sum(m * m * m - m) as ties from (select family, abs(v) as a, count(*) as m from r group by all) q group by 1), y as (select *, (least(w_plus, w_minus) - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48e0) as z from w join tied using (family)) select family, n, round(w_plus, 2) + 0 as w_plus, round(w_minus, 2) + 0 as w_minus, round({normal_sql('z')}, 7) + 0 as p from y", "pvalues")
 def t1(spark, sf):
     w = st.wilcoxon(view(spark, sf, "pvalues").select("family", (F.col("p") - 0.05).alias("v")), ["family"])
-    return w.select("family", "n", fixed("w_plus", 2).alias("w_plus"), fixed("w_minus", 2).alias("w_minus"))
+    return w.select("family", "n", fixed("w_plus", 2).alias("w_plus"), fixed("w_minus", 2).alias("w_minus"), fixed("p", 7).alias("p"))
 
 
-@query("t2_kruskal", f"with {RESPONSES}, k as (select session_id, roi, stimulus, rank() over (partition by session_id, roi order by delta_mean) + (count(*) over (partition by session_id, roi, delta_mean) - 1) / 2e0 as r from r), g as (select session_id, roi, stimulus, count(*) n, sum(r) s from k group by all) select session_id, roi, cast(sum(n) as bigint) as n, count(*) as groups, round(12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1), 6) + 0 as h from g group by 1, 2", "traces", "onsets")
+KRUSKAL = f"{RESPONSES}, k as (select session_id, roi, stimulus, rank() over (partition by session_id, roi order by delta_mean) + (count(*) over (partition by session_id, roi, delta_mean) - 1) / 2e0 as r, count(*) over (partition by session_id, roi, delta_mean) as c from r where delta_mean is not null), g as (select session_id, roi, stimulus, count(*) n, sum(r) s, sum(c * c - 1) t from k group by all), h as (select session_id, roi, cast(sum(n) as bigint) as n, count(*) as groups, (12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - sum(t) / (sum(n) * sum(n) * sum(n) - sum(n))) as h from g group by 1, 2 having count(*) >= 2)"
+
+
+@query("t2_kruskal", f"with {KRUSKAL} select session_id, roi, n, groups, round(h, 6) + 0 as h, round({chi_square_sql('h', '(groups - 1)')}, 7) + 0 as p from h", "traces", "onsets")
 def t2(spark, sf):
     h = st.kruskal(responses(spark, sf).withColumnRenamed("delta_mean", "v"), K)
-    return h.select(*K, "n", "groups", fixed("h", 6).alias("h"))
+    return h.select(*K, "n", "groups", fixed("h", 6).alias("h"), fixed("p", 7).alias("p"))
 
 
-@query("t3_mann_whitney", "with g as (select distinct family from pvalues), pr as (select a.family as a, b.family as b from g a join g b on a.family < b.family), x as (select a, b, family, p from pr join pvalues on family in (a, b)), r as (select a, b, family, rank() over (partition by a, b order by p) + (count(*) over (partition by a, b, p) - 1) / 2e0 as r from x) select a, b, count(*) filter (family = a) as na, count(*) filter (family = b) as nb, round(sum(r) filter (family = a) - count(*) filter (family = a) * (count(*) filter (family = a) + 1) / 2e0, 2) + 0 as u from r group by 1, 2", "pvalues")
+@query("t3_mann_whitney", f"with g as (select distinct family from pvalues), pr as (select a.family as a, b.family as b from g a join g b on a.family < b.family), x as (select a, b, family, p from pr join pvalues on family in (a, b)), r as (select a, b, family, p, rank() over (partition by a, b order by p) + (count(*) over (partition by a, b, p) - 1) / 2e0 as r, count(*) over (partition by a, b, p) as c from x), u as (select a, b, count(*) filter (family = a) as na, count(*) filter (family = b) as nb, quantile_cont(p, 0.5) filter (family = a) as med_a, quantile_cont(p, 0.5) filter (family = b) as med_b, sum(r) filter (family = a) - count(*) filter (family = a) * (count(*) filter (family = a) + 1) / 2e0 as u, sum(c * c - 1) as t from r group by 1, 2), z as (select *, greatest((abs(u - na * nb / 2e0) - 0.5e0) / sqrt(na * nb / 12e0 * (na + nb + 1 - t / ((na + nb) * (na + nb - 1e0)))), 0) as z from u), p as (select *, {normal_sql('z')} as p from z), q as (select *, p * count(*) over () / row_number() over (order by p, a, b) as q, row_number() over (order by p, a, b) as k from p) select a, b, na, nb, round(med_a, 8) + 0 as med_a, round(med_b, 8) + 0 as med_b, round(u, 2) + 0 as u, round(p, 7) + 0 as p, round(least(min(q) over (order by k desc rows unbounded preceding), 1), 7) + 0 as q from q", "pvalues")
 def t3(spark, sf):
     u = st.mann_whitney(view(spark, sf, "pvalues").withColumnRenamed("p", "v"), "family", [])
-    return u.select("a", "b", "na", "nb", fixed("u", 2).alias("u"))
+    u = st.benjamini_hochberg(u.withColumn("one", F.lit(1)), ["one"])
+    return u.select("a", "b", "na", "nb", fixed("med_a", 8).alias("med_a"), fixed("med_b", 8).alias("med_b"), fixed("u", 2).alias("u"), fixed("p", 7).alias("p"), fixed("q", 7).alias("q"))
 
 
 @query("t4_benjamini_hochberg", "with k as (select family, event_id, p, row_number() over (partition by family order by p, event_id) as k, count(p) over (partition by family) as m from pvalues), q as (select *, p * m / k as q from k) select family, event_id, round(least(greatest(min(q) over (partition by family order by k desc rows unbounded preceding), 0), 1), 8) + 0 as q from q", "pvalues")
@@ -409,12 +426,12 @@ def t4(spark, sf):
 
 @query("t5_permutation_fve")
 def t5(spark, sf):
-    return st.permutation_fve(responses(spark, sf).withColumnRenamed("delta_mean", "v"), K, 200)
+    return st.permutation_fve(responses(spark, sf).withColumnRenamed("delta_mean", "v"), K)
 
 
 @query("t6_manova")
 def t6(spark, sf):
-    return st.manova(view(spark, sf, "trials").withColumn("roi", F.lit(1)), ["roi"], [0, 9, 18, 27, 36, 45, 54, 63])
+    return st.manova(view(spark, sf, "trials").withColumn("roi", F.lit(1)), ["roi"])
 
 
 @query("t7_affine", "select session_id, roi, regr_count(v, i) as n, round(regr_slope(v, i), 6) + 0 as slope, round(regr_intercept(v, i), 4) + 0 as intercept, round(sqrt(regr_syy(v, i) * (1 - regr_r2(v, i)) / regr_count(v, i)), 4) + 0 as rmse from traces group by all", "traces")
@@ -430,21 +447,43 @@ def t8(spark, sf):
     return s.select("session_id", F.col("shift").cast("bigint").alias("shift"), fixed("rmse", 3).alias("rmse"))
 
 
-@query("t9_phase_alignment", """with f as (select session_id, t, row_idx % 6 as phase, row_number() over (partition by session_id, row_idx % 6 order by t) as n from log where value = 'Frame'),
-e as (select session_id, t * 1.001e0 as dst, row_number() over (partition by session_id order by t) as r from log where value = 'Frame'), p as (select f.session_id, phase, s as start, t as src, dst from f, (values (0), (1), (2)) g(s), e where e.session_id = f.session_id and e.r - s = f.n),
-l as (select session_id, phase, start, regr_count(dst, src) as n, regr_slope(dst, src) as slope, sqrt(greatest(regr_syy(dst, src) * (1 - regr_r2(dst, src)), 0) / regr_count(dst, src)) as rmse from p group by all having regr_count(dst, src) >= 3 and regr_slope(dst, src) between 0.01 and 1.02)
-select session_id, phase, start, n, round(slope, 6) + 0 as slope from (select *, row_number() over (partition by session_id order by rmse, start, phase) as rk from l) q where rk = 1""", "log")
+#: Frames, and the edges that every 30th of them makes on a clock that runs 0.1 % fast and jitters, in units of 1e5 s.
+TRAINS = """z as (select session_id, min(t) as z from log group by 1), f as (select session_id, row_idx, (t - z) / 1e5 as t from log join z using (session_id) where value = 'Frame'),
+fl as (select session_id, t, row_idx % 30 as phase, row_number() over (partition by session_id, row_idx % 30 order by t) - 1 as n from f),
+e as (select session_id, dst, row_number() over (partition by session_id order by dst) - 1 as r, min(dst) over (partition by session_id) as seg_start from (select session_id, t * 1.001e0 + 0.3e0 + (row_idx * 7919 % 100) / 1e3 as dst from f where row_idx % 30 = 7) q),
+l as (select fl.session_id, phase, s.r as start, s.seg_start, regr_count(e.dst, fl.t) as n, regr_slope(e.dst, fl.t) as slope, regr_intercept(e.dst, fl.t) as intercept, sqrt(greatest(regr_syy(e.dst, fl.t) * (1 - regr_r2(e.dst, fl.t)), 0) / regr_count(e.dst, fl.t)) as rmse from fl join e s on s.session_id = fl.session_id and (s.r = 0 or s.dst < 3.25) join e on e.session_id = fl.session_id and e.r = s.r + fl.n group by 1, 2, 3, 4),
+c as (select * from l where n >= 3 and slope between 0.98 and 1.02 and abs(intercept) <= 3)"""
+
+
+def trains(spark, sf):
+    log = view(spark, sf, "log")
+    z = log.groupBy("session_id").agg(F.min("t").alias("z"))
+    f = log.where("value = 'Frame'").join(z, "session_id").select("session_id", F.col("row_idx").alias("frame"), ((F.col("t") - F.col("z")) / 1e5).alias("t"))
+    e = f.where("frame % 30 = 7").select("session_id", (F.col("t") * 1.001 + 0.3 + (F.col("frame") * 7919 % 100) / 1e3).alias("t"))
+    return f, e
+
+
+@query("j10_candidates", f"with {TRAINS} select session_id, phase, start, n, round(slope, 6) + 0 as slope, round(intercept, 4) + 0 as intercept, round(rmse, 4) + 0 as rmse from c", "log")
+def j10(spark, sf):
+    c = st.alignment_candidates(*trains(spark, sf), least_pairs=3)
+    return c.select("session_id", "phase", "start", "n", fixed("slope", 6).alias("slope"), fixed("intercept", 4).alias("intercept"), fixed("rmse", 4).alias("rmse"))
+
+
+@query("t9_phase_alignment", f"with {TRAINS}, m as (select *, min(rmse) over (partition by session_id) as br, max(n) over (partition by session_id) as bn, rmse * rmse + pow((intercept - 0.3e0) / 0.25e0, 2) as score from c), k as (select *, row_number() over (partition by session_id order by seg_start, score, start, rmse, phase) as k from m where rmse <= 1.2 * br and n >= floor(0.95e0 * bn)) select session_id, phase, start, n, round(slope, 6) + 0 as slope, round(intercept, 4) + 0 as intercept, round(rmse, 4) + 0 as rmse from k where k = 1", "log")
 def t9(spark, sf):
-    log = view(spark, sf, "log").where("value = 'Frame'").withColumnRenamed("row_idx", "frame")
-    a = st.phase_alignment(log, log.select("session_id", (F.col("t") * 1.001).alias("t")), 6, [0, 1, 2], slopes=(0.01, 1.02))
-    return a.select("session_id", "phase", "start", "n", fixed("slope", 6).alias("slope"))
+    a = st.phase_alignment(*trains(spark, sf), least_pairs=3)
+    return a.select("session_id", "phase", "start", "n", fixed("slope", 6).alias("slope"), fixed("intercept", 4).alias("intercept"), fixed("rmse", 4).alias("rmse"))
+
+
+ACTIVATION = f"{RESPONSES}, o as (select session_id, roi, case when stimulus in ('im0', 'im1', 'im2', 'im3') then 'low' else 'high' end as family, delta_mean as v from r where delta_mean is not null), g as (select session_id, roi, family, count(*) as n_events, quantile_cont(v, 0.5) as median, avg(v) as mean from o group by all), k as (select session_id, roi, family, v, abs(v) as a, rank() over (partition by session_id, roi, family order by abs(v)) + (count(*) over (partition by session_id, roi, family, abs(v)) - 1) / 2e0 as r, count(*) over (partition by session_id, roi, family, abs(v)) as c from o where v <> 0), sw as (select session_id, roi, family, count(*) as n, least(coalesce(sum(r) filter (v > 0), 0), coalesce(sum(r) filter (v < 0), 0)) as w, sum(c * c - 1) as t from k group by all), z as (select *, (w - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - t / 48e0) as z from sw), p as (select session_id, roi, family, n_events, median, mean, case when n_events >= 8 then {normal_sql('z')} end as p from g left join z using (session_id, roi, family)), q as (select *, count(p) over (partition by session_id, roi) as m, row_number() over (partition by session_id, roi order by p nulls last) as k from p), b as (select *, case when p is not null then least(min(p * m / k) over (partition by session_id, roi order by k desc rows unbounded preceding), 1) end as q from q)"
 
 
-@query("t11_activation", f"with {RESPONSES} select session_id, roi, case when stimulus in ('im0', 'im1', 'im2', 'im3') then 'low' else 'high' end as family, count(delta_mean) as n_events, round(quantile_cont(delta_mean, 0.5), 6) + 0 as median, round(avg(delta_mean), 6) + 0 as mean, case when quantile_cont(delta_mean, 0.5) > 0 then 'up' when quantile_cont(delta_mean, 0.5) < 0 then 'down' else 'none' end as direction from r group by all", "traces", "onsets")
+@query("t11_activation", f"with {ACTIVATION} select session_id, roi, family, n_events, round(median, 6) + 0 as median, round(mean, 6) + 0 as mean, round(p, 7) + 0 as p, round(q, 7) + 0 as q, case when q < 0.05 and median > 0 then 'activated' when q < 0.05 and median < 0 then 'suppressed' else 'no_change' end as response_class, case when median > 0 then 'up' when median < 0 then 'down' else 'none' end as direction from b", "traces", "onsets")
 def t11(spark, sf):
+    """By the normal approximation, which SQL can express; ``t11_activation_classes`` has exact p."""
     r = responses(spark, sf).withColumn("family", F.when(F.col("stimulus").isin("im0", "im1", "im2", "im3"), "low").otherwise("high")).withColumnRenamed("delta_mean", "v")
-    a = st.activation(r, K)
-    return a.select(*K, "family", "n_events", fixed("median", 6).alias("median"), fixed("mean", 6).alias("mean"), "direction")
+    a = st.activation(r.where("v is not null"), K, exact=0)
+    return a.select(*K, "family", "n_events", fixed("median", 6).alias("median"), fixed("mean", 6).alias("mean"), fixed("p", 7).alias("p"), fixed("q", 7).alias("q"), "response_class", "direction")
 
 
 @query("t11_activation_classes")
@@ -512,11 +551,10 @@ def a41(spark, sf):
 
 @query("t15_principal_components")
 def t15(spark, sf):
-    wide = view(spark, sf, "trials").groupBy("event_index").pivot("k", list(range(0, 64, 8))).agg(F.first("v"))
-    names = [f"k{k}" for k in range(0, 64, 8)]
-    wide = wide.toDF("event_index", *names)
-    pc = st.principal_components(wide, names, 3)
-    return pc.select("event_index", *[fixed(F.col("scores")[i], 6).alias(f"pc{i + 1}") for i in range(3)])
+    wide = view(spark, sf, "trials").groupBy("event_index").pivot("k", list(range(64))).agg(F.first("v"))
+    names = [f"k{k}" for k in range(64)]
+    pc = st.principal_components(wide.toDF("event_index", *names), names, 11)
+    return pc.select("event_index", *[fixed(F.col("scores")[i], 6).alias(f"pc{i + 1}") for i in range(11)], fixed(F.col("cumulative")[10], 6).alias("cumulative"))
 
 
 @query("l3_component_order")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,39 @@ def test_arrivals_are_processed_once(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(source)
         streaming.process_arrivals(spark, source, "id long", lambda df: df.withColumn("twice", df.id * 2), sink, mark).awaitTermination(120)
         assert spark.read.parquet(sink).count() == (3 if n == 3 else 8)
+
+
+def test_signed_ranks_are_exact_for_few_values(spark):
+    from itertools import product
+
+    v = [0.5, -1.25, 2.0, 3.5, -0.75, 4.0, 1.5, 2.25, 5.0]
+    d = spark.createDataFrame([("a", x) for x in v] + [("b", x) for x in [*v, 0.0]] + [("c", 0.0)], "k string, v double")
+    got = {r.k: r for r in statistics.wilcoxon(d, ["k"]).collect()}
+    rank = {x: sorted(map(abs, v)).index(abs(x)) + 1 for x in v}
+    low = min(sum(rank[x] for x in v if x > 0), sum(rank[x] for x in v if x < 0))
+    share = sum(sum(r for r, s in zip(range(1, 10), signs) if s) <= low for signs in product((0, 1), repeat=9)) / 2**9
+    assert abs(got["a"].p - 2 * share) < 1e-12
+    assert got["b"].p != got["a"].p and abs(got["b"].z - got["a"].z) < 1e-12  # a zero: the normal approximation
+    assert got["c"].p == 1.0
+
+
+def test_components_of_many_columns_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 9)) @ rng.normal(size=(9, 9))
+    x[:, 4] = 2.5
+    names = [f"c{i}" for i in range(9)]
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(99, *[None] * 9)], "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.id: r for r in statistics.principal_components(d, names, 3).collect()}
+    z = (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0), 1)
+    values, vectors = np.linalg.eigh(z.T @ z / len(z))
+    for k, o in enumerate(np.argsort(values)[::-1][:3]):
+        load = vectors[:, o] * np.sign(vectors[np.argmax(np.abs(vectors[:, o])), o])
+        assert np.allclose([got[i].scores[k] for i in range(60)], z @ load, atol=1e-8)
+        assert abs(got[0].explained[k] - values[o] / values.sum()) < 1e-9
+    assert got[99].scores is None
+
+
+def test_permutations_need_labels_and_reach_small_p(spark):
+    rows = [("a", i, "x" if i % 2 else "y", float(i % 2) + i / 1e4) for i in range(40)] + [("a", 99, None, 5.0)]
+    got = statistics.permutation_fve(spark.createDataFrame(rows, "k string, event_id long, stimulus string, v double"), ["k"]).first()
+    assert got.n == 40 and got.fve > 0.99 and abs(got.p - 1 / 2001) < 1e-9
