@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolock.llm.codepoints import prefix, spans
-from chronolock.llm.common import doc_texts, require, runs
+from chronolock.llm.common import doc_texts, require, runs, slices
 
 WINDOW = 80
 STRIDE = 40
@@ -216,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
 
     def run(shared):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 docs_, rows = b.column(0).to_pylist(), []
                 for first, held in runs(b.column(1).to_pylist(), 1 << 19):
                     rows += [(docs_[first + d], *r) for d, *r in search(held, shared.value)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolock.llm.codepoints import mixed, points, prefix, spans
-from chronolock.llm.common import doc_texts, runs, settle
+from chronolock.llm.common import doc_texts, runs, settle, slices
 from chronolock.llm.components import components
 
 EDITS = 2
@@ -79,7 +79,7 @@ def parities(cp: np.ndarray, start: np.ndarray) -> np.ndarray:
 def _emit(edits: int, min_chars: int, probe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             for _, held in runs(b.column(0).to_pylist(), 1 << 19):
                 whole = "\n".join(held) + "\n"
                 cp, _ = points([whole])

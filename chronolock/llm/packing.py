@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolock.llm.common import doc_texts, settle
+from chronolock.llm.common import doc_texts, settle, slices
 from chronolock.llm.pretokens import encoder, frequent, token_ids
 from chronolock.llm.token_counts import default_path
 
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), token_ids(b.column(1).to_pylist(), encode, known.value)):
                 raw, n = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little"), len(ids) + 1

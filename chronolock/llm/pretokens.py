@@ -22,7 +22,7 @@ from chronolock.llm.codepoints import points, prefix, spans
 from chronolock.llm.common import runs
 
 #: Pre-tokens that a worker keeps; a full cache starts anew.
-CACHE = 400_000
+CACHE = 150_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
 # The white space of Unicode, and the contractions that the pre-tokenizer splits off.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -115,10 +115,13 @@ def equal(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray, n: np.ndar
     """Whether each stretch of ``n`` (1 or more) items from ``s`` in ``a`` is that from ``t`` in ``b``."""
     if not len(n):
         return np.zeros(0, bool)
-    n = n.astype(np.int64)
-    first = np.cumsum(n) - n
-    step = np.arange(int(n.sum()))
-    return np.logical_and.reduceat(a[np.repeat(s - first, n) + step] == b[np.repeat(t - first, n) + step], first)
+    out = []
+    for at in range(0, len(n), 1 << 15):  # so many at a time
+        m = n[at : at + (1 << 15)].astype(np.int64)
+        first = np.cumsum(m) - m
+        step = np.arange(int(m.sum()))
+        out.append(np.logical_and.reduceat(a[np.repeat(s[at : at + (1 << 15)] - first, m) + step] == b[np.repeat(t[at : at + (1 << 15)] - first, m) + step], first))
+    return np.concatenate(out)
 
 
 @dataclass
@@ -257,7 +260,7 @@ def token_counts(texts: list[str], encode: Encoder, known: Frequent) -> np.ndarr
     """Tokens of each text, special strings counting one each."""
     out = np.zeros(len(texts), np.int64)
     odd = {i: split_special(t, encode.special) for i, t in enumerate(texts) if any(s in t for s in encode.special)}
-    for first, held in runs("" if i in odd else t for i, t in enumerate(texts)):
+    for first, held in runs(("" if i in odd else t for i, t in enumerate(texts)), 1 << 19):
         size, _, by = encode_run(held, encode, known, False)
         total = np.append(0, np.cumsum(size))
         out[first : first + len(held)] = total[by[1:]] - total[by[:-1]]
@@ -269,7 +272,7 @@ def token_counts(texts: list[str], encode: Encoder, known: Frequent) -> np.ndarr
 def token_ids(texts: list[str], encode: Encoder, known: Frequent) -> Iterator[np.ndarray]:
     """The ids of each text, in order."""
     odd = {i: split_special(t, encode.special) for i, t in enumerate(texts) if any(s in t for s in encode.special)}
-    for first, held in runs("" if i in odd else t for i, t in enumerate(texts)):
+    for first, held in runs(("" if i in odd else t for i, t in enumerate(texts)), 1 << 19):
         size, ids, by = encode_run(held, encode, known, True)
         total = np.append(0, np.cumsum(size))[by]
         for k in range(len(held)):

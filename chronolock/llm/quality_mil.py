@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolock.llm.codepoints import points, prefix, spans
-from chronolock.llm.common import doc_texts, require, runs
+from chronolock.llm.common import doc_texts, require, runs, slices
 
 PASSAGE = 384
 #: Labelled rows learned from, at most.
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = shared.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -224,7 +224,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = shared.value.score([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield b.filter(pa.array(s >= threshold))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolock.llm.codepoints import mixed
-from chronolock.llm.common import doc_texts, parts, settle
+from chronolock.llm.common import doc_texts, parts, settle, slices
 from chronolock.llm.components import components
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """``doc_id`` and ``fp`` (the 64 bits as a signed long) for every row; null text as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((simhash64(t, words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -333,7 +333,7 @@ def _printed(texts: DataFrame, words: int, planes: int) -> DataFrame:
     """``node, sha, n`` (different shingles) and the fingerprints ``p0, p1, ...`` of ``texts(node, text)``."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [_planes(t, words, planes) for t in b.column(1).to_pylist()]
             p = np.array([x[1:] for x in made], np.uint64).reshape(-1, planes).view(np.int64)
             n = pa.array([x[0] for x in made], pa.int64())

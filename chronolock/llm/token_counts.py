@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolock.llm.common import doc_texts
+from chronolock.llm.common import doc_texts, slices
 from chronolock.llm.pretokens import encoder, frequent, token_counts
 
 
@@ -31,7 +31,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, sam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             n = token_counts(b.column(1).to_pylist(), encode, known.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(n > np.int64(limit))], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
