@@ -45,7 +45,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_bootstrap.find(table(spark, sf_dir, "documents"))
-    names = F.array(*map(F.lit, pii_bootstrap.KINDS))
+    names = F.array(*map(F.lit, pii_bootstrap.ALL_KINDS))
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")

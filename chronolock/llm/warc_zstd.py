@@ -142,9 +142,10 @@ def read_page(text: bytes) -> tuple:
 
 
 def train(pages: DataFrame, sample_rows: int = 256, size: int = 32 << 10) -> bytes:
-    """A dictionary from ``sample_rows`` payloads at most, cut to 16 KB each; it changes sizes only,
+    """A dictionary from ``sample_rows`` payloads at most, 4096 characters of each; it changes sizes only,
     never what is read back.  Few or uniform samples give a dictionary of their raw bytes."""
-    held = [(r.html or "").encode()[: 16 << 10] for r in pages.select("html").limit(sample_rows).collect()]
+    cut = F.substring(F.coalesce("html", F.lit("")), 1, 4 << 10)  # 16 KB each at most
+    held = [r.html.encode() for r in pages.select(cut.alias("html")).limit(sample_rows).collect()]
     held = [h for h in held if h] or [b"<!DOCTYPE html><html><head></head><body></body></html>"]
     try:
         return zstandard.train_dictionary(size, held, level=3).as_bytes()
@@ -155,7 +156,9 @@ def train(pages: DataFrame, sample_rows: int = 256, size: int = 32 << 10) -> byt
 def write_archives(pages: DataFrame, folder: str, level: int = 3, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages(page_id, url, html)`` to ``folder``: a row for each file, with its records.
 
-    A file appears under its name when it is whole; a task that runs again writes the same name.
+    A task's rows are sorted, so one that runs again, on another machine too, writes the same records to
+    files of the same names; a file appears under its name when it is whole, and one that is there
+    already stays.
     """
     require(pages, ("page_id", "url", "html"), "pages")
     spark = pages.sparkSession
@@ -165,9 +168,10 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, file_bytes: in
     largest = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha")).groupBy("sha").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("copies"))
     copies = largest.where("copies > 1 and kept_id is not null").select("sha", "kept_id")
     plan = rows.join(copies, "sha", "left").select("page_id", "url", "payload", "sha", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("kept_id")), F.col("kept_id")).alias("refers_to"))
+    plan = plan.sortWithinPartitions("sha", F.desc("page_id"), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
+        from pyarrow.fs import FileSystem, FileType
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -184,7 +188,12 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, file_bytes: in
                 f.write(lead)
                 for x in held:
                     f.write(x)
-            fs.move(draft, f"{base}/{name}")
+            try:
+                fs.move(draft, f"{base}/{name}")
+            except OSError:  # some stores keep what is there: the same records from another attempt
+                if fs.get_file_info(f"{base}/{name}").type != FileType.File:
+                    raise
+                fs.delete_file(draft)
             out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], ["file", "records"])
             held, size, records, done = [], 0, 0, done + 1
             return out
@@ -227,11 +236,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload; a null url an empty URI.  Rows that repeat the largest page id of
     a payload are all responses; a row without a page id is a revisit if its payload has an id.  An
-    empty table gives no rows.  Raises if fewer records were written than there are pages.
+    empty table gives no rows.  A page of any length is one
+    record.  Raises unless as many records were written as there are pages.
     """
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     written = write_archives(pages, folder).agg(F.sum("records")).first()[0] or 0
+    if written != pages.count():
+        raise BadArchive(f"{written} records were written for {pages.count()} pages")
     if not written:
         return spark.createDataFrame([], PAGE)
     return read_archives(spark, folder)

@@ -11,6 +11,8 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,26 +33,36 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising adsense spons
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANK = re.compile(r"\s+")
+#: Levels of elements; what is nested deeper is read as if it stood at this level.
+DEPTH = 120
+#: Pairs of elements up to which two lists are aligned with the most in common; longer ones in order.
+PAIRS = 1 << 18
 #: Hosts that a task holds wrappers for before it hands them on.
 HOSTS = 2000
 #: Hosts up to which the places of articles are broadcast; beyond, they are joined by host.
 BROADCAST_HOSTS = 50_000
 
 
+def _told(marks: list[str]) -> bool:
+    """Whether a class, id or role consists of words that are never part of an article (``cookie-notice``
+    does, ``related-work`` doesn't)."""
+    return any(all(w in WORDS for w in re.findall("[a-z]+", mark)) and re.search("[a-z]", mark) for m in marks for mark in m.lower().split())
+
+
 class Node:
     """An element: its label (name and first class, id or role), children, and text between them."""
 
-    __slots__ = ("label", "name", "apart", "children", "parent")
+    __slots__ = ("label", "name", "apart", "children", "parent", "depth")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         marks = [next(g for g in m.groups()[1:] if g is not None) for m in _MARKS.finditer(attributes)] if "=" in attributes else []
-        words = {w for m in marks for w in re.split(r"[^a-z]+", m.lower())}
         self.name = name
         self.label = name + ("." + re.sub(r"\d+", "", marks[0].split()[0].lower()) if marks and marks[0].split() else "")
         inside = parent is not None and parent.inside()
-        self.apart = (name in APART and not (name == "header" and inside)) or bool(words & WORDS and name not in ("html", "body", "article", "main"))
+        self.apart = (name in APART and not (name == "header" and inside)) or (name not in ("html", "body", "article", "main") and _told(marks))
         self.children: list[Node | str] = []
         self.parent = parent
+        self.depth = 0 if parent is None else parent.depth + 1
 
     def inside(self) -> bool:
         node: Node | None = self
@@ -88,17 +100,18 @@ def parse(page: str) -> Node:
                 node = up.parent or root
         new = Node(name, m[3] or m[5] or "", node)
         node.children.append(new)
-        if name not in VOID:
+        if name not in VOID and new.depth < DEPTH:
             node = new
     if at < len(page):
         node.children.append(html.unescape(page[at:]))
     return root
 
 
-# A wrapper element is [label, optional, repeated, characters, elements]; a text slot has label "#".
+# A wrapper element is [label, optional, repeated, characters, elements, text]; a text slot has label "#",
+# and a checksum of its text as long as all pages have the same there, else None.
 
 
-def _fold(items: list) -> list:
+def _fold(items: list, within: bool) -> list:
     """Adjacent equal groups of up to 3 elements as one repeated group."""
     out: list = []
     for x in items:
@@ -106,7 +119,7 @@ def _fold(items: list) -> list:
         for k in (1, 2, 3):
             if len(out) >= 2 * k and all(a[0] == b[0] for a, b in zip(out[-2 * k : -k], out[-k:])):
                 for a, b in zip(out[-2 * k : -k], out[-k:]):
-                    m = merge(a, b)
+                    m = merge(a, b, within)
                     m[2] = True
                     a[:] = m
                 del out[-k:]
@@ -119,37 +132,69 @@ def stream(node: Node) -> list:
     items = []
     for c in node.children:
         if isinstance(c, str):
-            if n := len(_BLANK.sub("", c)):
-                items.append(["#", False, False, n, []])
+            if plain := _BLANK.sub("", c):
+                items.append(["#", False, False, len(plain), [], zlib.crc32(plain.encode("utf-8", "surrogatepass"))])
         else:
             items.append(stream(c))
-    return [node.label, False, False, 0, _fold(items)]
+    return [node.label, False, False, 0, _fold(items, True), None]
 
 
-def align(a: list, b: list) -> list:
-    """Two lists of elements as one: what both have, in order, and the rest as optional groups."""
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of elements of one label that both lists have in order: the most there are, or, of long
+    lists, the next one each time."""
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    head = 0
+    while head < min(n, m) and a[head][0] == b[head][0]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and a[n - 1 - tail][0] == b[m - 1 - tail][0]:
+        tail += 1
+    found = [(i, i) for i in range(head)]
+    n, m = n - tail, m - tail
+    if (n - head) * (m - head) > PAIRS:
+        where: dict[str, list[int]] = {}
+        for j in range(head, m):
+            where.setdefault(b[j][0], []).append(j)
+        j = head
+        for i in range(head, n):
+            places = where.get(a[i][0], [])
+            k = bisect_left(places, j)
+            if k < len(places):
+                found.append((i, places[k]))
+                j = places[k] + 1
+    else:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, head - 1, -1):
+            for j in range(m - 1, head - 1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+        i = j = head
+        while i < n and j < m:
+            if a[i][0] == b[j][0]:
+                found.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return found + [(n + k, m + k) for k in range(tail)]
+
+
+def align(a: list, b: list, within: bool) -> list:
+    """Two lists of elements as one: what both have, in order, and the rest as optional groups."""
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
-    return _fold(out)
+    for x, y in [*_common(a, b), (len(a), len(b))]:
+        out += [[e[0], True, *e[2:]] for e in a[i:x]] + [[e[0], True, *e[2:]] for e in b[j:y]]
+        if x < len(a):
+            out.append(merge(a[x], b[y], within))
+        i, j = x + 1, y + 1
+    return _fold(out, within)
 
 
-def merge(a: list, b: list) -> list:
-    """Two elements of one label as one."""
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], align(a[4], b[4]) if a[4] != b[4] else [merge(x, y) for x, y in zip(a[4], b[4])]]
+def merge(a: list, b: list, within: bool = False) -> list:
+    """Two elements of one label as one: of two pages, texts that differ make a slot; ``within`` a page
+    they follow each other."""
+    text = zlib.crc32(b"%d %d" % (a[5] or 0, b[5] or 0)) if within and a[0] == "#" else a[5] if a[5] == b[5] else None
+    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], align(a[4], b[4], within) if a[4] != b[4] else [merge(x, y, within) for x, y in zip(a[4], b[4])], text]
 
 
 def shape(x: list) -> str:
@@ -159,22 +204,27 @@ def shape(x: list) -> str:
 def _add(a: list, b: list) -> None:
     """Add the characters of ``b`` to ``a``, which has the same shape."""
     a[3] += b[3]
+    a[5] = a[5] if a[5] == b[5] else None
     for x, y in zip(a[4], b[4]):
         _add(x, y)
 
 
 def _apart(label: str) -> bool:
     name, _, mark = label.partition(".")
-    return name in APART or bool(set(re.split(r"[^a-z]+", mark)) & WORDS and name not in ("html", "body", "article", "main"))
+    return name in APART or (name not in ("html", "body", "article", "main") and _told([mark]))
 
 
-def mass(x: list) -> int:
-    return 0 if x[0] != "#" and _apart(x[0]) else x[3] + sum(map(mass, x[4]))
+def mass(x: list, slots: bool) -> int:
+    """Characters of an element; with ``slots`` only of texts that differ between pages."""
+    return 0 if x[0] != "#" and _apart(x[0]) else (0 if slots and x[5] is not None else x[3]) + sum(mass(c, slots) for c in x[4])
 
 
 def article_path(wrapper: list) -> list[str]:
     """The labels from the root to the container of the article: the article or main element with
-    most text, else the deepest element that holds three quarters of the text."""
+    most text, else the deepest element that holds three quarters of the text in slots: what all pages of
+    a host have alike (menus, notices) is template, whatever its names.  Where nothing differs, of a
+    host of one page, all text counts."""
+    slots = mass(wrapper, True) > 0
     found: list[tuple[int, list[str]]] = []
 
     def visit(x: list, path: list[str]) -> None:
@@ -182,7 +232,7 @@ def article_path(wrapper: list) -> list[str]:
             if c[0] != "#" and not _apart(c[0]):
                 own = [*path, c[0]]
                 if c[0].partition(".")[0] in ("article", "main"):
-                    found.append((mass(c), own))
+                    found.append((mass(c, slots), own))
                 visit(c, own)
 
     visit(wrapper, [])
@@ -192,8 +242,8 @@ def article_path(wrapper: list) -> list[str]:
         return min(inner, key=len)
     path, node = [], wrapper
     while True:
-        total = mass(node)
-        kids = [(mass(c), c) for c in node[4] if c[0] != "#"]
+        total = mass(node, slots)
+        kids = [(mass(c, slots), c) for c in node[4] if c[0] != "#"]
         n, best = max(kids, key=lambda k: k[0], default=(0, None))
         if best is None or not total or n < 0.75 * total or best[2] or best[0].partition(".")[0] in ("p", "li", "tr", "td", "span", "b", "i", "a"):
             return path

@@ -114,3 +114,46 @@ def test_a_host_without_article_elements_gets_its_largest_container(spark):
     rows = [(i, "http://z.example/", f"<body><div class=top>Menu</div><div class=story><p>{'word ' * 60}{i}</p><p>end {i}</p></div><div class=low>x</div></body>") for i in range(5)]
     got = wrapper_extract.main_text(pages(spark, rows)).collect()
     assert all(r.text == f"{'word ' * 60}{r.page_id}\nend {r.page_id}" for r in got)
+
+
+def test_the_wrapper_tells_template_from_article(spark):
+    """Neither elements nor class names tell; what all pages of a host have alike does."""
+    menu = "<div class=ka><div>Start of the site</div><div>All the things that this site has to offer to its many readers every day</div></div>"
+    foot = "<div class=kc><p>Written and printed by the people of this site, who thank you for reading it to the very end of the page</p></div>"
+    rows = [(i, f"http://w.example/{i}", f"<body>{menu}<div class=kb><p>Text {i} begins.</p><p>{'word%d ' % i * 3}</p></div>{foot}</body>") for i in range(4)]
+    got = {r.page_id: r.text for r in wrapper_extract.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Text {i} begins.\n" + f"word{i} word{i} word{i}" for i in range(4)}
+    alone = wrapper_extract.text_of(wrapper_extract.parse(rows[0][2]), [])
+    assert "Start of the site" in alone and "thank you" in alone  # without the wrapper the template stays
+
+
+def test_names_that_only_contain_a_word_stay(spark):
+    rows = [(1, "http://n.example/1", "<article><p>a</p><div class='related-work'>b</div><div class='cookie-notice'>c</div><div class='Share Buttons'>d</div></article>")]
+    assert wrapper_extract.main_text(pages(spark, rows)).first().text == "a\nb"
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+
+    start = time.time()
+    wide = [f"<body><div>{''.join(f'<{t}>x{i}</{t}>' for i, t in enumerate(ts))}</div></body>" for ts in (["p", "h2", "ul", "h3", "pre"] * 10_000, ["h3", "p", "p", "h2", "dl", "ul", "pre"] * 7_000)]
+    rows = [(1, "http://d.example/1", "<div>" * 100_000 + "in the deep" + "</div>" * 100_000 + "<p>after</p>"), *((2 + i, "http://e.example/1", h) for i, h in enumerate(wide))]
+    got = {r.page_id: r.text for r in wrapper_extract.main_text(pages(spark, rows)).collect()}
+    assert got[1] == "in the deep\nafter"
+    assert got[2].split("\n") == [f"x{i}" for i in range(50_000)] and len(got[3].split("\n")) == 49_000
+    assert time.time() - start < 120
+
+
+def test_a_task_that_runs_again_leaves_each_record_once(spark, tmp_path):
+    """A lost executor's tasks write again, in any order of rows."""
+    rows = [(i, f"http://a.example/{i}", f"<p>{i % 40} {'z' * 3000}</p>") for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        folder = f"file://{tmp_path}/warc"
+        for order in ("page_id", "url"):
+            df = pages(spark, rows).repartition(3, order)
+            assert warc_zstd.write_archives(df, folder, file_bytes=20_000).agg({"records": "sum"}).first()[0] == 400
+        got = sorted(r.page_id for r in warc_zstd.read_archives(spark, folder).collect())
+        assert got == list(range(400))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -131,6 +131,25 @@ def test_patterns_discover_what_no_expression_finds(spark, make_docs):
     assert pii_bootstrap.find(make_docs([])).count() == 0
 
 
+def test_secrets_and_identifiers_without_digits(spark, make_docs):
+    rng = random.Random(14)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (*[40] * 8, 36, 35)]
+    docs = [(i, f"the {w} token = \"{h}\" {w}") for i, (h, w) in enumerate(zip(hexes, "one two three four five six seven eight nine ten".split()))]
+    docs += [(20 + i, f"write to me at user{i}@mail{i}.example.com if you can") for i in range(6)] + [(40, "write to me at alice7@localhost if you can")]
+    docs += [(50, "a hash " + hexes[8] + " in another place"), (51, "token = 12345678 is a number")]
+    by = {r.doc_id: r for r in pii_bootstrap.find(make_docs(docs)).collect()}
+    for i, (_, text) in enumerate(docs[:10]):
+        assert [(s.start, s.kind, s.end) for s in by[i].added] == [(text.index(hexes[i]), pii_bootstrap.SECRET, text.index(hexes[i]) + len(hexes[i]))], i
+    assert not by[40].added  # no dot: not of the shape of a known email
+    assert not by[50].added and not by[51].added
+
+
+def test_candidates_are_runs_and_words():
+    text = "call 020 7946 0958 or (555) 010-99 44, ask alice@home or x12345 of 1.2.3.4"
+    found = [text[s:e] for s, e in pii_bootstrap.candidates(text, pii_bootstrap.base_spans(text))]
+    assert found == ["020 7946 0958", "(555) 010-99 44", "alice@home", "x12345"]
+
+
 def test_registered_queries_return_their_columns(spark):
     want = {
         "op2_": "page_id payload_bytes payload_digest record_type refers_to", "op4_": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
