@@ -130,7 +130,7 @@ def anchor_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _forest(homes: np.ndarray, near: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join whatever ``homes`` and ``near`` join by ``bits`` or fewer; no more than rows.
+    """Links of each node to the smallest of those that ``homes`` and ``near`` join by ``bits`` or fewer.
 
     The first row of either has nodes, the others prints, whose differing bits add up."""
     one, two = homes[1:].view(np.uint64), near[1:].view(np.uint64)
@@ -142,19 +142,18 @@ def _forest(homes: np.ndarray, near: np.ndarray, bits: int) -> list[tuple[np.nda
     if not len(cols):
         return []
     hit = hit[:, cols]
-    first = hit.argmax(0)
-    out = [(homes[0][first], near[0][cols])]
-    if homes.shape[1] > 1 and (hit.sum(0) > 1).any():
-        label = np.arange(homes.shape[1])
+    label = np.arange(homes.shape[1])
+    if len(label) > 1 and (hit.sum(0) > 1).any():
         while True:
             low = np.where(hit, label[:, None], len(label)).min(0)
             new = np.minimum(label, np.where(hit, low[None, :], len(label)).min(1))
             if (new == label).all():
                 break
             label = new
-        more = np.flatnonzero(label != np.arange(len(label)))
-        out.append((homes[0][more], homes[0][label[more]]))
-    return out
+    node, group = np.concatenate([homes[0], near[0][cols]]), np.concatenate([label, label[hit.argmax(0)]])
+    least = np.full(len(label), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, node)
+    return [(node, least[group])]
 
 
 def _compare(bits: int, prints: list[int]):
@@ -201,9 +200,19 @@ def _deal(rows: DataFrame, most_homes: int) -> DataFrame:
     return dealt.select(*order).repartition(parts(rows.sparkSession), F.shiftright("key", 1), "salt").sortWithinPartitions(F.shiftright("key", 1), "salt", "key")
 
 
+def _hooked(found: DataFrame) -> DataFrame:
+    """Links with the closure of ``found(u, v)``, where v is the smallest node of a block: of the
+    smallest nodes that a node is linked to (as many as its blocks, at most) the smallest keeps it, and
+    the others are linked to that one, so that blocks of one family say the same."""
+    by = found.groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("v", F.array_min("vs"))
+    own = F.array(F.struct("u", "v"))
+    rest = F.transform(F.filter("vs", lambda x: x != F.col("v")), lambda x: F.struct(x.alias("u"), F.col("v").alias("v")))
+    return by.select(F.explode(F.concat(own, rest)).alias("e")).select("e.u", "e.v").distinct()
+
+
 def links(prints: DataFrame, bits: int = BITS, most_homes: int = HOMES) -> DataFrame:
     """Links ``(u, v)`` between different fingerprints (column ``fp``, one row each) whose closure is
-    that of all pairs within ``bits`` (5 or fewer)."""
+    that of all pairs within ``bits`` (5 or fewer); a link may go by way of others that join it."""
     if bits >= 2 * len(SEGMENTS):
         raise ValueError(f"bits must be under {2 * len(SEGMENTS)}")
 
@@ -214,7 +223,7 @@ def links(prints: DataFrame, bits: int = BITS, most_homes: int = HOMES) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array((a << 1 | r).astype(np.int32)), pa.array(fp[at])], ["key", "node"])
 
     rows = prints.select("fp").mapInArrow(spread, "key int, node long")
-    return _deal(rows, most_homes).mapInArrow(_compare(bits, [2]), "u long, v long").distinct()
+    return _hooked(_deal(rows, most_homes).mapInArrow(_compare(bits, [2]), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
@@ -358,7 +367,7 @@ def _family_links(found: DataFrame, texts: DataFrame, words: int, similarity: fl
                 yield pa.RecordBatch.from_arrays([pa.array(((a | k << 24) << 1 | r).astype(np.int32)), pa.array(node[at]), *(pa.array(own[(k + x) % planes][at]) for x in (1, 2))], ["key", "node", "one", "two"])
 
     rows = found.select("node", *names).mapInArrow(spread, "key int, node long, one long, two long")
-    family = components(_deal(rows, most_homes).mapInArrow(_compare(bits, [3, 4]), "u long, v long")).select(F.col("node").alias("member"), F.col("root").alias("family"))
+    family = components(_hooked(_deal(rows, most_homes).mapInArrow(_compare(bits, [3, 4]), "u long, v long"))).select(F.col("node").alias("member"), F.col("root").alias("family"))
     sized = family.join(found.select("node", "n"), F.col("member") == F.col("node"))
     cuts = F.ceil(F.greatest(F.count("*") / F.lit(block_texts), F.sum("n") / F.lit(block_shingles))).cast("int")
     sized = sized.groupBy("family").agg(cuts.alias("cuts"))
