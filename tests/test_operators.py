@@ -177,6 +177,31 @@ def test_manova_separates_groups(spark):
     assert got.groups == 3 and 0 < got.wilks < 0.3 and got.p < 1e-6
 
 
+def test_tuned_by_each_method(spark):
+    from chronolock.plans.composites import gated, tuning
+
+    # trace 1 answers by image in its mean, 2 in its shape alone, 3 not at all, 4 has one image
+    def value(roi, e, k):
+        noise = math.sin(e * 12.9898 + k * 78.233 + roi) * 43758.5453
+        noise -= math.floor(noise) + 0.5
+        return noise + {1: 3.0 * (e % 4), 2: 3.0 * (e % 4) * (1, -1, 0)[k]}.get(roi, 0.0)
+
+    w = spark.createDataFrame([(r, e, "im" + str(e % 4 if r < 4 else 0), k, value(r, e, k)) for r in (1, 2, 3, 4) for e in range(48) for k in range(3)], "roi int, event_id int, stimulus string, k int, v double")
+    values = w.groupBy("roi", "event_id", "stimulus").agg(F.avg("v").alias("v"))
+    got = {m: {r.roi: r for r in tuning(values, ["roi"], 199, method=m, traces=w)["tuning_summary"].collect()} for m in ("fve", "manova", "hybrid")}
+    assert {m: sorted(i for i, r in x.items() if r.is_tuned) for m, x in got.items()} == {"fve": [1], "manova": [1, 2], "hybrid": [1, *([2] if got["fve"][2].fve >= 0.05 else [])]}
+    assert sorted(got["fve"]) == [1, 2, 3]
+    one = got["fve"][1]
+    by = [[sum(value(1, e, k) for k in range(3)) / 3 for e in range(48) if e % 4 == i] for i in range(4)]
+    assert one.preferred == "im3" and abs(one.preferred_effect - (np.median(by[3]) - np.median(by[0] + by[1] + by[2]))) < 1e-9
+    with pytest.raises(ValueError):
+        tuning(values, ["roi"], method="other")
+    with pytest.raises(ValueError):
+        tuning(values, ["roi"], method="manova")
+    table = spark.createDataFrame([(1, "image", "activated"), (1, "image", "activated"), (2, "image", "no_change"), (3, "change", "activated")], "roi int, family string, response_class string")
+    assert {r.roi for r in gated(values, table, ["roi"]).collect()} == {1} and gated(values, table, ["roi"]).count() == 48
+
+
 def test_components_explain_the_variance(spark):
     d = spark.createDataFrame([(i, float(i), 2.0 * i + (i % 3), float(i % 5)) for i in range(50)], "id int, a double, b double, c double")
     got = statistics.principal_components(d, ["a", "b", "c"], 2).first()
