@@ -36,12 +36,17 @@ def edges(signal: DataFrame, keys: list[str], half: int = 4) -> DataFrame:
 
 
 def debounce(times: DataFrame, key: str, separation: float) -> DataFrame:
-    """An edge stays if it comes over ``separation`` after the last that stayed: a fold over the
-    ordered edges of a session, which are few."""
+    """An edge stays if it comes over ``separation`` after the last that stayed.
+
+    Edges whose gap to the one before is larger stay whatever came before them, and each of them starts
+    a burst of its own; only bursts, a few edges each, are folded."""
+    order = W.partitionBy(key).orderBy("t")
+    gap = times.where("t is not null").select(key, "t").withColumn("gap", F.col("t") - F.lag("t").over(order))
+    bursts = gap.withColumn("burst", F.sum((F.col("gap").isNull() | (F.col("gap") > separation)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     start = F.array().cast("array<double>")
     far = lambda acc, x: (F.size(acc) == 0) | (x - F.element_at(acc, -1) > separation)
     kept = F.aggregate(F.array_sort(F.collect_list("t")), start, lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return times.groupBy(key).agg(kept.alias("kept")).select(key, F.explode("kept").alias("t"))
+    return bursts.groupBy(key, "burst").agg(kept.alias("kept")).select(key, F.explode("kept").alias("t"))
 
 
 def edge_summary(times: DataFrame, key: str) -> DataFrame:

@@ -150,7 +150,7 @@ def t17(spark, sf):
 def t10(spark, sf):
     log = view(spark, sf, "log")
     s = log.where("value like 'Photodiode%'").select("session_id", F.col("row_idx").alias("i"), (F.col("t") * 1.0001 + 3).alias("t"), F.when(F.col("value") == "Photodiode-1", 1.0).otherwise(0.0).alias("v"))
-    return clock.align(log, s).groupBy("session_id", "alignment_method").agg(F.count("*").alias("n"), F.count("t_corr").alias("n_corrected"), fixed(F.avg(F.col("t_corr") - F.col("t")), 3).alias("mean_shift"))
+    return clock.align(log, s)[0].groupBy("session_id", "alignment_method").agg(F.count("*").alias("n"), F.count("t_corr").alias("n_corrected"), fixed(F.avg(F.col("t_corr") - F.col("t")), 3).alias("mean_shift"))
 
 
 @query("w6_best_mode")

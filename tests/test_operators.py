@@ -177,6 +177,48 @@ def test_manova_separates_groups(spark):
     assert got.groups == 3 and 0 < got.wilks < 0.3 and got.p < 1e-6
 
 
+def test_clocks_align_by_photodiode_or_by_frames(spark):
+    from chronolock.operators import clock
+
+    # flips every 30 frames of 1/60 s from frame 7, at uneven intervals in session 1; the device runs
+    # 1.0002 times as fast, 0.3 s late
+    uneven = np.cumsum([7] + [20 + k * 7 % 11 for k in range(200)])
+    flips = lambda sid, n: int(np.searchsorted(uneven, n, "right")) if sid == 1 else int((n - 7) // 30) + 1
+    on_device = {1: lambda t: 500 + 0.3 + 1.0002 * t, 2: lambda t: 900 + 0.3 + 1.0002 * t, 3: lambda t: 100 + 0.3 + t, 4: lambda t: 0.3 + t}
+    rows_, points = [], []
+    for sid, f in on_device.items():
+        i = 0
+        for n in range(2400):
+            if sid in (1, 3) and (n == 0 or flips(sid, n) > flips(sid, n - 1)):
+                rows_.append((sid, i, 1000.0 + n / 60, f"Photodiode-{flips(sid, n) % 2}"))
+                i += 1
+            rows_.append((sid, i, 1000.0 + n / 60, "Frame"))
+            i += 1
+        start, stop = int(f(0)) * 100, int(f(10 if sid == 3 else 40) * 100)
+        for j in range(stop - start):
+            t = start / 100 + j / 100
+            n = ((t - f(0)) / (f(1) - f(0))) * 60
+            points.append((sid, j, t, 0.0 if sid == 4 else 5.0 * (flips(sid, n) % 2)))
+    log = spark.createDataFrame(rows_, "session_id int, row_idx long, t double, value string")
+    samples = spark.createDataFrame(points, "session_id int, i int, t double, v double")
+    for warp, first in ((True, "piecewise"), (False, "affine")):
+        out, record = clock.align(log, samples, warp=warp)
+        by = {r.session_id: r for r in record.collect()}
+        assert {k: r.alignment_method for k, r in by.items()} == {1: first, 2: "frames", 3: "short recording", 4: "no pairs"}
+        got = out.collect()
+        assert len(got) == len(rows_)
+        for r in got:
+            assert (r.t_corr is None) == (r.session_id > 2)
+            if r.t_corr is not None:
+                assert abs(r.t_corr - on_device[r.session_id](r.t - 1000)) < 0.03, r
+        assert by[2].phase == 7 and abs(by[2].intercept - 0.3) < 0.02 and abs(by[2].slope - 1.0002) < 1e-3 and by[1].phase is None
+
+
+def test_debounce_counts_from_the_last_that_stayed(spark):
+    d = spark.createDataFrame([(1, x) for x in (0.0, 0.4, 0.8, 1.2, 5.0, 5.0)] + [(2, 3.0), (3, None)], "session_id int, t double")
+    assert rows(signals.debounce(d, "session_id", 0.5), "session_id", "t") == [(1, 0.0), (1, 0.8), (1, 5.0), (2, 3.0)]
+
+
 def test_tuned_by_each_method(spark):
     from chronolock.plans.composites import gated, tuning
 
