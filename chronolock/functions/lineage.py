@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` from a reliable checkpoint in the folder of ``spark.checkpoint.dir`` (a fresh local one
-    where that is unset, as in tests)."""
+    where that is unset and all runs on one machine, as in tests; on a cluster it must be set)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="spark-shared-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
