@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it.  Where that is unset (tests in one JVM) a fresh local folder
-    is set and used.
+    ``spark.checkpoint.dir`` names it.  Where that is unset and all runs on one machine (tests) a
+    fresh local folder is set and used; on a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = f"file://{local}"
