@@ -223,15 +223,16 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("piece")
     n, weights, last, illegal = 0, None, "", 0
     for r in pdf.itertuples():
-        low, theirs = WIDE * (n + r.length), [int.from_bytes(b, "big") for b in r.letters]
-        theirs = [(c << low) + x for c, x in zip(r.cost, theirs)]
+        more = int(r.length)
+        low = WIDE * (n + more)
+        theirs = [(int(c) << low) + int.from_bytes(x, "big") for c, x in zip(r.cost, r.letters)]
         if weights is None:
             weights = theirs
         else:
-            ours = [((w >> (WIDE * n)) << low) + ((w & ((1 << (WIDE * n)) - 1)) << (WIDE * r.length)) for w in weights]
+            ours = [((w >> (WIDE * n)) << low) + ((w & ((1 << (WIDE * n)) - 1)) << (WIDE * more)) for w in weights]
             weights = [min(ours[4 * q + m] + theirs[4 * m + e] for m in range(4)) for q in range(4) for e in range(4)]
             illegal += last + r.first not in LEGAL
-        n, last, illegal = n + r.length, r.last, illegal + r.illegal
+        n, last, illegal = n + more, r.last, illegal + int(r.illegal)
     row = (pdf.conv_id.iloc[0], pdf.piece.iloc[0] // FAN, n, pdf["first"].iloc[0], last, illegal, *_stored(weights, n))
     return pd.DataFrame([row], columns=[c.split()[0] for c in PIECE.split(", ")])
 
