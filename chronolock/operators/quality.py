@@ -7,16 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolock.functions import average_rank, median
+from chronolock.functions.lineage import settled
+from chronolock.functions.quantiles import HELD, large_keys, quantiles, several
+from chronolock.operators.baselines import savitzky_golay
+from chronolock.operators.signals import fill_runs
 
 WEIGHTS = {"valid_score": 0.15, "finite_score": 0.15, "activity_score": 0.25, "snr_score": 0.35}
 
 
-def robust_stats(signal: DataFrame, keys: list[str]) -> DataFrame:
-    """Median, median deviation and its scaled form, percentile range 1 to 99, share that is there."""
-    mid = signal.groupBy(*keys).agg(median("v").alias("mid"), (F.count("v") / F.count("*")).alias("finite"), F.percentile("v", F.array(*map(F.lit, (0.01, 0.25, 0.75, 0.99)))).alias("p"))
-    apart = signal.join(mid, keys)
-    out = apart.groupBy(*keys).agg(median(F.abs(F.col("v") - F.col("mid"))).alias("mad"), F.first("mid").alias("median"), F.first("finite").alias("finite"), F.first("p").alias("p"))
-    return out.select(*keys, "median", "mad", (F.lit(1.4826) * F.col("mad")).alias("sigma"), (F.col("p")[3] - F.col("p")[0]).alias("span"), (F.col("p")[2] - F.col("p")[1]).alias("iqr"), "finite")
+def robust_stats(signal: DataFrame, keys: list[str], held: int = HELD) -> DataFrame:
+    """Median, median deviation and its scaled form, percentile range 1 to 99, share that is there.
+    Keys of more than ``held`` values are ranked over all tasks."""
+    return _robust_stats(signal, keys, large_keys(signal, keys, "v", held))
+
+
+def _robust_stats(signal: DataFrame, keys: list[str], large: DataFrame | None) -> DataFrame:
+    p = quantiles(signal, keys, "v", (0.01, 0.25, 0.5, 0.75, 0.99), large).withColumn("median", F.col("q")[2]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("q").alias("p"), "median")
+    apart = signal.select(*keys, "v").join(p, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys]).withColumn("apart", F.abs(F.col("v") - F.col("median")))
+    mad = quantiles(apart, keys, "apart", (0.5,), large).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("q")[0].alias("mad"))
+    rest = apart.groupBy(*keys).agg((F.count("v") / F.count("*")).alias("finite"), F.first("p").alias("p"), F.first("median").alias("median"))
+    out = rest.join(mad, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return out.select(*keys, "median", "mad", (F.lit(1.4826) * F.col("mad")).alias("sigma"), (F.col("p")[4] - F.col("p")[0]).alias("span"), (F.col("p")[3] - F.col("p")[1]).alias("iqr"), "finite")
 
 
 def bounded(c: Column, rate: float) -> Column:
@@ -31,13 +42,35 @@ def combined(scores: dict[str, float]) -> Column:
     return up / F.when(down != 0, down)
 
 
-def trace_quality(signal: DataFrame, residual: DataFrame, keys: list[str], valid: Column | None = None) -> DataFrame:
-    """Robust statistics, signal to noise (99th percentile over the residual's scaled deviation, also
-    in dB), sub-scores and the score.  ``residual`` has ``v`` less its smooth."""
-    own = robust_stats(signal, keys)
-    p99 = signal.groupBy(*keys).agg(F.percentile(F.abs("v"), F.lit(0.99)).alias("p99"))
-    noise = robust_stats(residual, keys).select(*keys, F.col("sigma").alias("noise"))
-    q = own.join(p99, keys).join(noise, keys, "left").withColumn("snr", F.col("p99") / F.when(F.col("noise") > 0, F.col("noise")))
+def segment_residuals(signal: DataFrame, keys: list[str], segment: str = "segment", half: int = 50) -> DataFrame:
+    """``smooth`` and ``residual`` of each segment of at least a window of values: nulls filled along
+    the line, the segment's median taken off, a cubic fit in windows of ``half`` samples on either side."""
+    each = [*keys, segment]
+    named = [F.col(k).alias(f"_{k}") for k in each]
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in each]
+    whole = signal.groupBy(*named).agg(F.count("v").alias("_have")).where(F.col("_have") >= 2 * half + 1).drop("_have")
+    filled = fill_runs(signal.select(*each, "i", "v").join(whole, on, "left_semi"), each).select(*each, "i", F.col("filled").alias("v"))
+    mid = quantiles(filled, each, "v", (0.5,)).select(*named, F.col("q")[0].alias("_mid"))
+    smooth = savitzky_golay(filled, each, half).join(mid, on)
+    return smooth.select(*each, "i", (F.col("smooth") - F.col("_mid")).alias("smooth"), (F.col("v") - F.col("smooth")).alias("residual"))
+
+
+def trace_quality(signal: DataFrame, keys: list[str], segment: str = "segment", half: int = 50, valid: Column | None = None, held: int = HELD) -> DataFrame:
+    """Robust statistics, signal to noise (scaled median deviation of the smoothed segments over that of
+    their residuals, also in dB), sub-scores and the score.  ``signal`` has a ``segment``, as of a valid
+    trial; ``valid`` is the share of trials that are (1 if not given)."""
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    signal = settled(signal.select(*keys, segment, "i", "v"))  # read several times below
+    large = large_keys(signal, keys, "v", held)
+    parts = settled(segment_residuals(signal, keys, segment, half))
+    both = several(parts, keys, {"smooth": (0.5,), "residual": (0.5,)}, large).select(*named, F.col("q_smooth")[0].alias("_sm"), F.col("q_residual")[0].alias("_rm"))
+    apart = parts.join(both, on).select(*keys, F.abs(F.col("smooth") - F.col("_sm")).alias("smooth"), F.abs(F.col("residual") - F.col("_rm")).alias("residual"))
+    sigma = several(apart, keys, {"smooth": (0.5,), "residual": (0.5,)}, large).select(*named, (F.lit(1.4826) * F.col("q_smooth")[0]).alias("level"), (F.lit(1.4826) * F.col("q_residual")[0]).alias("noise"))
+    size = signal.withColumn("size", F.abs("v"))
+    p99 = several(size, keys, {"size": (0.95, 0.99)}, large).select(*named, F.col("q_size")[0].alias("p95"), F.col("q_size")[1].alias("p99"))
+    q = _robust_stats(signal, keys, large).join(p99, on).drop(*[f"_{k}" for k in keys]).join(sigma, on, "left").drop(*[f"_{k}" for k in keys])
+    q = q.withColumn("snr", F.col("level") / F.when(F.col("noise") > 0, F.col("noise")))
     q = q.withColumn("snr_db", F.when(F.col("snr") > 0, 20 * F.log10("snr"))).withColumn("valid", F.lit(1.0) if valid is None else valid)
     q = q.withColumn("valid_score", F.least(F.sqrt("valid"), F.lit(1.0))).withColumn("finite_score", F.least("finite", F.lit(1.0))).withColumn("activity_score", bounded(F.col("p99"), 0.75)).withColumn("snr_score", bounded(F.col("snr"), 0.8))
     return q.withColumn("quality_score", combined(WEIGHTS))
@@ -55,13 +88,18 @@ def score_summary(scores: DataFrame, keys: list[str], score: str = "quality_scor
     return scores.groupBy(*keys).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), median(score).alias("median"), F.stddev_samp(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"))
 
 
-def soma_metrics(signal: DataFrame, keys: list[str]) -> DataFrame:
+def soma_metrics(signal: DataFrame, keys: list[str], held: int = HELD) -> DataFrame:
     """Percentiles, range (95th less 5th), largest value, signal to noise, and drift: median of the
     last third of what is there less that of the first (larger thirds first)."""
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    large = large_keys(signal, keys, "v", held)
     third = signal.where("v is not null").withColumn("third", F.ntile(3).over(W.partitionBy(*keys).orderBy("i")))
-    drift = third.groupBy(*keys).agg((median(F.when(F.col("third") == 3, F.col("v"))) - median(F.when(F.col("third") == 1, F.col("v")))).alias("drift"))
-    p = signal.groupBy(*keys).agg((F.count("v") / F.count("*")).alias("finite"), F.percentile("v", F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("p"), F.max(F.abs("v")).alias("peak"), F.stddev_pop("v").alias("sd"))
-    out = p.join(drift, keys, "left").select(*keys, "finite", (F.col("p")[2] - F.col("p")[0]).alias("range"), "peak", ((F.col("p")[2] - F.col("p")[1]) / F.when(F.col("sd") > 0, F.col("sd"))).alias("snr"), F.abs("drift").alias("drift"))
+    ends = quantiles(third.where("third <> 2").select(*keys, "third", "v"), [*keys, "third"], "v", (0.5,), large)
+    drift = ends.groupBy(*named).agg((F.max(F.when(F.col("third") == 3, F.col("q")[0])) - F.max(F.when(F.col("third") == 1, F.col("q")[0]))).alias("drift"))
+    p = quantiles(signal, keys, "v", (0.05, 0.5, 0.95), large).select(*named, F.col("q").alias("p"))
+    rest = signal.groupBy(*keys).agg((F.count("v") / F.count("*")).alias("finite"), F.max(F.abs("v")).alias("peak"), F.stddev_pop("v").alias("sd"))
+    out = rest.join(p, on).drop(*[f"_{k}" for k in keys]).join(drift, on, "left").select(*keys, "finite", (F.col("p")[2] - F.col("p")[0]).alias("range"), "peak", ((F.col("p")[2] - F.col("p")[1]) / F.when(F.col("sd") > 0, F.col("sd"))).alias("snr"), F.abs("drift").alias("drift"))
     return out.withColumn("drift_share", F.col("drift") / F.when(F.col("range") > 0, F.col("range")))
 
 

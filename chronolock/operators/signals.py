@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolock.functions import lerp, median
+from chronolock.functions.blocks import Block, by_blocks
+from chronolock.operators.baselines import rolling_median
 
 
 def _order(keys: list[str]):
     return W.partitionBy(*keys).orderBy("i")
 
 
-def rolling_median(keys: list[str], half: int, value: str = "v") -> Column:
+def median_filter(keys: list[str], half: int, value: str = "v") -> Column:
     """Median of a sample and ``half`` on either side; samples beyond the ends are 0, as in a median
     filter."""
     frame = _order(keys).rowsBetween(-half, half)
@@ -27,7 +30,7 @@ def rolling_median(keys: list[str], half: int, value: str = "v") -> Column:
 def edges(signal: DataFrame, keys: list[str], half: int = 4) -> DataFrame:
     """Rises and falls of the median-filtered signal across the middle of its 5th and 95th
     percentiles."""
-    smooth = signal.withColumn("m", rolling_median(keys, half))
+    smooth = signal.withColumn("m", median_filter(keys, half))
     level = smooth.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("p")).select(*[F.col(k).alias(f"_{k}") for k in keys], ((F.col("p")[0] + F.col("p")[1]) / 2).alias("threshold"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     binary = smooth.join(level, on).withColumn("b", (F.col("m") > F.col("threshold")).cast("int"))
@@ -152,16 +155,6 @@ def reflected_mean(signal: DataFrame, keys: list[str], half: int, value: str = "
     return every.withColumn("smooth", centered_mean(keys, half, value)).where("own").drop("own", "last")
 
 
-def percentile_baseline(signal: DataFrame, keys: list[str], half: int, q: float, smooth_half: int, eps: float = 1e-6) -> DataFrame:
-    """``base``: nulls take the series' median; the q-th order statistic of a moving window, then a
-    moving mean, at least ``eps``."""
-    mid = signal.groupBy(*keys).agg(median("v").alias("mid"))
-    filled = signal.join(mid, keys).withColumn("filled", F.coalesce("v", "mid"))
-    frame = F.collect_list("filled").over(_order(keys).rowsBetween(-half, half))
-    low = filled.withColumn("low", F.element_at(F.array_sort(frame), (F.lit(1) + F.floor(F.size(frame) * F.lit(q / 100))).cast("int")))
-    return low.withColumn("base", F.greatest(centered_mean(keys, smooth_half, "low"), F.lit(eps))).drop("mid", "filled", "low")
-
-
 def floor_baseline(signal: DataFrame, keys: list[str], share: float = 0.05, least_finite: float = 0.5, eps: float = 1e-6) -> DataFrame:
     """``f0``: ``base`` raised to a share of the series' 20th percentile; null where the signal is, and
     everywhere if too little of it is there."""
@@ -234,18 +227,6 @@ def lags(keys: list[str], value: str, steps: list[int]) -> dict[str, Column]:
     return {f"{value}_{s}": F.coalesce(F.lag(value, s).over(order), first) if s >= 0 else F.coalesce(F.lead(value, -s).over(order), last) for s in steps}
 
 
-def savitzky_golay(signal: DataFrame, keys: list[str], half: int) -> DataFrame:
-    """Cubic smoothing of samples that have ``half`` on either side, from windowed sums alone:
-    (S4 sum x - S2 sum (j-i)^2 x) / (n S4 - S2^2); null nearer the ends."""
-    n, s2 = 2 * half + 1, sum(j * j for j in range(-half, half + 1))
-    s4 = sum(j**4 for j in range(-half, half + 1))
-    frame = _order(keys).rowsBetween(-half, half)
-    own = F.col("i").cast("double")
-    s0, s1, sq = F.sum("v").over(frame), F.sum(own * F.col("v")).over(frame), F.sum(own * own * F.col("v")).over(frame)
-    around = sq - 2 * own * s1 + own * own * s0
-    return signal.withColumn("smooth", F.when(F.count("v").over(frame) == n, (s4 * s0 - s2 * around) / F.lit(float(n * s4 - s2 * s2))))
-
-
 def fill_runs(signal: DataFrame, keys: list[str]) -> DataFrame:
     """Nulls along the line between the values round them, the nearest value at the ends."""
     order = _order(keys)
@@ -275,12 +256,43 @@ def gaussian(signal: DataFrame, keys: list[str], sigma: float, value: str = "v")
     return signal.withColumn("smooth", total)
 
 
-def running_speed(positions: DataFrame, keys: list[str], ticks: float = 1024.0, radius_cm: float = 8.0, half: int = 25) -> DataFrame:
-    """Speed in cm/s from encoder ticks: median filter, gradient of place by time (0 where time
-    does not go on), wheel circumference."""
-    m = positions.withColumn("m", F.percentile("v", F.lit(0.5)).over(_order(keys).rowsBetween(-half, half)))
+def mirrored_gaussian(signal: DataFrame, keys: list[str], sigma: float, value: str = "v") -> DataFrame:
+    """``smooth``: Gaussian smoothing over 4 deviations, the series mirrored at its ends (the end sample
+    twice); in blocks."""
+    radius = int(4 * sigma + 0.5)
+    weights = np.exp(-np.arange(-radius, radius + 1) ** 2 / (2 * sigma * sigma))
+    weights /= weights.sum()
+
+    def run(b: Block) -> list[np.ndarray]:
+        x = np.pad(b.column(value), radius, mode="symmetric")
+        return [np.convolve(x, weights, mode="valid")[slice(*b.own)]]
+
+    return by_blocks(signal, keys, radius, {"smooth": "double"}, run)
+
+
+#: Centimetres of one unit of an encoder on a wheel of radius 1, but for lengths.
+TURNS = {"degrees": math.pi / 180, "radians": 1.0}
+LENGTHS = {"cm": 1.0, "m": 100.0}
+
+
+def running_speed(positions: DataFrame, keys: list[str], unit: str = "ticks", ticks: float = 1024.0, radius_cm: float = 8.0, kernel: int = 51, sigma: float | None = 3.0, absolute: bool = True, out: str = "cm/s", zero: str = "none", session_start: str | None = None, offset: float = 0.0) -> DataFrame:
+    """``speed`` from an encoder's place ``v`` and time ``t``, and ``t`` from the given zero.
+
+    The place goes through a median filter (``kernel`` samples, zeros beyond the ends); its gradient over that
+    of time, 0 where time does not go on, is smoothed by a mirrored Gaussian.  ``unit`` is ``ticks``,
+    ``degrees``, ``radians``, ``cm`` or ``m``; ``out`` is ``cm/s`` or ``m/s``; ``zero`` is ``first_sample``,
+    ``session_start`` (the column so named) or ``none``."""
+    if unit not in ("ticks", *TURNS, *LENGTHS) or out not in ("cm/s", "m/s") or zero not in ("first_sample", "session_start", "none"):
+        raise ValueError(f"running_speed: unit {unit!r}, out {out!r} or zero {zero!r}")
+    cm = LENGTHS[unit] if unit in LENGTHS else radius_cm * (2 * math.pi / ticks if unit == "ticks" else TURNS[unit])
+    m = rolling_median(positions, keys, kernel // 2, kernel // 2, made="_m", zeros=True) if kernel > 1 else positions.withColumn("_m", F.col("v").cast("double"))
     dt = gradient(keys, "t")
-    return m.withColumn("speed", F.abs(F.when(dt > 0, gradient(keys, "m") / dt).otherwise(0.0)) * F.lit(2 * math.pi * radius_cm / ticks)).drop("m")
+    speed = F.coalesce(F.when(dt > 0, gradient(keys, "_m") / dt), F.lit(0.0)) * cm
+    m = m.withColumn("speed", F.abs(speed) if absolute else speed).drop("_m")
+    if sigma:
+        m = mirrored_gaussian(m, keys, sigma, "speed").drop("speed").withColumnRenamed("smooth", "speed")
+    first = F.first("t").over(_order(keys).rowsBetween(W.unboundedPreceding, 0)) if zero == "first_sample" else F.col(session_start) if zero == "session_start" else F.lit(0.0)
+    return m.withColumn("t", F.col("t") - first + F.lit(offset)).withColumn("speed", F.col("speed") / (100 if out == "m/s" else 1))
 
 
 def robust_z(signal: DataFrame, keys: list[str], eps: float = 1e-12) -> DataFrame:
@@ -307,12 +319,6 @@ def downsample(signal: DataFrame, keys: list[str], factor: int) -> DataFrame:
     return signal.groupBy(*keys, F.floor(F.col("i") / factor).alias("block")).agg(F.avg("v").alias("v"), F.count("*").alias("n")).where(F.col("n") == factor).drop("n")
 
 
-def peaks(signal: DataFrame, keys: list[str], height: float) -> DataFrame:
-    """Samples above both neighbours and at ``height`` or more."""
-    order = _order(keys)
-    return signal.withColumn("_b", F.lag("v").over(order)).withColumn("_a", F.lead("v").over(order)).where((F.col("v") > F.col("_b")) & (F.col("v") > F.col("_a")) & (F.col("v") >= height)).drop("_b", "_a")
-
-
 def quantile_bin(rank0: Column, n: Column, bins: int) -> Column:
     """Bin of the r-th (from 0) of ``n`` ordered items: ceil(r * bins / (n - 1)) - 1, at least 0, by
     whole numbers."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronolock.catalog import query, view
 from chronolock.functions import fixed, median
 from chronolock.functions.lineage import settled
+from chronolock.operators import baselines as bl
 from chronolock.operators import clock, registry
 from chronolock.operators import events as ev
 from chronolock.operators import responses as rs
@@ -27,7 +28,7 @@ def condition(traces: DataFrame, nuisance: DataFrame, keys: list[str], hp_half:
     clean = sg.mask_artifacts(traces, keys).select(*keys, "i", F.col("clean").alias("y"))
     x = sg.high_pass(nuisance, keys, hp_half).select(*keys, "i", F.col("hp").alias("x"))
     unmixed = sg.unmix(clean.join(x, [*keys, "i"], "left"), keys).select(*keys, "i", F.col("clean").alias("v"))
-    based = sg.floor_baseline(sg.percentile_baseline(unmixed, keys, base_half, quantile, base_half // 2), keys)
+    based = sg.floor_baseline(bl.percentile_baseline(unmixed, keys, base_half, quantile, base_half // 2), keys)
     return based.withColumn("dff", sg.guarded_ratio(F.col("v") - F.col("f0"), F.col("f0")))
 
 

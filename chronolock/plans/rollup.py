@@ -13,6 +13,7 @@ from chronolock.operators import statistics as st
 from chronolock.operators import windows as wn
 from chronolock.operators.events import classify
 from chronolock.plans.core import EPOCHS, IMAGE, RESPONSES, epochs_of, responses
+from chronolock.plans.signal import polynomial
 
 K = ["session_id", "roi"]
 
@@ -282,14 +283,13 @@ def a14(spark, sf):
     return out(ql.robust_stats(traces(spark, sf), K), K, median=6, mad=6, sigma=5, span=5, iqr=5, finite=6)
 
 
-QUALITY = "s as (select session_id, roi, i, v / 1e5 as v, v / 1e5 - avg(v / 1e5) over (partition by session_id, roi order by i rows between 5 preceding and 5 following) as res from traces), m as (select session_id, roi, quantile_cont(abs(v), 0.99) as p99, count(v) / count(*) as finite, quantile_cont(res, 0.5) as rm from s group by all), n as (select session_id, roi, 1.4826e0 * quantile_cont(abs(res - rm), 0.5) as noise from s join m using (session_id, roi) group by all), q as (select session_id, roi, finite, p99, p99 / noise as snr, 1 - exp(-0.75e0 * p99) as act, 1 - exp(-0.8e0 * p99 / noise) as sn from m join n using (session_id, roi)), z as (select *, (0.15e0 + 0.15e0 * finite + 0.25e0 * act + 0.35e0 * sn) / 0.9e0 as score from q)"
+_SMOOTH = polynomial("s", "session_id, roi, segment", 5)
+QUALITY = f"s as (select session_id, roi, i, i // 40 as segment, v / 1e5 as v from traces), c as ({_SMOOTH}), e as (select session_id, roi, segment, quantile_cont(v, 0.5) as mid from c group by all), w as (select session_id, roi, smooth - mid as level, v - smooth as res from c join e using (session_id, roi, segment)), m as (select session_id, roi, quantile_cont(abs(v), 0.99) as p99, count(v) / count(*) as finite from s group by all), g as (select session_id, roi, quantile_cont(level, 0.5) as lm, quantile_cont(res, 0.5) as rm from w group by all), n as (select session_id, roi, quantile_cont(abs(level - lm), 0.5) / nullif(quantile_cont(abs(res - rm), 0.5), 0) as snr from w join g using (session_id, roi) group by all), q as (select session_id, roi, finite, p99, snr, 1 - exp(-0.75e0 * p99) as act, 1 - exp(-0.8e0 * snr) as sn from m left join n using (session_id, roi)), z as (select *, (0.15e0 + 0.15e0 * finite + 0.25e0 * act + coalesce(0.35e0 * sn, 0)) / (0.55e0 + case when sn is null then 0 else 0.35e0 end) as score from q)"
 
 
 def quality(spark, sf):
-    from chronolock.operators.signals import centered_mean
-
-    t = traces(spark, sf).withColumn("v", F.col("v") / 1e5)
-    return ql.trace_quality(t, t.withColumn("v", F.col("v") - centered_mean(K, 5)), K)
+    t = traces(spark, sf).withColumn("v", F.col("v") / 1e5).withColumn("segment", F.floor(F.col("i") / 40))
+    return ql.trace_quality(t, K, half=5)
 
 
 @query("a16_trace_quality", f"with {QUALITY} select session_id, roi, round(p99, 6) + 0 as p99, round(snr, 5) + 0 as snr, round(20 * log10(snr), 5) + 0 as snr_db, round(score, 6) + 0 as quality_score from z", "traces")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chronolock.catalog import query, view
 from chronolock.functions import fixed
+from chronolock.operators import baselines as bl
+from chronolock.operators import peaks as pk
 from chronolock.operators import signals as sg
 from chronolock.plans.core import PRE, WINDOWS, windows
 
@@ -124,9 +127,16 @@ def w19r(spark, sf):
     return out(sg.reflected_mean(traces(spark, sf), K, 4), ("smooth", 6))
 
 
-@query("w20_percentile_baseline", "with l as (select session_id, roi, i, list_sort(list(v) over f)[1 + floor(count(*) over f * 0.1)::int] as low from traces window f as (partition by session_id, roi order by i rows between 10 preceding and 10 following)) select session_id, roi, i, round(greatest(avg(low) over (partition by session_id, roi order by i rows between 5 preceding and 5 following), 1e-6), 6) + 0 as base from l", "traces")
+#: Rows of ``src`` (with ``n`` rows a series) and where they stand when the ends are mirrored for ``half`` samples.
+def mirrored(src: str, keys: str, half: int, whole: bool) -> str:
+    period = "greatest(2 * (n - 1), 1)" if whole else "2 * n"
+    back = f"{period} - p" if whole else "2 * n - 1 - p"
+    return f"select {keys}, j as i, case when p < n then p else {back} end as at from (select {keys}, n, unnest(range(-{half}, n + {half})) as j, ((j % ({period})) + ({period})) % ({period}) as p from (select {keys}, count(*) as n from {src} group by all))"
+
+
+@query("w20_percentile_baseline", f"with x as (select a.session_id, a.roi, a.i, t.v from ({mirrored('traces', 'session_id, roi', 10, False)}) a join traces t on t.session_id = a.session_id and t.roi = a.roi and t.i = a.at), l as (select session_id, roi, i, list_sort(list(v) over (partition by session_id, roi order by i rows between 10 preceding and 10 following))[3] as low from x), b as (select l.* from l join traces using (session_id, roi, i)), y as (select a.session_id, a.roi, a.i, b.low from ({mirrored('traces', 'session_id, roi', 5, True)}) a join b on b.session_id = a.session_id and b.roi = a.roi and b.i = a.at), m as (select session_id, roi, i, avg(low) over (partition by session_id, roi order by i rows between 5 preceding and 5 following) as base from y) select session_id, roi, i, round(greatest(base, 1e-6), 4) + 0 as base from m join traces using (session_id, roi, i)", "traces")
 def w20(spark, sf):
-    return out(sg.percentile_baseline(traces(spark, sf), K, 10, 10.0, 5), ("base", 6))
+    return out(bl.percentile_baseline(traces(spark, sf), K, 10, 10.0, 5), ("base", 4))
 
 
 @query("w21_floor_baseline", "with m as (select *, avg(v) over (partition by session_id, roi order by i rows between 8 preceding and 8 following) - 20000 as base from traces), s as (select session_id, roi, quantile_cont(v, 0.2) as p from traces group by all) select session_id, roi, i, round(greatest(base, greatest(1e-6, 0.05e0 * p)), 6) + 0 as f0 from m join s using (session_id, roi)", "traces")
@@ -140,6 +150,34 @@ def w22(spark, sf):
     return out(sg.hull_baseline(traces(spark, sf), K, 3, 10), ("base", 6))
 
 
+_ENVELOPE = """
+with c as (select session_id, roi, count(*) as n from traces group by all),
+z as (select session_id, roi, n, ceil(n / 4e0)::int + 1 as points, ceil(least(20, n // 4) / 4e0)::int as phases, (n - 1) / (ceil(n / 4e0)) as step from c where n >= 4),
+m as (select session_id, roi, i, quantile_cont(v, 0.5) over (partition by session_id, roi order by i rows between 3 preceding and 3 following) as m from traces),
+l as (select z.*, j, round_even(j * step, 0)::int as t from (select *, unnest(range(points)) as j from z) z),
+x as (select l.*, m.m from l join m on m.session_id = l.session_id and m.roi = l.roi and m.i = l.t),
+s as (select a.session_id, a.roi, a.j as j0, b.j as j1, a.t as t0, b.t as t1, a.m as m0, b.m as m1 from x a left join x b on a.session_id = b.session_id and a.roi = b.roi and b.j = a.j + a.phases),
+y as (select x.session_id, x.roi, x.j, any_value(x.t) as t, any_value(x.phases) as phases, min(case when x.j = s.j0 then m0 else m0 + (x.t - t0) * (m1 - m0) / (t1 - t0) end) as low, count(*) as there
+  from x join s on s.session_id = x.session_id and s.roi = x.roi and (x.j = s.j0 or (x.j > s.j0 and x.j < s.j1)) group by x.session_id, x.roi, x.j),
+e as (select *, count(*) filter (there >= (phases + 1) // 2) over (partition by session_id, roi) > 2 as enough from y),
+f as (select * replace (case when there >= (phases + 1) // 2 or not enough then low end as low) from e),
+g as (select * replace (coalesce(low, avg(low) over w) as low) from f window w as (partition by session_id, roi order by j rows between 3 preceding and 3 following)),
+h as (select session_id, roi, j, t, avg(low) over w as f from g window w as (partition by session_id, roi order by j rows between 3 preceding and 3 following)),
+k as (select *, lead(t) over w - t as h1, (lead(f) over w - f) / (lead(t) over w - t) as m1, t - lag(t) over w as h0, (f - lag(f) over w) / (t - lag(t) over w) as m0, lead(t, 2) over w - lead(t) over w as hb, (lead(f, 2) over w - lead(f) over w) / (lead(t, 2) over w - lead(t) over w) as mb, lag(t) over w - lag(t, 2) over w as hc, (lag(f) over w - lag(f, 2) over w) / (lag(t) over w - lag(t, 2) over w) as mc from h window w as (partition by session_id, roi order by j)),
+d as (select *, case when m0 is null then case when sign(((2 * h1 + hb) * m1 - h1 * mb) / (h1 + hb)) <> sign(m1) then 0 when sign(m1) <> sign(mb) and abs(((2 * h1 + hb) * m1 - h1 * mb) / (h1 + hb)) > 3 * abs(m1) then 3 * m1 else ((2 * h1 + hb) * m1 - h1 * mb) / (h1 + hb) end
+  when m1 is null then case when sign(((2 * h0 + hc) * m0 - h0 * mc) / (h0 + hc)) <> sign(m0) then 0 when sign(m0) <> sign(mc) and abs(((2 * h0 + hc) * m0 - h0 * mc) / (h0 + hc)) > 3 * abs(m0) then 3 * m0 else ((2 * h0 + hc) * m0 - h0 * mc) / (h0 + hc) end
+  when m0 * m1 <= 0 then 0 else (3 * h1 + 3 * h0) / ((2 * h1 + h0) / m0 + (h1 + 2 * h0) / m1) end as d from k),
+q as (select *, lead(f) over w as f1, lead(d) over w as d1, unnest(range(t, coalesce(t + h1, t + 1))) as i from d window w as (partition by session_id, roi order by j)),
+r as (select *, (i - t) / h1 as u from q)
+select session_id, roi, i, round(case when h1 is null then f else f * (1 + 2 * u) * (1 - u) * (1 - u) + d * h1 * u * (1 - u) * (1 - u) + f1 * u * u * (3 - 2 * u) + d1 * h1 * u * u * (u - 1) end / 9973e0, 8) + 0 as base from r"""
+
+
+@query("w22_lower_envelope", _ENVELOPE, "traces")
+def w22e(spark, sf):
+    e = bl.lower_envelope(traces(spark, sf), K, 7, 20)  # decimals of the test table end in halves
+    return e.select(*K, "i", fixed(F.col("base") / 9973, 8).alias("base"))
+
+
 @query("w23_mask_artifacts", "with d as (select *, lead(v) over w - v as d, row_number() over w as rn, count(*) over (partition by session_id, roi) - row_number() over w + 1 as lft from traces window w as (partition by session_id, roi order by i)), s as (select session_id, roi, quantile_cont(d, 0.5) as mid, stddev_pop(d) as sd from d group by all), f as (select d.*, coalesce(cast(abs(d) > mid + 2 * sd and rn > 1 and lft > 2 as int), 0) as flag from d join s using (session_id, roi)), n as (select *, max(flag) over (partition by session_id, roi order by i rows between 9 preceding and 10 following) as near from f) select session_id, roi, count(*) as n, count(*) filter (near = 0) as n_clean from n group by all", "traces")
 def w23(spark, sf):
     m = sg.mask_artifacts(traces(spark, sf), K, 2.0)
@@ -168,9 +206,20 @@ def w28(spark, sf):
     return traces(spark, sf).withColumns(sg.lags(K, "v", [2, -1])).select(*K, "i", "v_2", "v_-1")
 
 
-@query("w30_savitzky_golay", "with s as (select session_id, roi, i, sum(v) over f s0, sum(i * v) over f s1, sum(cast(i as double) * i * v) over f sq, count(*) over f n from traces window f as (partition by session_id, roi order by i rows between 5 preceding and 5 following)) select session_id, roi, i, case when n = 11 then round((1958 * s0 - 110 * (sq - 2e0 * i * s1 + cast(i as double) * i * s0)) / (11 * 1958 - 110 * 110), 4) + 0 end as smooth from s", "traces")
+def polynomial(src: str, keys: str, half: int) -> str:
+    """``smooth``: a cubic fitted to the window round each sample, or to the first or last one, by the weights of
+    a window's samples for each of its places."""
+    x = np.vander(np.arange(-half, half + 1) / half, 4)
+    hat = [float(w) for w in (x @ np.linalg.pinv(x)).ravel()]
+    w = 2 * half + 1
+    on = " and ".join(f"s.{k} = t.{k}" for k in keys.split(", "))
+    own = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"select {own}, s.i, any_value(s.v) as v, sum({hat}[(s.i - s.f) * {w} + t.i - s.f + 1] * t.v) as smooth from (select *, i0 + least(greatest(i - i0 - {half}, 0), n - {w}) as f from (select *, min(i) over p as i0, count(*) over p as n from {src} window p as (partition by {keys})) where n >= {w}) s join {src} t on {on} and t.i >= s.f and t.i < s.f + {w} group by {own}, s.i"
+
+
+@query("w30_savitzky_golay", f"select session_id, roi, i, round(smooth, 3) + 0 as smooth from ({polynomial('traces', 'session_id, roi', 5)})", "traces")
 def w30(spark, sf):
-    return out(sg.savitzky_golay(traces(spark, sf), K, 5), ("smooth", 4))
+    return out(bl.savitzky_golay(traces(spark, sf), K, 5), ("smooth", 3))
 
 
 HOLES = "h as (select session_id, roi, i, case when i % 10 not in (3, 4, 5) and i > 1 then v end as v from traces)"
@@ -200,10 +249,14 @@ def w33(spark, sf):
     return out(sg.gaussian(traces(spark, sf), K, _SIGMA), ("smooth", 4))
 
 
-@query("w32_running_speed", "with m as (select session_id, i, t, quantile_cont(v, 0.5) over (partition by session_id order by i rows between 25 preceding and 25 following) as m from samples), g as (select *, case when lag(m) over w is null then lead(m) over w - m when lead(m) over w is null then m - lag(m) over w else (lead(m) over w - lag(m) over w) / 2 end as dm, case when lag(t) over w is null then lead(t) over w - t when lead(t) over w is null then t - lag(t) over w else (lead(t) over w - lag(t) over w) / 2 end as dt from m window w as (partition by session_id order by i)) select session_id, i, round(abs(case when dt > 0 then dm / dt else 0 end) * (2 * pi() * 8 / 1024) * 1e6, 6) + 0 as speed from g", "samples")
+_SPEED = [math.exp(-(j * j) / 18) for j in range(-12, 13)]
+_SPEED = [w / sum(_SPEED) for w in _SPEED]
+
+
+@query("w32_running_speed", f"with m as (select session_id, i, t, list_sort(list_concat(list(v) over f, list_transform(range(51 - count(*) over f), lambda x: 0e0)))[26] as m from samples window f as (partition by session_id order by i rows between 25 preceding and 25 following)), g as (select *, case when lag(m) over w is null then lead(m) over w - m when lead(m) over w is null then m - lag(m) over w else (lead(m) over w - lag(m) over w) / 2 end as dm, case when lag(t) over w is null then lead(t) over w - t when lead(t) over w is null then t - lag(t) over w else (lead(t) over w - lag(t) over w) / 2 end as dt from m window w as (partition by session_id order by i)), s as (select session_id, i, t, coalesce(abs(case when dt > 0 then dm / dt end), 0) * (2 * pi() * 8 / 1024) as speed from g), c as (select session_id, count(*) as n from s group by 1), e as (select session_id, i, n, unnest(range(-12, 13)) as j from s join c using (session_id)), a as (select session_id, i, j, case when p < n then p else 2 * n - 1 - p end as at from (select *, (((i + j) % (2 * n)) + 2 * n) % (2 * n) as p from e)), z as (select a.session_id, a.i, sum({_SPEED}[j + 13] * speed) as speed from a join s on s.session_id = a.session_id and s.i = a.at group by 1, 2) select session_id, i, round(t - first_value(t) over (partition by session_id order by i), 3) + 0 as t, round(speed * 1e6, 6) + 0 as speed from z join samples using (session_id, i)", "samples")
 def w32(spark, sf):
-    s = sg.running_speed(samples(spark, sf), ["session_id"])
-    return s.select("session_id", "i", fixed(F.col("speed") * 1e6, 6).alias("speed"))
+    s = sg.running_speed(samples(spark, sf), ["session_id"], zero="first_sample")
+    return s.select("session_id", "i", fixed("t", 3).alias("t"), fixed(F.col("speed") * 1e6, 6).alias("speed"))
 
 
 @query("w34_zscore", "with s as (select session_id, roi, avg(v) as m, stddev_pop(v) as sd from traces group by all) select session_id, roi, i, round((v - m) / sd, 6) + 0 as z from traces join s using (session_id, roi)", "traces")
@@ -232,9 +285,35 @@ def w42(spark, sf):
     return out(sg.downsample(traces(spark, sf), K, 4), ("v", 6), keys=("session_id", "roi", "block"))
 
 
-@query("w43_peaks", f"select session_id, roi, i from (select session_id, roi, i, v, lag(v) over w as b, lead(v) over w as a from traces {W}) q where v > b and v > a and v >= 60000", "traces")
+RUNS = "b as (select session_id, roi, i, v, lag(v) over w as b, row_number() over w as rn from traces window w as (partition by session_id, roi order by i)), u as (select * from b where rn = 1 or v is distinct from b), x as (select *, lead(v) over w as a, lead(i) over w - 1 as r from u window w as (partition by session_id, roi order by i)), p as (select session_id, roi, (i + r) // 2 as i, v, i as l, r from x where rn > 1 and v > b and v > a)"
+
+
+@query("w43_peaks", f"with {RUNS} select session_id, roi, i, l as \"left\", r as \"right\" from p where v >= 60000", "traces")
 def w43(spark, sf):
-    return sg.peaks(traces(spark, sf), K, 60000.0).select(*K, "i")
+    return pk.peaks(traces(spark, sf), K, 60000.0).select(*K, "i", "left", "right")
+
+
+_KEPT = f"with {RUNS}, q as (select session_id, roi, i, v, row_number() over (partition by session_id, roi order by v desc, i desc) as k from p where v >= 30000), s as (select session_id, roi, 1 as k, [i] as kept from q where k = 1 union all select q.session_id, q.roi, q.k, case when len(list_filter(s.kept, lambda y: abs(y - q.i) < 12)) = 0 then list_append(s.kept, q.i) else s.kept end from s join q on q.session_id = s.session_id and q.roi = s.roi and q.k = s.k + 1)"
+
+
+@query("w43_peaks_apart", f"{_KEPT} select session_id, roi, unnest(kept) as i from (select session_id, roi, arg_max(kept, k) as kept from s group by all)", "traces")
+def w43d(spark, sf):
+    return pk.peaks(traces(spark, sf), K, 30000.0, distance=12).select(*K, "i")
+
+
+_WIDTHS = f"""with {RUNS}, q as (select * from p where v >= 80000),
+e as (select q.session_id, q.roi, q.i, any_value(q.v) as v, max(t.i) filter (t.i < q.i and t.v > q.v) as lb, min(t.i) filter (t.i > q.i and t.v > q.v) as rb from q join traces t on t.session_id = q.session_id and t.roi = q.roi group by 1, 2, 3),
+o as (select e.session_id, e.roi, e.i, any_value(e.v) as v, min(t.v) filter (t.i < e.i) as ll, min(t.v) filter (t.i > e.i) as rl from e join traces t on t.session_id = e.session_id and t.roi = e.roi and t.i > coalesce(lb, -1) and t.i < coalesce(rb, 1e9) group by 1, 2, 3),
+y as (select *, v - greatest(ll, rl) as prom, v - 0.5e0 * (v - greatest(ll, rl)) as level from o),
+z as (select y.*, (select max(t.i) from traces t where t.session_id = y.session_id and t.roi = y.roi and t.i < y.i and t.v <= level) as a, (select min(t.i) from traces t where t.session_id = y.session_id and t.roi = y.roi and t.i > y.i and t.v <= level) as b from y),
+w as (select z.*, ta.v as va, tn.v as vn, tb.v as vb, tm.v as vm from z join traces ta on ta.session_id = z.session_id and ta.roi = z.roi and ta.i = z.a join traces tn on tn.session_id = z.session_id and tn.roi = z.roi and tn.i = z.a + 1 join traces tb on tb.session_id = z.session_id and tb.roi = z.roi and tb.i = z.b join traces tm on tm.session_id = z.session_id and tm.roi = z.roi and tm.i = z.b - 1),
+f as (select session_id, roi, i, prom, (b - case when vb < level then (level - vb) / (vm - vb) else 0 end) - (a + case when va < level then (level - va) / (vn - va) else 0 end) as width from w)
+select session_id, roi, i, round(prom, 4) + 0 as prominence, round(width, 6) + 0 as width from f where width >= 1"""
+
+
+@query("w43_peak_widths", _WIDTHS, "traces")
+def w43w(spark, sf):
+    return out(pk.peaks(traces(spark, sf), K, 80000.0, width=1.0), ("prominence", 4), ("width", 6))
 
 
 @query("w44_quantile_bin", "with r as (select session_id, roi, i, count(*) over (partition by session_id, roi) as n from traces) select session_id, roi, i, greatest((i * 3 + greatest(n - 1, 1) - 1) // greatest(n - 1, 1) - 1, 0) as bin from r", "traces")

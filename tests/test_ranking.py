@@ -30,3 +30,24 @@ def test_a_hot_key_is_in_many_ranges(spark):
     df = spark.range(4000).selectExpr("'one' as k", "cast(id as double) as v")
     sizes = [r["count"] for r in _ranges(df, ["k"], "v").groupBy("_at").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2000
+
+
+def test_quantiles_of_large_keys(spark):
+    import numpy as np
+
+    from chronolock.functions.quantiles import large_keys, quantiles
+    from chronolock.operators.quality import robust_stats
+
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice([rng.random(), 0.5, float(rng.randrange(3))])) for k, n in (("a", 400), ("b", 7), ("c", 1), (None, 40)) for i in range(n)] + [("a", 1, None), ("d", 0, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(4)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)
+    large = large_keys(df, ["k"], "v", 30)
+    assert {r.k for r in large.collect()} == {"a", None} and large_keys(df, ["k"], "v", 400) is None
+    got = {r.k: r.q for r in quantiles(df, ["k"], "v", shares, large).collect()}
+    for k in ("a", "b", "c", None):
+        want = np.quantile([v for key, _, v in rows if key == k and v is not None], shares)
+        assert np.allclose(got[k], want, rtol=0, atol=1e-12)
+    assert got["d"] is None
+    one, two = ({r.k: tuple(r) for r in robust_stats(df, ["k"], held).collect()} for held in (30, 10**6))
+    assert one.keys() == two.keys() and all(x == y or abs(x - y) < 1e-12 for k in one for x, y in zip(one[k][1:], two[k][1:]))
