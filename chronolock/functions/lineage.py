@@ -6,19 +6,25 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the folder of ``spark.checkpoint.dir`` (a fresh local one
-    where that is unset and all runs on one machine, as in tests; on a cluster it must be set)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share (a fresh local one where that is
+    unset and all runs on one machine, as in tests; on a cluster it must be set)."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-shared-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            local = tempfile.mkdtemp(prefix="spark-shared-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = f"file://{local}"
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

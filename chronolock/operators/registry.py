@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronolock.functions import finite
+
 # Spellings of quality words, session types and response classes, and channel names.
 QUALITY = {"good": "good", "great": "good", "excellent": "good", "ok": "okay", "okay": "okay", "fair": "okay", "poor": "poor", "bad": "poor", "": "unknown", "nan": "unknown", "none": "unknown", "unknown": "unknown"}
 SESSION_TYPES = {"familiar": "f", "novel": "n", "novel+": "n+", "novel_plus": "n+"}
@@ -116,12 +118,21 @@ def quality_overview(sessions: DataFrame) -> DataFrame:
     return g.withColumn("assessment", rule)
 
 
-def overall_quality(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``score``: the weighted mean of the parts that are there, its tier, and whether to review."""
-    up = sum((F.lit(w) * F.coalesce(F.col(c), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    down = sum((F.lit(w) * F.col(c).isNotNull().cast("int") for c, w in weights.items()), F.lit(0.0))
+#: Weight of each part of a session's quality, the value under which it is flagged, the flag.
+QUALITY_PARTS = {"glut_pass_fraction": (0.45, 0.40, "low_glut_pass_fraction"), "ca_pass_fraction": (0.20, 0.40, "low_calcium_pass_fraction"), "alignment_ready": (0.20, 1.0, "alignment_failed"), "event_coverage": (0.15, 0.85, "low_event_coverage")}
+
+
+def overall_quality(parts: DataFrame, rules: dict[str, tuple[float, float, str]] = QUALITY_PARTS) -> DataFrame:
+    """``score``: the weighted mean of the parts that are there, each within 0 and 1 (a boolean is 1 or
+    0), its tier, the flags of parts under their bar, and whether to review (tiers C and FAIL, and no tier).
+
+    ``rules`` has each part's weight, bar and flag; flags stand in their order."""
+    kinds = dict(parts.dtypes)
+    values = {c: F.col(c).cast("int").cast("double") if kinds[c] == "boolean" else finite(F.col(c).cast("double")) for c in rules}
+    up = sum((F.lit(w) * F.coalesce(F.least(F.greatest(values[c], F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) for c, (w, _, _) in rules.items()), F.lit(0.0))
+    down = sum((F.lit(w) * values[c].isNotNull().cast("int") for c, (w, _, _) in rules.items()), F.lit(0.0))
     tier = F.when(F.col("score") >= 0.85, "A").when(F.col("score") >= 0.70, "B").when(F.col("score") >= 0.50, "C").when(F.col("score").isNotNull(), "FAIL")
-    flags = F.concat_ws("; ", *[F.when(F.col(c) < 0.40, F.lit(f"low {c}")) for c in weights])
+    flags = F.concat_ws("; ", *[F.when(values[c] < bar, F.lit(flag)) for c, (_, bar, flag) in rules.items()])
     out = parts.withColumn("score", up / F.when(down != 0, down)).withColumn("tier", tier).withColumn("flags", flags)
     return out.withColumn("needs_review", F.col("tier").isNull() | F.col("tier").isin("C", "FAIL"))
 
@@ -182,6 +193,49 @@ def newest(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.groupBy(*keys).agg(F.max_by("path", F.struct("mtime", "path")).alias("path"), F.max("mtime").alias("mtime"))
 
 
+def resolved_assets(sessions: DataFrame, files: DataFrame, rules: dict[str, list[tuple[str, str]]], within: dict[str, str] | None = None) -> DataFrame:
+    """``sessions`` with a column for each asset: the file or folder that its rules find, and
+    ``<asset>_rule``, the number of the rule that did (from 0); both null where none does.
+
+    ``files`` has ``path`` and ``mtime`` (a manifest).  A rule is a root and a pattern: the name of a column of
+    ``sessions`` that holds a folder, and a regular expression for a name anywhere below it.  Rules are tried
+    in order, so later roots and patterns are fallbacks; of what one rule finds the newest counts, a
+    folder's time being its newest file's, and of equally new ones the larger path.  An asset in ``within`` is
+    looked for below the asset named there only.
+
+    Files meet sessions on equal folders: each path is unrolled into the folders above it."""
+    within = within or {}
+    roots = sorted({root for r in rules.values() for root, _ in r})
+    bare = F.regexp_replace("path", "/+$", "")
+    steps = F.split(bare, "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    entries = files.select(F.explode(up).alias("entry"), "mtime").where("entry <> ''").groupBy("entry").agg(F.max("mtime").alias("mtime"))
+    above = F.split("entry", "/")
+    entries = entries.withColumn("name", F.element_at(above, -1)).withColumn("folder", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(above) - 1, F.lit(1))), lambda n: F.array_join(F.slice(above, F.lit(1), n), "/"))))
+    named = sessions.select("session_id", F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.regexp_replace(F.col(r), "/+$", "").alias("folder")) for r in roots])).alias("e")).select("session_id", "e.*").where("folder is not null").distinct()
+    met = named.join(entries, "folder")
+    out = sessions
+    for asset in sorted(rules, key=lambda a: a in within):  # what lies within others comes after them
+        hit = F.coalesce(*[F.when((F.col("root") == root) & F.col("name").rlike(f"^(?:{pattern})$"), F.lit(k)) for k, (root, pattern) in enumerate(rules[asset])])
+        found = met.withColumn("rule", hit).where("rule is not null")
+        if asset in within:
+            outer = out.select("session_id", F.col(within[asset]).alias("outer"))
+            found = found.join(outer, "session_id").where(F.startswith("entry", F.concat("outer", F.lit("/"))))
+        best = found.groupBy("session_id").agg(F.max(F.struct((-F.col("rule")).alias("rule"), "mtime", "entry")).alias("_x"))
+        out = out.join(best, "session_id", "left").withColumn(asset, F.col("_x.entry")).withColumn(f"{asset}_rule", -F.col("_x.rule")).drop("_x")
+    return out
+
+
+def session_row(sessions: DataFrame, session_id: object, key: str = "session_id") -> Row:
+    """the one row of a session; an error where there is none, or more than one."""
+    rows = sessions.where(F.col(key) == F.lit(session_id)).limit(2).collect()
+    if not rows:
+        raise KeyError(f"no row with {key} {session_id!r}")
+    if len(rows) > 1:
+        raise ValueError(f"several rows with {key} {session_id!r}")
+    return rows[0]
+
+
 def completeness(sessions: DataFrame, products: list[str], there: DataFrame) -> DataFrame:
     """Each expected product of each session, and whether it is there."""
     want = sessions.select("session_id").distinct().withColumn("product", F.explode(F.array(*map(F.lit, products))))

@@ -156,20 +156,25 @@ def a30(spark, sf):
     return rg.quality_overview(s).withColumn("latest", F.col("latest").cast("string"))
 
 
-PARTS = "p as (select session_id, subject_id, case when quality <> 'P' then score / 5e5 end as glut, (subject_id % 10) / 10e0 as align_ from sessions), s as (select *, (0.45e0 * coalesce(glut, 0) + 0.2e0 * coalesce(align_, 0)) / (0.45e0 * (glut is not null)::int + 0.2e0 * (align_ is not null)::int) as score from p), t as (select *, case when score >= 0.85 then 'A' when score >= 0.7 then 'B' when score >= 0.5 then 'C' else 'FAIL' end as tier from s)"
+PARTS = "p as (select session_id, subject_id, case when quality <> 'P' then score / 4e5 end as glut_pass_fraction, case when session_id % 3 > 0 then (session_id % 100) / 80e0 - 0.1e0 end as ca_pass_fraction, case when subject_id % 7 > 0 then subject_id % 10 > 2 end as alignment_ready, case when quality <> 'F' or subject_id % 2 = 0 then 1 - (session_id % 40) / 100e0 end as event_coverage from sessions), k as (select *, case when glut_pass_fraction is not null then least(greatest(glut_pass_fraction, 0), 1) end as g, case when ca_pass_fraction is not null then least(greatest(ca_pass_fraction, 0), 1) end as c, alignment_ready::int as a, case when event_coverage is not null then least(greatest(event_coverage, 0), 1) end as e from p), s as (select *, (0.45e0 * coalesce(g, 0) + 0.2e0 * coalesce(c, 0) + 0.2e0 * coalesce(a, 0) + 0.15e0 * coalesce(e, 0)) / nullif(0.45e0 * (g is not null)::int + 0.2e0 * (c is not null)::int + 0.2e0 * (a is not null)::int + 0.15e0 * (e is not null)::int, 0) as score from k), t as (select *, case when score >= 0.85 then 'A' when score >= 0.7 then 'B' when score >= 0.5 then 'C' when score is not null then 'FAIL' end as tier from s)"
 
 
 def scored(spark, sf):
-    p = sessions(spark, sf).select("session_id", "subject_id", F.when(F.col("quality") != "P", F.col("score") / 5e5).alias("glut"), ((F.col("subject_id") % 10) / 10.0).alias("align_"))
-    return rg.overall_quality(p, {"glut": 0.45, "align_": 0.2})
+    part = {
+        "glut_pass_fraction": F.when(F.col("quality") != "P", F.col("score") / 4e5),
+        "ca_pass_fraction": F.when(F.col("session_id") % 3 > 0, (F.col("session_id") % 100) / 80.0 - 0.1),
+        "alignment_ready": F.when(F.col("subject_id") % 7 > 0, F.col("subject_id") % 10 > 2),
+        "event_coverage": F.when((F.col("quality") != "F") | (F.col("subject_id") % 2 == 0), 1 - (F.col("session_id") % 40) / 100.0),
+    }
+    return rg.overall_quality(sessions(spark, sf).select("session_id", "subject_id", *[c.alias(n) for n, c in part.items()]))
 
 
-@query("a28_overall_quality", f"with {PARTS} select session_id, round(score, 6) + 0 as score, tier, concat_ws('; ', case when glut < 0.4 then 'low glut' end, case when align_ < 0.4 then 'low align_' end) as flags, tier in ('C', 'FAIL') as needs_review from t", "sessions")
+@query("a28_overall_quality", f"with {PARTS} select session_id, round(score, 6) + 0 as score, tier, concat_ws('; ', case when glut_pass_fraction < 0.4 then 'low_glut_pass_fraction' end, case when ca_pass_fraction < 0.4 then 'low_calcium_pass_fraction' end, case when not alignment_ready then 'alignment_failed' end, case when event_coverage < 0.85 then 'low_event_coverage' end) as flags, tier is null or tier in ('C', 'FAIL') as needs_review from t", "sessions")
 def a28(spark, sf):
     return scored(spark, sf).select("session_id", fixed("score", 6).alias("score"), "tier", "flags", "needs_review")
 
 
-@query("a29_subject_rollup", f"with {PARTS} select subject_id, count(*) as n_sessions, count(*) filter (tier in ('A', 'B')) as n_usable, count(*) filter (tier in ('C', 'FAIL')) as n_review, round(avg(score), 7) + 0 as mean_score, round(quantile_cont(score, 0.5), 7) + 0 as median_score from t group by 1", "sessions")
+@query("a29_subject_rollup", f"with {PARTS} select subject_id, count(*) as n_sessions, count(*) filter (tier in ('A', 'B')) as n_usable, count(*) filter (tier is null or tier in ('C', 'FAIL')) as n_review, round(avg(score), 7) + 0 as mean_score, round(quantile_cont(score, 0.5), 7) + 0 as median_score from t group by 1", "sessions")
 def a29(spark, sf):
     r = rg.subject_rollup(scored(spark, sf))
     return r.select("subject_id", "n_sessions", "n_usable", "n_review", fixed("mean_score", 7).alias("mean_score"), fixed("median_score", 7).alias("median_score"))

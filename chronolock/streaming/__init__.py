@@ -9,11 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def process_arrivals(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Each file that appears under ``source`` goes through ``work`` once and is appended to ``sink``; what
-    is done is remembered in ``checkpoint``.  It ends when all that is there is done."""
+    """Each file that appears under ``source`` goes through ``work`` and into ``sink`` once; what is done is
+    remembered in ``checkpoint``, which belongs to the sink.  It ends when all that is there is done.
 
-    def batch(df: DataFrame, _: int) -> None:
-        work(df).write.mode("append").parquet(sink)
+    A batch has a folder of its own, ``batch=<number>``, and replaces it: one that is run again, after a driver
+    was lost between its write and its mark, leaves the same rows."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        work(df).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -297,6 +297,72 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sources.run_metadata(d, {"rate": 200}, {"dF": "change"}).schema["dF"].metadata == {"comment": "change"}
 
 
+def test_files_are_read_by_their_headers(spark, tmp_path):
+    for name, text in {
+        "s1/log.csv": "Frame,Timestamp,Value\n1,0.5,Frame\n2,0.7,a.tiff\n",
+        "s2/log.csv": "Value,Frame,Timestamp\nb,7,9.5\n",
+        "s3/log.csv": "\ufeffUnnamed: 0,Timestamp,Value,Frame,Extra\n0,1.5,c,3,x\n1,,\"d,e\",oops,\n",
+        "s4/log.csv": "Frame,Value\n1,x\n",
+        "s5/log.csv": "\n1,2\n",
+        "s6/log.csv": "Frame,Timestamp,Value,Frame\n1,2,3,4\n",
+    }.items():
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    got = sources.read_event_log(spark, f"{tmp_path}/*/log.csv")
+    want = [("s1", 0, 1, 0.5, "Frame", None), ("s1", 1, 2, 0.7, "a.tiff", None), ("s2", 0, 7, 9.5, "b", None), ("s3", 0, 3, 1.5, "c", "x"), ("s3", 1, None, None, "d,e", None)]
+    assert sorted(tuple(r) for r in got.select("session_id", "row_idx", "Frame", "Timestamp", "Value", "Extra").collect()) == want
+    _, report = sources.concatenated_files(spark, f"{tmp_path}/*/log.csv", ("Frame", "Timestamp", "Value"))
+    said = {r.file.split("/")[-2]: (r.status, r.reason) for r in report.collect()}
+    assert said == {"s1": ("read", None), "s2": ("read", None), "s3": ("read", None), "s4": ("skipped", "lacks Timestamp"), "s5": ("skipped", "empty"), "s6": ("skipped", "repeats Frame")}
+    for reader, texts in ((sources.read_corrected_log, ("Value,corrected_timestamps\na,1.5\n", "corrected_timestamp,Value\n2.5,b\n")), (sources.read_epochs, ("start_time,end_time\n1,2\n", "end_time,note,start_time\n4,z,3\n"))):
+        folder = tmp_path / reader.__name__
+        for k, text in enumerate(texts):
+            (folder / f"t{k}").mkdir(parents=True)
+            (folder / f"t{k}" / "x.csv").write_text(text)
+        names = ("session_id", "value", "t_corr") if reader is sources.read_corrected_log else ("session_id", "start_time", "end_time")
+        assert rows(reader(spark, f"{folder}/*/x.csv"), *names) == ([("t0", "a", 1.5), ("t1", "b", 2.5)] if names[1] == "value" else [("t0", 1.0, 2.0), ("t1", 3.0, 4.0)])
+    (tmp_path / "registry.csv").write_text("session_id,session_date\ns1,2024-01-02\ns2,soon\n")
+    assert [(r.session_id, str(r.session_date)) for r in sources.read_registry(spark, f"{tmp_path}/registry.csv").orderBy("session_id").collect()] == [("s1", "2024-01-02"), ("s2", "None")]
+    assert sources.read_measurements(spark, f"{tmp_path}/nowhere/*.csv") is None
+    with pytest.raises(ValueError, match="no file can be read"):
+        sources.read_event_log(spark, f"{tmp_path}/s4/log.csv")
+
+
+def test_a_batch_that_runs_again_leaves_the_same_rows(spark, tmp_path):
+    """The driver is lost after the write and before the mark: the batch comes again."""
+    import os
+
+    source, sink, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    spark.range(3).write.parquet(source)
+    for _ in range(2):
+        streaming.process_arrivals(spark, source, "id long", lambda df: df, sink, mark).awaitTermination(120)
+        for name in os.listdir(f"{mark}/commits"):
+            os.remove(f"{mark}/commits/{name}")
+        assert spark.read.parquet(sink).count() == 3
+
+
+def test_assets_by_rules_in_order(spark):
+    files = spark.createDataFrame([("/d/a/x/Summary1.mat", 1), ("/d/a/y/Summary2.mat", 5), ("/d/a/old.mat", 9), ("/d/a/k.harp/photodiode1.pkl", 2), ("/d/a/z/photodiode9.pkl", 8), ("/d/a/k2.harp/other", 1), ("/d/ab/Summary3.mat", 7), ("/f/b/old.mat", 3), ("/f/b/older.mat", 3)], "path string, n int").selectExpr("path", "timestamp_seconds(n) as mtime")
+    sessions = spark.createDataFrame([("a", "/d/a/", None), ("b", "/d/b", "/f/b"), ("c", None, None)], "session_id string, dir string, spare string")
+    rules = {"photodiode": [("dir", r"photodiode.*\.pkl")], "mat": [("dir", r"Summary.*\.mat"), ("dir", r"old.*\.mat"), ("spare", r"old.*\.mat")], "harp": [("dir", r".*\.harp")]}
+    got = registry.resolved_assets(sessions, files, rules, {"photodiode": "harp"})
+    assert rows(got, "session_id", "mat", "mat_rule", "harp", "photodiode") == [("a", "/d/a/y/Summary2.mat", 0, "/d/a/k.harp", "/d/a/k.harp/photodiode1.pkl"), ("b", "/f/b/older.mat", 2, None, None), ("c", None, None, None, None)]
+
+
+def test_one_row_or_an_error(spark):
+    d = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "session_id int, v string")
+    assert registry.session_row(d, 1).v == "x"
+    for bad, kind in ((3, KeyError), (2, ValueError)):
+        with pytest.raises(kind):
+            registry.session_row(d, bad)
+
+
+def test_overall_quality_of_parts(spark):
+    d = spark.createDataFrame([(1, 1.2, 0.3, True, 0.8), (2, None, None, False, None), (3, None, None, None, None), (4, 0.39, None, None, 1.0)], "session_id int, glut_pass_fraction double, ca_pass_fraction double, alignment_ready boolean, event_coverage double")
+    got = {r.session_id: (r.score and round(r.score, 6), r.tier, r.flags, r.needs_review) for r in registry.overall_quality(d).collect()}
+    assert got == {1: (0.83, "B", "low_calcium_pass_fraction; low_event_coverage", False), 2: (0.0, "FAIL", "alignment_failed", True), 3: (None, None, "", True), 4: (round((0.45 * 0.39 + 0.15) / 0.6, 6), "C", "low_glut_pass_fraction", True)}
+
+
 def test_arrivals_are_processed_once(spark, tmp_path):
     source, sink, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     for n in (3, 5):

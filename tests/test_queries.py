@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from chronolock import catalog
-from chronolock.plans import composites, core, rollup, sequence, shapes, signal  # noqa: F401
+from chronolock.plans import composites, core, files, rollup, sequence, shapes, signal  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
