@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolock.functions.lineage import settled
-from chronolock.functions.ranking import counted
+from chronolock.functions.ranking import counted, split
 
 #: Values of a key that one task may hold; those of larger keys are ranked over all tasks.
 HELD = 1 << 21
@@ -33,27 +32,19 @@ def _ranked(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[f
     return wide.select(*keys, F.array(*[line(k, q) for k, q in enumerate(shares)]).alias("q"))
 
 
-def large_keys(rows: DataFrame, keys: Sequence[str], value: str, held: int = HELD) -> DataFrame | None:
-    """The keys of more than ``held`` values; None where there are none."""
-    found = rows.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") > held).select(*keys)
-    return settled(found) if found.limit(1).count() else None
-
-
 def several(rows: DataFrame, keys: Sequence[str], shares: Mapping[str, Sequence[float]], large: DataFrame | None = None) -> DataFrame:
     """``keys`` and, for each column in ``shares``, ``q_<column>``: its quantiles (linear between the two nearest
     values), nulls left out; keys without a value have null.
 
-    A key is sorted within one aggregate, but for those in ``large`` (:func:`large_keys`; its columns are
-    some of ``keys``), which are ranked over ranges of values
+    A key is sorted within one aggregate, but for those in ``large`` (:func:`~chronolock.functions.ranking.large_keys`;
+    its columns are some of ``keys``), which are ranked over ranges of values
     (:func:`chronolock.functions.ranking.counted`), with the same result."""
     keys = list(keys)
     plain = [F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias(f"q_{c}") for c, qs in shares.items()]
     if large is None:
         return rows.groupBy(*keys).agg(*plain)
-    named = large.select(*[F.col(k).alias(f"_{k}") for k in large.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in large.columns]
-    small = rows.join(named, on, "left_anti").groupBy(*keys).agg(*plain)
-    hot = rows.join(named, on, "left_semi")
+    rest, hot = split(rows, large)
+    small = rest.groupBy(*keys).agg(*plain)
     wide = hot.select(*keys).distinct()
     for c, qs in shares.items():
         one = _ranked(hot, keys, c, qs).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("q").alias(f"q_{c}"))

@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronolock.functions import average_rank, median, ratio
+from chronolock.functions import median, ratio
+from chronolock.functions.lineage import settled
+from chronolock.functions.quantiles import HELD
+from chronolock.functions.ranking import large_keys, ranked, running, suffix_least
 
 
 def _normal_tails(z: pd.Series) -> pd.Series:
@@ -103,16 +106,18 @@ def signed_rank_tail(statistic: Column | str, n: Column | str) -> Column:
     return F.pandas_udf(run, "double")(statistic, n)
 
 
-def wilcoxon(values: DataFrame, keys: list[str], value: str = "v", exact: int = 50) -> DataFrame:
+def wilcoxon(values: DataFrame, keys: list[str], value: str = "v", exact: int = 50, held: int | None = HELD) -> DataFrame:
     """Signed ranks against 0: sum of ranks above and below, and the two-sided p.
 
     p is exact for ``exact`` values at most if none is 0 and no sizes tie, else by the normal
-    approximation with its correction for ties.  Zeros are left out; p is 1 where only zeros are."""
-    every = values.where(F.col(value).isNotNull())
-    marked = every.where(F.col(value) != 0).withColumn("_a", F.abs(value))
-    marked = marked.withColumn("_r", average_rank("_a", *keys))
-    ties = marked.groupBy(*keys, "_a").agg(F.count("*").alias("_c"), F.sum(F.when(F.col(value) > 0, F.col("_r"))).alias("_p"), F.sum(F.when(F.col(value) < 0, F.col("_r"))).alias("_m"))
-    w = ties.groupBy(*keys).agg(F.sum("_c").alias("n"), F.coalesce(F.sum("_p"), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("_m"), F.lit(0.0)).alias("w_minus"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
+    approximation with its correction for ties.  Zeros are left out; p is 1 where only zeros are.
+    Values of one size are counted before they are ranked; keys of more than ``held`` values (None: there are
+    none) are ranked over all tasks."""
+    every = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_a", F.abs("_v"))
+    marked = every.where(F.col("_v") != 0)
+    c = ranked(marked, keys, "_a", held and large_keys(marked, keys, "_a", held), (F.count_if(F.col("_v") > 0).alias("_p"),))
+    rank = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
+    w = c.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("_p") * rank).alias("w_plus"), F.sum((F.col("n") - F.col("_p")) * rank).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
     w = w.withColumn("z", (F.least("w_plus", "w_minus") - mean) / F.sqrt(F.when(var > 0, var))).withColumn("statistic", F.least("w_plus", "w_minus"))
     whole = every.groupBy(*keys).agg(F.count("*").alias("_every"))
@@ -122,10 +127,15 @@ def wilcoxon(values: DataFrame, keys: list[str], value: str = "v", exact: int =
     return out.withColumn("p", F.when(F.col("n").isNull(), F.lit(1.0)).when(small, tail).otherwise(normal_tail("z"))).drop("_every")
 
 
-def kruskal(values: DataFrame, keys: list[str], group: str = "stimulus", value: str = "v") -> DataFrame:
-    """Kruskal-Wallis H over groups, corrected for ties, and its chi-square p; two groups at least."""
-    r = values.where(F.col(value).isNotNull()).withColumn("_r", average_rank(value, *keys)).withColumn("_c", F.count("*").over(W.partitionBy(*keys, value)))
-    g = r.groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum("_r").alias("s"), F.sum(F.pow("_c", F.lit(2)) - 1).alias("t"))
+def kruskal(values: DataFrame, keys: list[str], group: str = "stimulus", value: str = "v", held: int | None = HELD) -> DataFrame:
+    """Kruskal-Wallis H over groups, corrected for ties, and its chi-square p; two groups at least.
+
+    Groups meet through the counts of each value; keys of more than ``held`` values are ranked over all tasks."""
+    there = values.where(F.col(value).isNotNull()).select(*keys, group, F.col(value).alias("_v"))
+    c = ranked(there, keys, "_v", held and large_keys(there, keys, "_v", held)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_v").alias("_x"), (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("_r"), F.col("n").alias("_c"))
+    own = there.groupBy(*keys, group, "_v").agg(F.count("*").alias("_n"))
+    r = own.join(c, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_v") == F.col("_x")])
+    g = r.groupBy(*keys, group).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_r")).alias("s"), F.sum(F.col("_n") * (F.pow("_c", F.lit(2)) - 1)).alias("t"))
     h = g.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("t").alias("t"), F.count("*").alias("groups")).where("groups >= 2")
     n = F.col("n")
     raw = 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
@@ -133,18 +143,23 @@ def kruskal(values: DataFrame, keys: list[str], group: str = "stimulus", value:
     return h.select(*keys, "n", "groups", "h").withColumn("p", chi_square_tail("h", (F.col("groups") - 1).cast("double")))
 
 
-def mann_whitney(values: DataFrame, group: str, keys: list[str], value: str = "v") -> DataFrame:
+def mann_whitney(values: DataFrame, group: str, keys: list[str], value: str = "v", held: int | None = HELD) -> DataFrame:
     """U of every pair of groups within a key, with sizes, medians and the normal p corrected for
-    ties.  Pairs meet through the counts of each value, so no row meets another."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, group, F.col(value).alias("x")).agg(F.count("*").alias("c"))
-    sizes = values.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), median(value).alias("med"))
-    a, b = sizes.select(*keys, F.col(group).alias("a"), F.col("n").alias("na"), F.col("med").alias("med_a")), sizes.select(*keys, F.col(group).alias("b"), F.col("n").alias("nb"), F.col("med").alias("med_b"))
-    one = [F.col(k) for k in keys] or [F.lit(0)]
-    pairs = a.withColumn("_k", F.struct(*one)).join(b.withColumn("_k", F.struct(*one)).drop(*keys), "_k").where(F.col("a") < F.col("b")).drop("_k")
-    both = pairs.withColumn("g", F.explode(F.array("a", "b"))).join(counts.withColumnRenamed(group, "g"), [*keys, "g"])
-    at = both.groupBy(*keys, "a", "b", "na", "nb", "med_a", "med_b", "x").agg(F.sum("c").alias("c"), F.coalesce(F.sum(F.when(F.col("g") == F.col("a"), F.col("c"))), F.lit(0)).alias("ca"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy(*keys, "a", "b").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = at.withColumn("rank", before + (F.col("c") + 1) / 2)
+    ties.  Pairs meet through the counts of each value, so no row meets another; pairs of more than ``held``
+    values are ranked over all tasks."""
+    there = values.where(F.col(value).isNotNull())
+    counts = there.groupBy(*keys, group, F.col(value).alias("x")).agg(F.count("*").alias("c"))
+    sizes = there.groupBy(*keys, group).agg(F.count("*").alias("n"), median(value).alias("med"))
+    # the groups of a key in one row, and from it a row for each pair
+    every = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "n", "med"))).alias("e"))
+    both = F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: b["g"] > a["g"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = every.select(*keys, F.explode(both).alias("p")).select(*keys, F.col("p.a.g").alias("a"), F.col("p.b.g").alias("b"), F.col("p.a.n").alias("na"), F.col("p.b.n").alias("nb"), F.col("p.a.med").alias("med_a"), F.col("p.b.med").alias("med_b"))
+    named = ["a", "b", "na", "nb", "med_a", "med_b"]
+    met = pairs.withColumn("g", F.explode(F.array("a", "b"))).join(counts.withColumnRenamed(group, "g"), [*keys, "g"])
+    at = met.groupBy(*keys, *named, "x").agg(F.sum("c").alias("c"), F.coalesce(F.sum(F.when(F.col("g") == F.col("a"), F.col("c"))), F.lit(0)).alias("ca"))
+    pair = [*keys, *named]
+    large = held and large_keys(at, pair, "x", held)
+    at = running(at, pair, "x", "c", large).withColumn("rank", F.col("below") + (F.col("c") + 1) / 2)
     u = at.groupBy(*keys, "a", "b", "na", "nb", "med_a", "med_b").agg(F.sum(F.col("ca") * F.col("rank")).alias("r"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("t"))
     n, m = F.col("na"), F.col("nb")
     u = u.withColumn("u", F.col("r") - n * (n + 1) / 2)
@@ -153,41 +168,118 @@ def mann_whitney(values: DataFrame, group: str, keys: list[str], value: str = "v
     return u.withColumn("p", normal_tail(F.greatest("z", F.lit(0.0)))).drop("r", "t")
 
 
-def benjamini_hochberg(rows: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """T4: ``q``: false-discovery adjusted p within keys; null p stay null and don't count."""
-    ranked = rows.withColumn("_m", F.count(p).over(W.partitionBy(*keys))).withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.asc_nulls_last(p))))
-    raw = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_k"))
-    low = F.min("_q").over(W.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0))
-    return raw.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.greatest(low, F.lit(0.0)), F.lit(1.0)))).drop("_m", "_k", "_q")
-
-
-def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, seed: int = 0, group: str = "stimulus", value: str = "v", event: str = "event_id") -> DataFrame:
+def benjamini_hochberg(rows: DataFrame, keys: list[str], p: str = "p", held: int | None = HELD) -> DataFrame:
+    """T4: ``q``: false-discovery adjusted p within keys; null p stay null and don't count.
+
+    Equal p share their q, so it is found for each p that occurs and brought back to the rows; keys of more
+    than ``held`` rows (None: there are none) are ranked over all tasks."""
+    large = held and large_keys(rows, keys, p, held)
+    c = ranked(rows.select(*keys, F.col(p).alias("_p")), keys, "_p", large)
+    c = c.withColumn("_raw", F.col("_p") * F.col("total") / (F.col("below") + F.col("n")))
+    q = suffix_least(c, keys, "_p", "_raw", large).select(*[F.col(k).alias(f"_{k}") for k in keys], "_p", F.least(F.greatest("least", F.lit(0.0)), F.lit(1.0)).alias("q"))
+    return rows.join(q, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col(p) == F.col("_p")], "left").drop(*[f"_{k}" for k in keys], "_p")
+
+
+#: Rounds of a shuffle, events of a piece, shuffles of a block.
+ROUNDS, PIECE, BLOCK = 3, 1 << 16, 250
+
+
+def shuffle_sides(n: int) -> tuple[int, int]:
+    """Rows and columns of the smallest near-square board with ``n`` places."""
+    rows = math.isqrt(n - 1) + 1 if n else 1
+    return rows, -(-n // rows)
+
+
+def shuffle_tables(n: int, seed: list[int], block: int, shuffles: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each round and shuffle of a block: how far each column moves down, and each row to the right."""
+    rows, columns = shuffle_sides(n)
+    rng = np.random.default_rng([*seed, block])
+    return rng.integers(0, rows, (ROUNDS, shuffles, columns), dtype=np.int32), rng.integers(0, columns, (ROUNDS, shuffles, rows), dtype=np.int32)
+
+
+def shuffled_places(place: np.ndarray, n: int, down: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The places 0 to ``n`` - 1 to which ``place`` goes under each shuffle (a row each).
+
+    Places stand on a board; in turn its columns and its rows are rotated, each as far as the tables say.
+    That is a permutation of the board, and a place that leaves the ``n`` goes on until it is back, which is one
+    of the ``n``.  So any event's place under any shuffle is known without the others."""
+    rows, columns = shuffle_sides(n)
+    shuffles = np.arange(down.shape[1])[:, None]
+    out = np.broadcast_to(place, (down.shape[1], len(place))).astype(np.int64)
+    which, at = None, out
+    while True:
+        r, c = np.divmod(at, columns)
+        s = shuffles if which is None else which[0]
+        for k in range(ROUNDS):
+            r = r + down[k][s, c]
+            r -= rows * (r >= rows)
+            c = c + right[k][s, r]
+            c -= columns * (c >= columns)
+        at = r * columns + c
+        if which is None:
+            out = at
+            which = np.nonzero(at >= n)
+        else:
+            out[which] = at
+            back = at >= n
+            which = (which[0][back], which[1][back])
+        if not len(which[0]):
+            return out
+        at = out[which]
+
+
+def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, seed: int = 0, group: str = "stimulus", value: str = "v", event: str = "event_id", held: int = HELD) -> DataFrame:
     """T5: the share of variance between groups, and how often shuffled labels reach it:
-    p = (1 + reached) / (shuffles + 1).  Rows without a value or a label are left out.  Each key's events
-    (those of one trace) are in one array; many shuffles are dealt at once, about a million values at a
-    time, with a seed from the key."""
-    out_schema = values.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n bigint, fve double, p double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value, group]).sort_values([event, value], kind="stable")
-        if pdf.empty:
-            return pd.DataFrame(columns=[*keys, "n", "fve", "p"])
-        v = pdf[value].to_numpy(float) - pdf[value].mean()
-        codes = pd.factorize(pdf[group], sort=True)[0]
-        n, total = np.bincount(codes), float((v * v).sum())
-        rng = np.random.default_rng([seed, *[zlib.crc32(str(pdf[k].iloc[0]).encode()) for k in keys]])
-        seen = float((np.bincount(codes, v) ** 2 / n).sum())
-        order = np.argsort(codes, kind="stable")  # labels in order; shuffled values are summed in runs
-        first = np.append(0, np.cumsum(n)[:-1])
-        reached, step = 0, max(1, (1 << 20) // len(v))
-        for at in range(0, shuffles, step):
-            dealt = rng.permuted(np.broadcast_to(v[order], (min(step, shuffles - at), len(v))), axis=1)
-            between = (np.add.reduceat(dealt, first, axis=1) ** 2 / n).sum(1)
-            reached += int((between >= seen - 1e-12 * max(total, 1)).sum())
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"n": [len(v)], "fve": [seen / total if total > 1e-12 else 0.0], "p": [(1 + reached) / (shuffles + 1)]}
-        return pd.DataFrame(row)
-
-    return values.groupBy(*keys).applyInPandas(run, out_schema)
+    p = (1 + reached) / (shuffles + 1).  Rows without a value or a label are left out.
+
+    The events of a key (those of one trace) are numbered, and so are their labels in order; a shuffle, drawn
+    from the key and its number, gives each event the label at its shuffled place
+    (:func:`shuffled_places`).  An event's labels don't ask for other events, so a key is dealt in pieces of
+    ``PIECE`` events, whose sums by shuffle and label are added up."""
+    there = values.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.struct(F.col(event).alias("e"), F.col(value).cast("double").alias("v"), F.col(group).alias("g")).alias("_row"))
+    there = settled(there)
+    large = large_keys(there, keys, "_row", held)
+    deal = ranked(there, keys, "_row", large).select(*keys, "_row", F.explode(F.sequence("below", F.col("below") + F.col("n") - 1)).alias("_i"))
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    each = there.groupBy(*keys, F.col("_row.g").alias("g")).agg(F.count("*").alias("n"), F.sum("_row.v").alias("s"))
+    labels = each.groupBy(*named).agg(F.array_sort(F.collect_list(F.struct("g", "n"))).alias("_labels"), (F.sum("s") / F.sum("n")).alias("_mean"), F.sum("n").alias("_all"))
+    rows = deal.join(labels, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    code = (F.array_position(F.transform("_labels", lambda x: x["g"]), F.col("_row.g")) - 1).cast("int")
+    rows = rows.select(*keys, "_i", (F.col("_row.v") - F.col("_mean")).alias("_v"), code.alias("_code"), F.col("_all").alias("_n"), F.transform("_labels", lambda x: x["n"]).alias("_counts"), F.floor(F.col("_i") / PIECE).alias("_piece"))
+    plain = values.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
+
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        n, counts, v, code = int(pdf["_n"].iloc[0]), np.asarray(pdf["_counts"].iloc[0]), pdf["_v"].to_numpy(float), pdf["_code"].to_numpy()
+        ends, groups = np.cumsum(counts), len(counts)
+        label = np.repeat(np.arange(groups, dtype=np.int32), counts) if n <= 1 << 22 else None
+        own = [seed, *[zlib.crc32(str(pdf[k].iloc[0]).encode()) for k in keys]]
+        place, out = pdf["_i"].to_numpy(), []
+        seen = np.bincount(code, v, groups)
+        for block in range(-(-shuffles // BLOCK)):
+            m = min(BLOCK, shuffles - block * BLOCK)
+            down, right = shuffle_tables(n, own, block, m)
+            total, step = np.zeros(m * groups), max(1, (1 << 18) // m)
+            for at in range(0, len(v), step):
+                p = shuffled_places(place[at : at + step], n, down, right)
+                given = label[p] if label is not None else np.searchsorted(ends, p, side="right")
+                slot = given + groups * np.arange(m)[:, None]
+                total += np.bincount(slot.ravel(), np.broadcast_to(v[at : at + step], p.shape).ravel(), m * groups)
+            out.append([*(pdf[k].iloc[0] for k in keys), block, n, counts.tolist(), float(v @ v), seen.tolist(), total.tolist()])
+        return pd.DataFrame(out, columns=[*keys, "block", "n", "counts", "total", "seen", "sums"])
+
+    parts_ = rows.groupBy(*keys, "_piece").applyInPandas(piece, f"{plain}, block int, n bigint, counts array<bigint>, total double, seen array<double>, sums array<double>")
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, counts = int(pdf["n"].iloc[0]), np.asarray(pdf["counts"].iloc[0])
+        total = float(pdf["total"].sum())
+        seen = float((np.sum(pdf["seen"].tolist(), axis=0) ** 2 / counts).sum())
+        between = (np.sum(pdf["sums"].tolist(), axis=0).reshape(-1, len(counts)) ** 2 / counts).sum(1)
+        reached = int((between >= seen - 1e-12 * max(total, 1)).sum())
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), n, seen / total if total > 1e-12 else 0.0, reached]], columns=[*keys, "n", "fve", "reached"])
+
+    blocks = parts_.groupBy(*keys, "block").applyInPandas(added, f"{plain}, n bigint, fve double, reached bigint")
+    return blocks.groupBy(*keys).agg(F.first("n").alias("n"), F.first("fve").alias("fve"), ((1 + F.sum("reached")) / F.lit(shuffles + 1)).alias("p"))
 
 
 def manova(windows: DataFrame, keys: list[str], samples: list[int] | None = None, group: str = "stimulus", event: str = "event_index", most: int = 20, gap_share: float = 0.1) -> DataFrame:
@@ -304,10 +396,11 @@ def phase_alignment(frames: DataFrame, edges: DataFrame, period: int = 30, key:
 def activation(responses: DataFrame, keys: list[str], families: str = "family", least: int = 8, alpha: float = 0.05, exact: int = 50) -> DataFrame:
     """Per trace and family: events, median and mean response, signed-rank p (``least`` events), q
     over the families of a trace, and the class by q and the median's sign."""
+    responses = settled(responses.select(*keys, families, "v"))  # read several times below
     stats = responses.groupBy(*keys, families).agg(F.count("v").alias("n_events"), median("v").alias("median"), F.avg("v").alias("mean"))
     test = wilcoxon(responses, [*keys, families], exact=exact).select(*keys, families, "p")
     both = stats.join(test, [*keys, families], "left").withColumn("p", F.when(F.col("n_events") >= least, F.col("p")))
-    q = benjamini_hochberg(both, keys)
+    q = benjamini_hochberg(both, keys, held=None)  # the families of a trace are few
     kind = F.when((F.col("q") < alpha) & (F.col("median") > 0), "activated").when((F.col("q") < alpha) & (F.col("median") < 0), "suppressed").otherwise("no_change")
     return q.withColumn("response_class", kind).withColumn("direction", F.when(F.col("median") > 0, "up").when(F.col("median") < 0, "down").otherwise("none"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from chronolock.functions.ranking import counted, least_from
 
 
@@ -35,7 +37,8 @@ def test_a_hot_key_is_in_many_ranges(spark):
 def test_quantiles_of_large_keys(spark):
     import numpy as np
 
-    from chronolock.functions.quantiles import large_keys, quantiles
+    from chronolock.functions.quantiles import quantiles
+    from chronolock.functions.ranking import large_keys
     from chronolock.operators.quality import robust_stats
 
     rng = random.Random(8)
@@ -51,3 +54,36 @@ def test_quantiles_of_large_keys(spark):
     assert got["d"] is None
     one, two = ({r.k: tuple(r) for r in robust_stats(df, ["k"], held).collect()} for held in (30, 10**6))
     assert one.keys() == two.keys() and all(x == y or abs(x - y) < 1e-12 for k in one for x, y in zip(one[k][1:], two[k][1:]))
+
+
+def test_tests_of_large_keys_are_those_of_small_ones(spark):
+    """Ranks over ranges and ranks in one window give the same statistics."""
+    from chronolock.operators import quality, statistics
+
+    rng = random.Random(4)
+    rows = [(k, rng.choice("xyz"), round(rng.gauss(0.2, 1), 1), rng.random() if rng.random() < 0.9 else None) for k, n in (("hot", 500), ("a", 40), ("b", 3), (None, 20)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, g string, v double, p double").repartition(4).withColumn("finite", F.lit(1.0))
+
+    def of(held):
+        return {
+            "t4": statistics.benjamini_hochberg(df, ["k"], held=held),
+            "t4 whole": statistics.benjamini_hochberg(df, [], held=held),
+            "t1": statistics.wilcoxon(df.where("k is not null"), ["k"], held=held),
+            "t2": statistics.kruskal(df.where("k is not null"), ["k"], "g", held=held),
+            "t3": statistics.mann_whitney(df.where("k is not null"), "g", ["k"], held=held),
+            "t3 whole": statistics.mann_whitney(df, "g", [], held=held),
+            "w37": quality.ranked(df, ["k"], "v", held=held),
+        }
+
+    one, two = of(15), of(10**9)
+    for name in one:
+        a, b = (sorted(map(lambda r: str([round(x, 9) if isinstance(x, float) else x for x in r]), d[name].collect())) for d in (one, two))
+        assert a == b and a, name
+    # by the book
+    got = {(r.k, r.p): r.q for r in of(15)["t4"].collect()}
+    for k in ("hot", "a", "b", None):
+        p = sorted(r[3] for r in rows if r[0] == k and r[3] is not None)
+        least = 1.0
+        for i in range(len(p), 0, -1):
+            least = min(least, p[i - 1] * len(p) / i)
+            assert abs(got[k, p[i - 1]] - least) < 1e-12
