@@ -180,62 +180,51 @@ def benjamini_hochberg(rows: DataFrame, keys: list[str], p: str = "p", held: int
     return rows.join(q, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col(p) == F.col("_p")], "left").drop(*[f"_{k}" for k in keys], "_p")
 
 
-#: Rounds of a shuffle, events of a piece, shuffles of a block.
-ROUNDS, PIECE, BLOCK = 3, 1 << 16, 250
-
-
-def shuffle_sides(n: int) -> tuple[int, int]:
-    """Rows and columns of the smallest near-square board with ``n`` places."""
-    rows = math.isqrt(n - 1) + 1 if n else 1
-    return rows, -(-n // rows)
-
-
-def shuffle_tables(n: int, seed: list[int], block: int, shuffles: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each round and shuffle of a block: how far each column moves down, and each row to the right."""
-    rows, columns = shuffle_sides(n)
-    rng = np.random.default_rng([*seed, block])
-    return rng.integers(0, rows, (ROUNDS, shuffles, columns), dtype=np.int32), rng.integers(0, columns, (ROUNDS, shuffles, rows), dtype=np.int32)
-
-
-def shuffled_places(place: np.ndarray, n: int, down: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The places 0 to ``n`` - 1 to which ``place`` goes under each shuffle (a row each).
-
-    Places stand on a board; in turn its columns and its rows are rotated, each as far as the tables say.
-    That is a permutation of the board, and a place that leaves the ``n`` goes on until it is back, which is one
-    of the ``n``.  So any event's place under any shuffle is known without the others."""
-    rows, columns = shuffle_sides(n)
-    shuffles = np.arange(down.shape[1])[:, None]
-    out = np.broadcast_to(place, (down.shape[1], len(place))).astype(np.int64)
-    which, at = None, out
-    while True:
-        r, c = np.divmod(at, columns)
-        s = shuffles if which is None else which[0]
-        for k in range(ROUNDS):
-            r = r + down[k][s, c]
-            r -= rows * (r >= rows)
-            c = c + right[k][s, r]
-            c -= columns * (c >= columns)
-        at = r * columns + c
-        if which is None:
-            out = at
-            which = np.nonzero(at >= n)
-        else:
-            out[which] = at
-            back = at >= n
-            which = (which[0][back], which[1][back])
-        if not len(which[0]):
-            return out
-        at = out[which]
+#: Events of a piece, shuffles of a block.
+PIECE, BLOCK = 1 << 16, 250
+
+
+def labels_dealt(counts: np.ndarray, n: int, piece: int, size: int, seed: list[int], block: int, shuffles: int) -> np.ndarray:
+    """How many of each label a piece of ``size`` events gets under each shuffle of a block (a row each).
+
+    The labels of all pieces are split in two by a draw without replacement, then those of each half, and so
+    on; a split's draws come from its own seed, so every piece that shares it makes the same ones, and
+    a piece asks for as many splits as the logarithm of the pieces."""
+    have = np.tile(np.asarray(counts, np.int64), (shuffles, 1))
+    low, high = 0, -(-n // size)
+    while high - low > 1:
+        mid = (low + high) // 2
+        rng = np.random.default_rng([*seed, 0, block, low, high])
+        drawn = np.array([rng.multivariate_hypergeometric(h, (mid - low) * size) for h in have])
+        have, low, high = (drawn, low, mid) if piece < mid else (have - drawn, mid, high)
+    return have
+
+
+def sums_by_label(v: np.ndarray, have: np.ndarray, piece: int, seed: list[int], block: int) -> np.ndarray:
+    """Sums of a piece's values by label under each shuffle of a block: the values are shuffled, and the first
+    go to the first label, as many as it has (``have``), and so on."""
+    rng = np.random.default_rng([*seed, 1, block, piece])
+    out, step = np.empty(have.shape), max(1, (1 << 20) // max(len(v), 1))
+    for at in range(0, len(have), step):
+        mine = have[at : at + step]
+        dealt = rng.permuted(np.broadcast_to(v, (len(mine), len(v))), axis=1)
+        if (have == have[0]).all() and have[0].all():
+            out[at : at + step] = np.add.reduceat(dealt, np.append(0, np.cumsum(have[0])[:-1]), axis=1)
+            continue
+        upto = np.pad(np.cumsum(dealt, axis=1), ((0, 0), (1, 0)))
+        ends = np.pad(np.cumsum(mine, axis=1), ((0, 0), (1, 0)))
+        out[at : at + step] = np.diff(np.take_along_axis(upto, ends, axis=1), axis=1)
+    return out
 
 
 def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, seed: int = 0, group: str = "stimulus", value: str = "v", event: str = "event_id", held: int = HELD) -> DataFrame:
     """T5: the share of variance between groups, and how often shuffled labels reach it:
     p = (1 + reached) / (shuffles + 1).  Rows without a value or a label are left out.
 
-    The events of a key (those of one trace) are numbered, and so are their labels in order; a shuffle, drawn
-    from the key and its number, gives each event the label at its shuffled place
-    (:func:`shuffled_places`).  An event's labels don't ask for other events, so a key is dealt in pieces of
-    ``PIECE`` events, whose sums by shuffle and label are added up."""
+    The events of a key (those of one trace) are numbered and dealt in pieces of ``PIECE``.  A shuffle first
+    deals each piece its share of the labels (:func:`labels_dealt`), then shuffles within the piece: all orders
+    of the whole are equally likely, yet a piece needs only the counts of labels, and its sums by shuffle and
+    label are added up.  Seeds come from the key.  Keys of up to 1e9 events."""
     there = values.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.struct(F.col(event).alias("e"), F.col(value).cast("double").alias("v"), F.col(group).alias("g")).alias("_row"))
     there = settled(there)
     large = large_keys(there, keys, "_row", held)
@@ -251,34 +240,35 @@ def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, se
     def piece(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         n, counts, v, code = int(pdf["_n"].iloc[0]), np.asarray(pdf["_counts"].iloc[0]), pdf["_v"].to_numpy(float), pdf["_code"].to_numpy()
-        ends, groups = np.cumsum(counts), len(counts)
-        label = np.repeat(np.arange(groups, dtype=np.int32), counts) if n <= 1 << 22 else None
         own = [seed, *[zlib.crc32(str(pdf[k].iloc[0]).encode()) for k in keys]]
-        place, out = pdf["_i"].to_numpy(), []
-        seen = np.bincount(code, v, groups)
+        number, out, sums = int(pdf["_piece"].iloc[0]), [], []
+        seen, own_total = np.bincount(code, v, len(counts)), float(v @ v)
         for block in range(-(-shuffles // BLOCK)):
-            m = min(BLOCK, shuffles - block * BLOCK)
-            down, right = shuffle_tables(n, own, block, m)
-            total, step = np.zeros(m * groups), max(1, (1 << 18) // m)
-            for at in range(0, len(v), step):
-                p = shuffled_places(place[at : at + step], n, down, right)
-                given = label[p] if label is not None else np.searchsorted(ends, p, side="right")
-                slot = given + groups * np.arange(m)[:, None]
-                total += np.bincount(slot.ravel(), np.broadcast_to(v[at : at + step], p.shape).ravel(), m * groups)
-            out.append([*(pdf[k].iloc[0] for k in keys), block, n, counts.tolist(), float(v @ v), seen.tolist(), total.tolist()])
-        return pd.DataFrame(out, columns=[*keys, "block", "n", "counts", "total", "seen", "sums"])
-
-    parts_ = rows.groupBy(*keys, "_piece").applyInPandas(piece, f"{plain}, block int, n bigint, counts array<bigint>, total double, seen array<double>, sums array<double>")
+            have = labels_dealt(counts, n, number, PIECE, own, block, min(BLOCK, shuffles - block * BLOCK))
+            found = sums_by_label(v, have, number, own, block)
+            if n <= PIECE:
+                sums.append(found.ravel())
+            else:
+                out.append([*(pdf[k].iloc[0] for k in keys), block, n, None, None, counts.astype(np.int64).tobytes(), own_total, seen.tobytes(), found.tobytes()])
+        if n <= PIECE:  # the piece is the key
+            out.append([*(pdf[k].iloc[0] for k in keys), None, n, *verdict(np.concatenate(sums or [np.empty(0)]), seen, counts, own_total), None, None, None, None])
+        return pd.DataFrame(out, columns=[*keys, "block", "n", "fve", "reached", "counts", "total", "seen", "sums"])
+
+    def verdict(sums: np.ndarray, seen: np.ndarray, counts: np.ndarray, total: float) -> tuple[float, int]:
+        """The share of variance, and how many shuffles reach it."""
+        own = float((seen**2 / counts).sum())
+        between = (sums.reshape(-1, len(counts)) ** 2 / counts).sum(1)
+        return own / total if total > 1e-12 else 0.0, int((between >= own - 1e-12 * max(total, 1)).sum())
+
+    solved = settled(rows.groupBy(*keys, "_piece").applyInPandas(piece, f"{plain}, block int, n bigint, fve double, reached bigint, counts binary, total double, seen binary, sums binary"))
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, counts = int(pdf["n"].iloc[0]), np.asarray(pdf["counts"].iloc[0])
-        total = float(pdf["total"].sum())
-        seen = float((np.sum(pdf["seen"].tolist(), axis=0) ** 2 / counts).sum())
-        between = (np.sum(pdf["sums"].tolist(), axis=0).reshape(-1, len(counts)) ** 2 / counts).sum(1)
-        reached = int((between >= seen - 1e-12 * max(total, 1)).sum())
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), n, seen / total if total > 1e-12 else 0.0, reached]], columns=[*keys, "n", "fve", "reached"])
-
-    blocks = parts_.groupBy(*keys, "block").applyInPandas(added, f"{plain}, n bigint, fve double, reached bigint")
+        sums, seen = (np.sum([np.frombuffer(x) for x in pdf[c]], axis=0) for c in ("sums", "seen"))
+        found = verdict(sums, seen, np.frombuffer(pdf["counts"].iloc[0], np.int64), float(pdf["total"].sum()))
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), int(pdf["n"].iloc[0]), *found]], columns=[*keys, "n", "fve", "reached"])
+
+    pieced = solved.where("block is not null").groupBy(*keys, "block").applyInPandas(added, f"{plain}, n bigint, fve double, reached bigint")
+    blocks = solved.where("block is null").select(*keys, "n", "fve", "reached").unionByName(pieced)
     return blocks.groupBy(*keys).agg(F.first("n").alias("n"), F.first("fve").alias("fve"), ((1 + F.sum("reached")) / F.lit(shuffles + 1)).alias("p"))
 
 

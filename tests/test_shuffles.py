@@ -1,4 +1,4 @@
-"""T5: shuffles known place by place."""
+"""T5: shuffles of keys in pieces."""
 
 from __future__ import annotations
 
@@ -7,39 +7,50 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from chronolock.operators import statistics as st
 
 
-def plain_place(i, n, down, right, s):
-    """One place under one shuffle, a step at a time."""
-    rows, columns = st.shuffle_sides(n)
-    while True:
-        r, c = divmod(i, columns)
-        for k in range(st.ROUNDS):
-            r = (r + int(down[k][s, c])) % rows
-            c = (c + int(right[k][s, r])) % columns
-        i = r * columns + c
-        if i < n:
-            return i
-
-
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 12, 17, 100, 101])
-def test_shuffles_are_permutations(n):
-    down, right = st.shuffle_tables(n, [3, 4], 0, 20)
-    got = st.shuffled_places(np.arange(n), n, down, right)
-    assert (np.sort(got, axis=1) == np.arange(n)).all()
-    assert got.tolist() == [[plain_place(i, n, down, right, s) for i in range(n)] for s in range(20)]
-
-
-def test_shuffles_of_four_are_even():
-    down, right = st.shuffle_tables(4, [0], 0, 24000)
-    seen = Counter(map(tuple, st.shuffled_places(np.arange(4), 4, down, right).tolist()))
-    assert len(seen) == 24 and max(abs(c - 1000) for c in seen.values()) < 250
-    down, right = st.shuffle_tables(50, [1], 0, 20000)
-    first = np.bincount(st.shuffled_places(np.arange(1), 50, down, right)[:, 0], minlength=50)
-    assert abs(first - 400).max() < 130
+def test_pieces_share_out_all_labels():
+    counts, n = np.array([30, 1, 26]), 57
+    for size in (8, 16, 57, 100):
+        pieces = -(-n // size)
+        got = [st.labels_dealt(counts, n, p, size, [3, 4], 1, 40) for p in range(pieces)]
+        assert (sum(got) == counts).all() and all((g >= 0).all() for g in got)
+        assert [int(g[0].sum()) for g in got] == [min(size, n - p * size) for p in range(pieces)]
+        assert (got[-1].sum(1) == n - (pieces - 1) * size).all()
+
+
+def test_all_orders_are_equally_likely():
+    """Four events in pieces of two, labels a, b, b, c: twelve orders."""
+    counts, shuffles = np.array([1, 2, 1]), 24000
+    orders = [[] for _ in range(shuffles)]
+    for piece in (0, 1):
+        have = st.labels_dealt(counts, 4, piece, 2, [0], 0, shuffles)
+        marks = st.sums_by_label(np.array([1.0, 2.0]), have, piece, [0], 0)  # which of the two a label got
+        for s in range(shuffles):
+            where = {}
+            for g in range(3):
+                for x in {0.0: (), 1.0: (1,), 2.0: (2,), 3.0: (1, 2)}[marks[s, g]]:
+                    where[x] = g
+            orders[s] += [where[1], where[2]]
+    seen = Counter(map(tuple, orders))
+    assert len(seen) == 12 and max(abs(c - 2000) for c in seen.values()) < 250
+
+
+def plain_sums(v, labels, size, seed, block, shuffles):
+    """Each label's sum under each shuffle, with the labels of the whole key laid out event by event."""
+    counts, n = np.bincount(labels), len(v)
+    out = np.zeros((shuffles, len(counts)))
+    for piece in range(-(-n // size)):
+        own = v[piece * size : (piece + 1) * size]
+        have = st.labels_dealt(counts, n, piece, size, seed, block, shuffles)
+        rng = np.random.default_rng([*seed, 1, block, piece])
+        for s in range(shuffles):
+            dealt = rng.permuted(own)
+            for label, x in zip(np.repeat(np.arange(len(counts)), have[s]), dealt):
+                out[s, label] += x
+    return out
 
 
 def test_p_is_that_of_the_plain_shuffles(spark, monkeypatch):
@@ -47,28 +58,23 @@ def test_p_is_that_of_the_plain_shuffles(spark, monkeypatch):
     rows = [(k, rng.choice("abc"), e, rng.gauss(0, 1) + 1e6 + (0.8 if k == "y" and e % 3 == 0 else 0)) for k, n in (("x", 90), ("y", 60), ("z", 2), ("w", 1)) for e in range(n)]
     rows += [("x", None, 200, 1.0), ("x", "a", 201, None), ("x", "a", 5, 1e6), ("x", "a", 5, 1e6), ("v", "a", 1, 2.0), ("v", "a", 2, 2.0)]
     df = spark.createDataFrame(rows, "k string, stimulus string, event_id int, v double").repartition(3)
-    whole = {r.k: (r.n, r.fve, r.p) for r in st.permutation_fve(df, ["k"], 300).collect()}
-    monkeypatch.setattr(st, "PIECE", 16)
-    pieces = {r.k: (r.n, r.fve, r.p) for r in st.permutation_fve(df, ["k"], 300, held=20).collect()}
-    for k in "xyzwv":
-        own = sorted((e, v, g) for key, g, e, v in rows if key == k and g is not None and v is not None)
-        n, labels = len(own), sorted(g for _, _, g in own)
-        mean = sum(v for _, v, _ in own) / n
-        v = [x - mean for _, x, _ in own]
-
-        def share(given):
-            sums, c = Counter(), Counter(given)
-            for g, x in zip(given, v):
-                sums[g] += x
-            return sum(s * s / c[g] for g, s in sums.items())
-
-        seen, reached = share([g for *_, g in own]), 0
-        for block, m in ((0, 250), (1, 50)):
-            down, right = st.shuffle_tables(n, [0, zlib.crc32(k.encode())], block, m)
-            reached += sum(share([labels[plain_place(i, n, down, right, s)] for i in range(n)]) >= seen - 1e-12 * max(sum(x * x for x in v), 1) for s in range(m))
-        assert whole[k][0] == pieces[k][0] == n
-        assert abs(whole[k][2] - (1 + reached) / 301) < 1e-12 and abs(pieces[k][2] - whole[k][2]) < 1e-12
-        assert abs(whole[k][1] - pieces[k][1]) < 1e-9
+    for size, held in ((1 << 16, 10**9), (16, 20)):
+        monkeypatch.setattr(st, "PIECE", size)
+        got = {r.k: (r.n, r.fve, r.p) for r in st.permutation_fve(df, ["k"], 300, held=held).collect()}
+        assert set(got) == set("xyzwv")
+        for k in got:
+            own = sorted((e, v, g) for key, g, e, v in rows if key == k and g is not None and v is not None)
+            names = sorted({g for *_, g in own})
+            codes = np.array([names.index(g) for *_, g in own])
+            v = np.array([x for _, x, _ in own])
+            v -= v.mean()
+            counts = np.bincount(codes)
+            total, seen = float(v @ v), float((np.bincount(codes, v) ** 2 / counts).sum())
+            seed = [0, zlib.crc32(k.encode())]
+            between = np.concatenate([(plain_sums(v, codes, size, seed, block, m) ** 2 / counts).sum(1) for block, m in ((0, 250), (1, 50))])
+            reached = int((between >= seen - 1e-12 * max(total, 1)).sum())
+            assert got[k][0] == len(own) and abs(got[k][2] - (1 + reached) / 301) < 1e-12
+            assert abs(got[k][1] - (seen / total if total > 1e-12 else 0)) < 1e-6
 
 
 def test_p_is_near_that_of_true_shuffles(spark):
