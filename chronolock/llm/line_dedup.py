@@ -153,8 +153,9 @@ def _verify(edits: int):
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line`` of every line."""
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``doc_id, line_no, line`` of every line, and ``row``, if there."""
+    own = [c for c in ("doc_id", "row") if c in texts.columns]
+    return texts.select(*own, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def links(texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -188,26 +189,42 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     each their own class and kept.  Null and empty texts have one empty line.  Rows that repeat a doc_id share its line numbers: equal lines at one
     number are kept or dropped together.  A null doc_id comes before all others.
     """
-    texts = doc_texts(docs)
+    return _classes(doc_texts(docs).withColumn("row", F.lit(None).cast("string")), edits, min_chars, short).drop("row")
+
+
+def _classes(texts: DataFrame, edits: int, min_chars: int, short: bool) -> DataFrame:
+    """:func:`line_classes` of ``texts(doc_id, row, text)``: ``row`` tells different texts of one id apart, and
+    comes between id and line number."""
     joined = settle(components(links(texts, edits, min_chars)), "line-roots")
-    lines = _lines(texts).select("doc_id", "line_no", F.char_length("line").cast("long").alias("n_chars"), F.xxhash64("line").alias("h"))
-    lines = lines.join(joined.select(F.col("node").alias("h"), "root"), "h", "left").select("doc_id", "line_no", "n_chars", F.when(F.lit(short) | (F.col("n_chars") >= min_chars), F.coalesce("root", "h")).alias("c"))
-    firsts = lines.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1").withColumnRenamed("c", "k")
+    lines = _lines(texts).select("doc_id", "row", "line_no", F.char_length("line").cast("long").alias("n_chars"), F.xxhash64("line").alias("h"))
+    lines = lines.join(joined.select(F.col("node").alias("h"), "root"), "h", "left").select("doc_id", "row", "line_no", "n_chars", F.when(F.lit(short) | (F.col("n_chars") >= min_chars), F.coalesce("root", "h")).alias("c"))
+    firsts = lines.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1").withColumnRenamed("c", "k")
     named = lines.join(firsts, F.col("c") == F.col("k"), "left")
-    out = named.select("doc_id", "line_no", "n_chars", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"), F.coalesce("first.line_no", "line_no").alias("class_line_no"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    return out.withColumn("kept", F.col("class_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("class_line_no") == F.col("line_no")))
+    alone = F.col("k").isNull()
+    kept = alone | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("first.row").eqNullSafe(F.col("row")) & (F.col("first.line_no") == F.col("line_no")))
+    return named.select("doc_id", "row", "line_no", "n_chars", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"), F.coalesce("first.line_no", "line_no").alias("class_line_no"), F.coalesce("copies", F.lit(1)).alias("copies"), kept.alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without lines that repeat an earlier one (see :func:`line_classes`), same columns.
 
-    Lines under ``min_chars`` stay.  A document that loses all its text goes; one that had none stays.  ``n_chars``, if there, is set
-    anew.
+    Lines under ``min_chars`` stay.  A document that loses all its text goes; one that had none stays.
+    Different texts of one doc_id are documents of their own, in order of their hashes; equal rows of one id
+    lose the same lines.  Rows without an id lose none.  ``n_chars``, if there, is set anew.
     """
-    gone = line_classes(docs, edits, min_chars).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
-    gone = gone.withColumnRenamed("doc_id", "gone_id")
+    texts = doc_texts(docs)
+    twice = texts.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    twice = settle(twice, "repeated-ids")
     own = F.col("doc").getField
-    both = docs.select(F.struct(*docs.columns).alias("doc")).join(gone, own("doc_id") == F.col("gone_id"), "left")  # no name of docs clashes
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # no name of docs clashes
+    none = F.lit(None).cast("string")
+    if twice.isEmpty():
+        texts, rows = texts.withColumn("row", none), rows.withColumn("own_row", none)
+    else:  # the hash of a text stands for it among those of its id
+        texts = texts.join(twice, F.col("doc_id") == F.col("id"), "left").withColumn("row", F.when(F.col("id").isNotNull(), F.sha2("text", 256))).select("doc_id", "row", "text")
+        rows = rows.join(twice, own("doc_id").cast("long") == F.col("id"), "left").withColumn("own_row", F.when(F.col("id").isNotNull(), F.sha2(F.coalesce(own("text"), F.lit("")), 256))).drop("id")
+    gone = _classes(texts, edits, min_chars, False).where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set("line_no").alias("gone_lines"))
+    both = rows.join(gone, (own("doc_id").cast("long") == F.col("gone_id")) & F.col("own_row").eqNullSafe(F.col("gone_row")), "left")
     left = F.concat_ws("\n", F.filter(F.split(own("text"), "\n"), lambda x, i: ~F.array_contains("gone_lines", i)))
     both = both.withColumn("left_text", F.when(F.col("gone_lines").isNull(), own("text")).otherwise(left))
     both = both.where(F.col("gone_lines").isNull() | (F.trim(F.translate("left_text", "\n", " ")) != ""))

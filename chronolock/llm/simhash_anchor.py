@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolock.llm.codepoints import mixed
+from chronolock.functions.ranking import counted
 from chronolock.llm.common import doc_texts, parts, settle, slices
 from chronolock.llm.components import components
 
@@ -405,23 +406,23 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     """``docs`` with one document of each group of near-duplicates, same columns.
 
     Equal texts (by SHA-256) are one node, and texts that :func:`text_links` links are a group, in
-    chains too; the smallest doc_id of a group stays.  Of rows that repeat a doc_id the one with the
-    least text is taken and the others go.  Texts without a word (null, empty, white space) are
+    chains too; the smallest doc_id of a group stays.  Different texts of one doc_id are documents of their
+    own, in order of their hashes.  Texts without a word (null, empty, white space) are
     near-duplicates of each other.  Texts of any length are compared whole.  Rows without an id stay
     as they are.  An empty table gives none; columns of ``docs`` may have any names.
     """
-    known = docs.where("doc_id is not null")
-    ids = known.select(F.col("doc_id").cast("long").alias("id"))
-    if not ids.groupBy("id").count().where("count > 1").isEmpty():
-        one = known.select(F.struct(*docs.columns).alias("doc"))
-        one = one.groupBy(F.col("doc").getField("doc_id").alias("id")).agg(F.min_by("doc", F.struct(F.coalesce(F.col("doc").getField("text"), F.lit("")), F.to_json("doc"))).alias("doc"))
-        known = settle(one.select("doc.*"), "one-each")
-    texts = doc_texts(known).withColumnRenamed("doc_id", "node")
+    own = F.col("doc").getField
+    known = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("node"))  # no name of docs clashes
+    if not known.groupBy("node").count().where("count > 1").isEmpty():
+        # one row of each id and text; its place in the order of both is the node
+        text = F.coalesce(own("text"), F.lit(""))
+        one = known.groupBy(F.struct("node", F.sha2(text, 256).alias("sha")).alias("key")).agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+        known = settle(counted(one, [], "key", more=(F.first("doc").alias("doc"),)).select("doc", F.col("below").alias("node")), "one-each")
+    texts = known.select("node", F.coalesce(own("text"), F.lit("")).alias("text"))
     found = settle(_printed(texts, words, PLANES), "planes")
     first = found.groupBy("sha").agg(F.min("node").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("sha").alias("of"), "first")
     later = settle(found.select("node", "sha").join(first, F.col("sha") == F.col("of")).where("node <> first").select(F.col("node").alias("gone_id")), "copies")
     found = found.join(later, F.col("node") == F.col("gone_id"), "left_anti")
     joined = components(_family_links(found, texts, words, similarity))
     gone = later.unionByName(joined.where("node <> root").select(F.col("node").alias("gone_id")))
-    rows = known.select(F.struct(*docs.columns).alias("doc"))  # no name of docs clashes
-    return rows.join(gone, F.col("doc").getField("doc_id").cast("long") == F.col("gone_id"), "left_anti").select("doc.*").unionByName(docs.where("doc_id is null"))
+    return known.join(gone, F.col("node") == F.col("gone_id"), "left_anti").select("doc.*").unionByName(docs.where("doc_id is null"))

@@ -33,7 +33,7 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising adsense spons
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANK = re.compile(r"\s+")
-#: Levels of elements; what is nested deeper is read as if it stood at this level.
+#: Levels of elements in wrappers; what is nested deeper is aligned as if it stood at this level.
 DEPTH = 120
 #: Pairs of elements up to which two lists are aligned with the most in common; longer ones in order.
 PAIRS = 1 << 18
@@ -52,31 +52,35 @@ def _told(marks: list[str]) -> bool:
 class Node:
     """An element: its label (name and first class, id or role), children, and text between them."""
 
-    __slots__ = ("label", "name", "apart", "children", "parent", "depth")
+    __slots__ = ("label", "name", "apart", "children", "parent", "depth", "inside")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         marks = [next(g for g in m.groups()[1:] if g is not None) for m in _MARKS.finditer(attributes)] if "=" in attributes else []
         self.name = name
         self.label = name + ("." + re.sub(r"\d+", "", marks[0].split()[0].lower()) if marks and marks[0].split() else "")
-        inside = parent is not None and parent.inside()
-        self.apart = (name in APART and not (name == "header" and inside)) or (name not in ("html", "body", "article", "main") and _told(marks))
+        above = parent is not None and parent.inside
+        self.inside = above or name in ("article", "main")
+        self.apart = (name in APART and not (name == "header" and above)) or (name not in ("html", "body", "article", "main") and _told(marks))
         self.children: list[Node | str] = []
         self.parent = parent
         self.depth = 0 if parent is None else parent.depth + 1
 
-    def inside(self) -> bool:
-        node: Node | None = self
-        while node is not None:
-            if node.name in ("article", "main"):
-                return True
-            node = node.parent
-        return False
-
 
 def parse(page: str) -> Node:
-    """The tree of a page; text is kept with its references decoded, comments and scripts go."""
+    """The tree of a page, of any depth; text is kept with its references decoded, comments and scripts go."""
     root = node = Node("#root", "", None)
+    open_: dict[str, int] = {}  # elements of each name from the root to the node: what is not open is not looked for
     at = 0
+
+    def leave(last: Node) -> Node:
+        """The parent of ``last``, with all below it closed."""
+        x = node
+        while True:
+            open_[x.name] -= 1
+            if x is last:
+                return last.parent or root
+            x = x.parent
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             node.children.append(html.unescape(page[at : m.start()]))
@@ -85,23 +89,24 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if page.startswith("</", m.start()):
-            up: Node | None = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if open_.get(name):
+                up = node
+                while up.name != name:
+                    up = up.parent
+                node = leave(up)
             continue
         if name in BLOCKS or name in CLOSES:
             shut, hold = CLOSES.get(name, set()) | ({"p"} if name in BLOCKS else set()), HOLDS.get(name, set()) | {"#root"}
-            up = node
+            up = node if any(open_.get(x) for x in shut) else None
             while up is not None and up.name not in hold and up.name not in shut:
                 up = None if name not in CLOSES and up.name in BLOCKS else up.parent
             if up is not None and up.name in shut:
-                node = up.parent or root
+                node = leave(up)
         new = Node(name, m[3] or m[5] or "", node)
         node.children.append(new)
-        if name not in VOID and new.depth < DEPTH:
+        if name not in VOID:
             node = new
+            open_[name] = open_.get(name, 0) + 1
     if at < len(page):
         node.children.append(html.unescape(page[at:]))
     return root
@@ -127,10 +132,23 @@ def _fold(items: list, within: bool) -> list:
     return out
 
 
+def _shallow(node: Node) -> Iterator[Node | str]:
+    """Children; at level ``DEPTH`` all that is below, in order."""
+    if node.depth < DEPTH - 1:
+        yield from node.children
+        return
+    todo = list(reversed(node.children)) if node.depth == DEPTH - 1 else []
+    while todo:
+        x = todo.pop()
+        yield x
+        if isinstance(x, Node):
+            todo.extend(reversed(x.children))
+
+
 def stream(node: Node) -> list:
     """An element's folded token stream."""
     items = []
-    for c in node.children:
+    for c in _shallow(node):
         if isinstance(c, str):
             if plain := _BLANK.sub("", c):
                 items.append(["#", False, False, len(plain), [], zlib.crc32(plain.encode("utf-8", "surrogatepass"))])
@@ -223,7 +241,8 @@ def article_path(wrapper: list) -> list[str]:
     """The labels from the root to the container of the article: the article or main element with
     most text, else the deepest element that holds three quarters of the text in slots: what all pages of
     a host have alike (menus, notices) is template, whatever its names.  Where nothing differs, of a
-    host of one page, all text counts."""
+    host of one page, it is that element or, without one, the whole body: nothing tells which of its parts
+    is the article."""
     slots = mass(wrapper, True) > 0
     found: list[tuple[int, list[str]]] = []
 
@@ -241,13 +260,14 @@ def article_path(wrapper: list) -> list[str]:
         inner = [p for n, p in found if n >= 0.75 * most and p[-1].startswith("article")] or [p for n, p in found if n == most]
         return min(inner, key=len)
     path, node = [], wrapper
-    while True:
+    while slots:
         total = mass(node, slots)
         kids = [(mass(c, slots), c) for c in node[4] if c[0] != "#"]
         n, best = max(kids, key=lambda k: k[0], default=(0, None))
         if best is None or not total or n < 0.75 * total or best[2] or best[0].partition(".")[0] in ("p", "li", "tr", "td", "span", "b", "i", "a"):
-            return path
+            break
         path, node = [*path, best[0]], best
+    return path
 
 
 def text_of(tree: Node, path: list[str]) -> str:

@@ -157,3 +157,17 @@ def test_a_task_that_runs_again_leaves_each_record_once(spark, tmp_path):
         assert got == list(range(400))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_host_of_one_page_keeps_its_article(spark):
+    page = "<html><body><div class='top'>Home Shop About us and contact data of all the shops that we have</div><div class='x'><p>The article.</p><p>Its end.</p></div></body></html>"
+    got = spark.createDataFrame([(1, "http://one.example/1", page)], "page_id long, url string, html string")
+    assert "The article.\nIts end." in wrapper_extract.main_text(got).first().text
+
+
+def test_menus_are_apart_at_any_depth(spark):
+    deep = "<div>" * 300 + "real<nav><b>MENU</b></nav><aside><p>ADVERT</p></aside> text" + "</div>" * 300
+    many = "<span>" * 50_000 + "<p>a</p>" * 5000 + "</i>" * 50_000
+    rows = spark.createDataFrame([(1, "http://d.example/1", deep), (2, "http://e.example/1", many)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper_extract.main_text(rows).collect()}
+    assert got[1] == "real\ntext" and got[2] == "\n".join(["a"] * 5000)

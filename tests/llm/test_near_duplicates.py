@@ -274,3 +274,16 @@ def test_equal_short_lines_are_a_class(spark, make_docs, tmp_path):
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.copies, r.kept) for r in registry.op1_line_dedup(spark, str(tmp_path)).collect()}
     les, blank = (1, 0, 3), (1, 1, 2)
     assert got == {(1, 0): (*les, True), (1, 1): (*blank, True), (1, 2): (*les, False), (1, 3): (1, 3, 1, True), (2, 0): (*les, False), (2, 1): (2, 1, 1, True), (3, 0): (*blank, False)}
+
+
+def test_different_texts_of_one_id_lose_nothing_of_their_own(spark, make_docs):
+    shared, other, third = "a line that two documents share here", "a wholly different line of its own", "one more line that nobody else has"
+    got = line_dedup.drop_repeated_lines(make_docs([(0, shared), (1, shared), (1, other), (1, other), (2, f"{third}\n{shared}"), (2, third + " no")], clashes=True)).select("doc_id", "text").collect()
+    left = sorted((r.doc_id, r.text) for r in got)
+    assert (0, shared) in left and left.count((1, other)) == 2 and not any(r == (1, shared) for r in left)
+    assert sum(third in t for _, t in left) >= 1 and all(shared not in t for i, t in left if i)
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    docs = make_docs([(5, a), (5, b), (5, b), (6, b + " end"), (7, c), (7, a), (None, a)], clashes=True)
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash_anchor.distinct_documents(docs).select("doc_id", "text").collect())
+    assert kept == sorted([(False, 5, a), (False, 5, b), (False, 7, c), (True, 0, a)])
