@@ -73,18 +73,42 @@ def branch_orders(nodes: DataFrame) -> DataFrame:
     return to_root(nodes, above.select(*KEY, "w")).select(*KEY, F.col("total").cast("bigint").alias("branch_order"))
 
 
-def strahler(nodes: DataFrame, most_height: int = 100_000) -> DataFrame:
+def _contracted(now: DataFrame, most: int) -> DataFrame:
+    """One round of :func:`strahler`: nodes whose children are all known are settled; a node that waits for one
+    child points to it, with the table of its order for each order of that child; and what points to a node
+    that itself points on points there instead, the tables composed."""
+    same = now.where("parent_id >= 0").groupBy("neuron_id", F.col("parent_id").alias("k"), "strahler").agg(F.count("*").alias("n"), F.max("node_id").alias("any"))
+    known = F.col("strahler").isNotNull()
+    kids = same.groupBy(F.col("neuron_id").alias("kn"), "k").agg(F.sum(F.when(known, F.col("n"))).alias("done"), F.max(F.when(known, F.struct("strahler", "n"))).alias("best"), F.max(F.when(~known, F.col("any"))).alias("open"))
+    met = now.join(kids, (F.col("neuron_id") == F.col("kn")) & (F.col("node_id") == F.col("k")), "left")
+    m, twice = F.coalesce(F.col("best.strahler"), F.lit(0)), (F.coalesce(F.col("best.n"), F.lit(0)) > 1).cast("int")
+    waits = F.col("n_children") - F.coalesce("done", F.lit(0))
+    table = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda x: F.when(x > m, x).when(x == m, m + 1).otherwise(m + twice))
+    order = F.coalesce("strahler", F.when(waits == 0, m + twice))
+    first = order.isNull() & (waits == 1) & F.col("next").isNull()
+    now = met.select(*KEY, "parent_id", "n_children", order.alias("strahler"), F.when(first, F.col("open")).otherwise(F.col("next")).alias("next"), F.when(first, table).otherwise(F.col("f")).alias("f"))
+    there = now.select(F.col("neuron_id").alias("tn"), F.col("node_id").alias("t"), F.col("strahler").alias("t_order"), F.col("next").alias("t_next"), F.col("f").alias("t_f"))
+    ahead = now.join(there, (F.col("neuron_id") == F.col("tn")) & F.col("strahler").isNull() & (F.col("next") == F.col("t")), "left")
+    through = F.transform("t_f", lambda y: F.get("f", y - 1))
+    return ahead.select(*KEY, "parent_id", "n_children", F.coalesce("strahler", F.get("f", F.col("t_order") - 1)).alias("strahler"), F.coalesce("t_next", "next").alias("next"), F.when(F.col("t_next").isNotNull(), through).otherwise(F.col("f")).alias("f"))
+
+
+def strahler(nodes: DataFrame) -> DataFrame:
     """Strahler order: 1 at tips; else the largest of the children's, and one more if two have it.
-    Neurons go through bottom-up passes together; a pass settles every node whose children are done."""
-    now = settled(node_kinds(nodes).select(*KEY, "parent_id", "n_children", F.when(F.col("n_children") == 0, F.lit(1)).alias("strahler")))
-    for _ in range(most_height):
+
+    Trees are contracted, all neurons together: tips are raked off and chains halved in each round, so
+    rounds grow with the logarithm of the nodes, however high a tree is.  An order is at most the logarithm
+    of the tips and one, so a node's dependence on one child is a table of so many numbers.  Raises where
+    parents form a cycle."""
+    kinds = node_kinds(nodes)
+    size = kinds.groupBy("neuron_id").agg(F.count("*").alias("n"), F.count_if("is_tip").alias("tips")).agg(F.max("n").alias("n"), F.max("tips").alias("tips")).first()
+    most = max(1, int(size.tips or 1).bit_length())
+    now = settled(kinds.select(*KEY, "parent_id", "n_children", F.when(F.col("is_tip"), F.lit(1)).alias("strahler"), F.lit(None).cast(nodes.schema["node_id"].dataType).alias("next"), F.lit(None).cast("array<int>").alias("f")))
+    for _ in range(2 * doubling_rounds(size.n or 1) + 4):
         if now.where("strahler is null").isEmpty():
             return now.select(*KEY, "strahler")
-        kids = now.where("strahler is not null and parent_id >= 0").groupBy("neuron_id", F.col("parent_id").alias("k")).agg(F.count("*").alias("done"), F.max("strahler").alias("m"), F.collect_list("strahler").alias("all"))
-        kids = kids.select(F.col("neuron_id").alias("kn"), "k", "done", (F.col("m") + (F.size(F.filter("all", lambda x: x == F.col("m"))) > 1).cast("int")).alias("o"))
-        up = now.join(kids, (F.col("neuron_id") == F.col("kn")) & (F.col("node_id") == F.col("k")), "left")
-        now = settled(up.select(*KEY, "parent_id", "n_children", F.coalesce("strahler", F.when(F.col("done") == F.col("n_children"), F.col("o"))).alias("strahler")))
-    raise ValueError("a tree is higher than most_height, or its parents form a cycle")
+        now = settled(_contracted(_contracted(now, most), most))
+    raise ValueError("the parents of some nodes form a cycle")
 
 
 def annotated(nodes: DataFrame) -> DataFrame:

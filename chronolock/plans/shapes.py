@@ -45,12 +45,23 @@ def g4(spark, sf):
     return tr.branch_orders(nodes(spark, sf))
 
 
-@query("g5_strahler")
+def strahler_sql(levels: int = 14) -> str:
+    """Orders level by level: a node's order is over s if a node at or below it has two children of order s or
+    more."""
+    up = "above as (select neuron_id, node_id as low, node_id as node_id from nodes union select a.neuron_id, low, n.parent_id from above a join nodes n on n.neuron_id = a.neuron_id and n.node_id = a.node_id where n.parent_id >= 0)"
+    steps = ["o1 as (select neuron_id, node_id from nodes)"]
+    for s in range(1, levels):
+        steps.append(f"b{s} as (select n.neuron_id, n.parent_id as low from o{s} o join nodes n using (neuron_id, node_id) where n.parent_id >= 0 group by 1, 2 having count(*) >= 2), o{s + 1} as (select distinct a.neuron_id, a.node_id from above a join b{s} using (neuron_id, low))")
+    every = " union all ".join(f"select * from o{s}" for s in range(1, levels + 1))
+    return f"{up}, {', '.join(steps)}, orders_ as (select neuron_id, node_id, count(*) as strahler from ({every}) group by 1, 2)"
+
+
+@query("g5_strahler", f"with {strahler_sql()} select neuron_id, node_id, strahler from orders_", "nodes")
 def g5(spark, sf):
     return tr.strahler(nodes(spark, sf))
 
 
-@query("g6_annotated")
+@query("g6_annotated", f"with {WALK}, {strahler_sql()} select neuron_id, node_id, n_children, round(path_um, 4) + 0 as path_um, branch_order, strahler from walk join kinds using (neuron_id, node_id) join orders_ using (neuron_id, node_id)", "nodes")
 def g6(spark, sf):
     return tr.annotated(nodes(spark, sf)).select("neuron_id", "node_id", "n_children", fixed("path_um", 4).alias("path_um"), "branch_order", "strahler")
 

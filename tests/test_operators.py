@@ -126,6 +126,38 @@ def test_every_tree_of_a_forest_is_walked(spark):
     assert rows(trees.segments(n), "start_id", "end_id", "n_nodes") == [(0, 1, 2), (1, 2, 2), (1, 3, 2), (10, 11, 2), (10, 12, 2)]
 
 
+def test_strahler_orders_of_random_trees(spark):
+    import random
+
+    rng = random.Random(6)
+    parents = {}
+    for t in range(12):
+        n = rng.randrange(1, 90)
+        span = rng.choice([1, 2, 90])
+        for i in range(n):
+            parents[t, i] = -1 if i == 0 or rng.random() < 0.02 else rng.randrange(max(0, i - span), i)
+    d = spark.createDataFrame([(t, i, p) for (t, i), p in parents.items()], "neuron_id int, node_id int, parent_id int")
+    want = {}
+    for t, i in sorted(parents, key=lambda k: -k[1]):
+        kids = sorted((want[t, j] for (u, j), p in parents.items() if u == t and p == i), reverse=True)
+        want[t, i] = 1 if not kids else kids[0] + (len(kids) > 1 and kids[1] == kids[0])
+    assert {(r.neuron_id, r.node_id): r.strahler for r in trees.strahler(d).collect()} == want
+    with pytest.raises(ValueError, match="cycle"):
+        trees.strahler(spark.createDataFrame([(1, 0, -1), (1, 1, 2), (1, 2, 1)], "neuron_id int, node_id int, parent_id int"))
+
+
+def test_a_high_tree_takes_few_rounds(spark, monkeypatch):
+    """A chain of 100,000 nodes with a tip at every thousandth."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("1 as neuron_id", "cast(id as int) as node_id", "cast(id - 1 as int) as parent_id")
+    tips = spark.range(0, n - 1, 1000).selectExpr("1 as neuron_id", f"cast({n} + id as int) as node_id", "cast(id as int) as parent_id")
+    settled, rounds = trees.settled, []
+    monkeypatch.setattr(trees, "settled", lambda df: rounds.append(1) or settled(df))
+    got = trees.strahler(rows.unionByName(tips)).groupBy("strahler").count().collect()
+    assert {r.strahler: r["count"] for r in got} == {1: 100 + 999, 2: n - 999}
+    assert len(rounds) <= 12
+
+
 def test_cycles_are_reported(spark):
     with pytest.raises(ValueError, match="cycle"):
         trees.path_lengths(forest(spark, [(0, -1), (1, 2), (2, 1)]))
