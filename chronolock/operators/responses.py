@@ -37,23 +37,34 @@ def amplitudes(windows: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.avg(F.when(F.col("r") <= top, F.col("v"))).alias("top_mean"))
 
 
+def _cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, mean and sum of squares about the mean of each cell; squares are taken of what is centred, so a
+    large mean costs no digits."""
+    return rows.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("v")).alias("w")).where("n > 0")
+
+
 def trace_fve(windows: DataFrame, keys: list[str], stimulus: str = "stimulus") -> DataFrame:
     """Total variance, residual after the grand mean trace and after each stimulus' mean trace, and
-    the share of the former that stimuli explain; from one pass of counts, sums and squares."""
-    cells = windows.groupBy(*keys, stimulus, "k").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    grand = cells.groupBy(*keys, "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("q") - ratio(F.col("s") * F.col("s"), F.col("n"))).alias("within"))
-    out = grand.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("within").alias("within"), F.sum(F.col("q") - ratio(F.col("s") * F.col("s"), F.col("n"))).alias("around"))
-    total = F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))
-    out = out.select(*keys, total.alias("total_var"), (F.col("around") / F.col("n")).alias("mean_residual_var"), (F.col("within") / F.col("n")).alias("image_residual_var"))
+    the share of the former that stimuli explain.  Rows are read once, for the means and squares of cells."""
+    at, whole = W.partitionBy(*keys, "k"), W.partitionBy(*keys)
+    cells = _cells(windows, [*keys, stimulus, "k"]).withColumn("mk", F.sum(F.col("n") * F.col("m")).over(at) / F.sum("n").over(at))
+    apart = F.col("m") - F.col("mk")
+    grand = cells.groupBy(*keys, "k").agg(F.sum("n").alias("n"), F.first("mk").alias("mk"), F.sum("w").alias("within"), F.sum(F.col("w") + F.col("n") * apart * apart).alias("around"))
+    grand = grand.withColumn("mid", F.sum(F.col("n") * F.col("mk")).over(whole) / F.sum("n").over(whole))
+    off = F.col("mk") - F.col("mid")
+    out = grand.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("within").alias("within"), F.sum("around").alias("around"), F.sum(F.col("around") + F.col("n") * off * off).alias("total"))
+    out = out.select(*keys, (F.col("total") / F.col("n")).alias("total_var"), (F.col("around") / F.col("n")).alias("mean_residual_var"), (F.col("within") / F.col("n")).alias("image_residual_var"))
     return out.withColumn("fve", F.when(F.col("mean_residual_var") <= EPS, 0.0).otherwise((F.col("mean_residual_var") - F.col("image_residual_var")) / F.col("mean_residual_var")))
 
 
 def scalar_fve(values: DataFrame, keys: list[str], stimulus: str = "stimulus") -> DataFrame:
     """One-way analysis of variance: the share of the total that lies between stimuli."""
-    cells = values.groupBy(*keys, stimulus).agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    out = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(ratio(F.col("s") * F.col("s"), F.col("n"))).alias("b"), F.count("*").alias("n_stimuli"))
-    total, between = F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    return out.select(*keys, "n", "n_stimuli", total.alias("ss_total"), between.alias("ss_between"), F.when(total <= EPS, 0.0).otherwise(between / total).alias("fve"))
+    whole = W.partitionBy(*keys)
+    cells = _cells(values, [*keys, stimulus]).withColumn("mid", F.sum(F.col("n") * F.col("m")).over(whole) / F.sum("n").over(whole))
+    apart = F.col("m") - F.col("mid")
+    out = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("n_stimuli"), F.sum(F.col("n") * apart * apart).alias("ss_between"), F.sum("w").alias("within"))
+    total = F.col("within") + F.col("ss_between")
+    return out.select(*keys, "n", "n_stimuli", total.alias("ss_total"), "ss_between", F.when(total <= EPS, 0.0).otherwise(F.col("ss_between") / total).alias("fve"))
 
 
 def fve_wide(fve: DataFrame, keys: list[str], stimulus: str, labels: list) -> DataFrame:
