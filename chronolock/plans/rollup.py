@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolock.catalog import query, table, view
 from chronolock.functions import fixed
+from chronolock.operators import components as cp
 from chronolock.operators import quality as ql
 from chronolock.operators import registry as rg
 from chronolock.operators import responses as rs
@@ -562,6 +563,23 @@ def t15(spark, sf):
     return pc.select("event_index", *[fixed(F.col("scores")[i], 6).alias(f"pc{i + 1}") for i in range(11)], fixed(F.col("cumulative")[10], 6).alias("cumulative"))
 
 
+@query("t15_wide_components")
+def t15w(spark, sf):
+    rows = view(spark, sf, "trials").groupBy("event_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("x"))
+    fitted = cp.fit_wide(rows, 3)
+    return cp.scores(rows, fitted).select("event_index", *[F.col("scores")[i].alias(f"pc{i + 1}") for i in range(3)])
+
+
+@query("t15_first_component")
+def t15f(spark, sf):
+    t = traces(spark, sf)
+    shared = t.groupBy("session_id", "roi").agg(F.max("i").alias("n")).groupBy("session_id").agg(F.min("n").alias("n"))
+    t = t.join(shared, "session_id").where(F.col("i") <= F.col("n")).drop("n")
+    trace, order = cp.first_component(t, ["session_id"])
+    best = order.where("place = 1").select("session_id", F.col("roi").alias("first_roi"))
+    return trace.join(best, "session_id").groupBy("session_id", "first_roi").agg(F.count("*").alias("n"), fixed(F.sum(F.col("trace") * F.col("trace")), 6).alias("length"))
+
+
 @query("l3_component_order")
 def l3(spark, sf):
     from pyspark.sql import Window
