@@ -10,6 +10,7 @@ from chronolock.operators import components as cp
 from chronolock.operators import quality as ql
 from chronolock.operators import registry as rg
 from chronolock.operators import responses as rs
+from chronolock.operators import selection as sl
 from chronolock.operators import statistics as st
 from chronolock.operators import windows as wn
 from chronolock.operators.events import classify
@@ -92,46 +93,43 @@ def f15(spark, sf):
 
 @query("f14_drop_discarded", "select session_id, roi, count(*) as n, round(sum(v), 2) + 0 as total from traces where not (i % 50 < 3) group by all", "traces")
 def f14(spark, sf):
-    t = traces(spark, sf)
-    bad = t.where("i % 50 < 3").select(*K, "i", F.lit(True).alias("discard"))
-    kept = t.join(bad, [*K, "i"], "left").where(~F.coalesce("discard", F.lit(False)))
-    return kept.groupBy(*K).agg(F.count("*").alias("n"), fixed(F.sum("v"), 2).alias("total"))
+    bad = traces(spark, sf).select(*K, "i", (F.col("i") % 50 < 3).alias("discard"))
+    return sl.drop_discarded(traces(spark, sf), bad, K).groupBy(*K).agg(F.count("*").alias("n"), fixed(F.sum("v"), 2).alias("total"))
 
 
 @query("f16_empty_channels", "select session_id, roi, count(*) as n from traces where roi % 3 <> 0 group by all", "traces")
 def f16(spark, sf):
     t = traces(spark, sf).withColumn("v", F.when(F.col("roi") % 3 != 0, F.col("v")))
-    there = t.groupBy(*K).agg(F.count("v").alias("there")).where("there > 0")
-    return t.join(there, K, "left_semi").groupBy(*K).agg(F.count("*").alias("n"))
+    return sl.drop_empty_channels(t, ["session_id"], "roi").groupBy(*K).agg(F.count("*").alias("n"))
 
 
 @query("f17_time_window", "select session_id, roi, count(*) as n from traces where i >= 100 and i < 300 group by all", "traces")
 def f17(spark, sf):
-    return traces(spark, sf).where("i >= floor(0.5 * 200) and i < ceil(1.5 * 200)").groupBy(*K).agg(F.count("*").alias("n"))
+    return sl.in_frames(traces(spark, sf), 0.5, 1.5, 200.0).groupBy(*K).agg(F.count("*").alias("n"))
 
 
 @query("f19_keep_mask", "select session_id, count(distinct roi) as n_rois, count(*) as n from traces t where roi in (select s_suppkey from supplier where s_acctbal > 0) group by 1", "traces")
 def f19(spark, sf):
     keep = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("roi"))
-    return traces(spark, sf).join(keep, "roi", "left_semi").groupBy("session_id").agg(F.countDistinct("roi").alias("n_rois"), F.count("*").alias("n"))
+    return sl.kept_only(traces(spark, sf), keep, ["roi"]).groupBy("session_id").agg(F.countDistinct("roi").alias("n_rois"), F.count("*").alias("n"))
 
 
 @query("f21_time_cap", "with n as (select session_id, roi as trial, count(*) as n from traces group by all), c as (select *, coalesce(sum(n) over (partition by session_id order by trial rows between unbounded preceding and 1 preceding), 0) as before from n) select t.session_id, t.roi, count(case when before + i < 6000 then v end) as n_kept from traces t join c on c.session_id = t.session_id and c.trial = t.roi group by all", "traces")
 def f21(spark, sf):
     t = traces(spark, sf)
     n = t.groupBy("session_id", F.col("roi").alias("trial")).agg(F.count("*").alias("n_samples")).withColumn("valid", F.lit(True))
-    line = wn.session_timeline(n, 200.0).select("session_id", F.col("trial").alias("roi"), "offset")
-    return t.join(line, K).groupBy(*K).agg(F.count(F.when(F.col("offset") + F.col("i") < 6000, F.col("v"))).alias("n_kept"))
+    line = wn.session_timeline(n, 200.0).withColumnRenamed("trial", "roi")
+    return sl.capped(t, line, 0.5, 200.0, "roi").groupBy(*K).agg(F.count("v").alias("n_kept"))
 
 
 @query("f22_enough", f"with {RESPONSES} select session_id, roi, stimulus, count(delta_mean) as n from r group by all having count(delta_mean) >= 12", "traces", "onsets")
 def f22(spark, sf):
-    return responses(spark, sf).groupBy(*K, "stimulus").agg(F.count("delta_mean").alias("n")).where("n >= 12")
+    return sl.with_enough(responses(spark, sf), [*K, "stimulus"], "delta_mean", 12).drop("finite")
 
 
 @query("f24_parameter", "select session_id, coalesce(nullif(quality, 'P'), session_type) as value from sessions", "sessions")
 def f24(spark, sf):
-    return sessions(spark, sf).select("session_id", F.coalesce(F.expr("nullif(quality, 'P')"), "session_type").alias("value"))
+    return sl.parameter(sessions(spark, sf), "value", [F.expr("nullif(quality, 'P')"), "session_type"]).select("session_id", "value")
 
 
 @query("f25_availability", "select session_id, cast(min(case when roi % 7 <> 0 then roi end) as bigint) as first_valid, count(distinct case when roi % 7 <> 0 then roi end) as n_valid, count(distinct roi) as n_rois, count(v) as n_values, '' as reason, true as usable from traces group by 1", "traces")
@@ -226,21 +224,24 @@ def j11(spark, sf):
 
 @query("j12_enrich", "select s_suppkey as roi, n_name as nation, count(v) as n from supplier left join nation on s_nationkey = n_nationkey left join traces on roi = s_suppkey group by all", "traces")
 def j12(spark, sf):
-    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return s.join(traces(spark, sf), F.col("s_suppkey") == F.col("roi"), "left").groupBy(F.col("s_suppkey").alias("roi"), F.col("n_name").alias("nation")).agg(F.count("v").alias("n"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("roi"), "s_nationkey")
+    named = sl.enriched(s, table(spark, sf, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), ["s_nationkey"], ["n_name"])
+    n = traces(spark, sf).groupBy("roi").agg(F.count("v").alias("n"))
+    return sl.enriched(named, n, ["roi"], ["n"]).select("roi", F.col("n_name").alias("nation"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("j13_inner", f"with {RESPONSES} select r.session_id, r.roi, s_name as name, count(*) as n from r join supplier on s_suppkey = r.roi where s_acctbal > 0 group by all", "traces", "onsets")
 def j13(spark, sf):
-    s = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("roi"), F.col("s_name").alias("name"))
-    return responses(spark, sf).join(s, "roi").groupBy("session_id", "roi", "name").agg(F.count("*").alias("n"))
+    s = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("roi"), F.col("s_name").alias("stimulus"))
+    both = sl.with_suffixes(responses(spark, sf), s, ["roi"], ("", "_name"))
+    return both.groupBy("session_id", "roi", F.col("stimulus_name").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("j14_full_outer", "select coalesce(a.k, b.k) as depth, a.n as a, b.n as b from (select nullif(s_nationkey % 5, 0) as k, count(*) as n from supplier group by 1) a full join (select nullif(c_nationkey % 7, 0) as k, count(*) as n from customer group by 1) b on a.k is not distinct from b.k")
 def j14(spark, sf):
-    a = table(spark, sf, "supplier").groupBy(F.expr("nullif(s_nationkey % 5, 0)").alias("k")).agg(F.count("*").alias("a"))
-    b = table(spark, sf, "customer").groupBy(F.expr("nullif(c_nationkey % 7, 0)").alias("k2")).agg(F.count("*").alias("b"))
-    return a.join(b, F.col("k").eqNullSafe(F.col("k2")), "full_outer").select(F.coalesce("k", "k2").alias("depth"), "a", "b")
+    a = table(spark, sf, "supplier").groupBy(F.expr("nullif(s_nationkey % 5, 0)").alias("depth")).agg(F.count("*").alias("a"))
+    b = table(spark, sf, "customer").groupBy(F.expr("nullif(c_nationkey % 7, 0)").alias("depth")).agg(F.count("*").alias("b"))
+    return sl.outer_totals(a, b, "depth")
 
 
 @query("k4_status", "select session_id, case when quality <> 'P' and score > 1000 then 'ok' else 'failed' end as status, case when not quality <> 'P' then 'quality' when not score > 1000 then 'score' end as failure_stage, concat_ws(';', case when not quality <> 'P' then 'quality' end, case when not score > 1000 then 'score' end) as reasons from sessions", "sessions")
@@ -347,9 +348,8 @@ def a20r(spark, sf):
 
 @query("a15_segments", "with n as (select session_id, roi, count(*) as n, roi % 7 <> 0 as valid from traces group by all) select session_id, count(*) as n_trials, round(avg(valid::int), 6) + 0 as valid_fraction, round(avg(n) filter (valid), 6) + 0 as mean_length, cast(sum(n) filter (valid) as bigint) as total from n group by 1", "traces")
 def a15(spark, sf):
-    n = traces(spark, sf).groupBy(*K).agg(F.count("*").alias("n")).withColumn("valid", F.col("roi") % 7 != 0)
-    own = F.when(F.col("valid"), F.col("n"))
-    return n.groupBy("session_id").agg(F.count("*").alias("n_trials"), fixed(F.avg(F.col("valid").cast("int")), 6).alias("valid_fraction"), fixed(F.avg(own), 6).alias("mean_length"), F.sum(own).alias("total"))
+    n = traces(spark, sf).groupBy(*K).agg(F.count("*").alias("n_samples")).withColumn("valid", F.col("roi") % 7 != 0)
+    return sl.trial_summary(n, ["session_id"]).select("session_id", "n_trials", fixed("valid_fraction", 6).alias("valid_fraction"), fixed("mean_length", 6).alias("mean_length"), "total")
 
 
 @query("a23_coverage", f"with {EPOCHS}, f as (select session_id, t, case when {IMAGE} then 'image' else 'rest' end as family from log), i as (select *, exists (select 1 from epochs e where e.session_id = f.session_id and f.t between start_time and end_time) as inside from f) select session_id, family, count(*) as total, count(*) filter (inside) as inside, round(count(*) filter (inside) / count(*), 7) + 0 as share from i group by 1, 2", "log")
@@ -362,27 +362,26 @@ def a23(spark, sf):
 def a25(spark, sf):
     log = view(spark, sf, "log")
     images = log.where(F.lower("value").endswith(".tiff")).select("value").distinct()
-    grid = log.select("session_id").distinct().join(F.broadcast(images))
-    n = log.groupBy("session_id", "value").agg(F.count("*").alias("n"))
-    return grid.join(n, ["session_id", "value"], "left").select("session_id", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    return sl.counts_with_zeros(log, log, images)
 
 
 @query("a39_counts_by_depth", "select s_nationkey as depth, count(distinct s_suppkey) as n_rois, count(*) as n from supplier join traces on roi = s_suppkey group by 1", "traces")
 def a39(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").alias("depth"))
-    return traces(spark, sf).join(s, "roi").groupBy("depth").agg(F.countDistinct("roi").alias("n_rois"), F.count("*").alias("n"))
+    return sl.counts_by_depth(traces(spark, sf), s)
 
 
 @query("l2_top_sessions", "select session_id, score from sessions order by score desc, session_id limit 20", "sessions")
 def l2(spark, sf):
-    return sessions(spark, sf).orderBy(F.desc("score"), "session_id").limit(20).select("session_id", "score")
+    return sl.first_rows(sessions(spark, sf), ["-score", "session_id"], 20).select("session_id", "score")
 
 
 @query("l1_sorted", "select subject_id, session_id, row_number() over (partition by subject_id order by session_date, session_id) as place from sessions", "sessions")
 def l1(spark, sf):
     from pyspark.sql import Window
 
-    return sessions(spark, sf).select("subject_id", "session_id", F.row_number().over(Window.partitionBy("subject_id").orderBy(F.asc_nulls_last("session_date"), "session_id")).alias("place")).orderBy("subject_id", "place")
+    place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.asc_nulls_last("session_date"), "session_id"))
+    return sl.in_order(sessions(spark, sf).select("subject_id", "session_id", place.alias("place")), ["subject_id", "place"])
 
 
 # Statistics.
@@ -519,8 +518,8 @@ def t13(spark, sf):
 
 @query("a40_adaptation_split", f"with {SEQ}, a as (select session_id, roi, stimulus, arg_min(response, position) as r0, arg_max(response, position) as rlast from s group by all) select session_id, rlast < r0 as adapting, count(*) as n, round(avg(rlast - r0), 6) + 0 as mean_change from a group by 1, 2", "traces", "onsets")
 def a40(spark, sf):
-    a = st.adaptation(sequence(spark, sf), G)
-    return a.groupBy("session_id", (F.col("rlast") < F.col("r0")).alias("adapting")).agg(F.count("*").alias("n"), fixed(F.avg(F.col("rlast") - F.col("r0")), 6).alias("mean_change"))
+    a = sl.adaptation_split(st.adaptation(sequence(spark, sf), G), ["session_id"])
+    return a.select("session_id", "adapting", "n", fixed("mean_change", 6).alias("mean_change"))
 
 
 BINS = f"{SEQ}, b as (select *, greatest(((position - 1) * 3 + greatest(c - 1, 1) - 1) // greatest(c - 1, 1) - 1, 0) as bin from (select *, count(*) over (partition by session_id, roi, stimulus) as c from s) q), m as (select session_id, roi, stimulus, bin, avg(position) as center, avg(response) as response, count(*) as n from b group by all)"
@@ -551,8 +550,8 @@ def t14r(spark, sf):
 
 @query("a41_slope_summary", f"with {BINS}, g as (select session_id, roi, stimulus, case when count(*) > 1 then regr_slope(response, center) end as o from m group by all) select session_id, roi, round(max(abs(o)), 7) + 0 as max_abs, round(quantile_cont(abs(o), 0.5), 7) + 0 as median_abs, round(asinh(max(abs(o)) / 0.001e0), 6) + 0 as scaled from g group by 1, 2", "traces", "onsets")
 def a41(spark, sf):
-    s = st.sequence_slopes(st.sequence_bins(sequence(spark, sf), G), G)
-    return s.groupBy(*K).agg(fixed(F.max(F.abs("overall")), 7).alias("max_abs"), fixed(F.percentile(F.abs("overall"), F.lit(0.5)), 7).alias("median_abs"), fixed(F.asinh(F.max(F.abs("overall")) / 0.001), 6).alias("scaled"))
+    s = sl.slope_summary(st.sequence_slopes(st.sequence_bins(sequence(spark, sf), G), G), K)
+    return s.select(*K, fixed("max_abs", 7).alias("max_abs"), fixed("median_abs", 7).alias("median_abs"), fixed("scaled", 6).alias("scaled"))
 
 
 @query("t15_principal_components")
@@ -582,9 +581,7 @@ def t15f(spark, sf):
 
 @query("l3_component_order")
 def l3(spark, sf):
-    from pyspark.sql import Window
-
-    return t15(spark, sf).withColumn("group", F.col("event_index") % 10).withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("pc1"), "event_index"))).select("event_index", "group", "place")
+    return sl.places(t15(spark, sf).withColumn("group", F.col("event_index") % 10), ["group"], "pc1", "event_index").select("event_index", "group", "place")
 
 
 @query("w27_regress_out", "with c as (select session_id, roi, covar_pop(v, x) / var_pop(x) as b, avg(v) as mv, avg(x) as mx from (select session_id, roi, v, ln(1 + i % 13) as x from traces) q group by all) select t.session_id, t.roi, i, round(v - mv - b * (ln(1 + i % 13) - mx), 2) + 0 as residual from traces t join c using (session_id, roi)", "traces")
