@@ -30,6 +30,8 @@ EXACT = 40
 BAND = 16
 #: Characters of benchmark items that are indexed and broadcast at a time.
 BLOCK = 4_000_000
+#: Meetings of runs, and windows to align, at a time.
+CHUNK = 1 << 18
 #: Between texts; no code point, so no text has it.
 BREAK = 0x110001
 _made: dict = {}
@@ -70,9 +72,10 @@ class Index:
     budget: np.ndarray  # edits allowed in each window
     q: int
     keys: np.ndarray  # sorted hashes of q-grams
-    first: np.ndarray  # where the places of each key begin; one more at the end
-    window: np.ndarray  # of each place
-    offset: np.ndarray
+    first: np.ndarray  # where the runs of each key begin; one more at the end
+    window: np.ndarray  # of each run: places of one key that follow each other in a window
+    offset: np.ndarray  # its first place
+    length: np.ndarray
     bits: np.ndarray  # by the low bits of a hash, whether a key has them
     short: dict[bytes, list[int]]  # items under q characters, by their text
 
@@ -117,10 +120,13 @@ def build(items: list[tuple[int, str]], window: int = WINDOW, stride: int = STRI
     at = begin[:-1][w] + offset if len(pieces) else np.zeros(0, np.int64)
     h = spans(prefix(chars), at, at + q) if len(at) else np.zeros(0, np.uint64)
     order = np.argsort(h, kind="stable")
-    keys, first = np.unique(h[order], return_index=True)
+    h, w, offset = h[order], w[order], offset[order]
+    run = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(h) else np.zeros(0, np.int64)
+    length = np.diff(np.append(run, len(h)))
+    keys, first = np.unique(h[run], return_index=True)
     bits = np.zeros(1 << 20, bool)
     bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(np.array(own, np.int64), chars, begin, np.array(budget, np.int64), q, keys, np.append(first, len(h)), w[order], offset[order], bits, short)
+    return Index(np.array(own, np.int64), chars, begin, np.array(budget, np.int64), q, keys, np.append(first, len(run)), w[run], offset[run], length, bits, short)
 
 
 def align(text: np.ndarray, index: Index, window: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,36 +169,78 @@ def _regions(text: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Ind
     maybe = np.flatnonzero(index.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
     key = np.minimum(np.searchsorted(index.keys, h[maybe]), len(index.keys) - 1)
     sure = index.keys[key] == h[maybe]
+    del at, h
     spot, key = maybe[sure], key[sure]
-    count = index.first[key + 1] - index.first[key]
-    entry = np.repeat(index.first[key] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    w, diagonal = index.window[entry], np.repeat(spot, count) - index.offset[entry]
+    if not len(spot):
+        return []
+    run = np.flatnonzero(np.append(True, (spot[1:] != spot[:-1] + 1) | (key[1:] != key[:-1])))
+    long = np.diff(np.append(run, len(spot)))
+    w, bucket = _bands(spot[run], long, key[run], index)
+    found: dict[tuple[int, int], list] = {}
+    low = bucket * BAND - BAND * 64 - int(index.budget.max())
+    for k in range(0, len(w), CHUNK):
+        _verified(text, place, starts, index, w[k : k + CHUNK], low[k : k + CHUNK], found)
+    return [(d, x, len(r[0]), *r[1:]) for (d, x), r in sorted(found.items())]
+
+
+def _bands(spot: np.ndarray, long: np.ndarray, key: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and the bands of diagonals in which they share enough q-grams with the text.
+
+    A run of equal q-grams in the text (``long`` places from ``spot``) meets a run of them in a window on a
+    stretch of diagonals, and how many pairs lie up to a diagonal is known without them.  Runs meet in
+    chunks, of which only the counts by window and band are held."""
     budget = int(index.budget.max())
-    bucket, rest = np.divmod(diagonal + BAND * 64, BAND)
-    over = rest < budget  # in the band before it too
-    code = np.concatenate([w << 40 | bucket, (w << 40 | bucket - 1)[over]])
-    code, hits = np.unique(code, return_counts=True)
+    count = index.first[key + 1] - index.first[key]
+    upto = np.append(0, np.cumsum(count))
+    codes, hits = [], []
+    for a in range(0, int(upto[-1]), CHUNK):
+        b = min(a + CHUNK, int(upto[-1]))
+        t = np.searchsorted(upto, np.arange(a, b), side="right") - 1
+        entry = index.first[key[t]] + np.arange(a, b) - upto[t]
+        w, one, two = index.window[entry], long[t], index.length[entry]
+        least = spot[t] - (index.offset[entry] + two - 1) + BAND * 64
+        low, high = (least - budget) // BAND, (least + one + two - 2) // BAND
+        bands = np.append(0, np.cumsum(high - low + 1))
+        at = 0
+        while at < len(w):
+            end = max(at + 1, int(np.searchsorted(bands, bands[at] + CHUNK, side="right")) - 1)
+            own = np.repeat(np.arange(at, end), np.diff(bands[at : end + 1]))
+            band = low[own] + np.arange(bands[end] - bands[at]) - (bands[own] - bands[at])
+
+            def below(x: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+                """Pairs of both runs on diagonals up to ``x``."""
+                y = x - least[own] + 1
+                tri = lambda z: np.where(z > 0, z * (z + 1) // 2, 0)
+                return tri(y) - tri(y - one[own]) - tri(y - two[own]) + tri(y - one[own] - two[own])
+
+            shared = below(band * BAND + BAND + budget - 1) - below(band * BAND - 1)
+            code, which = np.unique(w[own] << 40 | band, return_inverse=True)
+            codes.append(code)
+            hits.append(np.bincount(which, shared, len(code)).astype(np.int64))
+            at = end
+    code, which = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.bincount(which, np.concatenate(hits), len(code)).astype(np.int64)
     w, bucket = code >> 40, code & ((1 << 40) - 1)
     size = index.begin[w + 1] - index.begin[w]
-    good = hits >= size - index.q + 1 - index.q * index.budget[w]
-    w, low = w[good], bucket[good] * BAND - BAND * 64 - budget
-    if not len(w):
-        return []
-    edits, end = align(text, index, w, low, BAND + 3 * budget)
+    good = total >= size - index.q + 1 - index.q * index.budget[w]
+    return w[good], bucket[good]
+
+
+def _verified(text: np.ndarray, place: np.ndarray, starts: np.ndarray, index: Index, w: np.ndarray, low: np.ndarray, found: dict[tuple[int, int], list]) -> None:
+    """Adds what alignment finds to the windows, fewest edits and stretch of each text and item."""
+    edits, end = align(text, index, w, low, BAND + 3 * int(index.budget.max()))
     ok = edits <= index.budget[w]
     w, end, edits = w[ok], end[ok], edits[ok]
     if not len(w):
-        return []
+        return
     first = np.maximum(end - (index.begin[w + 1] - index.begin[w]), 0)
     a, b = place[np.minimum(first, len(place) - 1)], place[np.minimum(end, len(place)) - 1] + 1
     doc = np.searchsorted(starts, b - 1, side="right") - 1
     a = np.maximum(a, starts[doc])
-    found: dict[tuple[int, int], list] = {}
     for d, x, win, e, s, t in zip(doc.tolist(), index.items[w].tolist(), w.tolist(), edits.tolist(), (a - starts[doc]).tolist(), (b - starts[doc]).tolist()):
         r = found.setdefault((d, x), [set(), e, s, t])
         r[0].add(win)
         r[1:] = [min(r[1], e), min(r[2], s), max(r[3], t)]
-    return [(d, x, len(r[0]), *r[1:]) for (d, x), r in sorted(found.items())]
 
 
 FOUND = "doc_id long, item_id long, windows long, edits long, start long, end long"

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -213,3 +214,44 @@ def test_missing_columns_are_named(make_docs, column):
 
     with pytest.raises(ValueError, match=column):
         doc_texts(make_docs([(1, "x")]).drop(column))
+
+
+def test_bands_count_every_shared_q_gram(monkeypatch):
+    """Runs and chunks give the counts of all pairs of equal q-grams, in texts that repeat much."""
+    import random
+
+    monkeypatch.setattr(decontamination, "CHUNK", 37)
+    rng = random.Random(12)
+    for _ in range(25):
+        letters = rng.choice(["a", "ab", "abc"])
+        items = [(k, "".join(rng.choice(letters) for _ in range(rng.randrange(12, 130)))) for k in range(3)]
+        index = decontamination.build(items)
+        text = "".join(rng.choice([rng.choice(letters) * rng.randrange(1, 40), rng.choice(items)[1][:60]]) for _ in range(12))
+        cp, _, _ = decontamination.normalised([text])
+        h = decontamination.spans(decontamination.prefix(cp), np.arange(len(cp) - 11), np.arange(len(cp) - 11) + 12)
+        budget, want = int(index.budget.max()), {}
+        for w in range(len(index.items)):
+            own = index.chars[index.begin[w] : index.begin[w + 1]]
+            g = decontamination.spans(decontamination.prefix(own), np.arange(len(own) - 11), np.arange(len(own) - 11) + 12)
+            for s, o in zip(*np.nonzero(h[:, None] == g[None, :])):
+                d = int(s) - int(o) + 16 * 64
+                for band in {d // 16, (d - budget) // 16}:
+                    want[w, band] = want.get((w, band), 0) + 1
+        want = {(w, b) for (w, b), n in want.items() if n >= index.begin[w + 1] - index.begin[w] - 11 - 12 * index.budget[w]}
+        at = np.flatnonzero(np.isin(h, index.keys))
+        key = np.searchsorted(index.keys, h[at])
+        if len(at):
+            run = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])))
+            got = decontamination._bands(at[run], np.diff(np.append(run, len(at))), key[run], index)
+            assert set(zip(*(x.tolist() for x in got))) == want
+
+
+def test_one_letter_again_and_again_needs_little_memory():
+    import tracemalloc
+
+    index = decontamination.build([(1, "0" * 400)])
+    tracemalloc.start()
+    found = decontamination.search(["0" * (1 << 17)], index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:4] for r in found] == [(0, 1, 9, 0)] and peak < 300e6
