@@ -24,6 +24,8 @@ PASSAGE = 384
 TRAIN_ROWS = 4000
 #: Passages of each of them that it learns from, at most, evenly spaced; scores take all passages.
 TRAIN_PASSAGES = 64
+#: Passages that are encoded at a time.
+CHUNK = 1 << 13
 HIDDEN, GATE = 16, 8
 PUNCTUATION = "!?.,;:'\"|#$%&*@()[]{}<>/\\=+-_~^`"
 LOWER, UPPER, DIGIT, BLANK, FOREIGN_LOWER, FOREIGN_UPPER, FOREIGN = range(7)
@@ -56,11 +58,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _made["kinds"]
 
 
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages (lines, long ones cut every ``PASSAGE`` characters), and where each
-    text's passages start; a text without any has one passage of zeros."""
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters, a line feed after each text; where each passage starts (lines, long ones cut every
+    ``PASSAGE`` characters; a blank one counts to the one before); and each text's first passage.  A text
+    without any has one."""
     cp, at = points([t + "\n" for t in texts])
-    fine, coarse = _tables()
+    fine, _ = _tables()
     line = np.flatnonzero(cp == 10) + 1
     begin = np.append(0, line[:-1])
     size = line - begin
@@ -70,15 +73,33 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blank = np.append(0, np.cumsum(fine[cp] != BLANK))
     filled = blank[end] > blank[start]
     filled[np.searchsorted(start, at[:-1])] = True  # one at least for each text
-    owner = np.cumsum(filled) - 1  # a blank passage counts to the one before it
-    count = int(filled.sum())
-    of = np.repeat(owner, end - start)
-    kind = fine[cp]
+    return cp, start[filled], np.searchsorted(np.flatnonzero(filled), np.searchsorted(start, at[:-1]))
+
+
+def chunks(cp: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Passages in chunks of ``CHUNK`` or more; the next starts after a line feed, so no word is cut."""
+    cuts = np.append(np.flatnonzero(cp[begin[1:] - 1] == 10) + 1, len(begin))
+    at = 0
+    while at < len(begin):
+        end = int(cuts[min(np.searchsorted(cuts, at + CHUNK), len(cuts) - 1)])
+        yield at, end
+        at = end
+
+
+def features(cp: np.ndarray, begin: np.ndarray, a: int, b: int) -> np.ndarray:
+    """A row for each passage from ``a`` to ``b``."""
+    low, high = int(begin[a]), int(begin[b]) if b < len(begin) else len(cp)
+    fine, coarse = _tables()
+    own, count = cp[low:high], b - a
+    of = np.repeat(np.arange(count), np.diff(np.append(begin[a:b], high)))
+    kind = fine[own]
     length = np.bincount(of, minlength=count).astype(np.float64)
     out = np.zeros((count, FEATURES), np.float32)
     out[:, :CLASSES] = np.bincount(of * CLASSES + kind, minlength=count * CLASSES).reshape(count, CLASSES) / length[:, None]
     c = coarse[kind]
-    two = of[1:] * (COARSE * COARSE) + c[:-1] * COARSE + c[1:]
+    before = coarse[fine[cp[low - 1 : high - 1]]] if low else c[:-1]  # the first character of all has none before it
+    here = slice(None) if low else slice(1, None)
+    two = of[here] * (COARSE * COARSE) + before * COARSE + c[here]
     pairs = np.bincount(two, minlength=count * COARSE * COARSE).reshape(count, COARSE * COARSE)
     out[:, CLASSES : CLASSES + COARSE * COARSE] = pairs / length[:, None]
     # words, and whether each repeats one of the two before it
@@ -86,7 +107,7 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     s, e = edge[::2], edge[1::2]
     if len(s):
-        h, w = spans(prefix(cp), s, e), of[s]
+        h, w = spans(prefix(own), s, e), of[s]
         same1 = np.append(False, (h[1:] == h[:-1]) & (w[1:] == w[:-1]))
         same2 = np.append([False, False], (h[2:] == h[:-2]) & (w[2:] == w[:-2]))[: len(h)]
         words = np.maximum(np.bincount(w, minlength=count), 1)
@@ -94,7 +115,13 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for i, x in enumerate((same1, same2, caps, (e - s) / 10, (e - s == 1))):
             out[:, CLASSES + COARSE * COARSE + i] = np.bincount(w, weights=x, minlength=count) / words
     out[:, -1] = np.log1p(length) / 6
-    return out, np.searchsorted(np.flatnonzero(filled), np.searchsorted(start, at[:-1]))
+    return out
+
+
+def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages, and where each text's start."""
+    cp, begin, first = bags(texts)
+    return np.concatenate([features(cp, begin, a, b) for a, b in chunks(cp, begin)]), first
 
 
 @dataclass
@@ -115,10 +142,27 @@ class Model:
         return bag, h, tv, su, p, m, 1 / (1 + np.exp(-(m @ c + d[0])))
 
     def score(self, texts: list[str]) -> np.ndarray:
+        """Scores of whole texts; of each the largest attention so far, the sum of attentions and the weighted sum
+        are kept while chunks of its passages go by."""
+        w, b, v, u, a, c, d = self.weights
         out = np.zeros(len(texts))
         for at, held in runs(texts, 1 << 19):
-            x, first = encode(held)
-            out[at : at + len(held)] = self.forward((x - self.mean) / self.scale, first)[-1]
+            cp, begin, first = bags(held)
+            most, total, sums = np.full(len(held), -np.inf), np.zeros(len(held)), np.zeros((len(held), HIDDEN))
+            for p, q in chunks(cp, begin):
+                h = np.tanh(((features(cp, begin, p, q) - self.mean) / self.scale) @ w + b)
+                z = (np.tanh(h @ v) / (1 + np.exp(-(h @ u)))) @ a
+                one = np.searchsorted(first, p, side="right") - 1
+                bag = np.arange(one, np.searchsorted(first, q))  # texts with passages here
+                starts = np.maximum(first[bag], p) - p
+                peak = np.maximum.reduceat(z, starts)
+                e = np.exp(z - np.repeat(peak, np.diff(np.append(starts, q - p))))
+                new = np.maximum(most[bag], peak)
+                old, more = np.exp(most[bag] - new), np.exp(peak - new)
+                total[bag] = total[bag] * old + np.add.reduceat(e, starts) * more
+                sums[bag] = sums[bag] * old[:, None] + np.add.reduceat(e[:, None] * h, starts) * more[:, None]
+                most[bag] = new
+            out[at : at + len(held)] = 1 / (1 + np.exp(-(sums / total[:, None] @ c + d[0])))
         return out
 
 
@@ -186,8 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, y, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                x = encode([text])[0]
-                x = x[np.linspace(0, len(x) - 1, min(len(x), passages)).astype(np.int64)]
+                cp, begin, _ = bags([text])
+                some = np.linspace(0, len(begin) - 1, min(len(begin), passages)).astype(np.int64)
+                x = np.concatenate([features(cp, begin, p, q)[some[(some >= p) & (some < q)] - p] for p, q in chunks(cp, begin)])
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([x.tobytes()])], ["id", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +253,8 @@ def _fitted(got: list[tuple[bytes, int]]) -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row; null text counts as empty, a null id as
-    not held out."""
+    not held out.  Texts of any length are scored whole, a chunk of passages at a time; repeated rows repeat
+    their score, an empty table gives none, and other columns are left behind."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +266,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, same columns."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, same columns; a null text scores as the
+    empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -255,3 +255,28 @@ def test_one_letter_again_and_again_needs_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [r[:4] for r in found] == [(0, 1, 9, 0)] and peak < 300e6
+
+
+def test_chunks_of_passages_change_nothing(monkeypatch):
+    rng = random.Random(21)
+    texts = ["", "\n\n", "one", "x" * 5000 + " y", "\n".join(rng.choice(["", " ", "a b a", "Some Words, here!", "z" * 900]) for _ in range(300)), prose(rng, 900), "\n \nend"]
+    whole, first = quality_mil.encode(texts)
+    model = quality_mil.fit(whole, first, np.array([0, 1, 0, 1, 1, 0, 1], np.float32), rounds=5)
+    plain = model.forward((whole - model.mean) / model.scale, first)[-1]
+    for size in (1, 7, 1 << 13):
+        monkeypatch.setattr(quality_mil, "CHUNK", size)
+        again, starts = quality_mil.encode(texts)
+        assert (again == whole).all() and (starts == first).all()
+        assert np.allclose(model.score(texts), plain, atol=1e-6)
+
+
+def test_a_text_of_many_lines_needs_little_memory():
+    import tracemalloc
+
+    model = quality_mil._fitted([])
+    text = "\n".join("ab" for _ in range(400_000))
+    tracemalloc.start()
+    got = model.score([text, "short"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ((0 <= got) & (got <= 1)).all() and peak < 250e6
