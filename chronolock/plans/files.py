@@ -155,7 +155,7 @@ def s18(spark, sf):
     return sources.with_invalid_trials(t, x).groupBy("session_id", "trial").agg(F.count("v").alias("n"))
 
 
-@query("k1_tables", "select session_id, count(*) as n, round(sum(v), 1) + 0 as total, 'csv,parquet' as formats, 1 as metadata from traces group by 1", "traces")
+@query("k1_tables", "select session_id, count(*) as n, round(sum(v), 2) + 0 as total, 'csv,parquet' as formats, 1 as metadata from traces group by 1", "traces")
 def k1(spark, sf):
     at = folder(spark, "tables")
     t = view(spark, sf, "traces")
@@ -163,7 +163,7 @@ def k1(spark, sf):
     a = spark.read.parquet(f"{at}/traces").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     b = spark.read.option("header", True).option("inferSchema", True).csv(f"{at}/traces_csv").groupBy("session_id").agg(F.count("*").alias("m"))
     meta = spark.read.text(f"{at}/run_metadata").agg(F.count_if(F.get_json_object("value", "$.parameters.rate") == "200").cast("int").alias("metadata"))
-    return a.join(b, "session_id").where("n = m").crossJoin(meta).select("session_id", "n", fixed("total", 1).alias("total"), F.lit("csv,parquet").alias("formats"), "metadata")
+    return a.join(b, "session_id").where("n = m").crossJoin(meta).select("session_id", "n", fixed("total", 2).alias("total"), F.lit("csv,parquet").alias("formats"), "metadata")
 
 
 @query("k6_run_metadata", "select session_id, count(*) as n, '{\"rate\": 200}' as parameters, 'samples' as comment from traces group by 1", "traces")
@@ -201,7 +201,7 @@ l as (select session_id, dmd, max(n) filter (valid) as slot from w group by all)
 q as (select p.*, case when p.session_id = 3 and p.dmd = 1 then 'no valid rate' when n_rois is null then 'no traces' when n_values = 0 then 'no values' end as reason, coalesce(n_rois, 0) as n_rois from p left join c using (session_id, dmd))"""
 
 
-@query("t17_packages", f"with {_PLANES}, r as (select session_id, dmd, count(x.v) as n, sum(x.v) as total, max(x.trial * l.slot + x.i) as last from x join w using (session_id, dmd, trial) join l using (session_id, dmd) where w.valid group by all) select session_id, dmd, case when reason is not null then 'skipped' when session_id = 0 then 'exists' else 'exported' end as status, reason, n_rois, case when reason is null then n end as n_values, case when reason is null then round(total / 1e3, 2) + 0 end as total, case when reason is null then last end as last from q left join r using (session_id, dmd)", "traces")
+@query("t17_packages", f"with {_PLANES}, r as (select session_id, dmd, count(x.v) as n, sum(x.v) as total, max(x.trial * l.slot + x.i) as last from x join w using (session_id, dmd, trial) join l using (session_id, dmd) where w.valid group by all) select session_id, dmd, case when reason is not null then 'skipped' when session_id = 0 then 'exists' else 'exported' end as status, reason, n_rois, case when reason is null then n end as n_values, case when reason is null then round(total / 1e3, 5) + 0 end as total, case when reason is null then last end as last from q left join r using (session_id, dmd)", "traces")
 def t17p(spark, sf):
     at, t, p = folder(spark, "packages"), trials(spark, sf), planes(spark, sf)
 
@@ -210,19 +210,19 @@ def t17p(spark, sf):
 
     pg.package(p.where("session_id = 0"), t, at, process)
     status = pg.package(p, t, at, process)
-    there = spark.read.parquet(f"{at}/processed").where("v is not null").groupBy("session_id", "dmd").agg(F.count("v").alias("n_values"), fixed(F.sum("v"), 2).alias("total"), F.max("session_i").alias("last"))
+    there = spark.read.parquet(f"{at}/processed").where("v is not null").groupBy("session_id", "dmd").agg(F.count("v").alias("n_values"), fixed(F.sum("v"), 5).alias("total"), F.max("session_i").alias("last"))
     return status.drop("n_values").join(there, ["session_id", "dmd"], "left").select("session_id", "dmd", "status", "reason", "n_rois", "n_values", "total", "last")
 
 
 _SPANS = {"image": (0.02, 0.04), "omission": (0.01, 0.02)}
 
 
-@query("t17_planes", f"with {_PLANES}, z as (select session_id, min(t) as z from log group by 1), o as (select l.session_id, row_idx, case when value like '%.tiff' then 'image' when value = 'Omission' then 'omission' end as family, (t - z) / 5e6 as t from log l join z using (session_id)), y as (select x.*, x.trial * l.slot + x.i as s from x join w using (session_id, dmd, trial) join l using (session_id, dmd) where w.valid), b as (select session_id, dmd, roi, min(s) as lo, max(s) as hi from y group by all), f as (select *, case family when 'image' then 0.02e0 else 0.01e0 end as pre, case family when 'image' then 0.04e0 else 0.02e0 end as post from o where family is not null), e as (select session_id, family, row_idx, round_even(t * 200, 0)::bigint as c, round_even(pre * 200, 0)::bigint as pre, round_even(post * 200, 0)::bigint as post from f where t >= pre and t <= 0.6e0 - post), g as (select b.session_id, b.dmd, b.roi, family, row_idx, c, pre, post from e join b using (session_id) where c - pre >= lo and c + post - 1 <= hi), m as (select g.session_id, g.dmd, family, count(distinct row_idx) as n, count(y.v) as n_values, avg(y.v) as mean from g join y on y.session_id = g.session_id and y.dmd = g.dmd and y.roi = g.roi and y.s >= c - pre and y.s < c + post group by 1, 2, 3) select q.session_id, q.dmd, coalesce(reason, case when i.n is null and o.n is null then 'no events in epochs' end) as reason, case when reason is null then coalesce(i.n, 0) else 0 end as n_image, case when reason is null then coalesce(o.n, 0) else 0 end as n_omission, case when reason is null then i.n_values end as n_values, case when reason is null then round(i.mean, 4) + 0 end as mean from q left join (select * from m where family = 'image') i using (session_id, dmd) left join (select * from m where family = 'omission') o using (session_id, dmd)", "traces", "log")
+@query("t17_planes", f"with {_PLANES}, z as (select session_id, min(t) as z from log group by 1), o as (select l.session_id, row_idx, case when value like '%.tiff' then 'image' when value = 'Omission' then 'omission' end as family, (t - z) / 5e6 as t from log l join z using (session_id)), y as (select x.*, x.trial * l.slot + x.i as s from x join w using (session_id, dmd, trial) join l using (session_id, dmd) where w.valid), b as (select session_id, dmd, roi, min(s) as lo, max(s) as hi from y group by all), f as (select *, case family when 'image' then 0.02e0 else 0.01e0 end as pre, case family when 'image' then 0.04e0 else 0.02e0 end as post from o where family is not null), e as (select session_id, family, row_idx, round_even(t * 200, 0)::bigint as c, round_even(pre * 200, 0)::bigint as pre, round_even(post * 200, 0)::bigint as post from f where t >= pre and t <= 0.6e0 - post), g as (select b.session_id, b.dmd, b.roi, family, row_idx, c, pre, post from e join b using (session_id) where c - pre >= lo and c + post - 1 <= hi), m as (select g.session_id, g.dmd, family, count(distinct row_idx) as n, count(y.v) as n_values, avg(y.v) as mean from g join y on y.session_id = g.session_id and y.dmd = g.dmd and y.roi = g.roi and y.s >= c - pre and y.s < c + post group by 1, 2, 3) select q.session_id, q.dmd, coalesce(reason, case when i.n is null and o.n is null then 'no events in epochs' end) as reason, case when reason is null then coalesce(i.n, 0) else 0 end as n_image, case when reason is null then coalesce(o.n, 0) else 0 end as n_omission, case when reason is null then i.n_values end as n_values, case when reason is null then round(i.mean, 6) + 0 end as mean from q left join (select * from m where family = 'image') i using (session_id, dmd) left join (select * from m where family = 'omission') o using (session_id, dmd)", "traces", "log")
 def t17e(spark, sf):
     log = view(spark, sf, "log")
     zero = log.groupBy("session_id").agg(F.min("t").alias("z"))
     log = log.join(zero, "session_id").withColumn("t", (F.col("t") - F.col("z")) / 5e6)
     epochs = zero.select("session_id", F.lit(0.0).alias("start_time"), F.lit(0.6).alias("end_time")).unionByName(spark.createDataFrame([(9, 0.0, 0.6)], "session_id int, start_time double, end_time double"))
     got = pg.extract_planes(planes(spark, sf), trials(spark, sf), log, epochs, _SPANS)
-    mean = got["windows"].where("family = 'image'").groupBy("session_id", "dmd").agg(F.count("v").alias("n_values"), fixed(F.avg("v"), 4).alias("mean"))
+    mean = got["windows"].where("family = 'image'").groupBy("session_id", "dmd").agg(F.count("v").alias("n_values"), fixed(F.avg("v"), 6).alias("mean"))
     return got["status"].drop("n_values").join(mean, ["session_id", "dmd"], "left").select("session_id", "dmd", "reason", "n_image", "n_omission", "n_values", "mean")
