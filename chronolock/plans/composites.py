@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronolock.catalog import query, view
 from chronolock.functions import fixed
 from chronolock.operators import clock
-from chronolock.operators.composites import K, analyse, condition, extract, gated, tuning  # noqa: F401
+from chronolock.operators.composites import K, analyse, condition, extract, tuning
 from chronolock.plans.core import POST, PRE, RESPONSES, epochs_of, responses, windows
 
 

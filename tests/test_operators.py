@@ -251,7 +251,7 @@ def test_debounce_counts_from_the_last_that_stayed(spark):
 
 
 def test_tuned_by_each_method(spark):
-    from chronolock.plans.composites import gated, tuning
+    from chronolock.operators.composites import gated, tuning
 
     # trace 1 answers by image in its mean, 2 in its shape alone, 3 not at all, 4 has one image
     def value(roi, e, k):
