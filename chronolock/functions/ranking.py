@@ -84,7 +84,7 @@ def ranked(rows: DataFrame, keys: Sequence[str], value: str, large: DataFrame |
 def suffix_least(rows: DataFrame, keys: Sequence[str], value: str, what: str, large: DataFrame | None) -> DataFrame:
     """As :func:`least_from`, but only the keys in ``large`` go by ranges."""
     small, hot = (rows, None) if large is None else split(rows, large)
-    c = small.withColumn("least", F.min(what).over(W.partitionBy(*keys).orderBy(value).rowsBetween(0, W.unboundedFollowing)))
+    c = small.withColumn("least", F.min(what).over(W.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)))
     return c if hot is None else c.unionByName(least_from(hot, keys, value, what))
 
 
@@ -94,8 +94,8 @@ def least_from(rows: DataFrame, keys: Sequence[str], value: str, what: str) -> D
     ``rows`` has one row for each key and value."""
     at = _ranges(rows, keys, value)
     totals = at.groupBy("_at", *keys).agg(F.min(what).alias("_n"))
-    after = F.min("_n").over(W.partitionBy(*keys).orderBy("_at").rowsBetween(1, W.unboundedFollowing))
+    after = F.min("_n").over(W.partitionBy(*keys).orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, -1))
     there = totals.withColumn("_after", after).select(F.col("_at").alias("_t"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_after")
     on = [F.col("_at") == F.col("_t"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
-    local = at.withColumn("_local", F.min(what).over(W.partitionBy("_at", *keys).orderBy(value).rowsBetween(0, W.unboundedFollowing)))
+    local = at.withColumn("_local", F.min(what).over(W.partitionBy("_at", *keys).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)))
     return local.join(there, on).withColumn("least", F.least("_local", "_after")).select(*rows.columns, "least")

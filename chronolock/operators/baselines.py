@@ -167,8 +167,9 @@ def lower_envelope(signal: DataFrame, keys: Sequence[str], denoise: int, hull: i
     pick = F.ceil(F.col("_phases") / 2).cast("int")
     for c in (F.coalesce("low", F.element_at(near, pick)), F.element_at(near, pick)):
         drawn = drawn.withColumn("low", c)
+    back = W.partitionBy(*keys).orderBy(F.desc("j")).rowsBetween(W.unboundedPreceding, 0)
     own = F.when(F.col("low").isNotNull(), F.struct("t", "low"))
-    drawn = drawn.withColumn("_b", F.last(own, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.first(own, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    drawn = drawn.withColumn("_b", F.last(own, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.last(own, ignorenulls=True).over(back))
     line = F.when(F.col("_b.t") < F.col("_a.t"), F.col("_b.low") + (F.col("t") - F.col("_b.t")) * (F.col("_a.low") - F.col("_b.low")) / (F.col("_a.t") - F.col("_b.t")))
     drawn = drawn.withColumn("f", F.coalesce("low", line, "_b.low", "_a.low"))
     cubic = drawn.withColumn("d", _pchip(order, "t", "f"))

@@ -80,9 +80,9 @@ def ordered(log: DataFrame, family: str = "image") -> DataFrame:
 def change_targets(log: DataFrame) -> DataFrame:
     """The first image row after each change row, each image once."""
     rows = classify(log)
-    later = W.partitionBy("session_id").orderBy("row_idx").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("session_id").orderBy(F.desc("row_idx")).rowsBetween(W.unboundedPreceding, -1)  # from the last row back
     image = F.when(F.col("family") == "image", F.struct("row_idx", "t", "value"))
-    return rows.withColumn("target", F.first(image, ignorenulls=True).over(later)).where("family = 'change' and target is not null").groupBy("session_id", F.col("target.row_idx").alias("row_idx")).agg(F.first("target.t").alias("onset"), F.first("target.value").alias("value"), F.count("*").alias("n_changes"))
+    return rows.withColumn("target", F.last(image, ignorenulls=True).over(later)).where("family = 'change' and target is not null").groupBy("session_id", F.col("target.row_idx").alias("row_idx")).agg(F.first("target.t").alias("onset"), F.first("target.value").alias("value"), F.count("*").alias("n_changes"))
 
 
 def change_sequences(log: DataFrame) -> DataFrame:

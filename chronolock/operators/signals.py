@@ -230,8 +230,9 @@ def lags(keys: list[str], value: str, steps: list[int]) -> dict[str, Column]:
 def fill_runs(signal: DataFrame, keys: list[str]) -> DataFrame:
     """Nulls along the line between the values round them, the nearest value at the ends."""
     order = _order(keys)
+    back = W.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
     own = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
-    both = signal.withColumn("_b", F.last(own, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.first(own, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    both = signal.withColumn("_b", F.last(own, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.last(own, ignorenulls=True).over(back))
     line = lerp(F.col("i"), F.col("_b.i"), F.col("_b.v"), F.col("_a.i"), F.col("_a.v"))
     return both.withColumn("filled", F.coalesce("v", line, "_b.v", "_a.v")).drop("_b", "_a")
 

@@ -45,11 +45,11 @@ def as_of(left: DataFrame, right: DataFrame, key: str, value: list[str], backwar
     both = left.withColumns({f"_{c}": F.lit(None).cast(right.schema[c].dataType) for c in value} | {"_side": F.lit(1)})
     other = right.select(key, "t", *[F.col(c).alias(f"_{c}") for c in value]).withColumn("_side", F.lit(0 if backward else 2))
     both = both.unionByName(other, allowMissingColumns=True)
-    span = W.partitionBy(key).orderBy("t", "_side")
-    span = span.rowsBetween(W.unboundedPreceding, 0) if backward else span.rowsBetween(0, W.unboundedFollowing)
-    pick = F.last if backward else F.first
+    # forward runs from the latest row back: a frame that grows costs one step a row, one that shrinks all that is left
+    order = ("t", "_side") if backward else (F.desc("t"), F.desc("_side"))
+    span = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     found = F.struct(*[F.col(f"_{c}").alias(c) for c in value])
-    got = both.withColumn("_got", pick(F.when(F.col("_side") != 1, found), ignorenulls=True).over(span)).where("_side = 1")
+    got = both.withColumn("_got", F.last(F.when(F.col("_side") != 1, found), ignorenulls=True).over(span)).where("_side = 1")
     return got.select(*left.columns, *[F.col(f"_got.{c}").alias(f"right_{c}") for c in value])
 
 
