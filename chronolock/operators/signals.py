@@ -29,9 +29,9 @@ def median_filter(keys: list[str], half: int, value: str = "v") -> Column:
 
 def edges(signal: DataFrame, keys: list[str], half: int = 4) -> DataFrame:
     """Rises and falls of the median-filtered signal across the middle of its 5th and 95th
-    percentiles."""
+    percentiles; a value that is above the middle by rounding error only is not above it."""
     smooth = signal.withColumn("m", median_filter(keys, half))
-    level = smooth.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("p")).select(*[F.col(k).alias(f"_{k}") for k in keys], ((F.col("p")[0] + F.col("p")[1]) / 2).alias("threshold"))
+    level = smooth.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("p")).select(*[F.col(k).alias(f"_{k}") for k in keys], ((F.col("p")[0] + F.col("p")[1]) / 2 + 1e-12 * (F.abs(F.col("p")[0]) + F.abs(F.col("p")[1]))).alias("threshold"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     binary = smooth.join(level, on).withColumn("b", (F.col("m") > F.col("threshold")).cast("int"))
     step = F.col("b") - F.lag("b").over(_order(keys))

@@ -31,7 +31,7 @@ def out(df, *digits: tuple[str, int], keys=("session_id", "roi", "i")):
 
 
 MED9 = "list_sort(list_concat(list(v) over f, list_transform(range(9 - count(*) over f), lambda x: 0e0)))[5]"
-EDGES = f"m as (select session_id, i, t, {MED9} as m from samples window f as (partition by session_id order by i rows between 4 preceding and 4 following)), th as (select session_id, (quantile_cont(m, 0.05) + quantile_cont(m, 0.95)) / 2 as th from m group by 1), b as (select m.*, cast(m > th as int) as b from m join th using (session_id)), e as (select session_id, i, t, b - lag(b) over (partition by session_id order by i) as step from b), edges as (select * from e where step <> 0)"
+EDGES = f"m as (select session_id, i, t, {MED9} as m from samples window f as (partition by session_id order by i rows between 4 preceding and 4 following)), th as (select session_id, (quantile_cont(m, 0.05) + quantile_cont(m, 0.95)) / 2 + 1e-12 * (abs(quantile_cont(m, 0.05)) + abs(quantile_cont(m, 0.95))) as th from m group by 1), b as (select m.*, cast(m > th as int) as b from m join th using (session_id)), e as (select session_id, i, t, b - lag(b) over (partition by session_id order by i) as step from b), edges as (select * from e where step <> 0)"
 
 
 @query("w3_edges", f"with {EDGES} select session_id, i, step from edges", "samples")
