@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 from chronolock.functions import lerp
 
 
+#: Samples of a piece of a trace, at least: pieces of a window's length or more, so that a window meets two at most.
+PIECE = 128
+
+
 def centers(events: DataFrame, rate: float, start: float = 0.0, time: str = "t") -> DataFrame:
     """The sample of each event: its time since ``start`` by the rate, halves to even."""
     return events.withColumn("c", F.rint((F.col(time) - F.lit(float(start))) * F.lit(float(rate))).cast("int"))
@@ -18,13 +24,36 @@ def event_windows(traces: DataFrame, events: DataFrame, pre: int, post: int, key
     """Samples ``c - pre`` up to ``c + post`` (exclusive) of every trace round each event, as
     ``k`` from 0.  A window that leaves a trace is dropped for it.
 
-    The window is unrolled on the events, so the join is on equal keys and sample numbers.
+    The window is a span of :func:`spans_cut`.
     """
-    extent = traces.groupBy(*keys, *roi).agg(F.min("i").alias("low"), F.max("i").alias("high"))
-    own = [c for c in events.columns if c not in keys and c != "c"]
-    fits = events.select(*keys, *own, "c").join(extent, list(keys)).where((F.col("c") - pre >= F.col("low")) & (F.col("c") + post - 1 <= F.col("high")))
-    unrolled = fits.select(*keys, *roi, *own, F.posexplode(F.sequence(F.col("c") - pre, F.col("c") + post - 1)).alias("k", "i"))
-    return traces.select(*keys, *roi, "i", *keep, "v").join(unrolled, [*keys, *roi, "i"])
+    spans = events.withColumn("_from", F.col("c") - pre).withColumn("_to", F.col("c") + post - 1).drop("c")
+    return spans_cut(traces, spans, keys, roi, keep, max(PIECE, pre + post))
+
+
+def spans_cut(traces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: Sequence[str], keep: Sequence[str] = (), size: int = PIECE) -> DataFrame:
+    """Samples of every trace of a span's key from ``_from`` to ``_to``, both included, as ``k`` from 0; none where
+    the span leaves the trace.
+
+    Traces are held in pieces of ``size``, a row each.  Spans meet the traces that have samples in the piece
+    where they start, so the work grows with the windows there are and not with spans times traces; then they
+    meet the pieces they lie in and are cut from them: samples move once, in pieces, and of a window only
+    its place."""
+    held = traces.select(*keys, *roi, F.floor(F.col("i") / size).alias("_piece"), F.struct("i", *keep, "v").alias("_s")).groupBy(*keys, *roi, "_piece").agg(F.sort_array(F.collect_list("_s")).alias("_samples"))
+    held = held.withColumn("_low", F.get("_samples", F.lit(0))["i"]).withColumn("_high", F.element_at("_samples", -1)["i"])
+    places = F.array_distinct(F.transform("_samples", lambda s: s["i"]))
+    held = held.withColumn("_plain", (F.size(places) == F.size("_samples")) & (F.col("_high") - F.col("_low") + 1 == F.size("_samples")))
+    reach = held.groupBy(*keys, *roi).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    reach = reach.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))))
+    own = [c for c in spans.columns if c not in (*keys, "_from", "_to")]
+    starts = spans.withColumn("_piece", F.floor(F.col("_from") / size))
+    fits = starts.join(reach, [*keys, "_piece"]).where((F.col("_from") >= F.col("_low")) & (F.col("_to") <= F.col("_high"))).drop("_low", "_high")
+    placed = fits.withColumn("_piece", F.explode(F.sequence("_piece", F.floor(F.col("_to") / size))))
+    low, high = F.greatest("_from", "_low"), F.least("_to", "_high")
+    sliced = F.slice("_samples", (low - F.col("_low") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+    # a piece with gaps, or a sample twice, is looked through
+    cut = F.when(F.col("_plain"), sliced).otherwise(F.filter("_samples", lambda s: s["i"].between(F.col("_from"), F.col("_to"))))
+    met = placed.join(held, [*keys, *roi, "_piece"]).select(*keys, *roi, *own, "_from", F.inline(cut))
+    return met.select(*keys, *roi, "i", *keep, "v", *own, (F.col("i") - F.col("_from")).cast("int").alias("k"))
 
 
 def bounds_within(epochs: DataFrame, pre: float = 0.0, post: float = 0.0) -> DataFrame:

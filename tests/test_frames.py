@@ -38,3 +38,39 @@ def test_the_next_row_is_found_from_the_last_back(spark, log):
     assert [r.c for r in got] == [2, 2, 2, 5, 5, 5, None, None]
     targets = events.change_targets(log).where("session_id = 2").collect()
     assert [(r.row_idx, r.onset, r.value, r.n_changes) for r in targets] == [(4, 4.0, "b.tiff", 2)]
+
+
+def test_windows_are_cut_from_pieces(spark):
+    """Gaps, a sample twice, spans over several pieces and events far beyond every trace, against plain Python."""
+    import random
+
+    rng = random.Random(5)
+    t = [(1, r, i, rng.random()) for r in (1, 2) for i in range(5, 900) if r == 1 or i % 7] + [(1, 2, 50, 0.25), (2, 1, -3, 1.0), (2, 1, -2, None)]
+    e = [(s, n, rng.randrange(-20, 1000)) for s in (1, 2) for n in range(60)] + [(2, 99, -2), (1, 100, 10**6), (1, 101, None)]
+    traces = spark.createDataFrame(t, "session_id int, roi int, i int, v double")
+    spans = spark.createDataFrame(e, "session_id int, event_id int, c int")
+    for pre, post in ((1, 1), (10, 20), (150, 200)):
+        got = windows.event_windows(traces, spans, pre, post)
+        assert got.columns == ["session_id", "roi", "i", "v", "event_id", "k"]
+        want = []
+        for s, n, c in e:
+            for r in {x[1] for x in t if x[0] == s}:
+                own = [x for x in t if x[:2] == (s, r)]
+                if c is not None and c - pre >= min(x[2] for x in own) and c + post - 1 <= max(x[2] for x in own):
+                    want += [(s, r, i, v, n, i - c + pre) for *_, i, v in own if c - pre <= i < c + post]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and want
+
+
+def test_events_do_not_meet_traces_they_cannot_reach(spark):
+    """A join on the session alone makes a pair of each event and trace; this one has the piece in its key."""
+    traces = spark.createDataFrame([(1, 1, 0, 1.0)], "session_id int, roi int, i int, v double")
+    got = plan(windows.event_windows(traces, spark.createDataFrame([(1, 1, 0)], "session_id int, event_id int, c int"), 0, 1))
+    joins = [x for x in got.split("== physical plan ==")[1].splitlines() if "join " in x]
+    assert joins and all("_piece" in x for x in joins)
+
+
+def test_a_value_on_the_middle_is_not_above_it_by_rounding(spark):
+    """In doubles (0.01 + 0.09) / 2 is a bit under 0.05."""
+    m = [0.01] * 12 + [0.05] * 12 + [0.09] * 12
+    got = signals.edges(spark.createDataFrame([("k", i, float(i), x) for i, x in enumerate(m)], "k string, i int, t double, v double"), ["k"], half=0)
+    assert [(r.i, r.step) for r in got.collect()] == [(24, 1)]
