@@ -31,13 +31,17 @@ def condition(traces: DataFrame, nuisance: DataFrame, keys: list[str], hp_half:
 
 
 def extract(log: DataFrame, traces: DataFrame, epochs: DataFrame, rate: float, spans: dict[str, tuple[float, float]]) -> dict[str, DataFrame]:
-    """Windows of each family's events inside the epochs, and a status row a session."""
+    """Windows of each family's events inside the epochs, and a status row a session; in ``<family>_cut`` the
+    different windows of each stimulus once, with their number of events (``n_events``): as many events fall on one
+    sample, these grow with the traces where windows grow with events times traces."""
     found = ev.classify(log)
     out: dict[str, DataFrame] = {}
     for family, (pre, post) in spans.items():
         own = wn.in_epochs(found.where(F.col("family") == family), epochs, pre, post).select("session_id", "row_idx", F.col("value").alias("stimulus"), "t")
         placed = wn.centers(own, rate).select("session_id", F.col("row_idx").alias("event_id"), "stimulus", "c")
-        out[family] = wn.event_windows(traces, placed, round(pre * rate), round(post * rate)).withColumn("family", F.lit(family))
+        different = placed.groupBy("session_id", "stimulus", "c").agg(F.countDistinct("event_id").alias("n_events")).withColumn("center", F.col("c"))
+        for name, events in ((family, placed), (f"{family}_cut", different)):
+            out[name] = wn.event_windows(traces, events, round(pre * rate), round(post * rate)).withColumn("family", F.lit(family))
     counts = found.groupBy("session_id").agg(F.count_if(F.col("family") == "image").alias("n_images"))
     there = traces.groupBy("session_id").agg(F.count("v").alias("n_values"))
     out["status"] = registry.status(counts.join(there, "session_id", "left"), {"events": F.col("n_images") > 0, "traces": F.coalesce("n_values", F.lit(0)) > 0})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolock.catalog import query, view
-from chronolock.functions import fixed
+from chronolock.functions import fixed, ratio
 from chronolock.operators import clock
 from chronolock.operators.composites import K, analyse, condition, extract, tuning
 from chronolock.plans.core import POST, PRE, RESPONSES, epochs_of, responses, windows
@@ -50,7 +50,9 @@ def t17(spark, sf):
     at = log.join(zero, "session_id").withColumn("t", (F.col("t") - F.col("z")) / 1e4)
     e = epochs_of(spark, sf).join(zero, "session_id").select("session_id", *[((F.col(c) - F.col("z")) / 1e4).alias(c) for c in ("start_time", "end_time")])
     out = extract(at, view(spark, sf, "traces"), e, 2.0, {"image": (5.0, 10.0)})
-    return out["image"].groupBy(*K, "stimulus").agg(F.countDistinct("event_id").alias("n_events"), fixed(F.avg("v"), 6).alias("mean"))
+    each = out["image_cut"].groupBy(*K, "stimulus", "center", "n_events").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    mean = ratio(F.sum(F.col("s") * F.col("n_events")), F.sum(F.col("n") * F.col("n_events")))
+    return each.groupBy(*K, "stimulus").agg(F.sum("n_events").alias("n_events"), fixed(mean, 6).alias("mean"))
 
 
 @query("t10_clock_alignment")

@@ -224,5 +224,6 @@ def t17e(spark, sf):
     log = log.join(zero, "session_id").withColumn("t", (F.col("t") - F.col("z")) / 5e6)
     epochs = zero.select("session_id", F.lit(0.0).alias("start_time"), F.lit(0.6).alias("end_time")).unionByName(spark.createDataFrame([(9, 0.0, 0.6)], "session_id int, start_time double, end_time double"))
     got = pg.extract_planes(planes(spark, sf), trials(spark, sf), log, epochs, _SPANS)
-    mean = got["windows"].where("family = 'image'").groupBy("session_id", "dmd").agg(F.count("v").alias("n_values"), fixed(F.avg("v"), 6).alias("mean"))
+    n = F.sum(F.when(F.col("v").isNotNull(), F.col("n_events")))
+    mean = got["cut"].where("family = 'image'").groupBy("session_id", "dmd").agg(F.coalesce(n, F.lit(0)).alias("n_values"), fixed(F.sum(F.col("v") * F.col("n_events")) / n, 6).alias("mean"))
     return got["status"].drop("n_values").join(mean, ["session_id", "dmd"], "left").select("session_id", "dmd", "reason", "n_image", "n_omission", "n_values", "mean")
