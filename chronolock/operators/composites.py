@@ -104,6 +104,4 @@ def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], sh
         out = {"activation_event": r.drop("v"), "activation_summary": activation}
     values = gated(r.where("family = 'image'"), activation, K, classes)
     traces = gated(windows_.where("family = 'image'"), activation, K, classes)
-    if method != "fve":
-        traces = settled(traces.select(*K, "stimulus", "event_id", "k", "v"))
     return out | tuning(values, K, shuffles, method=method, traces=traces)

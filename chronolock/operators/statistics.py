@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronolock.functions import median, ratio
+from chronolock.functions import lerp, median, ratio
 from chronolock.functions.lineage import settled
 from chronolock.functions.quantiles import HELD
 from chronolock.functions.ranking import large_keys, ranked, running, suffix_least
@@ -279,20 +280,25 @@ def manova(windows: DataFrame, keys: list[str], samples: list[int] | None = None
     (W31).  ``samples`` are ``most`` evenly spaced ones if not given, fewer where trials are few;
     constant samples don't count, nor do groups of one trial.  Sums and cross products are aggregated
     in Spark; one small matrix a key is solved."""
-    from chronolock.operators.signals import fill_runs
-
     trial = [*keys, group, event]
-    gaps = windows.groupBy(*trial).agg(F.avg(F.col("v").isNull().cast("int")).alias("_gap")).where(F.col("_gap") <= gap_share)
-    held = windows.join(gaps, trial)
-    whole, broken = held.where("_gap = 0").select(*trial, "k", "v"), held.where("_gap > 0").select(*trial, F.col("k").alias("i"), "v")
-    windows = whole.unionByName(fill_runs(broken, trial).select(*trial, F.col("i").alias("k"), F.col("filled").alias("v")))
+    # a row a trial: its samples in order; they are put together before they move
+    rows = windows.where(reduce(and_, (F.col(c).isNotNull() for c in trial))).groupBy(*trial).agg(F.avg(F.col("v").isNull().cast("int")).alias("_gap"), F.sort_array(F.collect_list(F.struct("k", "v"))).alias("_s")).where(F.col("_gap") <= gap_share)
     if samples is None:
-        last = windows.agg(F.max("k")).first()[0] or 0
+        last = rows.agg(F.max(F.element_at("_s", -1)["k"])).first()[0] or 0
         samples = sorted(set(np.linspace(0, last, min(most, last + 1), dtype=int).tolist()))
     d = len(samples)
-    # the samples of a trial in order, then a one: products with it are the sums, and the trials
-    x = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"])
-    rows = windows.where(F.col("k").isin(*samples) & F.col("v").isNotNull()).groupBy(*trial).agg(x.alias("x")).where(F.size("x") == d)
+    there = F.filter("_s", lambda s: s["v"].isNotNull())
+
+    def filled(s: Column) -> Column:
+        """The sample, or the line between those round it, or the nearest at the ends."""
+        left, right = F.filter(there, lambda x: x["k"] <= s["k"]), F.filter(there, lambda x: x["k"] >= s["k"])
+        a, b = F.get(left, F.size(left) - 1), F.get(right, F.lit(0))
+        return F.coalesce(s["v"], lerp(s["k"], a["k"], a["v"], b["k"], b["v"]), a["v"], b["v"])
+
+    # the samples, then a one: products with it are the sums, and the trials
+    wanted = F.filter("_s", lambda s: s["k"].isin(*samples))
+    x = F.when(F.col("_gap") == 0, F.transform(wanted, lambda s: s["v"])).otherwise(F.transform(wanted, filled))
+    rows = rows.select(*trial, x.alias("x")).where((F.size("x") == d) & ~F.exists("x", lambda v: v.isNull()))
     rows = rows.withColumn("x", F.concat("x", F.array(F.lit(1.0))))
     two = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: F.transform(F.sequence(i, F.lit(d)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("x", i) * F.get("x", j)).alias("xy"))))))
     cells = rows.select(*keys, group, two.alias("e")).groupBy(*keys, group, "e.i", "e.j").agg(F.sum("e.xy").alias("xy"))
