@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from chronolock.functions import lerp
 from chronolock.functions.lineage import settled
+from chronolock.functions.quantiles import HELD
+from chronolock.functions.ranking import large_keys, running
 
 KEY = ["neuron_id", "node_id"]
 
@@ -133,19 +135,23 @@ def basic_metrics(nodes: DataFrame) -> DataFrame:
     return cable(nodes).join(k, "neuron_id").join(p, "neuron_id").join(o, "neuron_id")
 
 
-def sholl(nodes: DataFrame, step: float = 5.0) -> DataFrame:
-    """Crossings of spheres round the root at multiples of ``step``, zeros included.  Each edge meets
-    only the radii between its ends."""
+def sholl(nodes: DataFrame, step: float = 5.0, held: int = HELD) -> DataFrame:
+    """Crossings of spheres round the root at multiples of ``step``, zeros included.  An edge adds one at the
+    first radius it crosses and takes it away after the last; crossings are the running sums, so a long edge costs
+    no more than a short one.  Neurons of more than ``held`` radii are added up over all tasks."""
     root = nodes.where("parent_id < 0").groupBy("neuron_id").agg(*[F.min_by(c, "node_id").alias(f"r{c}") for c in "xyz"])
     sq = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
     e = edges(nodes).join(root, "neuron_id")
     d = e.withColumn("a", F.sqrt(sq("x", "rx") + sq("y", "ry") + sq("z", "rz"))).withColumn("b", F.sqrt(sq("px", "rx") + sq("py", "ry") + sq("pz", "rz")))
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    n0, n1 = F.ceil(low / step), F.ceil(high / step) - 1
-    hits = d.where(n1 >= n0).select("neuron_id", F.explode(F.sequence(n0, n1)).alias("n")).groupBy("neuron_id", "n").agg(F.count("*").alias("crossings"))
-    far = d.groupBy("neuron_id").agg(F.ceil(F.max(high) / step).alias("last"))
-    grid = far.select("neuron_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("n"))
-    return grid.join(hits, ["neuron_id", "n"], "left").select("neuron_id", (F.col("n") * F.lit(float(step))).alias("radius"), F.coalesce("crossings", F.lit(0)).alias("crossings"))
+    ends = F.array(F.struct(F.ceil(low / step).alias("n"), F.lit(1).alias("d")), F.struct(F.ceil(high / step).alias("n"), F.lit(-1).alias("d")))
+    turns = d.select("neuron_id", F.explode(ends).alias("e")).where("e.n is not null").groupBy("neuron_id", "e.n").agg(F.sum("e.d").alias("d"))
+    turns = settled(turns)
+    far = turns.groupBy("neuron_id").agg(F.max("n").alias("last"))
+    grid = far.select("neuron_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("n"), F.lit(0).cast("bigint").alias("d"))
+    at = turns.unionByName(grid).groupBy("neuron_id", "n").agg(F.sum("d").alias("d"))
+    at = running(at, ["neuron_id"], "n", "d", held and large_keys(at, ["neuron_id"], "n", held))
+    return at.select("neuron_id", (F.col("n") * F.lit(float(step))).alias("radius"), (F.col("below") + F.col("d")).alias("crossings"))
 
 
 def compare(own: DataFrame, measured: DataFrame, names: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import io
 import pytest
 
 from chronolock.functions.ranking import suffix_least
-from chronolock.operators import events, signals, windows
+from chronolock.operators import events, signals, trees, windows
 
 
 def plan(df):
@@ -74,3 +74,14 @@ def test_a_value_on_the_middle_is_not_above_it_by_rounding(spark):
     m = [0.01] * 12 + [0.05] * 12 + [0.09] * 12
     got = signals.edges(spark.createDataFrame([("k", i, float(i), x) for i, x in enumerate(m)], "k string, i int, t double, v double"), ["k"], half=0)
     assert [(r.i, r.step) for r in got.collect()] == [(24, 1)]
+
+
+def test_sholl_does_not_list_the_radii_of_an_edge(spark):
+    """Two edges that cross 50,000 spheres each; their crossings are running sums of edges' ends."""
+    n = [(1, 0, -1, 0.0), (1, 1, 0, 100_000.5), (1, 2, 1, 3.0), (1, 3, 2, 3.5), (2, 0, -1, 0.0), (2, 1, 0, 4.0)]
+    nodes = spark.createDataFrame([(k, i, p, x, 0.0, 0.0) for k, i, p, x in n], "neuron_id int, node_id int, parent_id int, x double, y double, z double")
+    for held in (1 << 21, 1):
+        got = trees.sholl(nodes, 2.0, held)
+        seen = {(r.neuron_id, r.radius): r.crossings for r in got.collect()}
+        assert seen == {(1, 2.0 * k): (1 if k < 2 else 2 if k < 50_001 else 0) for k in range(50_002)} | {(2, 0.0): 1, (2, 2.0): 1, (2, 4.0): 0}
+    assert "sequence(ceil" not in plan(trees.sholl(nodes, 2.0))
