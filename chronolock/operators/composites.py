@@ -94,7 +94,8 @@ def tuning(values: DataFrame, keys: list[str], shuffles: int = 2000, least_trial
 def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], shuffles: int = 2000, method: str = "hybrid", activation: DataFrame | None = None, classes: Sequence[str] = ("activated",)) -> dict[str, DataFrame]:
     """All result tables from windows with ``session_id, roi, family, event_id, stimulus, k, v``.
 
-    Traces of the given ``classes`` are tested for tuning.  An ``activation`` table (``session_id, roi,
+    Traces of the given ``classes`` are tested for tuning, by MANOVA only where ``method`` asks for it (else the
+    summary has no columns of it).  An ``activation`` table (``session_id, roi,
     family, response_class``) from elsewhere takes the place of this run's own, which is then not
     made."""
     r = settled(rs.event_responses(windows_, pre, post, [*K, "family", "event_id", "stimulus"]).withColumn("v", F.col("delta_mean")))
@@ -103,5 +104,6 @@ def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], sh
         activation = settled(st.activation(r, K))
         out = {"activation_event": r.drop("v"), "activation_summary": activation}
     values = gated(r.where("family = 'image'"), activation, K, classes)
-    traces = gated(windows_.where("family = 'image'"), activation, K, classes)
+    # windows move once more only for a method that tests them
+    traces = None if method == "fve" else gated(windows_.where("family = 'image'"), activation, K, classes)
     return out | tuning(values, K, shuffles, method=method, traces=traces)

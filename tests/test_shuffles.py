@@ -90,3 +90,17 @@ def test_p_is_near_that_of_true_shuffles(spark):
 
     true = np.mean([share(rng.permutation(c)) >= share(c) for _ in range(8000)])
     assert abs(p - true) < 0.02
+
+
+def test_shares_of_variance_need_no_windows(spark, monkeypatch):
+    """T16 by ``fve``: no MANOVA, for which each window would move a second time."""
+    from chronolock.operators import composites
+
+    def asked(*_, **__):
+        raise AssertionError("MANOVA was asked for")
+
+    monkeypatch.setattr(composites.st, "manova", asked)
+    w = spark.createDataFrame([(1, 1, "image", e, f"im{e % 4}", k, float(k * (e % 4) + e % 3)) for e in range(24) for k in range(2)], "session_id int, roi int, family string, event_id int, stimulus string, k int, v double")
+    known = spark.createDataFrame([(1, 1, "image", "activated")], "session_id int, roi int, family string, response_class string")
+    got = composites.analyse(w, (0, 1), (1, 2), 19, method="fve", activation=known)["tuning_summary"].first()
+    assert got.n_images == 4 and got.preferred == "im3" and abs(got.fve - 1) < 1e-12
