@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from chronolock.functions.lineage import settled
 from chronolock.operators.signals import fill_stat, gaussian
 
-#: Rows that a task holds at a time; samples of a piece of a session; partial sums that are put together at a time.
+#: Rows that a task holds at a time; vectors of a piece of a session; partial sums that are put together at a time.
 BLOCK, PIECE, FAN = 1024, 4096, 32
+#: Numbers of a piece, about; numbers of all sessions' components that are broadcast.
+CELLS, HELD = 1 << 23, 1 << 22
 
 
 @dataclass
@@ -158,47 +160,85 @@ def scores(rows: DataFrame, fitted: Components, value: str = "x") -> DataFrame:
     return rows.withColumn("scores", on(F.col(value).cast("array<double>")))
 
 
+def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``_rois`` traces of each session, and whether they are more than its samples (``_by_trace``)."""
+    one = rows.groupBy(*keys, "roi").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.count("*").alias("_rois"), F.max("_n").alias("_n"))
+    return one.select(*[F.col(k).alias(f"_{k}") for k in keys], "_rois", (F.col("_rois") > F.col("_n")).alias("_by_trace"))
+
+
+def _gram(rows: DataFrame, keys: list[str], plain: str) -> DataFrame:
+    """``keys, a, g``: the rows (8-byte numbers) of the sum over a session of the products of ``x`` with itself.
+
+    A ``_piece`` gives a row for each place of ``x``, and those of one place are added up."""
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(pdf["x"].tolist(), float)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * m.shape[1] for k in keys} | {"a": range(m.shape[1]), "g": [g.tobytes() for g in m.T @ m]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["a"].iloc[0], np.sum([np.frombuffer(g) for g in pdf["g"]], axis=0).tobytes()]], columns=[*keys, "a", "g"])
+
+    kind = f"{plain}, a int, g binary"
+    cells = rows.groupBy(*keys, "_piece").applyInPandas(products, kind)
+    return cells.groupBy(*keys, "a").applyInPandas(added, kind)
+
+
 def first_component(signal: DataFrame, keys: Sequence[str], sigma: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Of each session (``keys``) the course in time of the first component of its traces (``keys, i, trace``,
     of unit length), and the traces by their score (``keys, roi, score, place``, largest first).
 
     ``signal`` has ``roi, i, v``, each trace all places.  Nulls take their trace's median, traces are smoothed
-    (``sigma`` samples) and each sample is centred over traces.  Products of traces are summed over pieces of
-    a session, so only a matrix of traces by traces is decomposed, and a session of any length spreads over
-    tasks.  The score of largest size is positive; a session without variance has zeros."""
+    (``sigma`` samples) and each sample is centred over traces.  Only a matrix of the shorter side is decomposed:
+    of traces by traces, or, in a session of more traces than samples, of samples by samples.  Products are
+    summed over blocks of the longer side, so a session spreads over tasks.  The score of largest size is positive;
+    a session without variance has zeros."""
     keys = list(keys)
     own = [*keys, "roi"]
     smooth = fill_stat(signal.select(*own, "i", "v"), own).select(*own, "i", F.col("filled").alias("v"))
     smooth = gaussian(smooth, own, sigma).select(*own, "i", F.col("smooth").alias("v")) if sigma > 0 else smooth
-    mid = F.aggregate("e", F.lit(0.0), lambda a, x: a + x["v"]) / F.size("e")
-    rows = smooth.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("roi", "v"))).alias("e"))
-    rows = settled(rows.select(*keys, "i", F.transform("e", lambda x: x["roi"]).alias("rois"), F.transform("e", lambda x: x["v"] - mid).alias("x")))
-    plain = rows.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
-
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(pdf["x"].tolist(), float)
-        g = m.T @ m
-        a, b = np.triu_indices(len(g))
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(a) for k in keys} | {"a": a, "b": b, "g": g[a, b]})
-
-    cells = rows.withColumn("_piece", F.floor(F.col("i") / PIECE)).groupBy(*keys, "_piece").applyInPandas(products, f"{plain}, a int, b int, g double")
-    cells = cells.groupBy(*keys, "a", "b").agg(F.sum("g").alias("g"))
+    smooth = settled(smooth)
+    mid = smooth.groupBy(*keys, "i").agg(F.avg("v").alias("_m")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("_i"), "_m")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    sides = settled(_sides(smooth, keys))
+    centred = smooth.join(mid, [*same, F.col("i") == F.col("_i")]).select(*own, "i", (F.col("v") - F.col("_m")).alias("v"))
+    # a row for each place of the longer side: its vector along the shorter one
+    named = sides.where("_by_trace").drop("_by_trace")
+    block = F.greatest(F.least(F.lit(PIECE), F.floor(F.lit(CELLS) / F.size("x"))), F.lit(1))
+    tall = centred.join(named, same, "left_anti").groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("roi", "v"))).alias("e"))
+    tall = tall.select(*keys, "i", F.transform("e", lambda x: x["roi"]).alias("names"), F.transform("e", lambda x: x["v"]).alias("x"))
+    tall = settled(tall.withColumn("_piece", F.floor(F.col("i") / block)))
+    wide = centred.join(named, same, "left_semi").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e"))
+    wide = wide.select(*own, F.transform("e", lambda x: x["i"]).alias("names"), F.transform("e", lambda x: x["v"]).alias("x"))
+    wide = wide.join(named, same).withColumn("_piece", F.pmod(F.xxhash64("roi"), F.ceil(F.col("_rois") / block)))
+    wide = settled(wide.select(*own, "names", "x", "_piece"))
+    plain = signal.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["b"].max()) + 1
-        g = np.zeros((n, n))
-        g[pdf["a"], pdf["b"]] = g[pdf["b"], pdf["a"]] = pdf["g"]
-        values, axes = np.linalg.eigh(g)
+        g = np.array([np.frombuffer(x) for x in pdf.sort_values("a")["g"]])
+        values, axes = np.linalg.eigh((g + g.T) / 2)
         u, s = axes[:, -1], float(np.sqrt(max(values[-1], 0)))
-        u = u * np.sign(u[np.abs(u).argmax()]) if s > 1e-12 else np.zeros(n)
+        u = u * np.sign(u[np.abs(u).argmax()]) if s > 1e-12 else np.zeros(len(g))
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), u.tolist(), s]], columns=[*keys, "u", "s"])
 
-    found = settled(cells.groupBy(*keys).applyInPandas(solve, f"{plain}, u array<double>, s double"))
-    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "u", "s")
-    met = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     dot = F.aggregate(F.zip_with("x", "u", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    trace = met.select(*keys, "i", F.when(F.col("s") > 1e-12, dot / F.col("s")).otherwise(0.0).alias("trace"))
-    one = rows.groupBy(*keys).agg(F.min_by("rois", "i").alias("rois"))
-    each = one.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, F.explode(F.arrays_zip("rois", "u")).alias("e"), "s")
-    each = each.select(*keys, F.col("e.rois").alias("roi"), (F.col("e.u") * F.col("s")).alias("score"))
+
+    def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with the product of their vector and their session's component; and that component by names."""
+        found = settled(_gram(rows, keys, plain).groupBy(*keys).applyInPandas(solve, f"{plain}, u array<double>, s double"))
+        axis = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "u", "s")
+        sized = found.agg(F.sum(F.size("u"))).first()[0] or 0
+        both = rows.join(F.broadcast(axis) if sized <= HELD else axis, same).withColumn("dot", dot)
+        names = rows.groupBy(*keys).agg(F.first("names").alias("names"))
+        return both, names.join(axis, same).select(*keys, F.explode(F.arrays_zip("names", "u")).alias("e"), "s").select(*keys, F.col("e.names").alias("name"), F.col("e.u").alias("u"), "s")
+
+    by_sample, rois = met(tall)
+    trace = by_sample.select(*keys, "i", F.when(F.col("s") > 1e-12, F.col("dot") / F.col("s")).otherwise(0.0).alias("trace"))
+    each = rois.select(*keys, F.col("name").alias("roi"), (F.col("u") * F.col("s")).alias("score"))
+    if not wide.isEmpty():
+        by_trace, samples = met(wide)
+        by_trace = settled(by_trace.select(*keys, "roi", F.when(F.col("s") > 1e-12, F.col("dot")).otherwise(0.0).alias("score")))
+        turn = by_trace.groupBy(*keys).agg(F.when(F.min_by("score", F.struct(-F.abs("score"), "roi")) < 0, -1.0).otherwise(1.0).alias("turn"))
+        turn = turn.select(*[F.col(k).alias(f"_{k}") for k in keys], "turn")
+        trace = trace.unionByName(samples.join(turn, same).select(*keys, F.col("name").alias("i"), (F.col("u") * F.col("turn")).alias("trace")))
+        each = each.unionByName(by_trace.join(turn, same).select(*keys, "roi", (F.col("score") * F.col("turn")).alias("score")))
     return trace, each.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "roi")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from chronolock.operators import components as cp
 
@@ -57,3 +58,31 @@ def test_first_component_in_time(spark, monkeypatch):
         assert np.allclose([places[s, r][0] for r in range(6)], score, atol=1e-9)
         assert [places[s, r][1] for r in np.argsort(-score)] == [1, 2, 3, 4, 5, 6]
     assert all(got[3, i] == 0 for i in range(10))
+
+
+def test_first_component_of_more_traces_than_samples(spark, monkeypatch):
+    """A matrix of samples by samples is decomposed; none of traces by traces."""
+    monkeypatch.setattr(cp, "PIECE", 16)
+    rng = np.random.default_rng(3)
+    held = {s: np.outer(rng.normal(size=n), np.sin(np.arange(m) / 3)) * 2 + rng.normal(size=(n, m)) for s, n, m in ((1, 60, 20), (2, 20, 60), (3, 20, 20))}
+    rows = [(s, r, i, float(v)) for s, x in held.items() for r, row in enumerate(x) for i, v in enumerate(row)] + [(4, r, i, 2.0) for r in range(6) for i in range(3)]
+    made, real = [], cp._gram
+
+    def seen(*a):
+        made.append(real(*a))
+        return made[-1]
+
+    monkeypatch.setattr(cp, "_gram", seen)
+    trace, order = cp.first_component(spark.createDataFrame(rows, "session_id int, roi int, i int, v double"), ["session_id"], 0.0)
+    assert {(r.session_id, r.n) for g in made for r in g.groupBy("session_id").agg(F.count("*").alias("n")).collect()} == {(1, 20), (2, 20), (3, 20), (4, 3)}
+    got = {(r.session_id, r.i): r.trace for r in trace.collect()}
+    places = {(r.session_id, r.roi): (r.score, r.place) for r in order.collect()}
+    for s, x in held.items():
+        x = x - x.mean(0)
+        u, d, vt = np.linalg.svd(x, full_matrices=False)
+        sign = np.sign(u[np.abs(u[:, 0]).argmax(), 0])
+        assert np.allclose([got[s, i] for i in range(x.shape[1])], sign * vt[0], atol=1e-9)
+        score = sign * u[:, 0] * d[0]
+        assert np.allclose([places[s, r][0] for r in range(len(x))], score, atol=1e-9)
+        assert [places[s, r][1] for r in np.argsort(-score)] == list(range(1, len(x) + 1))
+    assert all(got[4, i] == 0 for i in range(3)) and all(places[4, r] == (0, r + 1) for r in range(6))
