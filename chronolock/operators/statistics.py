@@ -358,20 +358,82 @@ def best_shift(left: DataFrame, right: DataFrame, key: str = "session_id", reach
     return fit.groupBy(key).agg(F.min_by("shift", F.struct("rmse", "shift")).alias("shift"), F.min("rmse").alias("rmse"))
 
 
+#: Frames of a block, and edges of one.
+SPAN = 1024
+
+
+def _moments(span: int):
+    """A function that gives, of each row's frames (``x``) and the edges from each of its starts on, the count, means
+    and centred products."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names = [c for c in pdf.columns if c not in ("x", "starts", "y")]
+            for row in pdf.to_dict("records"):
+                x, starts = np.asarray(row["x"], float), np.asarray(row["starts"], int)
+                y = np.pad(np.asarray(row["y"], float), (0, 2 * span), constant_values=np.nan)
+                y = np.lib.stride_tricks.sliding_window_view(y, len(x))[starts]
+                x = np.broadcast_to(x, y.shape)
+                there = ~(np.isnan(x) | np.isnan(y))
+                n = there.sum(1)
+                some = n > 0
+                if not some.any():
+                    continue
+                x, y, there, n = x[some], y[some], there[some], n[some]
+                mx, my = (np.where(there, v, 0).sum(1) / n for v in (x, y))
+                dx, dy = np.where(there, x - mx[:, None], 0), np.where(there, y - my[:, None], 0)
+                out = {"start": row["_chunk"] * span + starts[some], "n": n, "mx": mx, "my": my, "xx": (dx * dx).sum(1), "yy": (dy * dy).sum(1), "xy": (dx * dy).sum(1)}
+                yield pd.DataFrame({c: [row[c]] * len(n) for c in names if c != "_chunk"} | out)
+
+    return run
+
+
+def _shifted_lines(frames: DataFrame, starts: DataFrame, edges: DataFrame, key: str, least: int) -> DataFrame:
+    """As :func:`affine` of the pairs of the n-th frame of a phase (``n, t``) and the edge ``start + n`` (``r, dst``),
+    from each start, without a row a pair: blocks of frames meet chunks of starts and the two blocks of edges
+    that they can reach, a row gives the moments of all its pairs, and those of a line's blocks are put together."""
+    f = frames.groupBy(key, "phase", F.floor(F.col("n") / SPAN).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("x")).withColumn("x", F.transform("x", lambda e: e["t"].cast("double")))
+    s = starts.groupBy(key, "segment", "seg_start", F.floor(F.col("start") / SPAN).alias("_chunk")).agg(F.array_sort(F.collect_list(F.pmod("start", F.lit(SPAN)).cast("int"))).alias("starts"))
+    at = F.floor(F.col("r") / SPAN)
+    e = edges.withColumn("_edge", F.explode(F.array(at, at - 1))).groupBy(key, "segment", "_edge").agg(F.array_sort(F.collect_list(F.struct("r", "dst"))).alias("y"))
+    # edges are ranked without gaps: a span starts at its first place, but for the one before the first block
+    e = e.where("_edge >= 0").withColumn("y", F.transform("y", lambda v: v["dst"].cast("double")))
+    many = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = f.join(s, key).withColumn("_edge", F.col("_block") + F.col("_chunk")).join(e, [key, "segment", "_edge"]).drop("_edge")
+    met = met.repartition(many, key, "phase", "segment", "_block", "_chunk")
+    names = [key, "phase", "segment", "seg_start", "_block"]
+    kept = met.select(*names).schema
+    kind = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in kept) + ", start bigint, n bigint, mx double, my double, xx double, yy double, xy double"
+    parts = met.select(*names, "_chunk", "x", "starts", "y").mapInPandas(_moments(SPAN), kind)
+    line = [key, "phase", "segment", "start", "seg_start"]
+    own = F.struct("n", "mx", "my", "xx", "yy", "xy")
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(c) for c in ("mx", "my", "xx", "yy", "xy")])
+
+    def added(a: Column, b: Column) -> Column:
+        b = b["m"]
+        n, dx, dy = a["n"] + b["n"], b["mx"] - a["mx"], b["my"] - a["my"]
+        w = a["n"] * b["n"] / n
+        return F.struct(n.alias("n"), (a["mx"] + dx * b["n"] / n).alias("mx"), (a["my"] + dy * b["n"] / n).alias("my"), (a["xx"] + b["xx"] + dx * dx * w).alias("xx"), (a["yy"] + b["yy"] + dy * dy * w).alias("yy"), (a["xy"] + b["xy"] + dx * dy * w).alias("xy"))
+
+    m = parts.groupBy(*line).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_block", own.alias("m")))), zero, added).alias("m")).select(*line, "m.*").where(F.col("n") >= least)
+    slope = ratio(F.col("xy"), F.col("xx"))
+    unexplained = F.col("yy") * (1 - F.when(F.col("yy") == 0, 1.0).otherwise(F.col("xy") * F.col("xy") / F.col("yy") / F.when(F.col("xx") != 0, F.col("xx"))))
+    return m.select(*line, "n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.sqrt(F.greatest(unexplained, F.lit(0.0)) / F.col("n")).alias("rmse"))
+
+
 def alignment_candidates(frames: DataFrame, edges: DataFrame, period: int = 30, key: str = "session_id", slopes: tuple[float, float] = (0.98, 1.02), most_intercept: float = 3.0, least_pairs: int = 20) -> DataFrame:
     """Lines from every ``period``-th frame (at each phase) to the edges of each segment from each
     start: ``phase, segment, start, seg_start, n, slope, intercept, rmse``.
 
     ``edges`` has ``segment`` (W7), or is one.  An edge can only be the first of a line whose
     intercept is within bounds if it comes before ``most_intercept`` (and a quarter second), or is the
-    segment's first, so starts are few and pairs meet on equal keys."""
+    segment's first, so starts are few; pairs are summed up in blocks and are no rows (:func:`_shifted_lines`)."""
     edges = edges if "segment" in edges.columns else edges.withColumn("segment", F.lit(0))
     order = W.partitionBy(key, "segment").orderBy("t")
     e = edges.select(key, "segment", F.col("t").alias("dst"), (F.row_number().over(order) - 1).alias("r"), F.min("t").over(W.partitionBy(key, "segment")).alias("seg_start"))
     starts = e.where((F.col("r") == 0) | (F.col("dst") < most_intercept + 0.25)).select(key, "segment", "seg_start", F.col("r").alias("start"))
     f = frames.select(key, "t", F.pmod("frame", F.lit(period)).alias("phase")).withColumn("n", F.row_number().over(W.partitionBy(key, "phase").orderBy("t")) - 1)
-    pairs = f.join(starts, key).withColumn("r", F.col("start") + F.col("n")).join(e.select(key, "segment", "r", "dst"), [key, "segment", "r"])
-    fit = affine(pairs.withColumnRenamed("t", "src"), [key, "phase", "segment", "start", "seg_start"], least_pairs)
+    fit = _shifted_lines(f, starts, e.select(key, "segment", "r", "dst"), key, least_pairs)
     return fit.where(F.col("slope").between(*slopes) & (F.abs("intercept") <= most_intercept))
 
 

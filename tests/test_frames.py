@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import io
+import random
 
+import numpy as np
 import pytest
 
 from chronolock.functions.ranking import suffix_least
-from chronolock.operators import events, signals, trees, windows
+from chronolock.operators import events, signals, statistics, trees, windows
 
 
 def plan(df):
@@ -85,3 +87,30 @@ def test_sholl_does_not_list_the_radii_of_an_edge(spark):
         seen = {(r.neuron_id, r.radius): r.crossings for r in got.collect()}
         assert seen == {(1, 2.0 * k): (1 if k < 2 else 2 if k < 50_001 else 0) for k in range(50_002)} | {(2, 0.0): 1, (2, 2.0): 1, (2, 4.0): 0}
     assert "sequence(ceil" not in plan(trees.sholl(nodes, 2.0))
+
+
+def test_lines_of_many_starts_have_no_row_a_pair(spark, monkeypatch):
+    """J10 in blocks of 8 against lines of listed pairs; some times are missing."""
+    monkeypatch.setattr(statistics, "SPAN", 8)
+    rng = random.Random(2)
+    frames = [(s, 0.05 * i + rng.random() / 90, i) for s in (1, 2) for i in range(90)] + [(1, None, 4)]
+    edges = [(s, g, 0.1 * i + rng.random() / 30) for s in (1, 2) for g in (0, 1) for i in range(50 - 20 * g)]
+    f, e = spark.createDataFrame(frames, "session_id int, t double, frame long"), spark.createDataFrame(edges, "session_id int, segment int, t double")
+    df = statistics.alignment_candidates(f, e, 2, slopes=(0.2, 3.0), least_pairs=3)
+    got = {(r.session_id, r.phase, r.segment, r.start): r for r in df.collect()}
+    want = {}
+    for s in (1, 2):
+        for p in (0, 1):
+            x = sorted((t for k, t, i in frames if k == s and i % 2 == p), key=lambda t: (t is not None, t or 0))
+            for g in (0, 1):
+                y = sorted(t for k, h, t in edges if (k, h) == (s, g))
+                for start in range(len(y)):
+                    two = [(a, b) for a, b in zip(x, y[start:]) if a is not None]
+                    if len(two) >= 3 and (start == 0 or y[start] < 3.25):
+                        (slope, intercept), left, *_ = np.polyfit(*zip(*two), 1, full=True)
+                        if 0.2 <= slope <= 3.0 and abs(intercept) <= 3:
+                            want[s, p, g, start] = (len(two), slope, intercept, (left[0] / len(two)) ** 0.5, y[0])
+    assert got.keys() == want.keys() and len(want) > 100
+    for k, w in want.items():
+        assert np.allclose([got[k].n, got[k].slope, got[k].intercept, got[k].rmse, got[k].seg_start], w, atol=1e-9)
+    assert "regr_slope" not in plan(df)
