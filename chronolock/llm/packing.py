@@ -75,62 +75,95 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int
 
     Moves, one-for-one and two-for-one exchanges bring pieces from the emptier of two bins to the
     fuller one.  It ends when no pair gains, when as few bins are left as the sum of sizes needs, or
-    after ``rounds`` rounds.
+    after ``rounds`` rounds.  What a bin could gain by is looked up among all pieces at once, and two
+    bins that gained nothing are not held against each other again until one of them changes.
     """
     size = sizes.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     whole = [b for b, f in zip(bins, fill) if f >= capacity]
-    open_ = [(f, b) for b, f in zip(bins, fill) if f < capacity]
-    need = -(-sum(f for f, _ in open_) // capacity)
+    held = [b for b, f in zip(bins, fill) if f < capacity]
+    if not held:
+        return whole
+    room = np.array([capacity - f for f in fill if f < capacity])
+    own = np.concatenate([np.array(b, np.int64) for b in held])
+    order = np.argsort(sizes[own], kind="stable")
+    slot = dict(zip(own[order].tolist(), range(len(own))))
+    least = sizes[own][order].astype(np.int64)  # sizes of the open pieces, from the smallest, and their bins
+    owner = np.repeat(np.arange(len(held)), [len(b) for b in held])[order]
+    changed, checked, place = np.zeros(len(held), np.int64), np.full(len(held), -1), np.full(len(held), -1)
+    clock = 0
+
+    def takers(j: int, after: int) -> list[int]:
+        """Bins behind place ``after`` and before that of ``j`` that gain from a piece or two of ``j``, in order."""
+        each = [size[x] for x in held[j]]
+        given = {*each, *(y + z for a, y in enumerate(each) for z in each[a + 1 :])}
+        s = np.array([*sorted(given), 4 * capacity])
+        top = np.searchsorted(least, s[-2])
+        at = owner[:top]
+        hit = np.zeros(len(held), bool)
+        hit[at[s[np.searchsorted(s, least[:top], side="right")] - least[:top] <= room[at]]] = True
+        hit |= room >= min(each)
+        hit &= (place > after) & (place < place[j])
+        if changed[j] <= checked[j]:
+            hit &= changed > checked[j]
+        found = np.flatnonzero(hit)
+        return found[np.argsort(place[found])].tolist()
+
+    open_ = list(range(len(held)))
+    need = -(-int((capacity - room).sum()) // capacity)
     for _ in range(rounds):
         if len(open_) <= need:
             break
-        open_.sort(key=lambda x: -x[0])
-        gained = False
-        rooms = np.array([capacity - f for f, _ in open_])
-        least = np.array([min(size[x] for x in b) for _, b in open_])
-        for j in range(len(open_) - 1, 0, -1):  # give away the emptiest first
-            low, giver = open_[j]
-            if not giver:
+        open_.sort(key=lambda b: room[b])
+        place[:] = -1
+        place[open_] = np.arange(len(open_))
+        start, passed = clock, []
+        for j in reversed(open_[1:]):  # give away the emptiest first
+            if changed[j] <= checked[j] and clock <= checked[j]:
                 continue
-            # takers with room for the smallest piece, or with a piece smaller than the largest
-            able = np.flatnonzero((rooms[:j] > 0) & ((rooms[:j] >= min(size[x] for x in giver)) | (least[:j] < max(size[x] for x in giver) + (len(giver) > 1) * capacity)))
-            for i in able.tolist():
-                full, taker = open_[i]
-                room = capacity - full
-                if not room or not giver or full < low:
+            turn, todo = clock, takers(j, -1)
+            while todo:
+                i = todo.pop(0)
+                free, giver, taker = int(room[i]), held[j], held[i]
+                if free > room[j]:
+                    passed.append(j)
                     continue
                 best, change = 0, None
-                own = sorted(((size[x], x) for x in taker))
+                mine = sorted((size[x], x) for x in taker)
                 for y in giver:
-                    if best < size[y] <= room:
+                    if best < size[y] <= free:
                         best, change = size[y], ([], [y])
-                    at = bisect_left(own, (size[y] - room, -1))
-                    if at < len(own) and best < size[y] - own[at][0] <= room:
-                        best, change = size[y] - own[at][0], ([own[at][1]], [y])
-                if best < room and len(giver) > 1:
+                    at = bisect_left(mine, (size[y] - free, -1))
+                    if at < len(mine) and best < size[y] - mine[at][0] <= free:
+                        best, change = size[y] - mine[at][0], ([mine[at][1]], [y])
+                if best < free and len(giver) > 1:
                     pairs = sorted(giver, key=lambda x: size[x])
                     for a, y in enumerate(pairs):
                         for z in pairs[a + 1 :]:
                             two = size[y] + size[z]
-                            at = bisect_left(own, (two - room, -1))
-                            if at < len(own) and best < two - own[at][0] <= room:
-                                best, change = two - own[at][0], ([own[at][1]], [y, z])
+                            at = bisect_left(mine, (two - free, -1))
+                            if at < len(mine) and best < two - mine[at][0] <= free:
+                                best, change = two - mine[at][0], ([mine[at][1]], [y, z])
                 if change:
                     out, into = change
-                    taker = [x for x in taker if x not in out] + into
-                    giver = [x for x in giver if x not in into] + out
-                    full, low = full + best, low - best
-                    open_[i], open_[j] = (full, taker), (low, giver)
-                    rooms[i], least[i] = capacity - full, min(size[x] for x in taker)
-                    rooms[j], least[j] = capacity - low, min((size[x] for x in giver), default=0)
-                    gained = True
-        whole += [b for f, b in open_ if f >= capacity]
-        need = -(-sum(f for f, _ in open_ if f < capacity) // capacity)
-        open_ = [(f, b) for f, b in open_ if b and f < capacity]
-        if not gained:
+                    held[i] = [x for x in taker if x not in out] + into
+                    held[j] = [x for x in giver if x not in into] + out
+                    room[i], room[j] = room[i] - best, room[j] + best
+                    owner[[slot[x] for x in into]] = i
+                    owner[[slot[x] for x in out]] = j
+                    clock += 1
+                    changed[i] = changed[j] = clock
+                    todo = takers(j, place[i]) if held[j] else []
+            # takers passed before a change have not seen what j holds now
+            checked[j] = clock if turn == clock else -1
+        if clock == start:
             break
-    return whole + [b for _, b in open_]
+        clock += 1
+        changed[passed] = clock  # their turn was over before the bins that are emptier now had theirs
+        whole += [held[b] for b in open_ if not room[b]]
+        open_ = [b for b in open_ if room[b] and held[b]]
+        need = -(-int((capacity - room[open_]).sum()) // capacity)
+    return whole + [held[b] for b in open_]
 
 
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, shard long, bin long, offset long, room long"

@@ -64,6 +64,36 @@ def test_many_equal_pieces_are_packed_fast():
     assert time.time() - start < 60
 
 
+def test_a_shard_of_many_open_bins_is_searched_fast():
+    import time
+
+    rng = np.random.default_rng(10)
+    sizes = np.concatenate([rng.integers(180, 760, 9000), np.clip(rng.normal(330, 4, 4000).astype(int), 300, 360)])
+    start = time.time()
+    bins = packing.improve(packing.best_fit(sizes, 1024), sizes, 1024)
+    assert time.time() - start < 5
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert max(int(sizes[b].sum()) for b in bins) <= 1024
+
+
+def test_search_ends_where_no_pair_gains():
+    rng = np.random.default_rng(11)
+    for _ in range(10):
+        sizes = rng.integers(100, 700, 80)
+        bins = packing.improve(packing.best_fit(sizes, 1024), sizes, 1024, rounds=1000)
+        fill = [int(sizes[b].sum()) for b in bins]
+        if len(bins) <= -(-sum(fill) // 1024):
+            continue
+        for g, low in zip(bins, fill):
+            for t, full in zip(bins, fill):
+                if t is g or full < low or (full == low and bins.index(t) > bins.index(g)):
+                    continue
+                gives = [int(sizes[y]) for y in g]
+                both = [y + z for a, y in enumerate(gives) for z in gives[a + 1 :]]
+                assert not any(0 < y <= 1024 - full for y in gives)
+                assert not any(0 < y - sizes[x] <= 1024 - full for y in gives + both for x in t)
+
+
 def test_counts_by_row(spark, make_docs, odd_texts):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(make_docs(odd_texts, clashes=True)).collect())
     ids = library([t or "" for _, t in odd_texts])
