@@ -7,22 +7,33 @@ depth d needs log2(d) joins.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from chronolock.functions import lerp
-from chronolock.functions.lineage import settled
+from chronolock.functions.lineage import stored as settled
 from chronolock.functions.quantiles import HELD
 from chronolock.functions.ranking import large_keys, running
 
 KEY = ["neuron_id", "node_id"]
+#: Open nodes up to which pointers jump twice a round.
+SMALL = 1 << 20
 
 
 def node_kinds(nodes: DataFrame) -> DataFrame:
     """G1: children of each node, and whether it is a root, a tip or a branch point."""
-    n = nodes.groupBy("neuron_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
+    return _kinds(nodes).drop("children")
+
+
+def _kinds(nodes: DataFrame) -> DataFrame:
+    """:func:`node_kinds`, and ``children``, the exclusive or of their ids: that of the children known but one
+    taken away, it is the id of that one."""
+    n = nodes.groupBy("neuron_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"), F.bit_xor("node_id").alias("children"))
     out = nodes.join(n, KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     return out.withColumn("is_root", F.col("parent_id") < 0).withColumn("is_tip", F.col("n_children") == 0).withColumn("is_branch", F.col("n_children") > 1)
 
@@ -31,8 +42,12 @@ def edges(nodes: DataFrame) -> DataFrame:
     """Each node with its parent's place and the length of the edge to it."""
     up = nodes.select("neuron_id", F.col("node_id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     e = nodes.join(up, ["neuron_id", "parent_id"])
+    return e.withColumn("length", _distance())
+
+
+def _distance() -> Column:
     sq = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    return e.withColumn("length", F.sqrt(sq("x", "px") + sq("y", "py") + sq("z", "pz")))
+    return F.sqrt(sq("x", "px") + sq("y", "py") + sq("z", "pz"))
 
 
 def cable(nodes: DataFrame) -> DataFrame:
@@ -42,23 +57,24 @@ def cable(nodes: DataFrame) -> DataFrame:
     return box.join(e, "neuron_id", "left")
 
 
-def to_root(nodes: DataFrame, weight: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+def to_root(nodes: DataFrame, weight: DataFrame, stop: DataFrame | None = None, sums: Mapping[str, str] = {"w": "total"}) -> DataFrame:
     """``top`` (the root, or the first node of ``stop`` above it), ``total`` (weights of the steps,
-    from ``weight(neuron_id, node_id, w)``) and ``steps`` of each node.  Raises where pointers form a
-    cycle."""
-    w = weight.select(*KEY, F.coalesce("w", F.lit(0.0)).alias("w"))
+    from ``weight(neuron_id, node_id, w)``; other columns and their ``sums`` may be named, one walk for all) and
+    ``steps`` of each node.  Raises where pointers form a cycle."""
+    w = weight.select(*KEY, *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
     halts = nodes.where("parent_id < 0").select(*KEY) if stop is None else stop.select(*KEY)
     halts = halts.distinct().withColumn("halt", F.lit(True))
     at = nodes.select(*KEY, "parent_id").join(w, KEY, "left")
     up = halts.select("neuron_id", F.col("node_id").alias("anc"), F.col("halt").alias("done"))
-    now = at.withColumn("anc", F.when(F.col("parent_id") < 0, F.col("node_id")).otherwise(F.col("parent_id"))).withColumn("total", F.when(F.col("parent_id") < 0, 0.0).otherwise(F.coalesce("w", F.lit(0.0)))).withColumn("steps", (F.col("parent_id") >= 0).cast("bigint"))
-    now = settled(now.join(up, ["neuron_id", "anc"], "left").select("neuron_id", "node_id", "anc", "total", "steps", (F.coalesce("done", F.lit(False)) | (F.col("anc") == F.col("node_id"))).alias("done")))
-    nodes_most = nodes.groupBy("neuron_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    now = at.withColumn("anc", F.when(F.col("parent_id") < 0, F.col("node_id")).otherwise(F.col("parent_id"))).withColumns({t: F.when(F.col("parent_id") < 0, 0).otherwise(F.coalesce(c, F.lit(0))) for c, t in sums.items()}).withColumn("steps", (F.col("parent_id") >= 0).cast("bigint"))
+    now = settled(now.join(up, ["neuron_id", "anc"], "left").select("neuron_id", "node_id", "anc", *sums.values(), "steps", (F.coalesce("done", F.lit(False)) | (F.col("anc") == F.col("node_id"))).alias("done")))
+    nodes_most = now.groupBy("neuron_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    added = [*sums.values(), "steps"]
     for _ in range(doubling_rounds(nodes_most) + 2):  # two more than the deepest tree needs
         if now.where("not done").isEmpty():
-            return now.select(*KEY, F.col("anc").alias("top"), "total", "steps")
-        skip = now.select("neuron_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"))
-        moved = now.where("not done").join(skip, ["neuron_id", "anc"]).select("neuron_id", "node_id", F.col("anc2").alias("anc"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps"), F.col("done2").alias("done"))
+            return now.select(*KEY, F.col("anc").alias("top"), *added)
+        skip = now.select("neuron_id", F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), *[F.col(c).alias(f"{c}2") for c in added], F.col("done").alias("done2"))
+        moved = now.where("not done").join(skip, ["neuron_id", "anc"]).select("neuron_id", "node_id", F.col("anc2").alias("anc"), *[(F.col(c) + F.col(f"{c}2")).alias(c) for c in added], F.col("done2").alias("done"))
         now = settled(now.where("done").unionByName(moved))
     raise ValueError("the parents of some nodes form a cycle")
 
@@ -75,47 +91,78 @@ def branch_orders(nodes: DataFrame) -> DataFrame:
     return to_root(nodes, above.select(*KEY, "w")).select(*KEY, F.col("total").cast("bigint").alias("branch_order"))
 
 
-def _contracted(now: DataFrame, most: int) -> DataFrame:
-    """One round of :func:`strahler`: nodes whose children are all known are settled; a node that waits for one
-    child points to it, with the table of its order for each order of that child; and what points to a node
-    that itself points on points there instead, the tables composed."""
-    same = now.where("parent_id >= 0").groupBy("neuron_id", F.col("parent_id").alias("k"), "strahler").agg(F.count("*").alias("n"), F.max("node_id").alias("any"))
-    known = F.col("strahler").isNotNull()
-    kids = same.groupBy(F.col("neuron_id").alias("kn"), "k").agg(F.sum(F.when(known, F.col("n"))).alias("done"), F.max(F.when(known, F.struct("strahler", "n"))).alias("best"), F.max(F.when(~known, F.col("any"))).alias("open"))
-    met = now.join(kids, (F.col("neuron_id") == F.col("kn")) & (F.col("node_id") == F.col("k")), "left")
-    m, twice = F.coalesce(F.col("best.strahler"), F.lit(0)), (F.coalesce(F.col("best.n"), F.lit(0)) > 1).cast("int")
-    waits = F.col("n_children") - F.coalesce("done", F.lit(0))
-    table = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda x: F.when(x > m, x).when(x == m, m + 1).otherwise(m + twice))
-    order = F.coalesce("strahler", F.when(waits == 0, m + twice))
-    first = order.isNull() & (waits == 1) & F.col("next").isNull()
-    now = met.select(*KEY, "parent_id", "n_children", order.alias("strahler"), F.when(first, F.col("open")).otherwise(F.col("next")).alias("next"), F.when(first, table).otherwise(F.col("f")).alias("f"))
-    there = now.select(F.col("neuron_id").alias("tn"), F.col("node_id").alias("t"), F.col("strahler").alias("t_order"), F.col("next").alias("t_next"), F.col("f").alias("t_f"))
-    ahead = now.join(there, (F.col("neuron_id") == F.col("tn")) & F.col("strahler").isNull() & (F.col("next") == F.col("t")), "left")
-    through = F.transform("t_f", lambda y: F.get("f", y - 1))
-    return ahead.select(*KEY, "parent_id", "n_children", F.coalesce("strahler", F.get("f", F.col("t_order") - 1)).alias("strahler"), F.coalesce("t_next", "next").alias("next"), F.when(F.col("t_next").isNotNull(), through).otherwise(F.col("f")).alias("f"))
+def _through(m: Column, a: Column, x: Column) -> Column:
+    """The order of a node whose one open child has order ``x``: ``x`` over ``m``, else one more than ``m`` from
+    ``a`` on, else ``m``."""
+    return F.when(x > m, x).when(x >= a, m + 1).otherwise(m)
+
+
+def _contracted(now: DataFrame, jumps: int) -> DataFrame:
+    """One round of :func:`strahler`: known orders go to the parents that wait for several children; a node that
+    waits for one takes its order if it is known, and else points where that child points, the dependences
+    (:func:`_through`) composed, ``jumps`` times.  What was known before is left out: nobody points there any
+    more."""
+    columns = now.columns
+    known, open_ = F.col("strahler").isNotNull(), F.col("strahler").isNull()
+    fresh = now.where(known)
+    same = fresh.where("parent_id >= 0").groupBy("neuron_id", F.col("parent_id").alias("node_id"), "strahler").agg(F.count("*").alias("n"), F.bit_xor("node_id").alias("x"))
+    kids = same.groupBy(*KEY).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max("strahler").alias("best"), F.max_by("n", "strahler").alias("most"))
+    met = now.where(open_ & (F.col("waits") > 1)).drop("strahler").join(kids, KEY, "left")
+    waits = F.col("waits") - F.coalesce("n", F.lit(0))
+    low = F.col("best").isNull() | (F.col("best") < F.col("m"))
+    a = F.when(low, F.col("a")).when((F.col("best") == F.col("m")) | (F.col("most") > 1), 0).otherwise(F.col("best"))
+    met = met.select(*KEY, "parent_id", waits.alias("waits"), F.col("child").bitwiseXOR(F.coalesce("x", F.lit(0))).alias("child"), F.greatest("m", "best").alias("m"), a.alias("a"))
+    met = met.withColumn("strahler", F.when(F.col("waits") == 0, F.col("m") + (F.col("a") == 0).cast("int"))).select(*columns)
+    chain = now.where(open_ & (F.col("waits") == 1)).unionByName(met.where(open_ & (F.col("waits") == 1)))
+    there = fresh.unionByName(met.where(known)).select("neuron_id", F.col("node_id").alias("child"), F.col("strahler").alias("order"))
+    chain = chain.drop("strahler").join(there, ["neuron_id", "child"], "left").withColumn("strahler", F.when(F.col("order").isNotNull(), _through(F.col("m"), F.col("a"), F.col("order")))).select(*columns)
+    for _ in range(jumps):
+        chain = _jumped(chain).select(*columns)
+    return met.where(known | (F.col("waits") > 1)).unionByName(chain)
+
+
+def _jumped(chain: DataFrame) -> DataFrame:
+    """Nodes that wait for one child, each pointing where what it points to does."""
+    there = chain.select("neuron_id", F.col("node_id").alias("child"), F.col("strahler").alias("order"), F.col("child").alias("next"), F.col("m").alias("m1"), F.col("a").alias("a1"))
+    ahead = chain.join(there, ["neuron_id", "child"], "left")
+    m, a, m1, a1 = (F.col(c) for c in ("m", "a", "m1", "a1"))
+    both = F.when(m1 > m, a1).when(a <= m1, 0).when((m1 == m) | (a == m1 + 1), a1).otherwise(a)
+    order = F.coalesce("strahler", F.when(F.col("order").isNotNull(), _through(m, a, F.col("order"))))
+    return ahead.select(*KEY, "parent_id", "waits", F.coalesce("next", "child").alias("child"), F.greatest(m, m1).alias("m"), F.when(m1.isNull(), a).otherwise(both).alias("a"), order.alias("strahler"))
 
 
 def strahler(nodes: DataFrame) -> DataFrame:
     """Strahler order: 1 at tips; else the largest of the children's, and one more if two have it.
 
     Trees are contracted, all neurons together: tips are raked off and chains halved in each round, so
-    rounds grow with the logarithm of the nodes, however high a tree is.  An order is at most the logarithm
-    of the tips and one, so a node's dependence on one child is a table of so many numbers.  Raises where
+    rounds grow with the logarithm of the nodes, however high a tree is; a node whose order is known leaves
+    the next rounds.  A node's dependence on the one child it waits for is two numbers.  Raises where
     parents form a cycle."""
-    kinds = node_kinds(nodes)
-    size = kinds.groupBy("neuron_id").agg(F.count("*").alias("n"), F.count_if("is_tip").alias("tips")).agg(F.max("n").alias("n"), F.max("tips").alias("tips")).first()
-    most = max(1, int(size.tips or 1).bit_length())
-    now = settled(kinds.select(*KEY, "parent_id", "n_children", F.when(F.col("is_tip"), F.lit(1)).alias("strahler"), F.lit(None).cast(nodes.schema["node_id"].dataType).alias("next"), F.lit(None).cast("array<int>").alias("f")))
-    for _ in range(2 * doubling_rounds(size.n or 1) + 4):
-        if now.where("strahler is null").isEmpty():
-            return now.select(*KEY, "strahler")
-        now = settled(_contracted(_contracted(now, most), most))
-    raise ValueError("the parents of some nodes form a cycle")
+    return _orders(_kinds(nodes), nodes.schema["node_id"].dataType)
+
+
+def _orders(kinds: DataFrame, kind: DataType) -> DataFrame:
+    own = kinds.select("neuron_id", F.col("node_id").cast("bigint").alias("node_id"), F.col("parent_id").cast("bigint").alias("parent_id"), F.col("n_children").alias("waits"), F.coalesce("children", F.lit(0)).cast("bigint").alias("child"))
+    now = settled(own.select("*", F.lit(0).alias("m"), F.lit(1).alias("a"), F.when(F.col("waits") == 0, 1).alias("strahler")))
+    done = []
+    while True:
+        n = now.agg(F.count_if(F.col("strahler").isNull()).alias("open"), F.count("strahler").alias("known")).first()
+        done.append(now.where("strahler is not null").select("neuron_id", F.col("node_id").cast(kind).alias("node_id"), "strahler"))
+        if not n.open:
+            return reduce(DataFrame.unionByName, done)
+        if not n.known:  # in a tree each round finds the order of a node whose children are known
+            raise ValueError("the parents of some nodes form a cycle")
+        now = settled(_contracted(now, 1 if n.open > SMALL else 2))
 
 
 def annotated(nodes: DataFrame) -> DataFrame:
     """Every node with its kind, distance to the root, branch order and Strahler order."""
-    return node_kinds(nodes).join(path_lengths(nodes).drop("root"), KEY, "left").join(branch_orders(nodes), KEY, "left").join(strahler(nodes), KEY, "left")
+    nodes = settled(nodes)
+    kinds = settled(_kinds(nodes))
+    up = kinds.select("neuron_id", F.col("node_id").alias("parent_id"), F.col("is_branch").cast("bigint").alias("branches"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    step = kinds.join(up, ["neuron_id", "parent_id"]).select(*KEY, _distance().alias("w"), "branches")
+    walk = to_root(nodes, step, sums={"w": "path_um", "branches": "branch_order"}).drop("top")
+    return kinds.drop("children").join(walk, KEY, "left").join(_orders(kinds, nodes.schema["node_id"].dataType), KEY, "left")
 
 
 def segments(nodes: DataFrame) -> DataFrame:

@@ -158,6 +158,22 @@ def test_a_high_tree_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 12
 
 
+def test_known_orders_leave_the_rounds(spark, monkeypatch):
+    """A full binary tree of 1023 nodes: a level goes with each round."""
+    d = spark.range(1023).selectExpr("1 as neuron_id", "cast(id as int) as node_id", "cast(case when id = 0 then -1 else floor((id - 1) / 2) end as int) as parent_id")
+    settled, sizes = trees.settled, []
+
+    def counted(df):
+        out = settled(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(trees, "settled", counted)
+    got = trees.strahler(d).groupBy("strahler").count().collect()
+    assert {r.strahler: r["count"] for r in got} == {k: 1 << (10 - k) for k in range(1, 11)}
+    assert sum(sizes) < 4 * 1023
+
+
 def test_cycles_are_reported(spark):
     with pytest.raises(ValueError, match="cycle"):
         trees.path_lengths(forest(spark, [(0, -1), (1, 2), (2, 1)]))
