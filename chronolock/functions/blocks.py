@@ -40,9 +40,9 @@ def _borders(table: pa.Table, names: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
-def by_blocks(signal: DataFrame, keys: Sequence[str], halo: int, made: dict[str, str], run: Callable[[Block], Sequence[np.ndarray]], place: str = "i", block: int = BLOCK) -> DataFrame:
+def by_blocks(signal: DataFrame, keys: Sequence[str], halo: int, made: dict[str, str], run: Callable[[Block], Sequence[np.ndarray]], place: str = "i", block: int = BLOCK, *, only: str | None = None) -> DataFrame:
     """``signal`` with the columns ``made`` (name and type), which ``run`` gives for a block's own samples; NaN
-    becomes null.
+    becomes null.  Rows where ``only`` is null are seen but don't come out.
 
     Places are whole numbers that follow each other within a series (``keys``); ``halo`` of them are seen on
     either side.  Only samples near a block's border are sent twice; a task streams over its blocks and
@@ -72,6 +72,8 @@ def by_blocks(signal: DataFrame, keys: Sequence[str], halo: int, made: dict[str,
                 given = run(Block(column, slice(lo, hi), (a, b), bool(at[0] > start - halo), bool(at[-1] < start + block - 1 + halo)))
                 for o, x in zip(out, given):
                     o[lo + a : lo + b] = x
+        if only is not None:
+            own &= table.column(only).is_valid().to_numpy(zero_copy_only=False)
         result = table.select(names)
         for (name, kind), x in zip(made.items(), out):
             new = pa.array(x, mask=np.isnan(x))

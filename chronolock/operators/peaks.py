@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from chronolock.functions import lerp
 from chronolock.functions.blocks import BLOCK, Block, by_blocks
-from chronolock.functions.lineage import settled
+from chronolock.functions.lineage import settled, stored
 
 UNDECIDED, KEPT, GONE = range(3)
 
@@ -138,6 +138,61 @@ def nearest(samples: DataFrame, queries: DataFrame, keys: Sequence[str], left: b
     return first.where("at is not null").unionByName(rest).drop("_p", "_block")
 
 
+def _extremes(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The largest and the least of 1, 2, 4, ... values from each place on."""
+    out = [(x, x)]
+    while len(out[-1][0]) > 1 << (len(out) - 1):
+        width, (high, low) = 1 << (len(out) - 1), out[-1]
+        out.append((np.maximum(high[:-width], high[width:]), np.minimum(low[:-width], low[width:])))
+    return out
+
+
+def _passed(tables: list[tuple[np.ndarray, np.ndarray]], end: np.ndarray, level: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """From ``end`` (excluded) back over all values that are not over ``level`` (``above``, else that are): the
+    first of these, and the least."""
+    at, least = end, np.full(len(end), np.nan)
+    for k in range(len(tables) - 1, -1, -1):
+        start = at - (1 << k)
+        high, low = (t[np.maximum(start, 0)] for t in tables[k])
+        ok = (start >= 0) & ((high <= level) if above else (low > level))
+        at, least = np.where(ok, start, at), np.where(ok, np.fmin(least, low), least)
+    return at, least
+
+
+def _measured(b: Block, share: float) -> list[np.ndarray]:
+    """Prominence and width of the peaks (rows with a ``level``) of a block by its samples, and whether these
+    tell all: on either side there is a higher one, or the series ends (``_first``, ``_last``)."""
+    place, v, level = (b.column(c) for c in ("i", "v", "level"))
+    mine, asked = ~np.isnan(v), ~np.isnan(level)
+    out = [np.full(len(place), np.nan) for _ in range(3)]
+    if not mine.any() or not asked.any():
+        return out
+    p, x, q, top = place[mine], v[mine], place[asked], level[asked]
+    sides = [(_extremes(x), np.searchsorted(p, q), p[0] <= b.column("_first")[asked]), (_extremes(x[::-1]), len(p) - np.searchsorted(p, q, side="right"), p[-1] >= b.column("_last")[asked])]
+    done, lows, ends = np.ones(len(q), bool), [], []
+    for tables, end, last in sides:
+        at, least = _passed(tables, end, top, True)
+        done &= (at > 0) | last
+        lows.append(least)
+    prominence = top - np.fmax(*lows)
+    half = top - share * prominence
+    for step, (tables, end, last) in zip((1, -1), sides):
+        at = _passed(tables, end, half, False)[0] - 1
+        done &= (at >= 0) | last
+        at_ = at if step > 0 else len(p) - 1 - at
+        there = (at >= 0) & ~np.isnan(half)
+        at_ = np.where(there, at_, 0)
+        x0, y0, n = p[at_], x[at_], p[at_] + step
+        near = np.minimum(np.searchsorted(p, n), len(p) - 1)
+        y1 = np.where(p[near] == n, x[near], np.nan)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            line = np.where(y1 == y0, x0, x0 + (half - y0) * (n - x0) / (y1 - y0))
+        ends.append(np.where(there, np.where(y0 < half, line, x0), np.nan))
+    for o, c in zip(out, (prominence, ends[1] - ends[0], done.astype(float))):
+        o[asked] = c
+    return out
+
+
 def peaks(signal: DataFrame, keys: Sequence[str], height: float | None = None, distance: int | None = None, width: float | None = None, share: float = 0.5, value: str = "v", block: int = BLOCK) -> DataFrame:
     """Peaks (:func:`maxima`) of at least ``height``, thinned to ``distance`` (:func:`apart`), and, where
     ``width`` is given, at least that wide: also ``prominence`` and ``width``.
@@ -145,8 +200,11 @@ def peaks(signal: DataFrame, keys: Sequence[str], height: float | None = None, d
     The prominence is the height over the higher of the two lowest values between a peak and the nearest
     higher sample, or the end, on either side.  The width is that of the stretch above ``share`` of the
     prominence below the peak, its ends on the lines between samples.  A series of any length spreads over
-    blocks; nulls count as no samples."""
+    blocks; nulls count as no samples.  Samples are stored once and meet the peaks of their block; only peaks
+    that a block can't tell all about ask other blocks (:func:`nearest`)."""
     keys = list(keys)
+    if width is not None:
+        signal, value = stored(signal.select(*keys, "i", F.col(value).alias("v"))), "v"
     found = maxima(signal, keys, value)
     if height is not None:
         found = found.where(F.col("v") >= height)
@@ -154,8 +212,20 @@ def peaks(signal: DataFrame, keys: Sequence[str], height: float | None = None, d
         found = apart(found, keys, distance, block)
     if width is None:
         return found
-    samples = signal.select(*keys, "i", F.col(value).alias("v"))
-    held = settled(found.withColumnRenamed("v", "level").withColumnRenamed("left", "from").withColumnRenamed("right", "to"))
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    span = signal.where("v is not null").groupBy(*named).agg(F.min("i").cast("long").alias("_first"), F.max("i").cast("long").alias("_last"))
+    found = found.withColumnRenamed("v", "level").withColumnRenamed("left", "from").withColumnRenamed("right", "to").join(span, on).drop(*[f"_{k}" for k in keys])
+    rows = signal.select(*keys, F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v")).where("v is not null").unionByName(found, allowMissingColumns=True)
+    told = stored(by_blocks(rows, keys, 0, {"prominence": "double", "width": "double", "_done": "bigint"}, lambda b: [c[slice(*b.own)] for c in _measured(b, share)], block=block, only="level"))
+    columns = [*keys, "i", F.col("level").alias("v"), F.col("from").alias("left"), F.col("to").alias("right"), "prominence", "width"]
+    wide = told.where((F.col("_done") == 1) & (F.col("width") >= width)).select(*columns)
+    rest = told.where("_done = 0 or _done is null").select(*keys, "i", "level", "from", "to")
+    return wide.unionByName(_by_other_blocks(signal, rest, keys, width, share, block)) if rest.limit(1).count() else wide
+
+
+def _by_other_blocks(samples: DataFrame, held: DataFrame, keys: list[str], width: float, share: float, block: int) -> DataFrame:
+    """Prominence and width of the peaks ``held`` (``i``, ``level``, ``from``, ``to``), wherever their answers lie."""
     one = nearest(samples, held, keys, left=True, above=True, block=block).withColumnRenamed("low", "_low").drop("at", "found")
     two = nearest(samples, one, keys, left=False, above=True, block=block).drop("at", "found")
     two = two.withColumn("prominence", F.col("level") - F.greatest("_low", "low")).drop("_low", "low").withColumnRenamed("level", "_v")
