@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronolock import sources
 from chronolock.catalog import query, table, view
 from chronolock.functions import fixed
-from chronolock.functions.lineage import shared_folder
+from chronolock.functions.lineage import shared_folder, stored
 from chronolock.operators import packaging as pg
 from chronolock.operators import registry as rg
 
@@ -203,7 +203,7 @@ q as (select p.*, case when p.session_id = 3 and p.dmd = 1 then 'no valid rate'
 
 @query("t17_packages", f"with {_PLANES}, r as (select session_id, dmd, count(x.v) as n, sum(x.v) as total, max(x.trial * l.slot + x.i) as last from x join w using (session_id, dmd, trial) join l using (session_id, dmd) where w.valid group by all) select session_id, dmd, case when reason is not null then 'skipped' when session_id = 0 then 'exists' else 'exported' end as status, reason, n_rois, case when reason is null then n end as n_values, case when reason is null then round(total / 1e3, 5) + 0 end as total, case when reason is null then last end as last from q left join r using (session_id, dmd)", "traces")
 def t17p(spark, sf):
-    at, t, p = folder(spark, "packages"), trials(spark, sf), planes(spark, sf)
+    at, t, p = folder(spark, "packages"), stored(trials(spark, sf)), planes(spark, sf)  # both runs read the trials several times
 
     def process(own):
         return own.withColumn("dff", F.col("v") / 1e3)
