@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolock.functions import median
-from chronolock.functions.lineage import settled
+from chronolock.functions.lineage import settled, stored
 from chronolock.operators import baselines as bl
 from chronolock.operators import events as ev
 from chronolock.operators import registry
@@ -22,11 +22,13 @@ K = ["session_id", "roi"]
 
 def condition(traces: DataFrame, nuisance: DataFrame, keys: list[str], hp_half: int = 4, base_half: int = 20, quantile: float = 10.0) -> DataFrame:
     """Artifacts out, the high-passed nuisance unmixed, a percentile baseline with a floor, and the
-    guarded ratio ``dff``."""
+    guarded ratio ``dff``.  Several steps take a statistic of each series and join it: what they read is stored, so
+    that no step before is done again for each."""
+    traces, nuisance = (stored(d.select(*keys, "i", "v")) for d in (traces, nuisance))
     clean = sg.mask_artifacts(traces, keys).select(*keys, "i", F.col("clean").alias("y"))
     x = sg.high_pass(nuisance, keys, hp_half).select(*keys, "i", F.col("hp").alias("x"))
-    unmixed = sg.unmix(clean.join(x, [*keys, "i"], "left"), keys).select(*keys, "i", F.col("clean").alias("v"))
-    based = sg.floor_baseline(bl.percentile_baseline(unmixed, keys, base_half, quantile, base_half // 2), keys)
+    unmixed = sg.unmix(stored(clean.join(x, [*keys, "i"], "left")), keys).select(*keys, "i", F.col("clean").alias("v"))
+    based = sg.floor_baseline(stored(bl.percentile_baseline(unmixed, keys, base_half, quantile, base_half // 2)), keys)
     return based.withColumn("dff", sg.guarded_ratio(F.col("v") - F.col("f0"), F.col("f0")))
 
 
