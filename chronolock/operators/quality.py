@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolock.functions import median
-from chronolock.functions.lineage import settled
+from chronolock.functions.lineage import settled, stored
 from chronolock.functions.quantiles import HELD, quantiles, several
 from chronolock.functions.ranking import large_keys
 from chronolock.functions.ranking import ranked as counts_of
@@ -80,7 +80,8 @@ def trace_quality(signal: DataFrame, keys: list[str], segment: str = "segment",
 
 def ranked(scores: DataFrame, keys: list[str], score: str = "quality_score", least: float = 0.25, finite: float = 0.90, held: int = HELD) -> DataFrame:
     """Rank from the best, percentile by average rank, and whether it is recommended; keys of more than
-    ``held`` scores are ranked over all tasks."""
+    ``held`` scores are ranked over all tasks.  Scores are stored first: they are read three times."""
+    scores = stored(scores)
     c = counts_of(scores, keys, score, large_keys(scores, keys, score, held))
     c = c.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(score).alias("_s"), (F.col("total") - F.col("below") - F.col("n") + 1).cast("int").alias("rank"), ((F.col("below") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")).alias("percentile"))
     s = scores.join(c, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col(score) == F.col("_s")], "left").drop(*[f"_{k}" for k in keys], "_s")
