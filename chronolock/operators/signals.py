@@ -146,12 +146,17 @@ def centered_mean(keys: list[str], half: int, value: str = "v") -> Column:
 
 
 def reflected_mean(signal: DataFrame, keys: list[str], half: int, value: str = "v") -> DataFrame:
-    """``smooth``: the moving mean with both ends reflected (sample -j is sample j)."""
+    """``smooth``: the moving mean with both ends reflected (sample -j is sample j).
+
+    A sample near an end becomes the rows it stands for: no union of the signal with its ends, whose sides
+    Spark may deal to partitions differently."""
     n = signal.groupBy(*keys).agg(F.max("i").alias("last"))
-    ends = signal.join(n, keys)
-    left = ends.where((F.col("i") >= 1) & (F.col("i") <= half)).withColumn("i", -F.col("i"))
-    right = ends.where((F.col("i") < F.col("last")) & (F.col("i") >= F.col("last") - half)).withColumn("i", 2 * F.col("last") - F.col("i"))
-    every = ends.withColumn("own", F.lit(True)).unionByName(left.withColumn("own", F.lit(False))).unionByName(right.withColumn("own", F.lit(False)))
+    place = lambda i, own: F.struct(i.cast("long").alias("i"), F.lit(own).alias("own"))
+    i, last = F.col("i"), F.col("last")
+    left, right = i.between(1, half), (i < last) & (i >= last - half)
+    places = F.filter(F.array(place(i, True), F.when(left, place(-i, False)), F.when(right, place(2 * last - i, False))), lambda x: x.isNotNull())
+    kind = signal.schema["i"].dataType
+    every = signal.join(n, keys).withColumn("_at", F.explode(places)).withColumns({"i": F.col("_at.i").cast(kind), "own": F.col("_at.own")}).drop("_at")
     return every.withColumn("smooth", centered_mean(keys, half, value)).where("own").drop("own", "last")
 
 
@@ -174,12 +179,12 @@ def mask_artifacts(signal: DataFrame, keys: list[str], times: float = 20.0, befo
     """``clean``: null round steps larger than the median step by ``times`` deviations: from ``before``
     samples before the step to ``after`` after.  The first and last steps are not tested."""
     order = _order(keys)
-    d = signal.withColumn("d", F.lead("v").over(order) - F.col("v")).withColumn("rn", F.row_number().over(order)).withColumn("left", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("i"))))
+    d = signal.withColumn("d", F.lead("v").over(order) - F.col("v")).withColumn("inner", F.lag(F.lit(1)).over(order).isNotNull() & F.lead(F.lit(1), 2).over(order).isNotNull())
     stats = d.groupBy(*keys).agg(median("d").alias("mid"), F.stddev_pop("d").alias("sd"))
-    flag = ((F.abs("d") > F.col("mid") + times * F.col("sd")) & (F.col("rn") > 1) & (F.col("left") > 2)).cast("int")
+    flag = ((F.abs("d") > F.col("mid") + times * F.col("sd")) & F.col("inner")).cast("int")
     marked = d.join(stats, keys).withColumn("flag", F.coalesce(flag, F.lit(0)))
     near = F.max("flag").over(order.rowsBetween(-after, before))
-    return marked.withColumn("clean", F.when(near == 0, F.col("v"))).drop("d", "rn", "left", "mid", "sd", "flag")
+    return marked.withColumn("clean", F.when(near == 0, F.col("v"))).drop("d", "inner", "mid", "sd", "flag")
 
 
 def zscored(signal: DataFrame, keys: list[str], value: str = "v", eps: float = 1e-12) -> DataFrame:
