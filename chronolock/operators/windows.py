@@ -38,12 +38,8 @@ def spans_cut(traces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: Seq
     where they start, so the work grows with the windows there are and not with spans times traces; then they
     meet the pieces they lie in and are cut from them: samples move once, in pieces, and of a window only
     its place."""
-    held = traces.select(*keys, *roi, F.floor(F.col("i") / size).alias("_piece"), F.struct("i", *keep, "v").alias("_s")).groupBy(*keys, *roi, "_piece").agg(F.sort_array(F.collect_list("_s")).alias("_samples"))
-    held = held.withColumn("_low", F.get("_samples", F.lit(0))["i"]).withColumn("_high", F.element_at("_samples", -1)["i"])
-    places = F.array_distinct(F.transform("_samples", lambda s: s["i"]))
-    held = held.withColumn("_plain", (F.size(places) == F.size("_samples")) & (F.col("_high") - F.col("_low") + 1 == F.size("_samples")))
-    reach = held.groupBy(*keys, *roi).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    reach = reach.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))))
+    pieces = held(traces, keys, roi, size, keep)
+    reach = _reached(pieces.groupBy(*keys, *roi).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")), size)
     own = [c for c in spans.columns if c not in (*keys, "_from", "_to")]
     starts = spans.withColumn("_piece", F.floor(F.col("_from") / size))
     fits = starts.join(reach, [*keys, "_piece"]).where((F.col("_from") >= F.col("_low")) & (F.col("_to") <= F.col("_high"))).drop("_low", "_high")
@@ -52,10 +48,46 @@ def spans_cut(traces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: Seq
     sliced = F.slice("_samples", (low - F.col("_low") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
     # a piece with gaps, or a sample twice, is looked through
     cut = F.when(F.col("_plain"), sliced).otherwise(F.filter("_samples", lambda s: s["i"].between(F.col("_from"), F.col("_to"))))
-    met = placed.join(held, [*keys, *roi, "_piece"]).select(*keys, *roi, *own, "_from", F.inline(cut))
+    met = placed.join(pieces, [*keys, *roi, "_piece"]).select(*keys, *roi, *own, "_from", F.inline(cut))
     return met.select(*keys, *roi, "i", *keep, "v", *own, (F.col("i") - F.col("_from")).cast("int").alias("k"))
 
 
+def held(traces: DataFrame, keys: Sequence[str], roi: Sequence[str], size: int, keep: Sequence[str] = (), halo: int = 0) -> DataFrame:
+    """Traces in pieces of ``size`` samples and the ``halo`` next ones, a row each: ``_piece, _samples``, the first and
+    last place, and whether each place between is there once."""
+    piece = F.floor(F.col("i") / size)
+    if halo:
+        piece = F.explode(F.when(F.pmod(F.col("i"), F.lit(size)) < halo, F.array(piece, piece - 1)).otherwise(F.array(piece)))
+    pieces = traces.select(*keys, *roi, piece.alias("_piece"), F.struct("i", *keep, "v").alias("_s")).groupBy(*keys, *roi, "_piece").agg(F.sort_array(F.collect_list("_s")).alias("_samples"))
+    pieces = pieces.withColumn("_low", F.get("_samples", F.lit(0))["i"]).withColumn("_high", F.element_at("_samples", -1)["i"])
+    places = F.array_distinct(F.transform("_samples", lambda s: s["i"]))
+    return pieces.withColumn("_plain", (F.size(places) == F.size("_samples")) & (F.col("_high") - F.col("_low") + 1 == F.size("_samples")))
+
+
+def _reached(reach: DataFrame, size: int) -> DataFrame:
+    """A row for each piece that a trace reaches over."""
+    return reach.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))))
+
+
+def span_places(traces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: Sequence[str], width: int, size: int = PIECE) -> DataFrame:
+    """Spans of ``width`` samples with each trace that :func:`spans_cut` cuts a sample of them from, without the samples:
+    a span that leaves a trace is not there, nor one that lies in a gap."""
+    pieces = held(traces, keys, roi, size)
+    step = F.transform(F.sequence(F.lit(1), F.size("_samples") - 1), lambda j: F.struct(F.get("_samples", j - 1)["i"].alias("a"), F.get("_samples", j)["i"].alias("b")))
+    wide = lambda gaps: F.filter(gaps, lambda g: g["b"] - g["a"] > width)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    inner = F.when(F.col("_plain") | (F.size("_samples") < 2), none).otherwise(wide(step).cast("array<struct<a:int,b:int>>"))
+    ends = F.array_sort(F.collect_list(F.struct("_low", "_high")))
+    reach = pieces.withColumn("_inner", inner).groupBy(*keys, *roi).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), ends.alias("_ends"), F.flatten(F.collect_list("_inner")).alias("_inner"))
+    between = F.transform(F.sequence(F.lit(1), F.size("_ends") - 1), lambda j: F.struct(F.get("_ends", j - 1)["_high"].alias("a"), F.get("_ends", j)["_low"].alias("b")))
+    gaps = F.when(F.size("_ends") < 2, F.col("_inner")).otherwise(F.concat("_inner", wide(between).cast("array<struct<a:int,b:int>>")))
+    reach = _reached(reach.select(*keys, *roi, "_low", "_high", gaps.alias("_gaps")), size)
+    met = spans.withColumn("_piece", F.floor(F.col("_from") / size)).join(reach, [*keys, "_piece"])
+    inside = (F.col("_from") >= F.col("_low")) & (F.col("_to") <= F.col("_high"))
+    hidden = F.exists("_gaps", lambda g: (g["a"] < F.col("_from")) & (g["b"] > F.col("_to")))
+    return met.where(inside & ~hidden).drop("_piece", "_low", "_high", "_gaps")
+
+
 def bounds_within(epochs: DataFrame, pre: float = 0.0, post: float = 0.0) -> DataFrame:
     """Epochs shrunk by ``pre`` and ``post``; those that vanish go."""
     shrunk = epochs.select("session_id", (F.col("start_time") + pre).alias("a"), (F.col("end_time") - post).alias("b"))

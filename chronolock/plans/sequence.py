@@ -9,7 +9,6 @@ from chronolock.functions import fixed
 from chronolock.operators import events as ev
 from chronolock.operators import sequences as sq
 from chronolock.operators import signals as sg
-from chronolock.operators import windows as wn
 from chronolock.plans.core import EPOCHS, POST, PRE, TARGETS, WINDOWS, epochs_of, windows
 from chronolock.plans.signal import EDGES
 
@@ -26,21 +25,20 @@ kp as (select session_id, roi, seq_id, category, event_idx, case category when '
 sr as (select kp.*, k, v from kp join sw using (session_id, roi, event_idx))"""
 
 
-def sequence_rows(spark, sf):
-    log, onsets = view(spark, sf, "log"), view(spark, sf, "onsets")
-    images = onsets.select("session_id", (F.col("c") / 5 - 1).cast("int").alias("event_idx"), "c")
-    w = wn.event_windows(view(spark, sf, "traces"), images, PRE, POST)
-    return sq.sequence_windows(w, ev.change_sequences(log))
+def sequence_parts(spark, sf):
+    """Traces, images with their centers, and sequences."""
+    images = view(spark, sf, "onsets").select("session_id", (F.col("c") / 5 - 1).cast("int").alias("event_idx"), "c")
+    return view(spark, sf, "traces"), images, ev.change_sequences(view(spark, sf, "log"))
 
 
 @query("a3_sequence_windows", f"with {SEQUENCES} select session_id, roi, category, count(*) as n, count(distinct seq_id) as n_seq, cast(sum(position) as bigint) as positions from sr group by all", "log", "traces", "onsets")
 def a3(spark, sf):
-    return sequence_rows(spark, sf).groupBy("session_id", "roi", "category").agg(F.count("*").alias("n"), F.countDistinct("seq_id").alias("n_seq"), F.sum("position").cast("bigint").alias("positions"))
+    return sq.sequence_samples(*sequence_parts(spark, sf), PRE, POST).groupBy("session_id", "roi", "category").agg(F.count("*").alias("n"), F.countDistinct("seq_id").alias("n_seq"), F.sum("position").cast("bigint").alias("positions"))
 
 
 @query("a2_sequence_summary", f"with {SEQUENCES} select session_id, roi, category, position, k, round(avg(v), 8) + 0 as mean, round(stddev_pop(v), 5) + 0 as std, count(distinct seq_id) as n from sr group by all", "log", "traces", "onsets")
 def a2(spark, sf):
-    s = sq.sequence_summary(sequence_rows(spark, sf))
+    s = sq.sequence_curves(*sequence_parts(spark, sf), PRE, POST)
     return s.select("session_id", "roi", "category", "position", "k", fixed("mean", 8).alias("mean"), fixed("std", 5).alias("std"), "n")
 
 
