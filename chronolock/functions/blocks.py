@@ -40,6 +40,13 @@ def _borders(table: pa.Table, names: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
+def samples_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of samples ``k, v``: the row that each is of, its place and value, and whether it has one."""
+    k, v = column.flatten().flatten()
+    row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+    return row, k.to_numpy(), v.to_numpy(zero_copy_only=False).astype(float), v.is_valid().to_numpy(zero_copy_only=False)
+
+
 def by_blocks(signal: DataFrame, keys: Sequence[str], halo: int, made: dict[str, str], run: Callable[[Block], Sequence[np.ndarray]], place: str = "i", block: int = BLOCK, *, only: str | None = None) -> DataFrame:
     """``signal`` with the columns ``made`` (name and type), which ``run`` gives for a block's own samples; NaN
     becomes null.  Rows where ``only`` is null are seen but don't come out.

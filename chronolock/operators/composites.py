@@ -57,12 +57,12 @@ def gated(rows: DataFrame, activation: DataFrame, keys: list[str], classes: Sequ
     return rows.join(named.select(*keys).distinct(), keys, "left_semi")
 
 
-def tuning(values: DataFrame, keys: list[str], shuffles: int = 2000, least_trials: int = 5, least_images: int = 4, alpha: float = 0.05, method: str = "fve", traces: DataFrame | None = None, least_fve: float = 0.05) -> dict[str, DataFrame]:
+def tuning(values: DataFrame, keys: list[str], shuffles: int = 2000, least_trials: int = 5, least_images: int = 4, alpha: float = 0.05, method: str = "fve", traces: DataFrame | None = None, least_fve: float = 0.05, samples: list[int] | None = None) -> dict[str, DataFrame]:
     """Per image and per trace: responses, shares of variance, permutation and Kruskal-Wallis p, the
     preferred image, and whether the trace is tuned.
 
     ``values`` has ``stimulus, event_id, v``; ``traces`` the windows ``stimulus, event_id, k, v`` of the
-    same events, which ``manova`` and ``hybrid`` need.  Tuned by ``fve``: both p under ``alpha`` and a
+    same events (or whole ones), which ``manova`` and ``hybrid`` need, of which they test ``samples``.  Tuned by ``fve``: both p under ``alpha`` and a
     share of ``least_fve`` or more; by ``manova``: its p under ``alpha``; by ``hybrid``: that p and the
     share.  What can't be tested is not tuned.  ``preferred_effect`` is the median over trials of the
     preferred image less that over all others."""
@@ -84,7 +84,7 @@ def tuning(values: DataFrame, keys: list[str], shuffles: int = 2000, least_trial
     effect = used.join(best.select(*keys, "preferred"), keys).groupBy(*keys).agg((median(F.when(own, F.col("v"))) - median(F.when(~own, F.col("v")))).alias("preferred_effect"))
     whole = enough.join(perm, keys).join(h, keys, "left").join(best, keys, "left").join(effect, keys, "left")
     if traces is not None:
-        m = st.manova(traces.join(named, [*keys, "stimulus"], "left_semi"), keys, event="event_id")
+        m = st.manova(traces, keys, samples, event="event_id", only=named)
         m = m.select(*keys, F.col("n").alias("n_trials_manova"), F.col("groups").alias("n_groups_manova"), F.col("used").alias("n_samples_manova"), "wilks", F.col("f").alias("f_manova"), F.col("p").alias("p_manova"))
         whole = whole.join(m, keys, "left")
     share = F.col("fve") >= least_fve
@@ -93,8 +93,8 @@ def tuning(values: DataFrame, keys: list[str], shuffles: int = 2000, least_trial
     return {"tuning_per_image": images, "tuning_summary": whole}
 
 
-def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], shuffles: int = 2000, method: str = "hybrid", activation: DataFrame | None = None, classes: Sequence[str] = ("activated",)) -> dict[str, DataFrame]:
-    """All result tables from windows with ``session_id, roi, family, event_id, stimulus, k, v``.
+def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], shuffles: int = 2000, method: str = "hybrid", activation: DataFrame | None = None, classes: Sequence[str] = ("activated",), samples: list[int] | None = None) -> dict[str, DataFrame]:
+    """All result tables from windows with ``session_id, roi, family, event_id, stimulus, k, v`` (or whole ones).
 
     Traces of the given ``classes`` are tested for tuning, by MANOVA only where ``method`` asks for it (else the
     summary has no columns of it).  An ``activation`` table (``session_id, roi,
@@ -106,6 +106,6 @@ def analyse(windows_: DataFrame, pre: tuple[int, int], post: tuple[int, int], sh
         activation = settled(st.activation(r, K))
         out = {"activation_event": r.drop("v"), "activation_summary": activation}
     values = gated(r.where("family = 'image'"), activation, K, classes)
-    # windows move once more only for a method that tests them
-    traces = None if method == "fve" else gated(windows_.where("family = 'image'"), activation, K, classes)
-    return out | tuning(values, K, shuffles, method=method, traces=traces)
+    # windows are made once more only for a method that tests them, and of those only the traces and images of values
+    traces = None if method == "fve" else windows_.where("family = 'image'")
+    return out | tuning(values, K, shuffles, method=method, traces=traces, samples=samples)

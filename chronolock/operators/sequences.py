@@ -43,18 +43,19 @@ def sequence_windows(windows: DataFrame, sequences: DataFrame) -> DataFrame:
     return kept.select("session_id", "roi", "seq_id", "category", "event_idx", "position").join(windows, ["session_id", "roi", "event_idx"])
 
 
-def sequence_places(traces: DataFrame, images: DataFrame, sequences: DataFrame, pre: int, post: int) -> DataFrame:
-    """Where the windows of :func:`sequence_windows` lie in their traces (``_from, _to``), before any sample is cut;
-    ``images`` has a center ``c`` for each ``event_idx``."""
+def sequence_places(pieces: DataFrame, images: DataFrame, sequences: DataFrame, pre: int, post: int) -> DataFrame:
+    """Where the windows of :func:`sequence_windows` lie in their traces (:func:`~chronolock.operators.windows.held`) as
+    ``_from, _to``, before any sample is cut; ``images`` has a center ``c`` for each ``event_idx``."""
     spans = images.select("session_id", "event_idx", (F.col("c") - pre).alias("_from"), (F.col("c") + post - 1).alias("_to"))
     spans = sequences.join(spans, ["session_id", "event_idx"]).select("session_id", "seq_id", "category", "position", "_from", "_to")
-    return _positions(wn.span_places(traces, spans, ["session_id"], ["roi"], pre + post))
+    return _positions(wn.span_places(pieces, spans, ["session_id"], ["roi"], pre + post))
 
 
 def sequence_samples(traces: DataFrame, images: DataFrame, sequences: DataFrame, pre: int, post: int) -> DataFrame:
     """:func:`sequence_windows` of windows round ``images``, cut once their positions are known."""
-    at = sequence_places(traces, images, sequences, pre, post)
-    return wn.spans_cut(traces, at, ["session_id", "roi"], [], size=max(wn.PIECE, pre + post))
+    size = max(wn.PIECE, pre + post)
+    at = sequence_places(wn.held(traces, ["session_id"], ["roi"], size), images, sequences, pre, post)
+    return wn.spans_cut(traces, at, ["session_id", "roi"], [], size=size)
 
 
 def sequence_summary(rows: DataFrame) -> DataFrame:
@@ -120,9 +121,9 @@ def sequence_curves(traces: DataFrame, images: DataFrame, sequences: DataFrame,
     the trace that they start in as places, and a piece gives its sums."""
     width = pre + post
     size = max(PIECE, width)
-    at = sequence_places(traces, images, sequences, pre, post)
-    plan = at.groupBy("session_id", "roi", F.floor(F.col("_from") / size).alias("_piece")).agg(F.collect_list(F.struct("category", F.col("position").cast("int").alias("position"), "seq_id", "_from")).alias("_plan"))
     held = wn.held(traces, ["session_id"], ["roi"], size, halo=width - 1)
+    at = sequence_places(held, images, sequences, pre, post)
+    plan = at.groupBy("session_id", "roi", F.floor(F.col("_from") / size).alias("_piece")).agg(F.collect_list(F.struct("category", F.col("position").cast("int").alias("position"), "seq_id", "_from")).alias("_plan"))
     held = held.select("session_id", "roi", "_piece", "_low", F.transform("_samples", lambda s: s["v"].cast("double")).alias("_v"), F.when(~F.col("_plain"), F.transform("_samples", lambda s: s["i"])).alias("_i"))
     met = held.join(plan, ["session_id", "roi", "_piece"])
     kind = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in met.select("session_id", "roi", "_piece").schema)

@@ -10,11 +10,15 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from chronolock.functions import lerp, median, ratio
+from chronolock.functions import median, ratio
+from chronolock.functions.blocks import samples_of
 from chronolock.functions.lineage import settled
 from chronolock.functions.quantiles import HELD
 from chronolock.functions.ranking import large_keys, ranked, running, suffix_least
@@ -238,11 +242,14 @@ def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, se
     rows = rows.select(*keys, "_i", (F.col("_row.v") - F.col("_mean")).alias("_v"), code.alias("_code"), F.col("_all").alias("_n"), F.transform("_labels", lambda x: x["n"]).alias("_counts"), F.floor(F.col("_i") / PIECE).alias("_piece"))
     plain = values.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        n, counts, v, code = int(pdf["_n"].iloc[0]), np.asarray(pdf["_counts"].iloc[0]), pdf["_v"].to_numpy(float), pdf["_code"].to_numpy()
-        own = [seed, *[zlib.crc32(str(pdf[k].iloc[0]).encode()) for k in keys]]
-        number, out, sums = int(pdf["_piece"].iloc[0]), [], []
+    kinds = StructType.fromDDL(f"{plain}, block int, n bigint, fve double, reached bigint, counts binary, total double, seen binary, sums binary")
+    arrow = to_arrow_schema(kinds)
+
+    def piece(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("_i").to_numpy(), kind="stable")
+        n, counts, v, code = t.column("_n")[0].as_py(), np.asarray(t.column("_counts")[0].as_py()), t.column("_v").to_numpy()[order], t.column("_code").to_numpy()[order]
+        own = [seed, *[zlib.crc32(str(t.column(k)[0].as_py()).encode()) for k in keys]]
+        number, out, sums = t.column("_piece")[0].as_py(), [], []
         seen, own_total = np.bincount(code, v, len(counts)), float(v @ v)
         for block in range(-(-shuffles // BLOCK)):
             have = labels_dealt(counts, n, number, PIECE, own, block, min(BLOCK, shuffles - block * BLOCK))
@@ -250,10 +257,11 @@ def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, se
             if n <= PIECE:
                 sums.append(found.ravel())
             else:
-                out.append([*(pdf[k].iloc[0] for k in keys), block, n, None, None, counts.astype(np.int64).tobytes(), own_total, seen.tobytes(), found.tobytes()])
+                out.append([block, n, None, None, counts.astype(np.int64).tobytes(), own_total, seen.tobytes(), found.tobytes()])
         if n <= PIECE:  # the piece is the key
-            out.append([*(pdf[k].iloc[0] for k in keys), None, n, *verdict(np.concatenate(sums or [np.empty(0)]), seen, counts, own_total), None, None, None, None])
-        return pd.DataFrame(out, columns=[*keys, "block", "n", "fve", "reached", "counts", "total", "seen", "sums"])
+            out.append([None, n, *verdict(np.concatenate(sums or [np.empty(0)]), seen, counts, own_total), None, None, None, None])
+        named = [t.column(k).combine_chunks().take(pa.array([0] * len(out))).cast(arrow.field(k).type) for k in keys]
+        return pa.Table.from_arrays([*named, *[pa.array(c, f.type) for c, f in zip(zip(*out), list(arrow)[len(keys) :])]], schema=arrow)
 
     def verdict(sums: np.ndarray, seen: np.ndarray, counts: np.ndarray, total: float) -> tuple[float, int]:
         """The share of variance, and how many shuffles reach it."""
@@ -261,7 +269,7 @@ def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, se
         between = (sums.reshape(-1, len(counts)) ** 2 / counts).sum(1)
         return own / total if total > 1e-12 else 0.0, int((between >= own - 1e-12 * max(total, 1)).sum())
 
-    solved = settled(rows.groupBy(*keys, "_piece").applyInPandas(piece, f"{plain}, block int, n bigint, fve double, reached bigint, counts binary, total double, seen binary, sums binary"))
+    solved = settled(rows.groupBy(*keys, "_piece").applyInArrow(piece, kinds))
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         sums, seen = (np.sum([np.frombuffer(x) for x in pdf[c]], axis=0) for c in ("sums", "seen"))
@@ -273,46 +281,93 @@ def permutation_fve(values: DataFrame, keys: list[str], shuffles: int = 2000, se
     return blocks.groupBy(*keys).agg(F.first("n").alias("n"), F.first("fve").alias("fve"), ((1 + F.sum("reached")) / F.lit(shuffles + 1)).alias("p"))
 
 
-def manova(windows: DataFrame, keys: list[str], samples: list[int] | None = None, group: str = "stimulus", event: str = "event_index", most: int = 20, gap_share: float = 0.1) -> DataFrame:
+def spaced(n: int, most: int = 20) -> list[int]:
+    """``most`` evenly spaced ones of ``n`` samples, or all."""
+    return sorted(set(np.linspace(0, n - 1, min(most, n), dtype=int).tolist()))
+
+
+def manova(windows: DataFrame, keys: list[str], samples: list[int] | None = None, group: str = "stimulus", event: str = "event_index", most: int = 20, gap_share: float = 0.1, only: DataFrame | None = None) -> DataFrame:
     """Wilks' lambda of samples of the windows over groups, with Rao's F and p.
 
     Trials with a larger share of gaps than ``gap_share`` go; smaller gaps are filled along the line
     (W31).  ``samples`` are ``most`` evenly spaced ones if not given, fewer where trials are few;
-    constant samples don't count, nor do groups of one trial.  Sums and cross products are aggregated
-    in Spark; one small matrix a key is solved."""
+    constant samples don't count, nor do groups of one trial.  ``windows`` has ``k, v``, a row a sample, or
+    ``samples``, a row a trial (:func:`~chronolock.operators.windows.whole_windows`).  Only the keys and groups in
+    ``only`` are tested, if given.  Tasks add up the cross products of their trials, and one small matrix a key is solved."""
     trial = [*keys, group, event]
-    # a row a trial: its samples in order; they are put together before they move
-    rows = windows.where(reduce(and_, (F.col(c).isNotNull() for c in trial))).groupBy(*trial).agg(F.avg(F.col("v").isNull().cast("int")).alias("_gap"), F.sort_array(F.collect_list(F.struct("k", "v"))).alias("_s")).where(F.col("_gap") <= gap_share)
+    there = windows.where(reduce(and_, (F.col(c).isNotNull() for c in trial)))
+    # a row a trial: its samples in order
+    if "samples" in windows.columns:
+        rows = there.select(*keys, group, "samples")
+    else:  # trials of a key are put together anywhere: in order, those of a group are added up
+        rows = there.groupBy(*trial).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("samples")).select(*keys, group, "samples").sortWithinPartitions(*keys, group)
     if samples is None:
-        last = rows.agg(F.max(F.element_at("_s", -1)["k"])).first()[0] or 0
-        samples = sorted(set(np.linspace(0, last, min(most, last + 1), dtype=int).tolist()))
-    d = len(samples)
-    there = F.filter("_s", lambda s: s["v"].isNotNull())
-
-    def filled(s: Column) -> Column:
-        """The sample, or the line between those round it, or the nearest at the ends."""
-        left, right = F.filter(there, lambda x: x["k"] <= s["k"]), F.filter(there, lambda x: x["k"] >= s["k"])
-        a, b = F.get(left, F.size(left) - 1), F.get(right, F.lit(0))
-        return F.coalesce(s["v"], lerp(s["k"], a["k"], a["v"], b["k"], b["v"]), a["v"], b["v"])
-
-    # the samples, then a one: products with it are the sums, and the trials
-    wanted = F.filter("_s", lambda s: s["k"].isin(*samples))
-    x = F.when(F.col("_gap") == 0, F.transform(wanted, lambda s: s["v"])).otherwise(F.transform(wanted, filled))
-    rows = rows.select(*trial, x.alias("x")).where((F.size("x") == d) & ~F.exists("x", lambda v: v.isNull()))
-    rows = rows.withColumn("x", F.concat("x", F.array(F.lit(1.0))))
-    two = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: F.transform(F.sequence(i, F.lit(d)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("x", i) * F.get("x", j)).alias("xy"))))))
-    cells = rows.select(*keys, group, two.alias("e")).groupBy(*keys, group, "e.i", "e.j").agg(F.sum("e.xy").alias("xy"))
-    schema = cells.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n bigint, groups bigint, used int, wilks double, f double, p double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = np.zeros((pdf[group].nunique(), d + 1, d + 1))
-        code = pd.factorize(pdf[group])[0]
-        i, j, xy = (pdf[c].to_numpy() for c in ("i", "j", "xy"))
-        each[code, i, j] = each[code, j, i] = xy
+        tested = rows if only is None else rows.join(only, [*keys, group], "left_semi")
+        last = tested.where(F.size(F.filter("samples", lambda s: s["v"].isNull())) / F.size("samples") <= gap_share).agg(F.max(F.element_at("samples", -1)["k"])).first()[0] or 0
+        samples = spaced(last + 1, most)
+    d, wanted = len(samples), np.asarray(samples)
+    first, second = np.triu_indices(d + 1)
+    named = StructType([*rows.select(*keys, group).schema.fields, *StructType.fromDDL("xy array<double>").fields])
+
+    def trials(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that count, and their samples and a one: products with it are the sums, and the trials."""
+        row, k, v, valid = samples_of(column)
+        size, gaps = np.bincount(row, minlength=len(column)), np.bincount(row[~valid], minlength=len(column))
+        at = np.minimum(np.searchsorted(wanted, k), d - 1)
+        own = wanted[at] == k
+        x, seen = np.ones((len(column), d + 1)), np.zeros((len(column), d), int)
+        x[row[own], at[own]] = v[own]
+        np.add.at(seen, (row[own], at[own]), 1)
+        keep = (size > 0) & (gaps <= gap_share * size) & (gaps < size) & (seen == 1).all(1)
+        ends = np.append(0, np.cumsum(size))
+        for r in np.flatnonzero(keep & (gaps > 0)):  # W31: the line between the samples round a gap, the nearest at the ends
+            mine = slice(ends[r], ends[r + 1])
+            known, missing = valid[mine], own[mine] & ~valid[mine]
+            x[r, at[mine][missing]] = np.interp(k[mine][missing], k[mine][known], v[mine][known])
+        return np.flatnonzero(keep), x[keep]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of products of each two samples over the trials of a key and group, for each batch."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept, x = trials(b.column("samples"))
+            if not len(kept):
+                continue
+            code = np.zeros(b.num_rows, np.int64)
+            for c in (*keys, group):
+                own = b.column(c).dictionary_encode("encode")
+                code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+            order = np.argsort(code[kept], kind="stable")
+            starts = np.flatnonzero(np.diff(code[kept][order], prepend=-1))
+            x = x[order]
+            sums = np.stack([p[first, second] for p in (y.T @ y for y in np.split(x, starts[1:]))])
+            at = pa.array(kept[order[starts]])
+            xy = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * len(first), pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in (*keys, group)], xy], names=[*keys, group, "xy"])
+
+    cells = rows.mapInArrow(products, named)
+    if only is not None:
+        by_key = only.groupBy(*keys).agg(F.collect_set(group).alias("_only"))
+        cells = cells.join(by_key, keys).where(F.array_contains("_only", F.col(group))).drop("_only")
+    schema = StructType([*cells.select(*keys).schema.fields, *StructType.fromDDL("n bigint, groups bigint, used int, wilks double, f double, p double").fields])
+    arrow = to_arrow_schema(schema)
+
+    def solved(t: pa.Table) -> pa.Table:
+        values = solve(t)
+        named = [t.column(k).combine_chunks().slice(0, 1).cast(arrow.field(k).type) for k in keys]
+        return pa.Table.from_arrays([*named, *[pa.array([v], f.type) for v, f in zip(values, list(arrow)[len(keys) :])]], schema=arrow)
+
+    def solve(t: pa.Table) -> tuple:
+        code = t.column(group).combine_chunks().dictionary_encode()
+        sums = np.zeros((len(code.dictionary), len(first)))
+        np.add.at(sums, code.indices.to_numpy(), t.column("xy").combine_chunks().flatten().to_numpy().reshape(t.num_rows, len(first)))
+        each = np.zeros((len(sums), d + 1, d + 1))
+        each[:, first, second] = each[:, second, first] = sums
         each = each[each[:, d, d] >= 2]
         n, s = each[:, d, d], each[:, d, :d]
         if not len(each):
-            return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"n": [0], "groups": [0], "used": [0], "wilks": [None], "f": [None], "p": [None]})
+            return 0, 0, 0, None, None, None
         total = each[:, :d, :d].sum(0)
         within = total - sum(np.outer(a, a) / m for a, m in zip(s, n))
         all_ = total - np.outer(s.sum(0), s.sum(0)) / n.sum()
@@ -320,10 +375,9 @@ def manova(windows: DataFrame, keys: list[str], samples: list[int] | None = None
         use = np.flatnonzero(np.diag(all_) > 1e-12 * np.maximum(np.diag(total), 1e-300))
         fit = max(2, min(len(use), int(big - g - 1)))
         use = use[np.unique(np.linspace(0, len(use) - 1, fit, dtype=int))] if len(use) >= 2 else use
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"n": [int(big)], "groups": [g], "used": [len(use)]}
-        none = pd.DataFrame(row | {"wilks": [None], "f": [None], "p": [None]})
+        row = int(big), g, len(use)
         if g < 2 or big <= g + 2 or len(use) < 2:
-            return none
+            return *row, None, None, None
         unit = 1 / np.sqrt(np.diag(all_)[use])
         values, axes = np.linalg.eigh(all_[np.ix_(use, use)] * np.outer(unit, unit))
         axes = (axes[:, values > 1e-10 * values.max()].T * unit).T  # samples that follow from others add nothing
@@ -333,9 +387,9 @@ def manova(windows: DataFrame, keys: list[str], samples: list[int] | None = None
         t = math.sqrt((wide * wide * h * h - 4) / (wide * wide + h * h - 5)) if wide * wide + h * h > 5 else 1.0
         df1, df2 = wide * h, (big - 1 - (wide + g) / 2) * t - (wide * h - 2) / 2
         f = (1 - wilks ** (1 / t)) / wilks ** (1 / t) * df2 / df1
-        return pd.DataFrame(row | {"wilks": [wilks], "f": [f], "p": [f_tail_value(f, df1, df2) if df2 > 0 else None]})
+        return *row, wilks, float(f), f_tail_value(f, df1, df2) if df2 > 0 else None
 
-    return cells.groupBy(*keys).applyInPandas(run, schema)
+    return cells.groupBy(*keys).applyInArrow(solved, schema)
 
 
 def affine(pairs: DataFrame, keys: list[str], least: int = 3) -> DataFrame:

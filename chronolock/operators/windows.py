@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +15,8 @@ from chronolock.functions import lerp
 
 #: Samples of a piece of a trace, at least: pieces of a window's length or more, so that a window meets two at most.
 PIECE = 128
+#: Samples of a piece that windows are cut from whole.
+WHOLE = 1024
 
 
 def centers(events: DataFrame, rate: float, start: float = 0.0, time: str = "t") -> DataFrame:
@@ -54,11 +58,15 @@ def spans_cut(traces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: Seq
 
 def held(traces: DataFrame, keys: Sequence[str], roi: Sequence[str], size: int, keep: Sequence[str] = (), halo: int = 0) -> DataFrame:
     """Traces in pieces of ``size`` samples and the ``halo`` next ones, a row each: ``_piece, _samples``, the first and
-    last place, and whether each place between is there once."""
+    last place, and whether each place between is there once.
+
+    What has no key, trace or place goes here already: otherwise joins leave it out by filters of their own, and what reads
+    pieces twice makes them twice."""
+    traces = traces.where(reduce(and_, (F.col(c).isNotNull() for c in (*keys, *roi, "i"))))
     piece = F.floor(F.col("i") / size)
     if halo:
         piece = F.explode(F.when(F.pmod(F.col("i"), F.lit(size)) < halo, F.array(piece, piece - 1)).otherwise(F.array(piece)))
-    pieces = traces.select(*keys, *roi, piece.alias("_piece"), F.struct("i", *keep, "v").alias("_s")).groupBy(*keys, *roi, "_piece").agg(F.sort_array(F.collect_list("_s")).alias("_samples"))
+    pieces = traces.select(*keys, *roi, piece.alias("_piece"), F.struct("i", *keep, "v").alias("_s")).where("_piece is not null").groupBy(*keys, *roi, "_piece").agg(F.sort_array(F.collect_list("_s")).alias("_samples"))
     pieces = pieces.withColumn("_low", F.get("_samples", F.lit(0))["i"]).withColumn("_high", F.element_at("_samples", -1)["i"])
     places = F.array_distinct(F.transform("_samples", lambda s: s["i"]))
     return pieces.withColumn("_plain", (F.size(places) == F.size("_samples")) & (F.col("_high") - F.col("_low") + 1 == F.size("_samples")))
@@ -69,10 +77,9 @@ def _reached(reach: DataFrame, size: int) -> DataFrame:
     return reach.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))))
 
 
-def span_places(traces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: Sequence[str], width: int, size: int = PIECE) -> DataFrame:
-    """Spans of ``width`` samples with each trace that :func:`spans_cut` cuts a sample of them from, without the samples:
-    a span that leaves a trace is not there, nor one that lies in a gap."""
-    pieces = held(traces, keys, roi, size)
+def span_places(pieces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: Sequence[str], width: int, size: int = PIECE) -> DataFrame:
+    """Spans of ``width`` samples with each trace (:func:`held`) that :func:`spans_cut` cuts a sample of them from, without
+    the samples: a span that leaves a trace is not there, nor one that lies in a gap."""
     step = F.transform(F.sequence(F.lit(1), F.size("_samples") - 1), lambda j: F.struct(F.get("_samples", j - 1)["i"].alias("a"), F.get("_samples", j)["i"].alias("b")))
     wide = lambda gaps: F.filter(gaps, lambda g: g["b"] - g["a"] > width)
     none = F.array().cast("array<struct<a:int,b:int>>")
@@ -88,6 +95,24 @@ def span_places(traces: DataFrame, spans: DataFrame, keys: Sequence[str], roi: S
     return met.where(inside & ~hidden).drop("_piece", "_low", "_high", "_gaps")
 
 
+def whole_windows(traces: DataFrame, events: DataFrame, pre: int, post: int, keys: Sequence[str] = ("session_id",), roi: Sequence[str] = ("roi",)) -> DataFrame:
+    """The windows of :func:`event_windows`, a row each: ``samples`` has their ``k`` and ``v`` in order.
+
+    A piece has the samples that windows which start in it reach over, so each is cut from one piece, and none has to be
+    put together again.  An event has one center."""
+    width = pre + post
+    size = max(WHOLE, width)
+    spans = events.withColumn("_from", F.col("c") - pre).withColumn("_to", F.col("c") + post - 1).drop("c")
+    pieces = held(traces, keys, roi, size, halo=width - 1)
+    at = span_places(pieces, spans, keys, roi, width).withColumn("_piece", F.floor(F.col("_from") / size))
+    low = F.greatest("_from", "_low")
+    sliced = F.slice("_samples", (low - F.col("_low") + 1).cast("int"), F.greatest(F.least("_to", "_high") - low + 1, F.lit(0)).cast("int"))
+    cut = F.when(F.col("_plain"), sliced).otherwise(F.filter("_samples", lambda s: s["i"].between(F.col("_from"), F.col("_to"))))
+    samples = F.transform(cut, lambda s: F.struct((s["i"] - F.col("_from")).cast("int").alias("k"), s["v"].alias("v")))
+    own = [c for c in events.columns if c not in (*keys, "c")]
+    return at.join(pieces, [*keys, *roi, "_piece"]).select(*keys, *roi, *own, samples.alias("samples"))
+
+
 def bounds_within(epochs: DataFrame, pre: float = 0.0, post: float = 0.0) -> DataFrame:
     """Epochs shrunk by ``pre`` and ``post``; those that vanish go."""
     shrunk = epochs.select("session_id", (F.col("start_time") + pre).alias("a"), (F.col("end_time") - post).alias("b"))

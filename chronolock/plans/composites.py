@@ -8,7 +8,8 @@ from chronolock.catalog import query, view
 from chronolock.functions import fixed, ratio
 from chronolock.operators import clock
 from chronolock.operators.composites import K, analyse, condition, extract, tuning
-from chronolock.plans.core import POST, PRE, RESPONSES, epochs_of, responses, windows
+from chronolock.operators.statistics import spaced
+from chronolock.plans.core import POST, PRE, RESPONSES, epochs_of, responses, whole
 
 
 @query("t12_tuning", f"with {RESPONSES}, m as (select session_id, roi, stimulus, count(delta_mean) as n, avg(delta_mean) as m from r group by all having count(delta_mean) >= 5), e as (select session_id, roi, count(*) as n_images, arg_max(stimulus, m) as preferred from m group by all having count(*) >= 4) select session_id, roi, n_images, preferred from e", "traces", "onsets")
@@ -19,15 +20,15 @@ def t12(spark, sf):
 
 @query("t12_tuning_tests")
 def t12t(spark, sf):
-    got = tuning(responses(spark, sf).withColumnRenamed("delta_mean", "v"), K, method="hybrid", traces=windows(spark, sf))["tuning_summary"]
+    got = tuning(responses(spark, sf).withColumnRenamed("delta_mean", "v"), K, method="hybrid", traces=whole(spark, sf), samples=spaced(PRE + POST))["tuning_summary"]
     return got.select(*K, "fve", "p_shuffle", "p_kw", "wilks", "p_manova", "preferred_effect", "is_tuned")
 
 
 @query("t16_analysis")
 def t16(spark, sf):
-    w = windows(spark, sf).withColumn("family", F.lit("image"))
+    w = whole(spark, sf).withColumn("family", F.lit("image"))
     classes = ("activated", "suppressed", "no_change")
-    got = analyse(w, (0, PRE), (PRE, PRE + POST), classes=classes)
+    got = analyse(w, (0, PRE), (PRE, PRE + POST), classes=classes, samples=spaced(PRE + POST))
     return got["activation_summary"].join(got["tuning_summary"].select(*K, "n_images", "fve", "is_tuned"), K, "left")
 
 
@@ -37,7 +38,7 @@ ELSEWHERE = "select session_id, roi, 'image' as family, case when max(v) > 2 * a
 
 @query("t16_tuning_only", f"with {RESPONSES}, x as ({ELSEWHERE}), m as (select session_id, roi, stimulus, count(delta_mean) as n, avg(delta_mean) as m, var_pop(delta_mean) as w from r where (session_id, roi) in (select (session_id, roi) from x where response_class = 'activated') group by all having count(delta_mean) >= 5), g as (select session_id, roi, count(*) as n_images, sum(n * w) as within, sum(n) as n from m group by all having count(*) >= 4), t as (select session_id, roi, var_pop(delta_mean) as v from r join m using (session_id, roi, stimulus) group by all), e as (select session_id, roi, arg_max(stimulus, m) as preferred from m group by all) select session_id, roi, n_images, preferred, round(1 - within / n / v, 6) + 0 as fve from g join t using (session_id, roi) join e using (session_id, roi)", "traces", "onsets")
 def t16o(spark, sf):
-    w = windows(spark, sf).withColumn("family", F.lit("image"))
+    w = whole(spark, sf).withColumn("family", F.lit("image"))
     activation = spark.sql(ELSEWHERE.replace("from traces", "from {traces}"), traces=view(spark, sf, "traces"))
     got = analyse(w, (0, PRE), (PRE, PRE + POST), method="fve", activation=activation)
     return got["tuning_summary"].select(*K, "n_images", "preferred", fixed("fve", 6).alias("fve"))

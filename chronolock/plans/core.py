@@ -117,6 +117,11 @@ def windows(spark, sf) -> DataFrame:
     return wn.event_windows(view(spark, sf, "traces"), view(spark, sf, "onsets"), PRE, POST)
 
 
+def whole(spark, sf) -> DataFrame:
+    """The same windows, a row each."""
+    return wn.whole_windows(view(spark, sf, "traces"), view(spark, sf, "onsets"), PRE, POST)
+
+
 @query("j1_event_windows", f"with {WINDOWS} select session_id, roi, stimulus, k, count(*) as n, round(sum(v), 2) + 0 as total from w group by all", "traces", "onsets")
 def j1(spark, sf):
     return windows(spark, sf).groupBy("session_id", "roi", "stimulus", "k").agg(F.count("*").alias("n"), fixed(F.sum("v"), 2).alias("total"))
@@ -126,7 +131,7 @@ RESPONSES = f"{WINDOWS}, r as (select session_id, roi, event_id, stimulus, coale
 
 
 def responses(spark, sf) -> DataFrame:
-    return rs.event_responses(windows(spark, sf), (0, PRE), (PRE, PRE + POST), ["session_id", "roi", "event_id", "stimulus"])
+    return rs.event_responses(whole(spark, sf), (0, PRE), (PRE, PRE + POST), ["session_id", "roi", "event_id", "stimulus"])
 
 
 @query("a4_event_responses", f"with {RESPONSES} select session_id, roi, event_id, stimulus, round(delta_auc, 3) + 0 as delta_auc, round(delta_mean, 6) + 0 as delta_mean from r", "traces", "onsets")
