@@ -7,8 +7,11 @@ import io
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from chronolock.operators import responses, statistics, windows
+from chronolock.operators.composites import analyse
 
 KEYS = ["session_id", "roi"]
 
@@ -46,3 +49,16 @@ def test_no_window_moves_for_its_response(spark):
         __spark_entry__.queries()["a4_event_responses"](spark, "/root/testdata/sf0.001").explain()
     moves = re.findall(r"hashpartitioning\(([^)]*)\)", plan.getvalue())
     assert moves and not any("event_id#" in m and "stimulus#" in m for m in moves)
+
+
+def test_an_analysis_of_whole_windows_is_that_of_their_samples(spark):
+    rng = random.Random(9)
+    t = [(1, r, i, rng.gauss(0, 1) + (3 * ((i // 5) % 4) if r == 1 else 0)) for r in (1, 2) for i in range(300)]
+    traces = spark.createDataFrame(t, "session_id int, roi int, i int, v double")
+    events = spark.createDataFrame([(1, n, "im" + str(n % 4), 5 * n) for n in range(60)], "session_id int, event_id int, stimulus string, c int")
+    activation = spark.createDataFrame([(1, 1, "image", "activated"), (1, 2, "image", "no_change")], "session_id int, roi int, family string, response_class string")
+    made = []
+    for w in (windows.event_windows(traces, events, 2, 5), windows.whole_windows(traces, events, 2, 5)):
+        got = analyse(w.withColumn("family", F.lit("image")), (0, 2), (2, 7), 19, activation=activation)["tuning_summary"]
+        made.append([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in got.collect()])
+    assert made[0] == made[1] and len(made[0]) == 1 and made[0][0][1] == 1
